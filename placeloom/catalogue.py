@@ -1,11 +1,837 @@
-"""All registered queries of the company-intelligence operators."""
+"""All registered queries of the company-intelligence operators, with the SQL each is checked against.
+
+Inputs that the driver tables do not have (coordinates, names in several spellings, run snapshots) are derived from keys
+by SQL that both engines read, so the two sides share inputs and nothing else.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from placeloom.functions import dims, extract, geo, text
+from placeloom.operators import confirm, diff, gate, match, resolve, score, summary
+from placeloom.plans import render, sweep
+from placeloom.sources import bulk, poi, registers
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle is not None:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _base(spark: SparkSession, d: str, sql: str, *tables: str) -> DataFrame:
+    """Rows of a SQL text over driver tables; ``{t}`` stands for table t."""
+    return spark.sql(sql, **{t: _table(spark, d, t) for t in tables})
+
+
+def _duck(sql: str) -> str:
+    return sql.replace("{", "").replace("}", "")
+
+
+def _case(key: str, values: list[str]) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+# derived inputs -------------------------------------------------------------------------------------------------
+
+TRADES, OWNERS = ["Boulangerie", "Pharmacie", "Librairie", "Garage", "Hôtel"], ["Martin", "du Rêve", "Soleil", "Étoile d''Or", "Dupont", "Crémieux", "Lumière"]
+STREETS = ["Rue de la Paix", "avenue des Lilas", "Quai du Nord", "Place Étienne Marcel"]
+
+
+def _name(key: str) -> str:
+    return f"concat({_case(key, TRADES)}, ' ', {_case(key, OWNERS)})"
+
+
+def _lat(key: str) -> str:
+    return f"CAST(48.84 AS DOUBLE) + ({key} % 97) * CAST(0.0003 AS DOUBLE)"
+
+
+def _lon(key: str) -> str:
+    return f"CAST(2.42 AS DOUBLE) + ({key} % 89) * CAST(0.0004 AS DOUBLE)"
+
+
+POIS = f"""SELECT concat('n', CAST(c_custkey AS STRING)) AS poi_id, c_custkey AS poi_ord, {_name("c_custkey")} AS name,
+  CASE WHEN c_custkey % 11 = 0 THEN {_case("c_custkey", OWNERS)} END AS brand, CAST(c_custkey % 9 + 1 AS STRING) AS number,
+  CASE WHEN c_custkey % 3 > 0 THEN {_case("c_custkey", STREETS)} END AS street, {_lat("c_custkey")} AS lat, {_lon("c_custkey")} AS lon FROM {{customer}}"""
+RECORDS = f"""SELECT concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, s_suppkey AS rec_ord,
+  CASE s_suppkey % 5 WHEN 0 THEN concat('SARL ', {_name("s_suppkey")}) WHEN 1 THEN concat('Groupe X (', {_name("s_suppkey")}, ', Autre)')
+    WHEN 2 THEN upper({_name("s_suppkey")}) WHEN 3 THEN {_case("s_suppkey", OWNERS)} ELSE {_name("s_suppkey")} END AS legal_name,
+  CASE WHEN s_suppkey % 4 = 0 THEN {_case("s_suppkey", OWNERS)} END AS trade_name, CAST(s_suppkey % 9 + 1 AS STRING) AS number,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'RUE' END AS kind, CASE WHEN s_suppkey % 4 = 0 THEN 'PAIX' ELSE upper({_case("s_suppkey", STREETS)}) END AS street,
+  {_lat("s_suppkey")} AS lat, {_lon("s_suppkey")} AS lon FROM {{supplier}}"""
+
+
+def _pois(spark: SparkSession, d: str) -> DataFrame:
+    return _base(spark, d, POIS, "customer")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    r = _base(spark, d, RECORDS, "supplier")
+    names = F.array_compact(F.array("legal_name", "trade_name"))
+    return r.select("rec_key", "rec_ord", names.alias("names"), F.array_compact(F.array("trade_name")).alias("trading"), "number", "kind", "street", "lat", "lon")
+
+
+# the same semantics once more, in relational SQL ------------------------------------------------------------------
+
+HAVERSINE = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(r_lat - p_lat) / 2), 2) + cos(radians(p_lat)) * cos(radians(r_lat)) * pow(sin(radians(r_lon - p_lon) / 2), 2))))"
+
+
+def _norm(x: str) -> str:
+    plain = f"regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({plain}, '\b(?:{dims.LEGAL_FORMS})\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _variants(x: str) -> str:
+    return rf"""list_distinct(list_filter(list_concat([{x}, trim(regexp_replace({x}, '\([^)]*\)', ' ', 'g'))],
+      list_transform(flatten(list_transform(regexp_extract_all({x}, '\(([^)]+)\)', 1), lambda p: regexp_split_to_array(p, '[,;]'))), lambda q: trim(q))), lambda v: v <> ''))"""
+
+
+def _similarity(source: str, a: str, b: str, out: str) -> str:
+    """CTEs over ``source(pid, a, b)`` ending in ``out(pid, sim)``."""
+    trade = ", ".join(f"'{w}'" for w in sorted(set(dims.TRADE_WORDS)))
+    return rf"""
+{out}_v AS (SELECT pid, va, vb FROM (SELECT pid, {_norm("va0")} AS va, {_norm("vb0")} AS vb FROM (SELECT pid, unnest({_variants(a)}) AS va0, vbs FROM (SELECT pid, {a}, {_variants(b)} AS vbs FROM {source})), unnest(vbs) AS t(vb0)) WHERE va <> '' AND vb <> ''),
+{out}_f AS (SELECT *, list_distinct(list_filter(string_split(va, ' '), lambda t: len(t) > 1)) AS ta, list_distinct(list_filter(string_split(vb, ' '), lambda t: len(t) > 1)) AS tb,
+  list_distinct(list_transform(range(1, len(va) + 2), lambda i: substr('  ' || va || ' ', i, 3))) AS ga, list_distinct(list_transform(range(1, len(vb) + 2), lambda i: substr('  ' || vb || ' ', i, 3))) AS gb FROM {out}_v),
+{out}_g AS (SELECT *, CASE WHEN len(ta) <= len(tb) THEN ta ELSE tb END AS sm, CASE WHEN len(ta) <= len(tb) THEN tb ELSE ta END AS lg FROM {out}_f),
+{out}_s AS (SELECT pid, CASE WHEN va = vb THEN 1.0 ELSE greatest(
+  CASE WHEN len(sm) > 0 AND len(list_intersect(sm, lg)) = len(sm) AND (len(sm) >= 2 OR (len(sm[1]) >= 6 AND sm[1] NOT IN ({trade}))) THEN 0.88 ELSE 0.0 END,
+  CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0 ELSE len(list_intersect(ta, tb))::DOUBLE / (len(ta) + len(tb) - len(list_intersect(ta, tb))) END,
+  len(list_intersect(ga, gb))::DOUBLE / (len(ga) + len(gb) - len(list_intersect(ga, gb)))) END::DOUBLE AS sim FROM {out}_g),
+{out} AS (SELECT pid, max(sim) AS sim FROM {out}_s GROUP BY pid)"""
+
+
+def _street(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({x})), '^(?:{dims.STREET_TYPES})\s+', ''), '{dims.STREET_ARTICLES}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+SCORED = rf"""
+p AS (SELECT poi_id, poi_ord, name AS p_name, brand, number AS p_number, street AS p_street, lat AS p_lat, lon AS p_lon FROM ({_duck(POIS).replace("STRING", "VARCHAR")})),
+r AS (SELECT rec_key, rec_ord, legal_name, trade_name, number AS r_number, kind, street AS r_street, lat AS r_lat, lon AS r_lon FROM ({_duck(RECORDS).replace("STRING", "VARCHAR")})),
+near AS (SELECT *, {HAVERSINE} AS distance_m, poi_ord * 1000000 + rec_ord AS pid, CAST(floor(r_lat / 0.002) - floor(p_lat / 0.002) AS INT) AS dy, CAST(floor(r_lon / 0.002) - floor(p_lon / 0.002) AS INT) AS dx
+  FROM p JOIN r ON abs(p_lat - r_lat) < 0.0014 AND abs(p_lon - r_lon) < 0.0022),
+pairs AS (SELECT * FROM near WHERE distance_m <= 150),
+named AS (SELECT pid * 10 AS pid, p_name AS a, legal_name AS b FROM pairs UNION ALL SELECT pid * 10 + 1, p_name, trade_name FROM pairs WHERE trade_name IS NOT NULL
+  UNION ALL SELECT pid * 10 + 2, brand, trade_name FROM pairs WHERE trade_name IS NOT NULL AND brand IS NOT NULL),
+{_similarity("named", "a", "b", "sims")},
+parts AS (SELECT pairs.*, coalesce(n1.sim, 0) AS sim1, coalesce(n2.sim, 0) AS sim2, coalesce(b1.sim, 0) AS s_brand,
+    CASE WHEN p_street IS NOT NULL AND len({_street("p_street")}) > 2 AND {_street("p_street")} = {_street("concat_ws(' ', kind, r_street)")} THEN CASE WHEN p_number = r_number THEN 1.0 ELSE 0.6 END ELSE 0.0 END AS s_address
+  FROM pairs LEFT JOIN sims n1 ON n1.pid = pairs.pid * 10 LEFT JOIN sims n2 ON n2.pid = pairs.pid * 10 + 1 LEFT JOIN sims b1 ON b1.pid = pairs.pid * 10 + 2),
+ident AS (SELECT *, greatest(sim1, sim2) AS s_name, CASE WHEN sim1 >= sim2 AND sim1 > 0 THEN legal_name WHEN sim2 > 0 THEN trade_name END AS matched_name FROM parts),
+ident2 AS (SELECT *, greatest(s_name, s_brand, CASE WHEN s_address = 1 THEN CASE WHEN s_name >= 0.4 OR s_brand >= 0.4 THEN 0.9 ELSE 0.6 END ELSE s_address * 0.5 END) AS identity FROM ident),
+scored AS (SELECT *, 0.8 * identity + 0.2 * (1 - least(1.0, distance_m / 150)) AS score FROM ident2 WHERE identity >= 0.25),
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, poi_ord, dy, dx, rec_ord) AS rn FROM scored WHERE score >= 0.72),
+greedy(rn, used_p, used_r, took) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], false
+  UNION ALL
+  SELECT k.rn, CASE WHEN ok THEN list_append(used_p, k.poi_id) ELSE used_p END, CASE WHEN ok THEN list_append(used_r, k.rec_key) ELSE used_r END, ok
+  FROM (SELECT k.rn, k.poi_id, k.rec_key, used_p, used_r, NOT list_contains(used_p, k.poi_id) AND NOT list_contains(used_r, k.rec_key) AS ok FROM greedy g JOIN ranked k ON k.rn = g.rn + 1) k),
+merges AS (SELECT ranked.*, CASE WHEN s_address >= 1 AND s_name < 0.5 AND s_brand < 0.5 THEN 'address' WHEN s_brand > s_name THEN 'enseigne' ELSE 'name' END AS matched_by FROM ranked JOIN greedy USING (rn) WHERE took)"""
+
+
+@_query(
+    f"""WITH RECURSIVE {SCORED}
+SELECT 'osm:' || p.poi_id AS place_id, p.p_name AS name, CASE WHEN m.rec_key IS NULL THEN 'osm' ELSE 'osm+registry' END AS sources, m.rec_key, round(m.score, 3) AS match_confidence, m.matched_by,
+  p.p_number AS number, coalesce(p.p_street, m.r_street) AS street FROM p LEFT JOIN merges m USING (poi_id)
+UNION ALL SELECT rec_key, legal_name, 'registry', rec_key, NULL, NULL, r_number, r_street FROM r WHERE rec_key NOT IN (SELECT rec_key FROM merges)"""
+)
+def entity_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Both lanes matched and fused into places: every POI, its record if merged, and the records left over."""
+    p, r = _pois(spark, d), _records(spark, d)
+    merges, _ = match.resolve_entities(spark, p, r)
+    return match.fuse(p, r, merges).select(
+        "place_id", "name", F.array_join("sources", "+").alias("sources"), "rec_key", "match_confidence", "matched_by", "number", "street"
+    )
+
+
+@_query(f"WITH RECURSIVE {SCORED} SELECT poi_id, rec_key, round(score, 4) AS score, matched_by, matched_name FROM merges")
+def merge_decisions(spark: SparkSession, d: str) -> DataFrame:
+    merges, _ = match.resolve_entities(spark, _pois(spark, d), _records(spark, d))
+    return merges.select("poi_id", "rec_key", F.round("score", 4).alias("score"), "matched_by", "matched_name")
+
+
+@_query(
+    f"""WITH RECURSIVE {SCORED} SELECT poi_id, rec_key, round(score, 4) AS score, round(s_name, 4) AS s_name, round(s_brand, 4) AS s_brand, s_address::DOUBLE AS s_address, matched_name, floor(distance_m + 0.5)::BIGINT AS distance_m
+FROM scored WHERE score >= 0.4 AND score < 0.72 AND poi_id NOT IN (SELECT poi_id FROM merges) AND rec_key NOT IN (SELECT rec_key FROM merges)"""
+)
+def undecided_pairs(spark: SparkSession, d: str) -> DataFrame:
+    _, undecided = match.resolve_entities(spark, _pois(spark, d), _records(spark, d))
+    return match.candidate_row(undecided).select("poi_id", "rec_key", "score", "s_name", "s_brand", "s_address", "matched_name", "distance_m")
+
+
+@_query(f"WITH RECURSIVE {SCORED} SELECT poi_id, rec_key, CASE WHEN score >= 0.72 THEN 'merge' WHEN score >= 0.4 THEN 'undecided' ELSE 'distinct' END AS band FROM scored WHERE score >= 0.4")
+def match_bands(spark: SparkSession, d: str) -> DataFrame:
+    pairs = match.score_pairs(match.spatial_candidates(match.prepare_pois(_pois(spark, d)), match.prepare_records(_records(spark, d))))
+    return pairs.select("poi_id", "rec_key", match.band(F.col("score")).alias("band"))
+
+
+SIDES = f"p AS (SELECT poi_id, lat AS p_lat, lon AS p_lon FROM ({_duck(POIS).replace('STRING', 'VARCHAR')})), r AS (SELECT rec_key, lat AS r_lat, lon AS r_lon FROM ({_duck(RECORDS).replace('STRING', 'VARCHAR')}))"
+
+
+@_query(f"WITH {SIDES} SELECT poi_id, rec_key, round({HAVERSINE}, 3) AS distance_m FROM p JOIN r ON {HAVERSINE} <= 150")
+def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Distance-bounded theta join through the grid, none lost."""
+    p = _pois(spark, d).select("poi_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    r = _records(spark, d).select("rec_key", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    return match.spatial_candidates(p, r).select("poi_id", "rec_key", F.round("distance_m", 3).alias("distance_m"))
+
+
+@_query(
+    f"WITH {SIDES} SELECT poi_id, rec_key FROM p JOIN r ON abs(floor(p_lat / 0.002) - floor(r_lat / 0.002)) <= 1 AND abs(floor(p_lon / 0.002) - floor(r_lon / 0.002)) <= 1 AND {HAVERSINE} <= 150"
+)
+def spatial_grid_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The eight-neighbour look-up."""
+    p = _pois(spark, d).select("poi_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    r = _records(spark, d).select("rec_key", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    return match.spatial_candidates(p, r, match.MatchPlan(mode="grid3x3")).select("poi_id", "rec_key")
+
+
+@_query(f"SELECT s_suppkey, {_norm('legal_name')} AS norm FROM (SELECT rec_ord AS s_suppkey, legal_name FROM ({_duck(RECORDS).replace('STRING', 'VARCHAR')}))")
+def name_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _base(spark, d, RECORDS, "supplier").select(F.col("rec_ord").alias("s_suppkey"), text.normalize_name(F.col("legal_name")).alias("norm"))
+
+
+@_query(f"SELECT rec_ord AS s_suppkey, unnest({_variants('legal_name')}) AS variant FROM ({_duck(RECORDS).replace('STRING', 'VARCHAR')})")
+def name_variants(spark: SparkSession, d: str) -> DataFrame:
+    return _base(spark, d, RECORDS, "supplier").select(F.col("rec_ord").alias("s_suppkey"), F.explode(text.name_variants(F.col("legal_name"))).alias("variant"))
+
+
+PART_PAIRS = "SELECT p_partkey, p_name, concat(p_brand, ' ', p_name, ' (', p_type, ')') AS other FROM {part}"
+
+
+@_query(f"WITH src AS (SELECT p_partkey AS pid, p_name AS a, other AS b FROM ({_duck(PART_PAIRS)})), {_similarity('src', 'a', 'b', 'sims')} SELECT pid AS p_partkey, round(sim, 6) AS sim FROM sims")
+def name_similarity(spark: SparkSession, d: str) -> DataFrame:
+    p = _base(spark, d, PART_PAIRS, "part")
+    return p.select("p_partkey", F.round(text.name_similarity(F.col("p_name"), F.col("other")), 6).alias("sim"))
+
+
+@_query(
+    f"""WITH c AS (SELECT a.p_partkey AS k, b.p_partkey AS o, a.p_partkey * 1000000 + b.p_partkey AS pid, a.p_name AS a, concat(b.p_name, ' ', b.p_type) AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey),
+{_similarity("c", "a", "b", "sims")},
+best AS (SELECT k, b, sim, row_number() OVER (PARTITION BY k ORDER BY sim DESC, o) AS rn FROM c JOIN sims USING (pid) WHERE sim > 0)
+SELECT k AS p_partkey, b AS best_name, round(sim, 6) AS sim FROM best WHERE rn = 1"""
+)
+def best_name(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar of several candidates, the first on ties, none if nothing is alike."""
+    p = _table(spark, d, "part")
+    a = p.select(F.col("p_partkey").alias("k"), "p_brand", "p_size", text.name_forms(F.col("p_name")).alias("fa"))
+    other = F.concat_ws(" ", "p_name", "p_type")
+    b = p.select(F.col("p_partkey").alias("o"), "p_brand", "p_size", other.alias("b"), text.name_forms(other).alias("fb"))
+    s = a.join(b, ["p_brand", "p_size"]).where("k <> o").withColumn("sim", text.forms_similarity(F.col("fa"), F.col("fb"))).where("sim > 0")
+    best = s.groupBy("k").agg(F.max_by(F.struct("b", "sim"), F.struct("sim", -F.col("o"))).alias("x"))
+    return best.select(F.col("k").alias("p_partkey"), F.col("x.b").alias("best_name"), F.round("x.sim", 6).alias("sim"))
+
+
+@_query(
+    f"""SELECT c_custkey, {_street("a")} AS key, len({_street("a")}) > 2 AND {_street("a")} = {_street("concat('RUE ', b)")} AS same FROM (SELECT c_custkey, {_case("c_custkey", STREETS)} AS a, CASE WHEN c_custkey % 4 = 0 THEN 'PAIX' ELSE 'de la Paix' END AS b FROM customer)"""
+)
+def street_same(spark: SparkSession, d: str) -> DataFrame:
+    s = _base(spark, d, f"SELECT c_custkey, {_case('c_custkey', STREETS)} AS a, CASE WHEN c_custkey % 4 = 0 THEN 'PAIX' ELSE 'de la Paix' END AS b FROM {{customer}}", "customer")
+    return s.select("c_custkey", text.street_key(F.col("a")).alias("key"), text.same_street(F.col("a"), F.col("b"), F.lit("RUE")).alias("same"))
+
+
+@_query(
+    """SELECT c_custkey, CASE WHEN name IS NULL THEN coalesce(CASE WHEN kind IS NOT NULL THEN concat_ws(' ', num, kind) END, '') WHEN lower(name) LIKE lower(kind) || ' %' THEN concat_ws(' ', num, name) ELSE concat_ws(' ', num, kind, name) END AS line
+FROM (SELECT c_custkey, (c_custkey % 20)::VARCHAR AS num, CASE WHEN c_custkey % 3 > 0 THEN 'RUE' END AS kind, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Rue du Bac' ELSE 'RUELLE X' END AS name FROM customer)"""
+)
+def street_line(spark: SparkSession, d: str) -> DataFrame:
+    c = _base(
+        spark, d, "SELECT c_custkey, CAST(c_custkey % 20 AS STRING) AS num, CASE WHEN c_custkey % 3 > 0 THEN 'RUE' END AS kind, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Rue du Bac' ELSE 'RUELLE X' END AS name FROM {customer}", "customer"
+    )
+    return c.select("c_custkey", text.street_line(F.col("num"), F.col("kind"), F.col("name")).alias("line"))
+
+
+# verdicts, doorways, sets -----------------------------------------------------------------------------------------
+
+VERDICT_PLACES = """SELECT concat('osm:', CAST(c_custkey AS STRING)) AS place_id, 'osm' AS lane, CAST(NULL AS STRING) AS rec_key FROM {customer} WHERE c_custkey % 5 = 0
+UNION ALL SELECT concat('reg:', CAST(s_suppkey AS STRING)), 'registry', concat('reg:', CAST(s_suppkey AS STRING)) FROM {supplier}"""
+VERDICTS = """SELECT concat('osm:', CAST(o_custkey AS STRING)) AS place_id, concat(CASE WHEN o_orderkey % 2 = 0 THEN 'reg:' ELSE '' END, CAST(o_orderkey % 150 AS STRING)) AS rec_key, o_orderkey % 3 > 0 AS merge FROM {orders} WHERE o_orderkey % 40 = 3"""
+
+
+@_query(
+    f"""WITH pl AS ({_duck(VERDICT_PLACES).replace("STRING", "VARCHAR")}), v AS (SELECT DISTINCT * FROM ({_duck(VERDICTS).replace("STRING", "VARCHAR")})),
+k AS (SELECT v.*, f.rec_key AS full_key, o.place_id IS NOT NULL AND f.rec_key IS NOT NULL AS known FROM v LEFT JOIN (SELECT rec_key FROM pl WHERE lane = 'registry') f ON f.rec_key = v.rec_key OR split_part(f.rec_key, ':', 2) = v.rec_key
+  LEFT JOIN (SELECT place_id FROM pl WHERE lane = 'osm') o ON o.place_id = v.place_id),
+j AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY (known AND merge) DESC, rec_key) AS rp, row_number() OVER (PARTITION BY full_key ORDER BY (known AND merge) DESC, place_id) AS rr FROM k)
+SELECT place_id, rec_key, CASE WHEN NOT known THEN 'unknown' WHEN NOT merge THEN 'kept apart' WHEN rp = 1 AND rr = 1 THEN 'merged' ELSE 'rejected' END AS outcome FROM j"""
+)
+def verdict_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome of every verdict: exact or suffix keys, one record per place and one place per record."""
+    pl = _base(spark, d, VERDICT_PLACES, "customer", "supplier")
+    pl = pl.select("place_id", F.array("lane").alias("sources"), "rec_key", F.lit(None).cast("double").alias("match_confidence"), F.lit(None).cast("string").alias("matched_by"))
+    v = _base(spark, d, VERDICTS, "orders").distinct().withColumn("why", F.lit(""))
+    _, outcome = match.fold_verdicts(pl, v)
+    return outcome.select("place_id", "rec_key", "outcome")
+
+
+FITS = "SELECT doc_id AS place_id, CASE WHEN toxic = 1 THEN 'no' WHEN quality = 1 AND doc_id % 3 = 0 THEN 'strong' WHEN quality = 1 THEN 'possible' ELSE 'weak' END AS fit FROM {labels}"
+TOTALS = "SELECT doc_id AS place_id, CAST(n_chars % 100 AS BIGINT) AS total FROM {documents}"
+
+
+@_query(f"SELECT p.place_id, total, fit FROM ({_duck(TOTALS)}) p LEFT JOIN ({_duck(FITS)}) f USING (place_id)")
+def fit_fold(spark: SparkSession, d: str) -> DataFrame:
+    known, _ = score.apply_fit(_base(spark, d, TOTALS, "documents"), _base(spark, d, FITS, "labels"))
+    return known.select("place_id", "total", "fit")
+
+
+@_query(
+    f"""SELECT place_id, total, fit, rank FROM (SELECT p.place_id, total, fit, row_number() OVER (ORDER BY CASE fit WHEN 'strong' THEN 3 WHEN 'possible' THEN 2 WHEN 'weak' THEN 1 WHEN 'no' THEN -2 ELSE -1 END DESC, total DESC, p.place_id) AS rank
+FROM ({_duck(TOTALS)}) p LEFT JOIN ({_duck(FITS)}) f USING (place_id)) WHERE rank <= 50"""
+)
+def ranked_top50(spark: SparkSession, d: str) -> DataFrame:
+    known, _ = score.apply_fit(_base(spark, d, TOTALS, "documents"), _base(spark, d, FITS, "labels"))
+    return score.ranked(known, limit=50).select("place_id", "total", "fit", "rank")
+
+
+@_query(
+    """SELECT doorway, count(*) AS n FROM (SELECT concat_ws('|', (c_custkey % 7)::VARCHAR, upper(strip_accents(CASE c_custkey % 4 WHEN 0 THEN 'Allée Étroite' WHEN 1 THEN ' rue x ' END)), (75000 + c_nationkey)::VARCHAR) AS doorway, c_custkey FROM customer WHERE c_custkey % 4 <= 1)
+GROUP BY doorway HAVING count(*) > 1""".replace("upper(strip_accents(", "upper(strip_accents(trim(").replace("' rue x ' END))", "' rue x ' END)))")
+)
+def shared_doorway(spark: SparkSession, d: str) -> DataFrame:
+    c = _base(spark, d, "SELECT CAST(c_custkey % 7 AS STRING) AS number, CASE c_custkey % 4 WHEN 0 THEN 'Allée Étroite' WHEN 1 THEN ' rue x ' END AS street, CAST(75000 + c_nationkey AS STRING) AS postcode FROM {customer}", "customer")
+    return resolve.shared_doorways(c, resolve.doorway_key(F.col("number"), F.col("street"), F.col("postcode")))
+
+
+RUN = """SELECT concat('reg:', CAST(o_custkey AS STRING)) AS key, o_orderkey AS ord, CASE WHEN o_orderstatus = 'F' THEN 'ceased' ELSE 'active' END AS status, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_hiring,
+  concat('T', CAST(o_orderkey % 5 AS STRING)) AS title, concat('https://s', CAST(o_orderkey % 4 AS STRING), '.fr') AS site_url, CASE WHEN o_orderkey % 2 = 0 THEN 'corroborated' ELSE 'declared' END AS site_confidence, o_orderkey % 7 > 0 AS reachable
+FROM {orders} WHERE o_orderkey % 2 = %PARITY%"""
+
+
+def _run(spark: SparkSession, d: str, parity: int) -> DataFrame:
+    r = _base(spark, d, _run_sql(parity), "orders")
+    return r.withColumn("titles", F.array("title")).drop("title")
+
+
+def _run_sql(parity: int) -> str:
+    return RUN.replace("o_orderkey % 2 = %PARITY%", f"o_orderkey % 5 {'<' if parity else '>'} 2").replace("%PARITY%", "0")
+
+
+@_query(
+    f"""WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord DESC) AS rn FROM ({_duck(_run_sql(0)).replace("STRING", "VARCHAR")})) WHERE rn = 1),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord DESC) AS rn FROM ({_duck(_run_sql(1)).replace("STRING", "VARCHAR")})) WHERE rn = 1),
+j AS (SELECT coalesce(a.key, b.key) AS key, a.key AS ak, b.key AS bk, a.status AS ast, b.status AS bst, a.is_hiring AS ah, b.is_hiring AS bh, lower(a.title) AS t_after, lower(b.title) AS t_before,
+  CASE WHEN a.site_confidence = 'corroborated' THEN a.site_url END AS asite, CASE WHEN b.site_confidence = 'corroborated' THEN b.site_url END AS bsite, a.reachable AS ar, b.reachable AS br FROM a FULL JOIN b ON a.key = b.key)
+SELECT 'appeared' AS delta_kind, key, '' AS detail FROM j WHERE bk IS NULL UNION ALL SELECT 'disappeared', key, '' FROM j WHERE ak IS NULL
+UNION ALL SELECT 'closed', key, '' FROM j WHERE bst = 'active' AND ast = 'ceased' UNION ALL SELECT 'startedHiring', key, '1' FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND bh IS DISTINCT FROM true AND ah
+UNION ALL SELECT 'stoppedHiring', key, '' FROM j WHERE bh AND ah = false AND ak IS NOT NULL UNION ALL SELECT 'newRoles', key, t_after FROM j WHERE bk IS NOT NULL AND ah AND t_after <> t_before
+UNION ALL SELECT 'gotWebsite', key, asite FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND bsite IS NULL AND asite IS NOT NULL
+UNION ALL SELECT 'siteChanged', key, bsite || ' -> ' || asite FROM j WHERE asite <> bsite UNION ALL SELECT 'wentDark', key, '' FROM j WHERE br AND ar = false"""
+)
+def run_diff(spark: SparkSession, d: str) -> DataFrame:
+    """All nine change sets between two runs."""
+    return diff.diff_runs(_run(spark, d, 0), _run(spark, d, 1))
+
+
+@_query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return diff.first_seen(_table(spark, d, "orders"), F.col("o_custkey"), F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@_query(
+    """SELECT key, ord, store FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY store DESC, ord DESC) AS rn FROM (
+SELECT o_custkey AS key, o_orderkey AS ord, 0 AS store FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey, 1 FROM orders WHERE o_orderstatus = 'O')) WHERE rn = 1"""
+)
+def last_wins_union(spark: SparkSession, d: str) -> DataFrame:
+    o = _table(spark, d, "orders")
+    store = lambda s, i: o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ord"), F.lit(i).alias("store"))
+    return diff.union_records([store("F", 0), store("O", 1)], "key")
+
+
+@_query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) > 100 AS truncated FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def truncation_probe(spark: SparkSession, d: str) -> DataFrame:
+    return diff.truncated_top(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 100)
+
+
+@_query(
+    """WITH t AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem)
+SELECT l_returnflag, count(*) AS requested, count(*) FILTER (rn <= 5000) AS returned, count(*) FILTER (rn <= 5000) < count(*) AS truncated FROM t GROUP BY l_returnflag"""
+)
+def budget_rank(spark: SparkSession, d: str) -> DataFrame:
+    return sweep.budgeted(_table(spark, d, "lineitem"), "l_returnflag", [F.col("l_orderkey"), F.col("l_linenumber")], 5000)
+
+
+@_query("SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) / 12)::BIGINT AS batch FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40")
+def work_batches(spark: SparkSession, d: str) -> DataFrame:
+    return diff.batches(_table(spark, d, "orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 12, 40).select("o_orderkey", "batch")
+
+
+@_query(
+    """SELECT user_id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT user_id, event_type, min(rk) AS r FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rk FROM events) GROUP BY ALL) GROUP BY user_id"""
+)
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    ranks = e.withColumn("rk", F.row_number().over(W.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")))
+    return diff.reciprocal_rank_fusion(ranks, "user_id", "event_type", "rk").select("user_id", F.round("score", 9).alias("score"))
+
+
+# pages ------------------------------------------------------------------------------------------------------------
+
+URL = "concat(CASE WHEN page_id % 3 = 0 THEN replace(regexp_replace(url, '[?#].*$', ''), 'http://', 'HTTP://WWW.') ELSE regexp_replace(url, '[?#].*$', '') END, CASE page_id % 4 WHEN 0 THEN '/?utm_source=x&b=2&a=1#top' WHEN 1 THEN '/' WHEN 2 THEN '#f' ELSE '' END)"
+CANON = r"""lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '')
+ || CASE WHEN contains(u, 'b=2&a=1') THEN '?a=1&b=2' ELSE '' END"""
+
+
+@_query(f"SELECT page_id, {CANON} AS canonical FROM (SELECT page_id, {URL} AS u FROM pages)")
+def url_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return _base(spark, d, f"SELECT page_id, {URL} AS u FROM {{pages}}", "pages").select("page_id", extract.canonical_url(F.col("u")).alias("canonical"))
+
+
+@_query(f"SELECT canonical, max(page_id % 7) AS score, min(page_id) AS ord FROM (SELECT page_id, {CANON} AS canonical FROM (SELECT page_id, {URL} AS u FROM pages UNION ALL SELECT page_id + 100000, {URL} AS u FROM pages)) GROUP BY canonical")
+def url_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    p = _base(spark, d, f"SELECT page_id, {URL} AS u FROM {{pages}} UNION ALL SELECT page_id + 100000, {URL} AS u FROM {{pages}}", "pages")
+    p = p.select(extract.canonical_url(F.col("u")).alias("canonical"), (F.col("page_id") % 7).alias("score"), F.col("page_id").alias("ord"))
+    return diff.dedupe_keep_max(p, F.col("canonical"), "score", "ord")
+
+
+@_query(
+    """SELECT page_id, CASE WHEN h LIKE '%facebook.com%' THEN 'social' WHEN h LIKE '%yelp.%' OR h LIKE '%pagesjaunes.fr%' THEN 'directory' WHEN h = '' THEN 'directory' ELSE 'own' END AS kind
+FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'fr-fr.facebook.com' WHEN 1 THEN 'www.yelp.fr' WHEN 2 THEN 'pagesjaunes.fr' WHEN 3 THEN '' ELSE regexp_extract(url, '://([^/]+)', 1) END AS h FROM pages)"""
+)
+def host_class(spark: SparkSession, d: str) -> DataFrame:
+    u = "CASE page_id % 5 WHEN 0 THEN 'https://fr-fr.facebook.com/a' WHEN 1 THEN 'http://www.yelp.fr/biz' WHEN 2 THEN 'https://pagesjaunes.fr' WHEN 3 THEN 'not a url' ELSE url END"
+    return _base(spark, d, f"SELECT page_id, {u} AS u FROM {{pages}}", "pages").select("page_id", resolve.host_class(F.col("u"), "fr").alias("kind"))
+
+
+PATHS = ["/", "/nos-tarifs", "/jobs/dev", "/qui-sommes-nous.html", "/equipe/", "/kontakt", "/impressum", "/services", "/shop/x", "/clients", "/blog/1", "/xyz", ""]
+ROLE_OF = ["home", "pricing", "careers", "about", "team", "contact", "legal", "services", "products", "cases", "news", "other", "home"]
+
+
+@_query(f"SELECT page_id, {_case('page_id', ROLE_OF)} AS role FROM pages")
+def page_role(spark: SparkSession, d: str) -> DataFrame:
+    return _base(spark, d, f"SELECT page_id, concat('https://acme.example', {_case('page_id', PATHS)}) AS u FROM {{pages}}", "pages").select("page_id", extract.page_role(F.col("u")).alias("role"))
+
+
+@_query("SELECT page_id, lower(regexp_extract(html, '<html[^>]*\\slang=[\"'']([a-zA-Z]{2})', 1)) AS lang FROM pages")
+def page_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", F.array_join(extract.languages(F.col("html")), ",").alias("lang"))
+
+
+@_query(
+    r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<', 'g'), '&amp;', '&', 'g'), '\s+', ' ', 'g'), '^ +| +$', '', 'g') AS title FROM pages"""
+)
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", F.coalesce(extract.page_title(F.col("html")), F.lit("")).alias("title"))
+
+
+@_query()
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    """Visible text and main content of every page (nested blocks have no SQL form)."""
+    p = _table(spark, d, "pages").select("page_id", extract.html_to_text(F.col("html")).alias("body_text"), extract.main_content(F.col("html")).alias("main"))
+    return p.select("page_id", F.length("body_text").alias("body_chars"), F.length(extract.html_to_text(F.col("main"))).alias("main_chars"))
+
+
+@_query()
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Same-origin links (relative resolution has no SQL form)."""
+    return _table(spark, d, "pages").select("page_id", F.explode(extract.same_origin_links(F.col("html"), F.col("url"))).alias("link"))
+
+
+MARKUP = """concat(html, CASE page_id % 5 WHEN 0 THEN '<link href="/wp-content/x.css">' WHEN 1 THEN '<script src="https://cdn.shopify.com/a.js"></script><a class="add-to-cart">' WHEN 2 THEN '<script src="/_next/static/a.js"></script><script src="https://plausible.io/js/p.js">' ELSE '' END)"""
+
+
+@_query(
+    """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'WordPress' WHEN 1 THEN 'Shopify' WHEN 2 THEN 'Next.js' END AS cms, CASE page_id % 5 WHEN 2 THEN 'Plausible' ELSE '' END AS analytics, page_id % 5 = 1 AS has_ecommerce FROM pages"""
+)
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    p = _base(spark, d, f"SELECT page_id, {MARKUP} AS h FROM {{pages}}", "pages").select("page_id", extract.technology(F.col("h")).alias("t"))
+    return p.select("page_id", "t.cms", F.array_join("t.analytics", ",").alias("analytics"), "t.has_ecommerce")
+
+
+@_query(
+    r"""SELECT doc_id, value FROM (SELECT DISTINCT doc_id, regexp_replace(lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]{2,}'))), '[.,;:]$', '') AS value FROM documents)
+WHERE regexp_matches(value, '^[^@\s]+@[^@\s]+\.[a-z]{2,}$') AND NOT regexp_matches(value, '\.(png|jpe?g|gif|svg|webp|css|js|woff2?)$') AND NOT regexp_matches(value, '^(?:example|test|no-?reply|your|email|nom|prenom)@')"""
+)
+def emails(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", F.explode(extract.emails(F.col("text"), F.lit(""))).alias("e")).select("doc_id", "e.value")
+
+
+CONTACT_MARKUP = """concat('<a href="tel:+33 1 ', CAST(10000000 + page_id AS STRING), '">x</a><a href="https://www.linkedin.com/company/c', CAST(page_id AS STRING), '/">', CASE WHEN page_id % 2 = 0 THEN '<a href="https://facebook.com/sharer?u=1">' ELSE '<a href="https://jobs.lever.co/acme-', CAST(page_id % 9 AS STRING), '/x">' END)""".replace(
+    "ELSE '<a href=\"https://jobs.lever.co/acme-', CAST(page_id % 9 AS STRING), '/x\">' END", "ELSE concat('<a href=\"https://jobs.lever.co/acme-', CAST(page_id % 9 AS STRING), '/x\">') END"
+)
+
+
+@_query("SELECT page_id, '+331' || (10000000 + page_id)::VARCHAR AS phone FROM pages")
+def phones(spark: SparkSession, d: str) -> DataFrame:
+    return _base(spark, d, f"SELECT page_id, {CONTACT_MARKUP} AS h FROM {{pages}}", "pages").select("page_id", F.explode(extract.phones(F.col("h"))).alias("phone"))
+
+
+@_query("SELECT page_id, 'https://www.linkedin.com/company/c' || page_id::VARCHAR || '/' AS profile FROM pages")
+def socials(spark: SparkSession, d: str) -> DataFrame:
+    return _base(spark, d, f"SELECT page_id, {CONTACT_MARKUP} AS h FROM {{pages}}", "pages").select("page_id", F.explode(extract.socials(F.col("h"))).alias("profile"))
+
+
+@_query("SELECT page_id, 'lever' AS provider, 'acme-' || (page_id % 9)::VARCHAR AS token FROM pages WHERE page_id % 2 = 1")
+def job_boards(spark: SparkSession, d: str) -> DataFrame:
+    return _base(spark, d, f"SELECT page_id, {CONTACT_MARKUP} AS h FROM {{pages}}", "pages").select("page_id", F.explode(extract.job_boards(F.col("h"))).alias("b")).select("page_id", "b.provider", "b.token")
+
+
+@_query(
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}]+')) AS w FROM documents)
+SELECT doc_id, lower(w) AS term FROM w WHERE regexp_matches(lower(w), '^(?:erand|thing|en)\p{L}{0,3}$') GROUP BY ALL"""
+)
+def term_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """First mention of each spelling of three terms."""
+    m = extract.term_mentions(F.col("text"), ["thing", "erand", "en"])
+    return _table(spark, d, "documents").select("doc_id", F.explode(m).alias("m")).select("doc_id", F.lower("m.value").alias("term"))
+
+
+NOTICE = "concat('Mentions: RCS Paris B ', CAST(100000000 + page_id AS STRING), CASE page_id % 3 WHEN 0 THEN ' TVA FR 12 ' ELSE ' USt-IdNr. DE' END, CAST(300000000 + page_id AS STRING), '. HRB ', CAST(page_id + 7 AS STRING), ' Amtsgericht Berlin')"
+
+
+@_query(
+    """SELECT page_id, 'siren' AS kind, (100000000 + page_id)::VARCHAR AS value FROM pages UNION ALL SELECT page_id, 'hrb', 'HRB ' || (page_id + 7)::VARCHAR FROM pages
+UNION ALL SELECT page_id, 'vat', CASE page_id % 3 WHEN 0 THEN 'FR12' ELSE 'DE' END || (300000000 + page_id)::VARCHAR FROM pages"""
+)
+def legal_ids(spark: SparkSession, d: str) -> DataFrame:
+    p = _base(spark, d, f"SELECT page_id, {NOTICE} AS t FROM {{pages}}", "pages")
+    return p.select("page_id", F.explode(extract.legal_ids(F.col("t"), F.lit(None).cast("string"))).alias("l")).select("page_id", "l.kind", "l.value")
+
+
+# signals and scores -------------------------------------------------------------------------------------------------
+
+USERS = """SELECT user_id AS place_id, count(CASE WHEN event_type = 'signup' THEN 1 END) AS boards, count(CASE WHEN event_type = 'view' THEN 1 END) > 0 AS careers,
+  count(CASE WHEN event_type = 'purchase' THEN 1 END) AS open_roles, count(CASE WHEN event_type = 'click' THEN 1 END) AS page_count, sum(value) AS revenue, count(*) AS n, min(CASE WHEN event_type = 'purchase' THEN ts END) AS oldest FROM {events} GROUP BY user_id"""
+
+
+@_query(f"SELECT place_id, CASE WHEN boards = 0 AND NOT careers THEN 'no' WHEN open_roles > 0 THEN 'yes' ELSE '' END AS hiring FROM ({_duck(USERS)})")
+def hiring_tristate(spark: SparkSession, d: str) -> DataFrame:
+    u = _base(spark, d, USERS, "events")
+    return u.select("place_id", render.tri_state(score.is_hiring(F.col("boards"), F.col("careers"), F.col("open_roles"))).alias("hiring"))
+
+
+@_query(f"SELECT place_id, greatest(0, floor((epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(oldest)) / 86400))::BIGINT AS days FROM ({_duck(USERS)})")
+def open_role_age(spark: SparkSession, d: str) -> DataFrame:
+    u = _base(spark, d, USERS, "events")
+    posted = F.array(F.date_format("oldest", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("not a date"))
+    return u.select("place_id", score.oldest_role_days(posted, F.lit("2024-06-01").cast("timestamp")).alias("days")).where("days is not null or true")
+
+
+@_query("SELECT user_id, count(*) AS matched FROM events WHERE event_type LIKE '%view%' OR event_type LIKE '%sign%' GROUP BY user_id")
+def matched_roles(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("titles"))
+    return t.select("user_id", F.size(score.matching_roles(F.col("titles"), ["VIEW", "Sign"])).cast("long").alias("matched")).where("matched > 0")
+
+
+SIGNALS = f"""SELECT place_id, CASE place_id % 3 WHEN 0 THEN 'corroborated' WHEN 1 THEN 'declared' END AS site_confidence, place_id % 5 > 0 AS site_reachable, CASE WHEN place_id % 4 > 0 THEN concat('2024-0', CAST(place_id % 9 + 1 AS STRING), '-15') ELSE 'soon' END AS last_content_at,
+  page_count, CASE WHEN boards = 0 AND NOT careers THEN false WHEN open_roles > 0 THEN true END AS is_hiring, open_roles, CASE WHEN place_id % 6 > 0 THEN n * 3 END AS employee_floor, revenue, place_id % 2 = 0 AS registered, place_id % 3 > 0 AS contactable,
+  place_id % 7 = 0 AS has_ecommerce, place_id % 8 = 0 AS has_pricing, page_count AS matched_roles, boards AS term_matches, CAST(place_id % 200 AS BIGINT) AS oldest_role_days FROM ({USERS})"""
+PARTS_SQL = f"""SELECT place_id, list_sum([CASE WHEN site_confidence = 'corroborated' THEN 10 ELSE 0 END, CASE WHEN site_reachable AND page_count > 0 THEN 5 ELSE 0 END,
+  CASE WHEN age <= 180 THEN floor(15 * (1 - age / 180.0) + 0.5) ELSE 0 END, CASE WHEN page_count > 0 THEN least(5, page_count) ELSE 0 END, CASE WHEN is_hiring THEN 15 ELSE 0 END, least(10, open_roles * 2),
+  CASE WHEN employee_floor >= 0 THEN floor(12 * least(1.0, log10(greatest(1, employee_floor) + 1) / 3) + 0.5) ELSE 0 END, CASE WHEN revenue > 0 THEN floor(8 * least(1.0, log10(revenue) / 8) + 0.5) ELSE 0 END,
+  CASE WHEN registered THEN 8 ELSE 0 END, CASE WHEN contactable THEN 10 ELSE 0 END, CASE WHEN has_ecommerce THEN 4 ELSE 0 END, CASE WHEN has_pricing THEN 4 ELSE 0 END, least(20, matched_roles * 4), CASE WHEN term_matches > 0 THEN 12 ELSE 0 END,
+  CASE WHEN oldest_role_days >= 90 THEN 8 ELSE 0 END])::BIGINT AS total
+FROM (SELECT *, date_diff('day', try_cast(last_content_at AS DATE), DATE '2024-09-01')::DOUBLE AS age FROM ({_duck(SIGNALS).replace("STRING", "VARCHAR")}))"""
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return score.score_places(_base(spark, d, SIGNALS, "events"), F.lit("2024-09-01").cast("timestamp"))
+
+
+@_query(PARTS_SQL)
+def score_parts(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("place_id", "total")
+
+
+@_query(
+    f"""WITH t AS ({PARTS_SQL}), b(band_order, band, lo, hi) AS (VALUES (0, '70+', 70, 1000000), (1, '50-69', 50, 69), (2, '30-49', 30, 49), (3, '1-29', 1, 29), (4, '0', 0, 0))
+SELECT band_order, band, count(t.place_id) AS n FROM b LEFT JOIN t ON total BETWEEN lo AND hi GROUP BY ALL"""
+)
+def score_bands(spark: SparkSession, d: str) -> DataFrame:
+    return summary.score_histogram(spark, _scored(spark, d))
+
+
+@_query(
+    """SELECT band_order, band, label, count(*) AS n FROM (VALUES (0,'NN','non déterminé'),(1,'00','0 salarié'),(2,'01','1 à 2'),(3,'02','3 à 5'),(4,'03','6 à 9'),(5,'11','10 à 19')) b(band_order, band, label)
+JOIN (SELECT CASE c_custkey % 7 WHEN 0 THEN 'NN' WHEN 1 THEN '00' WHEN 2 THEN '01' WHEN 3 THEN '02' WHEN 4 THEN '03' WHEN 5 THEN '11' END AS k FROM customer) c ON c.k = b.band GROUP BY ALL"""
+)
+def size_bands(spark: SparkSession, d: str) -> DataFrame:
+    c = _base(spark, d, "SELECT CASE c_custkey % 7 WHEN 0 THEN 'NN' WHEN 1 THEN '00' WHEN 2 THEN '01' WHEN 3 THEN '02' WHEN 4 THEN '03' WHEN 5 THEN '11' END AS k FROM {customer}", "customer")
+    return summary.band_distribution(spark, c, F.col("k"), F.lit("fr-sirene")).select("band_order", "band", "label", "n")
+
+
+@_query("SELECT band, floor FROM (VALUES ('12', 20), ('21', 50), ('22', 100), ('31', 200), ('32', 250), ('41', 500), ('42', 1000), ('51', 2000), ('52', 5000), ('53', 10000)) t(band, floor)")
+def bands_at_least(spark: SparkSession, d: str) -> DataFrame:
+    return score.bands_at_least(spark, 15).select("band", "floor")
+
+
+SECTIONS = "SELECT p_partkey, lpad(CAST(p_partkey % 100 AS STRING), 2, '0') AS division, p_type FROM {part}"
+
+
+@_query(
+    "SELECT p_partkey, n.l AS nace, s.l AS sic FROM part LEFT JOIN (VALUES "
+    + ", ".join(f"('{r[0]}', {r[1]}, {r[2]})" for r in dims.NACE_SECTIONS)
+    + ") n(l, lo, hi) ON p_partkey % 100 BETWEEN n.lo AND n.hi LEFT JOIN (VALUES "
+    + ", ".join(f"('{r[0]}', {r[1]}, {r[2]})" for r in dims.US_SIC_DIVISIONS)
+    + ") s(l, lo, hi) ON p_partkey % 100 BETWEEN s.lo AND s.hi"
+)
+def activity_sections(spark: SparkSession, d: str) -> DataFrame:
+    p = _base(spark, d, SECTIONS, "part")
+    return p.select("p_partkey", score.nace_section(F.concat("division", F.lit(".10Z"))).alias("nace"), score.us_sic_division(F.concat("division", F.lit("11"))).alias("sic"))
+
+
+@_query("SELECT l_shipmode AS key, count(*) AS n FROM (SELECT CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE l_returnflag || l_linestatus END AS l_shipmode FROM lineitem) WHERE l_shipmode <> '' GROUP BY 1")
+def activity_tally(spark: SparkSession, d: str) -> DataFrame:
+    t = _base(spark, d, "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat(l_returnflag, l_linestatus) END AS k FROM {lineitem}", "lineitem")
+    return summary.tally(t, F.col("k"), F.struct("l_orderkey", "l_linenumber")).select("key", "n")
+
+
+@_query(
+    """SELECT text, count(*) AS n FROM (SELECT CASE event_id % 40 WHEN 0 THEN 'scan: done' WHEN 1 THEN 'score: done' ELSE event_type || ' ' || (event_id % 40)::VARCHAR END AS text, event_id FROM events) GROUP BY text
+ORDER BY (text LIKE 'scan:%' OR text LIKE 'score:%') DESC, CASE WHEN text LIKE 'scan:%' OR text LIKE 'score:%' THEN 0 ELSE -count(*) END, min(event_id) LIMIT 25"""
+)
+def notes_fold(spark: SparkSession, d: str) -> DataFrame:
+    n = _base(spark, d, "SELECT event_id AS ord, CASE event_id % 40 WHEN 0 THEN 'scan: done' WHEN 1 THEN 'score: done' ELSE concat(event_type, ' ', CAST(event_id % 40 AS STRING)) END AS text FROM {events}", "events")
+    return summary.fold_notes(n).select("text", "n")
+
+
+PLACES = """SELECT page_id AS place_id, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS ne, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS np, CASE page_id % 5 WHEN 0 THEN 'corroborated' WHEN 1 THEN 'declared' WHEN 2 THEN 'unverified' END AS site_confidence,
+  CASE page_id % 6 WHEN 0 THEN 'WordPress' WHEN 1 THEN 'Wix' END AS cms, page_id % 7 = 0 AS has_pricing, page_id % 9 = 0 AS has_ecommerce, page_id % 4 AS page_count, CASE page_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_hiring, page_id % 6 AS open_roles, page_id % 2 AS matched_roles FROM {pages}"""
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    p = _base(spark, d, PLACES, "pages")
+    listed = lambda c, v: F.when(F.col(c) > 0, F.array(F.lit(v))).otherwise(F.array().cast("array<string>"))
+    return p.withColumn("emails", listed("ne", "jean.martin@x.fr")).withColumn("phones", listed("np", "+331"))
+
+
+@_query(
+    f"""SELECT count(*) AS places, sum(ne)::BIGINT AS with_emails, sum(np)::BIGINT AS with_phones, count(*) FILTER (ne > 0 AND np > 0) AS with_both, count(*) FILTER (ne > 0 OR np > 0) AS with_any, count(*) FILTER (site_confidence = 'corroborated') AS corroborated,
+count(*) FILTER (site_confidence = 'declared') AS declared, count(*) FILTER (site_confidence = 'unverified') AS unverified, count(cms) AS with_cms, count(*) FILTER (has_pricing) AS with_pricing, count(*) FILTER (has_ecommerce) AS with_ecommerce, sum(page_count)::BIGINT AS pages_read FROM ({_duck(PLACES)})"""
+)
+def contact_counts(spark: SparkSession, d: str) -> DataFrame:
+    return summary.contact_counts(_places(spark, d))
+
+
+@_query(f"SELECT count(*) FILTER (is_hiring) AS hiring, count(*) FILTER (NOT is_hiring) AS not_hiring, count(*) FILTER (is_hiring IS NULL) AS unknown, sum(open_roles) FILTER (is_hiring)::BIGINT AS open_roles, sum(matched_roles)::BIGINT AS matched_roles FROM ({_duck(PLACES)})")
+def hiring_counts(spark: SparkSession, d: str) -> DataFrame:
+    return summary.hiring_counts(_places(spark, d))
+
+
+@_query(f"SELECT cms AS key, count(*) AS n FROM ({_duck(PLACES)}) WHERE cms IS NOT NULL GROUP BY cms")
+def tech_top10(spark: SparkSession, d: str) -> DataFrame:
+    return summary.top_technologies(_places(spark, d).withColumn("tech_stack", F.array().cast("array<string>")), F.col("place_id")).select("key", "n")
+
+
+@_query(
+    """SELECT connector, count(*) AS n, count(as_of) AS dated, string_agg(DISTINCT substr(as_of, 1, 4), ',' ORDER BY substr(as_of, 1, 4)) AS years, count(*) FILTER (head) AS head_offices, count(*) FILTER (ceased) AS ceased
+FROM (SELECT CASE s_nationkey % 3 WHEN 0 THEN 'fr-sirene' WHEN 1 THEN 'ee-ariregister' END AS connector, CASE WHEN s_suppkey % 2 = 0 THEN (2020 + s_suppkey % 3)::VARCHAR || '-01-01' END AS as_of, s_suppkey % 4 = 0 AS head, s_suppkey % 5 = 0 AS ceased FROM supplier) WHERE connector IS NOT NULL GROUP BY connector"""
+)
+def register_counts(spark: SparkSession, d: str) -> DataFrame:
+    s = _base(
+        spark, d, "SELECT CASE s_nationkey % 3 WHEN 0 THEN 'fr-sirene' WHEN 1 THEN 'ee-ariregister' END AS connector, CASE WHEN s_suppkey % 2 = 0 THEN concat(CAST(2020 + s_suppkey % 3 AS STRING), '-01-01') END AS as_of, s_suppkey % 4 = 0 AS is_head_office, CASE WHEN s_suppkey % 5 = 0 THEN 'ceased' ELSE 'active' END AS status, 1 AS n_officers FROM {supplier}", "supplier"
+    )
+    return summary.register_counts(s).drop("officers")
+
+
+# registers, confirmation, gate ---------------------------------------------------------------------------------------
+
+SNAP = "SELECT s_suppkey, concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, n_name AS locality, s_name, CASE WHEN s_suppkey % 6 = 0 THEN 'ceased' ELSE 'active' END AS status FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"
+
+
+@_query(f"SELECT rec_key, status FROM ({_duck(SNAP).replace('STRING', 'VARCHAR')}) WHERE trim(regexp_replace(lower(strip_accents(locality)), '[^a-z0-9._-]+', '-', 'g'), '-') = 'nation_7' AND status <> 'ceased'")
+def snapshot_by_locality(spark: SparkSession, d: str) -> DataFrame:
+    """Look-up by the exact locality key with the register filters."""
+    s = _base(spark, d, SNAP, "supplier", "nation").withColumn("key", text.slug(F.col("locality")))
+    return s.where((F.col("key") == "nation_7") & bulk.passes(F.col("status"), F.lit(None), F.lit(None))).select("rec_key", "status")
+
+
+@_query(f"SELECT o_orderkey, rec_key FROM orders JOIN ({_duck(SNAP).replace('STRING', 'VARCHAR')}) ON s_suppkey = o_custkey")
+def snapshot_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers in any spelling against the register: unique hits only."""
+    ids = _base(spark, d, SNAP, "supplier", "nation").select("rec_key", F.concat(F.lit("HRB "), F.col("s_suppkey").cast("string")).alias("id"))
+    wanted = _table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), F.concat(F.lit("hrb-"), F.col("o_custkey").cast("string")).alias("id"))
+    return confirm.unique_identifier(ids, wanted).select(F.col("query").alias("o_orderkey"), "rec_key")
+
+
+@_query("SELECT count(*) FILTER (s_name IS NOT NULL AND s_suppkey % 10 > 0) AS mapped, count(*) FILTER (s_suppkey % 10 = 0) AS skipped FROM supplier")
+def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
+    s = _table(spark, d, "supplier").withColumn("ok", F.col("s_name").isNotNull() & (F.col("s_suppkey") % 10 > 0))
+    return s.agg(F.count_if("ok").alias("mapped"), F.count_if(~F.col("ok")).alias("skipped"))
+
+
+LADDER_CAP = 10_000
+
+
+@_query(
+    f"""WITH t AS (SELECT l_returnflag AS section, l_linestatus AS division FROM lineitem), tot AS (SELECT count(*) AS total FROM t), s AS (SELECT section, count(*) AS n FROM t GROUP BY 1), dv AS (SELECT section, division, count(*) AS n FROM t GROUP BY 1, 2)
+SELECT 'whole' AS level, NULL AS section, NULL AS division, total AS n, false AS truncated FROM tot WHERE total < {LADDER_CAP} UNION ALL SELECT 'section', section, NULL, n, false FROM s, tot WHERE total >= {LADDER_CAP} AND n < {LADDER_CAP}
+UNION ALL SELECT 'division', dv.section, division, least(dv.n, {LADDER_CAP}), dv.n >= {LADDER_CAP} FROM dv JOIN s USING (section), tot WHERE total >= {LADDER_CAP} AND s.n >= {LADDER_CAP}"""
+)
+def split_ladder(spark: SparkSession, d: str) -> DataFrame:
+    return sweep.split_ladder(_table(spark, d, "lineitem"), F.col("l_returnflag"), F.col("l_linestatus"), LADDER_CAP)
+
+
+@_query(
+    f"""WITH RECURSIVE pts AS (SELECT {_lat("c_custkey")} AS lat, {_lon("c_custkey")} AS lon FROM customer),
+t(level, path, s, n, w, e) AS (SELECT 0, '', 48.84::DOUBLE, 48.88::DOUBLE, 2.42::DOUBLE, 2.46::DOUBLE UNION ALL
+  SELECT level + 1, path || q::VARCHAR, CASE WHEN q < 2 THEN s ELSE (s + n) / 2 END, CASE WHEN q < 2 THEN (s + n) / 2 ELSE n END, CASE WHEN q % 2 = 0 THEN w ELSE (w + e) / 2 END, CASE WHEN q % 2 = 0 THEN (w + e) / 2 ELSE e END
+  FROM t, (VALUES (0), (1), (2), (3)) v(q) WHERE level < 3 AND (SELECT count(*) FROM pts WHERE lat >= s AND lat < n AND lon >= w AND lon < e) > 200),
+c AS (SELECT t.*, (SELECT count(*) FROM pts WHERE lat >= s AND lat < t.n AND lon >= w AND lon < e) AS k FROM t)
+SELECT level, path, k AS n, k > 200 AS incomplete FROM c WHERE k <= 200 OR level = 3"""
+)
+def quad_tiles(spark: SparkSession, d: str) -> DataFrame:
+    pts = _base(spark, d, f"SELECT {_lat('c_custkey')} AS lat, {_lon('c_custkey')} AS lon FROM {{customer}}", "customer")
+    return sweep.quad_tiles(spark, (48.84, 48.88, 2.42, 2.46), pts, 200).select("level", "path", "n", "incomplete")
+
+
+CLAIMS = f"SELECT s_suppkey AS place_id, {_name('s_suppkey')} AS name, s_suppkey % 3 AS page_ord, 0 AS id_ord, 'siren' AS kind, CAST(900000 + s_suppkey + CASE WHEN s_suppkey % 5 = 0 THEN 500000 ELSE 0 END AS STRING) AS value FROM {{supplier}}"
+REGISTER = f"SELECT concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, CASE WHEN s_suppkey % 3 = 0 THEN 'ZZZ QQQ' ELSE concat('SAS ', {_name('s_suppkey')}) END AS reg_name, 'siren' AS kind, concat(substr(CAST(900000 + s_suppkey AS STRING), 1, 3), ' ', substr(CAST(900000 + s_suppkey AS STRING), 4)) AS value FROM {{supplier}}"
+
+
+@_query("SELECT s_suppkey AS place_id, CASE WHEN s_suppkey % 5 > 0 AND s_suppkey % 3 > 0 THEN 'verified' ELSE 'unverified' END AS status, s_suppkey % 5 > 0 AND s_suppkey % 3 > 0 AS attached FROM supplier")
+def confirm_by_id(spark: SparkSession, d: str) -> DataFrame:
+    c, r = _base(spark, d, CLAIMS, "supplier"), _base(spark, d, REGISTER, "supplier")
+    return confirm.by_identifier(c, r).select("place_id", "status", "attached")
+
+
+@_query(
+    f"""WITH p AS (SELECT c_custkey AS place_id, {_name("c_custkey")} AS a, c_nationkey AS loc, c_custkey % 9 AS postcode FROM customer WHERE c_custkey % 10 = 0), s AS (SELECT concat('reg:', s_suppkey::VARCHAR) AS rec_key, concat('SARL ', {_name("s_suppkey")}) AS b, s_nationkey AS loc, s_suppkey % 9 AS postcode_r FROM supplier WHERE s_suppkey % 6 > 0),
+c AS (SELECT *, place_id * 1000000 + substr(rec_key, 5)::BIGINT AS pid FROM p JOIN s USING (loc)), {_similarity("c", "a", "b", "sims")},
+h AS (SELECT place_id, rec_key, CASE WHEN postcode = postcode_r THEN least(1.0, sim + 0.1) ELSE sim END AS score, row_number() OVER (PARTITION BY place_id ORDER BY sim DESC, rec_key) AS lookup_rank FROM c JOIN sims USING (pid) WHERE sim >= 0.6 OR contains({_norm("b")}, {_norm("a")}) OR contains({_norm("a")}, {_norm("b")})),
+b AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, rec_key) AS rn FROM h WHERE lookup_rank <= 20)
+SELECT place_id, rec_key, round(score, 6) AS score, CASE WHEN score >= 0.72 THEN 'merge' WHEN score >= 0.4 THEN 'undecided' ELSE 'distinct' END AS band FROM b WHERE rn = 1"""
+)
+def confirm_by_name(spark: SparkSession, d: str) -> DataFrame:
+    p = _base(spark, d, f"SELECT c_custkey AS place_id, {_name('c_custkey')} AS name, CAST(c_nationkey AS STRING) AS locality, c_custkey % 9 AS postcode FROM {{customer}} WHERE c_custkey % 10 = 0", "customer")
+    s = _base(spark, d, f"SELECT concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, array(concat('SARL ', {_name('s_suppkey')})) AS names, CAST(s_nationkey AS STRING) AS locality, CASE WHEN s_suppkey % 6 = 0 THEN 'ceased' ELSE 'active' END AS status, s_suppkey % 9 AS postcode_r FROM {{supplier}}", "supplier")
+    return confirm.by_name(confirm.lookup(p, s), p).select("place_id", "rec_key", F.round("score", 6).alias("score"), "band")
+
+
+PAGES_TEXT = "SELECT doc_id AS place_id, concat('P', CAST(doc_id AS STRING)) AS page_id, text FROM {documents}"
+CONTACT_CLAIMS = "SELECT doc_id AS place_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 2, 9) WHEN 1 THEN 'nowhere@x.fr' ELSE substr(text, 1, 12) END AS value, CASE WHEN doc_id % 7 = 0 THEN 'osm' ELSE 'web' END AS lane, CASE WHEN doc_id % 5 = 0 THEN 'P-none' ELSE concat('P', CAST(doc_id AS STRING)) END AS `from` FROM {documents}"
+
+
+@_query(
+    """SELECT doc_id AS place_id, CASE WHEN doc_id % 5 = 0 THEN 'contact-unsourced' ELSE 'contact-not-on-page' END AS rule FROM documents WHERE doc_id % 7 > 0 AND (doc_id % 5 = 0 OR doc_id % 4 = 1)"""
+)
+def gate_contacts(spark: SparkSession, d: str) -> DataFrame:
+    c, p = _base(spark, d, CONTACT_CLAIMS, "documents"), _base(spark, d, PAGES_TEXT, "documents")
+    return gate.contacts(c, p).select("place_id", "rule")
+
+
+@_query("SELECT doc_id AS place_id, CASE WHEN doc_id % 3 = 0 THEN 'citation-unresolved' ELSE 'citation-foreign' END AS rule FROM documents WHERE doc_id % 3 < 2 AND doc_id + 1 < (SELECT count(*) FROM documents)")
+def gate_citations(spark: SparkSession, d: str) -> DataFrame:
+    body = "SELECT doc_id AS place_id, CASE doc_id % 3 WHEN 0 THEN 'claim [P99999999]' WHEN 1 THEN concat('claim [P', CAST(doc_id + 1 AS STRING), ']') ELSE concat('claim [P', CAST(doc_id AS STRING), '] [M]') END AS body FROM {documents} WHERE doc_id + 1 < (SELECT count(*) FROM {documents})"
+    return gate.citations(_base(spark, d, body, "documents"), _base(spark, d, PAGES_TEXT, "documents")).select("place_id", "rule")
+
+
+@_query("SELECT doc_id AS place_id FROM documents WHERE doc_id % 4 = 3")
+def gate_dated(spark: SparkSession, d: str) -> DataFrame:
+    body = "SELECT doc_id AS place_id, CASE doc_id % 4 WHEN 0 THEN 'as of 2023' WHEN 1 THEN 'in 2023-05' WHEN 2 THEN 'on 2023-05-17' ELSE 'in 2023' END AS body FROM {documents}"
+    r = _base(spark, d, "SELECT doc_id AS place_id, '2023-05-17' AS as_of FROM {documents}", "documents")
+    return gate.undated_records(_base(spark, d, body, "documents"), r).select("place_id")
+
+
+@_query("SELECT item_id AS place_id, substr('Acme sells very many different things to people', 1, 80) AS subject FROM benchmark WHERE item_id % 2 = 0")
+def gate_uncited(spark: SparkSession, d: str) -> DataFrame:
+    b = _table(spark, d, "benchmark").select(
+        F.col("item_id").alias("place_id"),
+        F.when(F.col("item_id") % 2 == 0, F.lit("# Head\n\nAcme sells very many different things to people\n\n```\ncode that goes on and on and on and on and on\n```\n\nshort")).otherwise(F.lit("Acme sells very many different things to people [P1]")).alias("body"),
+    )
+    return gate.uncited_claims(b).select("place_id", "subject")
+
+
+@_query("SELECT doc_id AS place_id, doc_id % 2 = 0 AS found FROM documents WHERE length(text) > 60")
+def excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """Values quoted from their pages; those that are not there say so."""
+    v = _base(spark, d, "SELECT doc_id AS place_id, 1 AS ord, CASE WHEN doc_id % 2 = 0 THEN substr(text, 20, 12) ELSE 'never-there-0' END AS value, concat('P', CAST(doc_id AS STRING)) AS `from` FROM {documents} WHERE length(text) > 60", "documents")
+    return gate.quotes(v, _base(spark, d, PAGES_TEXT, "documents")).select("place_id", "found")
+
+
+@_query("SELECT s_suppkey, '\"' || s_name || ', \"\"x\"\"\",' || s_nationkey::VARCHAR || ',yes' AS line FROM supplier")
+def csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    s = _table(spark, d, "supplier")
+    return s.select("s_suppkey", text.csv_row([F.concat("s_name", F.lit(', "x"')), F.col("s_nationkey"), render.tri_state(F.lit(True))]).alias("line"))
+
+
+@_query("SELECT 'osm:' || c_custkey::VARCHAR AS id, c_name AS name, (c_custkey % 90)::VARCHAR AS score, 'osm+registry' AS sources, 'a@x.fr | b@x.fr' AS emails, '' AS officers, CASE c_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE '' END AS is_hiring FROM customer")
+def csv_export(spark: SparkSession, d: str) -> DataFrame:
+    p = _base(
+        spark, d, "SELECT concat('osm:', CAST(c_custkey AS STRING)) AS id, c_name AS name, c_custkey % 90 AS score, array('osm', 'registry') AS sources, array('a@x.fr', 'b@x.fr') AS emails, array('X Y') AS officers, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_hiring FROM {customer}", "customer"
+    )
+    return render.csv_frame(p, no_people=True).select("id", "name", "score", "sources", "emails", "officers", "is_hiring")
+
+
+@_query("SELECT 'register swept and fused with the map' AS coverage")
+def coverage_sentence(spark: SparkSession, d: str) -> DataFrame:
+    lanes = _base(spark, d, "SELECT CASE r_regionkey % 2 WHEN 0 THEN 'osm' ELSE 'registry' END AS lane, 'sweep' AS mode FROM {region}", "region")
+    return summary.coverage_sentence(lanes)
+
+
+@_query(
+    """SELECT 'n' || c_custkey::VARCHAR AS poi_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Brand' END AS name, CASE c_custkey % 3 WHEN 0 THEN 'shop=bakery' WHEN 1 THEN 'amenity=bar' ELSE 'office' END AS category, 'https://x' || c_custkey::VARCHAR || '.fr' AS site FROM customer WHERE c_custkey % 5 > 0"""
+)
+def poi_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Elements to POIs: names by preference, coordinate from node or centre, category and website."""
+    e = _base(
+        spark, d, """SELECT 'node' AS type, c_custkey AS id, CASE WHEN c_custkey % 5 > 1 THEN 48.8D END AS lat, CASE WHEN c_custkey % 5 > 1 THEN 2.4D END AS lon, CASE WHEN c_custkey % 5 = 1 THEN named_struct('lat', 48.8D, 'lon', 2.4D) END AS center,
+        map_filter(map('name', CASE WHEN c_custkey % 2 = 0 THEN c_name END, 'brand', 'Brand', CASE c_custkey % 3 WHEN 0 THEN 'shop' WHEN 1 THEN 'amenity' ELSE 'office' END, CASE c_custkey % 3 WHEN 0 THEN 'bakery' WHEN 1 THEN 'bar' ELSE 'yes' END, 'contact:website', concat('x', CAST(c_custkey AS STRING), '.fr; other')), (k, v) -> v is not null) AS tags FROM {customer}""", "customer"
+    )
+    p = poi.to_pois(e.where(poi.business_filter(F.col("tags"))))
+    return p.select("poi_id", "name", poi.category(F.col("tags")).alias("category"), poi.website(F.col("tags")).alias("site"))
+
+
+@_query(
+    """SELECT lpad(s_suppkey::VARCHAR, 10, '0') AS id, s_name AS legal_name, CASE WHEN s_suppkey % 100 BETWEEN 1 AND 9 THEN 'A' WHEN s_suppkey % 100 BETWEEN 10 AND 14 THEN 'B' WHEN s_suppkey % 100 BETWEEN 15 AND 17 THEN 'C' WHEN s_suppkey % 100 BETWEEN 20 AND 39 THEN 'D' WHEN s_suppkey % 100 BETWEEN 40 AND 49 THEN 'E'
+WHEN s_suppkey % 100 BETWEEN 50 AND 51 THEN 'F' WHEN s_suppkey % 100 BETWEEN 52 AND 59 THEN 'G' WHEN s_suppkey % 100 BETWEEN 60 AND 67 THEN 'H' WHEN s_suppkey % 100 BETWEEN 70 AND 89 THEN 'I' WHEN s_suppkey % 100 BETWEEN 91 AND 97 THEN 'J' WHEN s_suppkey % 100 = 99 THEN 'K' END AS section, s_name || '|Old' AS names FROM supplier"""
+)
+def filings_mapping(spark: SparkSession, d: str) -> DataFrame:
+    s = _base(spark, d, """SELECT concat('{{"cik":', CAST(s_suppkey AS STRING), ',"name":"', s_name, '","sic":"', lpad(CAST(s_suppkey % 100 AS STRING), 2, '0'), '10","formerNames":[{{"name":"Old"}}]}}') AS payload FROM {supplier}""", "supplier")
+    return registers.us_filings(s).select("id", "legal_name", "section", F.array_join("names", "|").alias("names"))
+
+
+@_query("SELECT s_suppkey::VARCHAR AS id, CASE s_suppkey % 3 WHEN 0 THEN 'ceased' WHEN 1 THEN 'active' ELSE 'unknown' END AS status, 'Trade|' || s_name || '|Gone' AS names, 'ESPOO' AS city FROM supplier")
+def finnish_mapping(spark: SparkSession, d: str) -> DataFrame:
+    s = _base(
+        spark, d, """SELECT concat('{{"businessId":{{"value":"', CAST(s_suppkey AS STRING), '"}},"names":[{{"name":"', s_name, '","type":"1"}},{{"name":"Trade","type":"3"}},{{"name":"Gone","type":"1","endDate":"2001-01-01"}}],',
+        CASE s_suppkey % 3 WHEN 0 THEN '"endDate":"2020-01-01",' WHEN 1 THEN '"tradeRegisterStatus":"1",' ELSE '' END, '"addresses":[{{"type":2,"postOffices":[{{"city":"X","languageCode":"2"}}]}},{{"type":1,"postOffices":[{{"city":"ESBO","languageCode":"2"}},{{"city":"ESPOO","languageCode":"1"}}]}}]}}') AS payload FROM {supplier}""", "supplier"
+    )
+    return registers.finland(s).select("id", "status", F.array_join("names", "|").alias("names"), "city")
+
 
-def queries():
-    return {}
+@_query(
+    "SELECT page_id, place_id FROM (SELECT page_id, unnest([page_id % 50, (page_id + 1) % 50]) AS place_id FROM pages)"
+)
+def hit_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Untagged hits by words of title and snippet or by host; several places may share one."""
+    words = lambda c: f"concat('acme', translate(CAST({c} AS STRING), '0123456789', 'abcdefghij'), 'zz')"
+    hits = _base(spark, d, f"SELECT page_id, concat('https://', {words('page_id % 50')}, CAST(page_id AS STRING), '.example/', CAST(page_id AS STRING)) AS url, concat('All about ', {words('(page_id + 1) % 50')}, '!') AS title, '' AS snippet, CAST(NULL AS BIGINT) AS tag FROM {{pages}}", "pages")
+    places = _base(spark, d, f"SELECT DISTINCT page_id % 50 AS place_id, concat('SARL ', {words('page_id % 50')}) AS name FROM {{pages}}", "pages")
+    j = resolve.attribute_hits(hits, places)
+    return j.select(F.regexp_extract("url", r"/(\d+)$", 1).cast("long").alias("page_id"), "place_id")
 
 
-def oracle_sql():
-    return {}
+@_query("SELECT doc_id AS place_id, CASE doc_id % 3 WHEN 0 THEN 'corroborated' ELSE 'unverified' END AS confidence, 'u' || (CASE doc_id % 3 WHEN 0 THEN 2 ELSE 1 END)::VARCHAR AS url FROM documents")
+def website_settle(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three candidates; the first corroborated one settles, else the first stays unverified."""
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("place_id"))
+    hits = docs.select("place_id", F.posexplode(F.array(F.lit("u1"), F.lit("u2"), F.lit("u3"), F.lit("u4"))).alias("ord", "url"))
+    c = resolve.candidate_urls(docs.select("place_id", F.lit("u1").alias("url")), hits)
+    page = F.when((F.col("place_id") % 3 == 0) & (F.col("url") == "u2"), "call Etoile Doree, SIREN 302 474 648").otherwise("nothing here")
+    reasons = resolve.corroboration(page, F.array(F.lit("SARL Étoile Dorée")), F.lit("302474648"), F.lit("rue Montorgueil"), F.lit("75002"), F.lit(False))
+    return resolve.settle(c.withColumn("reasons", reasons)).select("place_id", "confidence", "url")
