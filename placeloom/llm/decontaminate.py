@@ -4,15 +4,17 @@ Items and texts are word sequences. An item of n words leaks into a text if some
 ``floor(max_edit * n)`` word edits of it. Item-sized windows of the text are embedded by the CGK random walk (copy the
 current word, then advance or not by a random bit that depends on step and word), which maps edit distance to Hamming
 distance; bit-sampling hashes of several walks bring a leaking window and its item together with high probability; a
-bit-parallel exact edit distance confirms every candidate. Windows with fewer than n - d words of the benchmark
-vocabulary cannot be within d edits of an item and are not embedded.
+bit-parallel exact edit distance confirms every candidate. Most windows are not worth embedding: of the d + m rarest
+words of an item a window within d edits must hold at least m, so only windows with so many of some item's rarest words
+are embedded; that condition loses nothing.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -20,13 +22,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORDS = re.compile(r"\w+")
 ITEM_BLOCK = 20_000
-BREAK = -(1 << 30)
+WINDOWS = 5_000
+BATCH_CHARS = 8_000_000
+# words are runs of ASCII letters, digits and underscores and of bytes above ASCII
+_TO_SPACE = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
+# fixed values: punctuation and spaces above ASCII that also part words
+_BEYOND = [c.encode() for c in "\u00a0«»–—‘’“”„…¿¡"]
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    data = (text or "").lower().encode("utf-8", "surrogatepass")
+    if not data.isascii():
+        for c in _BEYOND:
+            data = data.replace(c, b" ")
+    return data.translate(_TO_SPACE).split()
 
 
 def edit_within(pattern: list[int], text: list[int], limit: int) -> bool:
@@ -62,7 +72,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], max_edit: float = 0.2, walks: int = 10, samples: int = 4, picks: int = 5, seed: int = 3):
         self.walks, self.samples, self.picks = walks, samples, picks
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, list[int]]] = []
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
@@ -84,64 +94,92 @@ class Index:
             keys = self.hashes(flat.ravel(), np.arange(len(mine)) * n, n)
             order = np.argsort(keys, axis=1, kind="stable")
             self.tables[n] = [mine, np.take_along_axis(keys, order, 1), order]
-        # neighbouring sizes share one first look at the vocabulary counts
-        self.buckets: list[list[int]] = []
-        for n in sizes:
-            if self.buckets and n <= self.buckets[-1][0] * 1.1:
-                self.buckets[-1].append(n)
-            else:
-                self.buckets.append([n])
+        # votes: which items count a word among their d + m rarest
+        seen = Counter(w for _, ids in self.items for w in set(ids))
+        voters: list[list[int]] = [[] for _ in range(len(self.vocabulary) + 2)]
+        self.size = np.array([len(ids) for _, ids in self.items], dtype=np.int64)
+        self.limit = np.array([self.edits(n) for n in self.size], dtype=np.int64)
+        self.need = np.maximum(1, -(-self.size // 3))
+        for k, (_, ids) in enumerate(self.items):
+            for w in set(sorted(ids, key=lambda w: (seen[w], w))[: int(self.limit[k] + self.need[k])]):
+                voters[w].append(k)
+        self.vote_count = np.array([len(v) for v in voters], dtype=np.int64)
+        self.vote_begin = np.cumsum(self.vote_count) - self.vote_count
+        self.vote_items = np.array([k for v in voters for k in v], dtype=np.int64)
 
     def hashes(self, tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
         """(walks * samples, windows) hashes of the windows of n tokens at starts."""
-        out = np.zeros((self.walks * self.samples, len(starts)), dtype=np.uint64)
         pad = len(self.vocabulary) + 1
-        padded = np.append(tokens, 0)
-        for r in range(self.walks):
-            at = np.zeros(len(starts), dtype=np.int64)
-            wanted: dict[int, list[tuple[int, int]]] = {}
-            for z in range(self.samples):
-                for k, place in enumerate(self.places[n][r, z]):
-                    wanted.setdefault(int(place), []).append((z, k))
-            for j in range(max(wanted) + 1):
-                symbol = np.where(at < n, padded[np.minimum(starts + at, len(tokens))], pad)
-                for z, k in wanted.get(j, ()):
-                    row = out[r * self.samples + z]
-                    row += (symbol.astype(np.uint64) + np.uint64(0x9E3779B9)) * self.odd[r, z, k]
-                    row ^= row >> np.uint64(29)
-                at += self.bits[r, j][symbol]
-        return out
+        walk = np.arange(self.walks)[:, None]
+        at = np.zeros((self.walks, len(starts)), dtype=np.int64)
+        places = self.places[n]
+        copied = np.empty((int(places.max()) + 1, self.walks, len(starts)), dtype=np.uint32)
+        for j in range(len(copied)):
+            symbol = np.where(at < n, tokens[np.minimum(starts + at, len(tokens) - 1)], pad)
+            copied[j] = symbol
+            at += self.bits[walk, j, symbol]
+        out = np.zeros((self.walks, self.samples, len(starts)), dtype=np.uint64)
+        for k in range(self.picks):
+            out += (copied[places[:, :, k], walk].astype(np.uint64) + np.uint64(0x9E3779B9)) * self.odd[:, :, k, None]
+            out ^= out >> np.uint64(29)
+        return out.reshape(self.walks * self.samples, len(starts))
 
     def search(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of the items that leak into each text, ascending."""
+        if not self.items:
+            return [[] for _ in texts]
         get = self.vocabulary.get
-        parts, owners, lengths = [], [], []
+        parts, lengths = [], []
         for text in texts:
-            ids = [get(w, 0) for w in words_of(text)]
-            parts.append(np.array([*ids, BREAK], dtype=np.int64))
-            lengths.append(len(ids) + 1)
+            words = words_of(text)
+            parts.append(np.fromiter(map(get, words, repeat(0)), dtype=np.int64, count=len(words)))
+            lengths.append(len(words))
         hits: list[set[int]] = [set() for _ in texts]
-        if not texts or not self.items:
-            return [[] for _ in texts]
-        tokens = np.concatenate(parts)
-        owners = np.repeat(np.arange(len(texts)), lengths)
-        worth = np.where(tokens > 0, 1, np.where(tokens == BREAK, BREAK, 0))
-        total = np.concatenate([[0], np.cumsum(worth)])
-        tokens = np.maximum(tokens, 0)
-        ends = np.cumsum(lengths) - 1
-        for sizes in self.buckets:
-            low, most = sizes[0], self.edits(sizes[-1])
-            if len(tokens) < low:
-                continue
-            near = np.flatnonzero(total[low:] - total[:-low] >= low - most)
-            for n in sizes:
-                d = self.edits(n)
-                starts = near[near + n <= len(tokens)]
-                starts = starts[total[starts + n] - total[starts] >= n - d]
-                for at in range(0, len(starts), 50_000):
-                    self._confirm(tokens, starts[at : at + 50_000], n, d, owners, ends, hits)
+        tokens = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        ends = np.cumsum(lengths)
+        for n, starts in self._worth(tokens, ends):
+            owners = np.searchsorted(ends, starts, side="right")
+            for at in range(0, len(starts), WINDOWS):
+                self._confirm(tokens, starts[at : at + WINDOWS], n, self.edits(n), owners[at : at + WINDOWS], ends, hits)
         return [sorted(h) for h in hits]
 
+    def _worth(self, tokens: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, starts) of the windows of n tokens that hold enough of some item's rarest words."""
+        place = np.flatnonzero(self.vote_count[tokens])
+        count = self.vote_count[tokens[place]]
+        if not len(place):
+            return
+        spread = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        item = self.vote_items[np.repeat(self.vote_begin[tokens[place]], count) + spread]
+        key = np.sort((item << 40) | np.repeat(place, count))
+        item, pos = key >> 40, key & ((1 << 40) - 1)
+        last = np.arange(len(key)) + self.need[item] - 1
+        inside = last < len(key)
+        first, last = np.flatnonzero(inside), last[inside]
+        first, last = first[(item[first] == item[last])], last[(item[first] == item[last])]
+        close = pos[last] - pos[first] < self.size[item[first]] + self.limit[item[first]]
+        first, last = first[close], last[close]
+        doc = np.searchsorted(ends, pos[first], side="right")
+        own = pos[last] < ends[doc]
+        first, last, doc = first[own], last[own], doc[own]
+        n, d = self.size[item[first]], self.limit[item[first]]
+        begin = np.where(doc > 0, ends[doc - 1], 0)
+        low = np.maximum(begin, pos[last] - n - d + 1)
+        high = np.minimum(pos[first], np.maximum(begin, ends[doc] - n + d))
+        for size in np.unique(n):
+            mine = n == size
+            # ranges of starts as a running sum of +1 and -1
+            edge = np.zeros(len(tokens) + 2, dtype=np.int64)
+            np.add.at(edge, low[mine], 1)
+            np.add.at(edge, np.maximum(low[mine], high[mine]) + 1, -1)
+            yield int(size), np.flatnonzero(np.cumsum(edge[: len(tokens)]) > 0)
+
+    @staticmethod
+    def _overlap(ids: list[int], window: np.ndarray) -> int:
+        """Words of the item that the window holds, an upper bound of what few edits can leave in common."""
+        held = set(window.tolist())
+        return sum(w in held for w in ids)
+
     def _confirm(self, tokens, starts, n, d, owners, ends, hits) -> None:
         mine, keys, order = self.tables[n]
         found = self.hashes(tokens, starts, n)
@@ -152,12 +190,13 @@ class Index:
             for w in np.flatnonzero(hi > lo):
                 for k in range(lo[w], hi[w]):
                     candidates.add((int(order[row, k]), int(w)))
+        candidates = {(k, w) for k, w in candidates if self._overlap(mine[k][1], tokens[starts[w] : starts[w] + n]) >= n - d}
         for k, w in sorted(candidates):
             item, ids = mine[k]
-            doc = owners[starts[w]]
+            doc = owners[w]
             if item in hits[doc]:
                 continue
-            begin = ends[doc - 1] + 1 if doc else 0
+            begin = ends[doc - 1] if doc else 0
             a, b = max(begin, starts[w] - d), min(ends[doc], starts[w] + n + d)
             if edit_within(ids, tokens[a:b].tolist(), d):
                 hits[doc].add(item)
@@ -169,8 +208,16 @@ def _leaks(items: list[tuple[int, str]], max_edit: float):
         index = Index(items, max_edit)
         for texts in batches:
             out: list[list[int]] = []
-            for at in range(0, len(texts), 500):
-                out += index.search(texts.iloc[at : at + 500].tolist())
+            held: list[str | None] = []
+            size = 0
+            for text in texts:
+                held.append(text)
+                size += len(text or "")
+                if size >= BATCH_CHARS:
+                    out += index.search(held)
+                    held, size = [], 0
+            if held:
+                out += index.search(held)
             yield pd.Series(out)
 
     return udf
