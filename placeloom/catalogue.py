@@ -524,11 +524,11 @@ def hiring_tristate(spark: SparkSession, d: str) -> DataFrame:
     return u.select("place_id", render.tri_state(score.is_hiring(F.col("boards"), F.col("careers"), F.col("open_roles"))).alias("hiring"))
 
 
-@_query(f"SELECT place_id, greatest(0, floor((epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(oldest)) / 86400))::BIGINT AS days FROM ({_duck(USERS)})")
+@_query(f"SELECT place_id, CASE WHEN oldest IS NOT NULL THEN greatest(0, floor((epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(oldest)) / 86400)) END::BIGINT AS days FROM ({_duck(USERS)})")
 def open_role_age(spark: SparkSession, d: str) -> DataFrame:
     u = _base(spark, d, USERS, "events")
     posted = F.array(F.date_format("oldest", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("not a date"))
-    return u.select("place_id", score.oldest_role_days(posted, F.lit("2024-06-01").cast("timestamp")).alias("days")).where("days is not null or true")
+    return u.select("place_id", score.oldest_role_days(posted, F.lit("2024-06-01").cast("timestamp")).alias("days"))
 
 
 @_query("SELECT user_id, count(*) AS matched FROM events WHERE event_type LIKE '%view%' OR event_type LIKE '%sign%' GROUP BY user_id")

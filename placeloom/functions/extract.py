@@ -210,7 +210,7 @@ def html_to_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article|header|footer|ul|ol|table|nav|main)\s*>", "\n")
     out = decode_entities(F.regexp_replace(out, r"(?s)<[^>]*>", " "))
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t\x0B\f\r\x{A0}]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(out, r"\n{2,}", "\n"))
+    return F.regexp_replace(F.regexp_replace(out, r"\n{2,}", "\n"), r"^\s+|\s+$", "")
 
 
 def decode_entities(c: Column) -> Column:

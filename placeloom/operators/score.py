@@ -77,7 +77,8 @@ def is_hiring(board_count: Column, has_careers_page: Column, open_roles: Column)
 def oldest_role_days(posted: Column, as_of: Column) -> Column:
     """Whole days since the oldest readable date of an array, not below zero; null without one."""
     oldest = F.array_min(F.filter(F.transform(posted, lambda d: F.unix_timestamp(F.try_to_timestamp(d))), lambda x: x.isNotNull()))
-    return F.greatest(F.lit(0).cast("long"), F.floor((F.unix_timestamp(as_of) - oldest) / 86400).cast("long"))
+    days = F.floor((F.unix_timestamp(as_of) - oldest) / 86400).cast("long")
+    return F.when(days < 0, F.lit(0).cast("long")).otherwise(days)
 
 
 def matching_roles(titles: Column, terms: list[str]) -> Column:

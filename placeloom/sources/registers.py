@@ -214,7 +214,7 @@ def german_address(line: Column, town: Column) -> Column:
 
 def vat_address(raw: Column) -> Column:
     """Lines of a VAT answer: the first is the street, the rest postcode and city."""
-    lines = F.filter(F.transform(F.split(raw, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     tail = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), " ")
     code, city = (F.nullif(F.regexp_extract(tail, r"\b([A-Z]{0,2}-?\d{4,6})\s+(.+)$", i), F.lit("")) for i in (1, 2))
     return F.struct(F.get(lines, F.lit(0)).alias("street"), code.alias("postcode"), F.coalesce(city, F.when(code.isNull(), F.nullif(tail, F.lit("")))).alias("city"))
@@ -279,7 +279,7 @@ def german_bulk(df: DataFrame) -> DataFrame:
 
 
 def estonian_localities(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: F.length(x) > 1))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: F.length(x) > 1))
 
 
 def estonian_bulk(rows: DataFrame) -> DataFrame:
