@@ -1 +1,16 @@
+"""Spark-native company intelligence: fuse points of interest with registers, mine pages, score, check and report."""
 
+from __future__ import annotations
+
+import os
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Let Python workers import this package from where the driver has it, whatever their working folder.
+
+    On clusters without a shared file system the package is passed to spark-submit like any other dependency."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])

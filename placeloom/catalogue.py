@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from placeloom import ship
 from placeloom.functions import dims, extract, geo, text
 from placeloom.operators import confirm, diff, gate, match, resolve, score, summary
 from placeloom.plans import render, sweep
@@ -41,6 +42,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
