@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placeloom import ship
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -15,6 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a purely local session (tests) may fall back to a temporary folder.
     """
+    ship(spark)
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
@@ -27,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
