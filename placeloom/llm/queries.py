@@ -92,6 +92,26 @@ g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (ra
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (doc_id)""",
+    "op6_chat": r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS tok,
+  16 + len(role) + len(replace(replace(replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'), '<s>', '&lt;s>'), '</s>', '&lt;/s>'), '<<SYS>>', '&lt;<SYS>>'), '<</SYS>>', '&lt;</SYS>>'), '[INST]', '&#91;INST]'), '[/INST]', '&#91;/INST]')) AS chars FROM raw),
+h AS (SELECT conv_id, CASE WHEN role = 'system' THEN 1 ELSE 0 END AS skip, CASE WHEN role = 'system' THEN tok ELSE 0 END AS sys_tok, CASE WHEN role = 'system' THEN chars ELSE 0 END AS sys_chars FROM t WHERE k = 1),
+u AS (SELECT t.conv_id, k - skip - 1 AS i, tok, chars, sum(tok) OVER w AS upto, 512 - sys_tok AS room FROM t JOIN h ON t.conv_id IS NOT DISTINCT FROM h.conv_id WHERE k > skip WINDOW w AS (PARTITION BY t.conv_id ORDER BY k)),
+g(conv_id, i, start, base, room) AS (
+  SELECT conv_id, 0::BIGINT, 0::BIGINT, 0::HUGEINT, room::BIGINT FROM u WHERE i = 0
+  UNION ALL
+  SELECT g.conv_id, u.i, CASE WHEN u.upto - g.base > g.room THEN u.i ELSE g.start END, CASE WHEN u.upto - g.base > g.room THEN u.upto - u.tok ELSE g.base END, CASE WHEN u.upto - g.base > g.room THEN u.room - 128 ELSE g.room END
+  FROM g JOIN u ON u.conv_id IS NOT DISTINCT FROM g.conv_id AND u.i = g.i + 1),
+wins AS (SELECT conv_id, start FROM g GROUP BY ALL),
+past AS (SELECT w.conv_id, w.start, coalesce(sum(b.chars), 0) AS chars FROM wins w JOIN u f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.start
+  LEFT JOIN u b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND w.start > 0 AND b.i < w.start AND (f.upto - f.tok) - (b.upto - b.tok) <= 128 GROUP BY w.conv_id, w.start),
+sizes AS (SELECT conv_id, count(*) AS n_windows, sum(chars) AS chars FROM past GROUP BY conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM t GROUP BY conv_id)
+SELECT d.conv_id, n_turns, turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  (d.chars - h.sys_chars + coalesce(n_windows, 1) * h.sys_chars + coalesce(sizes.chars, 0))::BIGINT AS formatted_chars, coalesce(n_windows, 1) AS n_windows
+FROM d JOIN h ON d.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN sizes ON d.conv_id IS NOT DISTINCT FROM sizes.conv_id""",
     "op8_sharding": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }
 
