@@ -370,11 +370,11 @@ def truncation_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """WITH t AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem)
+    """WITH t AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) AS rn FROM lineitem)
 SELECT l_returnflag, count(*) AS requested, count(*) FILTER (rn <= 5000) AS returned, count(*) FILTER (rn <= 5000) < count(*) AS truncated FROM t GROUP BY l_returnflag"""
 )
 def budget_rank(spark: SparkSession, d: str) -> DataFrame:
-    return sweep.budgeted(_table(spark, d, "lineitem"), "l_returnflag", [F.col("l_orderkey"), F.col("l_linenumber")], 5000)
+    return sweep.budgeted(_table(spark, d, "lineitem"), "l_returnflag", [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")], 5000)
 
 
 @_query("SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) / 12)::BIGINT AS batch FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40")

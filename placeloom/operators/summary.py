@@ -66,7 +66,7 @@ def hiring_counts(places: DataFrame) -> DataFrame:
 def register_counts(places: DataFrame) -> DataFrame:
     """By connector: places, dated records and their years, head offices, ceased, officers."""
     return places.where("connector is not null").groupBy("connector").agg(
-        F.count("*").alias("n"), F.count("as_of").alias("dated"), F.array_join(F.sort_array(F.collect_set(F.substr("as_of", F.lit(1), F.lit(4)))), ",").alias("years"),
+        F.count("*").alias("n"), F.count("as_of").alias("dated"), F.nullif(F.array_join(F.sort_array(F.collect_set(F.substr("as_of", F.lit(1), F.lit(4)))), ","), F.lit("")).alias("years"),
         F.count_if("is_head_office").alias("head_offices"), F.count_if(F.col("status") == "ceased").alias("ceased"), F.sum("n_officers").alias("officers"),
     )
 
