@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,12 +132,14 @@ def assign_one_to_one(spark: SparkSession, pairs: DataFrame, order: list[Column]
 
 
 def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder, set here only for sessions that have none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="placeloom-ck-"))
+    """Cut lineage through the reliable checkpoint folder. Local sessions (tests) without one get a temporary folder; a
+    cluster must name one that its machines share."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        where = context.getConf().get("spark.checkpoint.dir")
+        if where is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="placeloom-ck-"))
     return df.checkpoint()
 
 
