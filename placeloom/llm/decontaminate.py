@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 2_000  # keeps the table of random bits of a block near 100 MB
 WINDOWS = 5_000
 BATCH_CHARS = 8_000_000
 # words are runs of ASCII letters, digits and underscores and of bytes above ASCII
