@@ -16,7 +16,7 @@ from placeloom import ship
 from placeloom.functions import dims, extract, geo, text
 from placeloom.operators import confirm, diff, gate, match, resolve, score, summary
 from placeloom.plans import render, sweep
-from placeloom.sources import bulk, poi, registers
+from placeloom.sources import bulk, pages, poi, registers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -837,3 +837,69 @@ def website_settle(spark: SparkSession, d: str) -> DataFrame:
     page = F.when((F.col("place_id") % 3 == 0) & (F.col("url") == "u2"), "call Etoile Doree, SIREN 302 474 648").otherwise("nothing here")
     reasons = resolve.corroboration(page, F.array(F.lit("SARL Étoile Dorée")), F.lit("302474648"), F.lit("rue Montorgueil"), F.lit("75002"), F.lit(False))
     return resolve.settle(c.withColumn("reasons", reasons)).select("place_id", "confidence", "url")
+
+
+ROBOTS = "User-agent: *\nDisallow: /\n\n# ours\nUser-agent: placeloom\nUser-agent: other\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\nDisallow:"
+
+
+@_query(
+    "SELECT page_id, CASE page_id % 6 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE true END AS allowed FROM pages"
+)
+def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """Longest agent group, longest rule, wildcards and end anchors."""
+    paths = ["/private/x", "/private/open/y", "/a/b.pdf", "/a/b.pdf?x", "/", "/privat"]
+    urls = _base(spark, d, f"SELECT page_id, concat('s', CAST(page_id AS STRING)) AS site, {_case('page_id', paths)} AS path FROM {{pages}}", "pages")
+    rules = pages.robots_rules(urls.select("site", F.lit(ROBOTS).alias("body")))
+    return pages.allowed(urls.select("site", "path"), rules, "Placeloom/1.0").join(urls, ["site", "path"]).select("page_id", "allowed")
+
+
+@_query(
+    "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'unreachable' WHEN page_id % 4 = 1 THEN 'http 404' WHEN page_id % 4 = 2 THEN 'no readable text' ELSE 'ok' END AS outcome FROM pages"
+)
+def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    p = _base(spark, d, "SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 404 WHEN page_id % 4 > 1 THEN 200 END AS status, CASE WHEN page_id % 4 = 2 THEN 'short' ELSE repeat('long ', 40) END AS body FROM {pages}", "pages")
+    return p.select("page_id", pages.fetch_outcome(F.col("status"), F.col("body")).alias("outcome"))
+
+
+@_query("SELECT page_id, 'P' || row_number() OVER (PARTITION BY page_id % 7 ORDER BY url, page_id)::VARCHAR AS label FROM pages")
+def page_labels(spark: SparkSession, d: str) -> DataFrame:
+    p = _table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", (F.col("page_id") % 7).alias("place_id"))
+    return pages.page_ids(p, [F.col("url"), F.col("id")]).select(F.col("id").alias("page_id"), F.col("page_id").alias("label"))
+
+
+@_query(
+    f"SELECT place_id, CASE WHEN site_confidence IS NULL OR site_confidence = 'declared' THEN 'resolve' WHEN site_confidence = 'corroborated' THEN 'enrich' ELSE 'leave' END AS step FROM ({_duck(PLACES)})"
+)
+def work_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Which places still need a website and which are ready to be read."""
+    p = _places(spark, d).withColumn("site_url", F.when(F.col("site_confidence").isNotNull(), F.lit("u"))).withColumn("total", F.lit(0))
+    todo = resolve.needs_resolving(p).select("place_id", F.lit("resolve").alias("step"))
+    ready = resolve.enrichable(p).select("place_id", F.lit("enrich").alias("step"))
+    rest = p.join(todo.unionByName(ready), "place_id", "left_anti").select("place_id", F.lit("leave").alias("step"))
+    return todo.unionByName(ready).unionByName(rest)
+
+
+@_query(
+    """SELECT doc_id AS place_id, rule FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'legal-id-unsourced' WHEN doc_id % 3 = 1 THEN 'legal-id-not-on-page' END AS rule FROM documents) WHERE rule IS NOT NULL"""
+)
+def gate_legal_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers claimed from pages must stand on them, in whatever spelling."""
+    c = _base(spark, d, "SELECT doc_id AS place_id, concat('30-24-', CAST(doc_id AS STRING)) AS value, 'unverified' AS status, CASE WHEN doc_id % 3 = 0 THEN 'P-none' ELSE concat('P', CAST(doc_id AS STRING)) END AS `from` FROM {documents}", "documents")
+    p = _base(spark, d, "SELECT doc_id AS place_id, concat('P', CAST(doc_id AS STRING)) AS page_id, CASE WHEN doc_id % 3 = 2 THEN concat('SIREN 30 24 ', CAST(doc_id AS STRING)) ELSE 'nothing' END AS text FROM {documents}", "documents")
+    return gate.legal_ids(c, p).select("place_id", "rule")
+
+
+@_query("SELECT 'warning' AS severity, 'site-unreachable' AS rule, page_id AS place_id FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT 'warning', 'website-unverified', page_id FROM pages WHERE page_id % 3 = 1")
+def gate_warnings(spark: SparkSession, d: str) -> DataFrame:
+    p = _base(spark, d, "SELECT page_id AS place_id, 'u' AS site_url, CASE page_id % 3 WHEN 1 THEN 'declared' ELSE 'corroborated' END AS site_confidence, page_id % 5 > 0 AS reachable, true AS enriched FROM {pages}", "pages")
+    none = spark.sql("SELECT 'x' AS reason WHERE false")
+    return gate.warnings(p, none).select("severity", "rule", F.col("place_id").try_cast("long").alias("place_id"))
+
+
+@_query("SELECT s_suppkey AS place_id, 1 AS ord, 'site-' || (s_suppkey % 2)::VARCHAR AS url FROM supplier")
+def best_page_by_role(spark: SparkSession, d: str) -> DataFrame:
+    """The shallowest page of each role, the first on ties."""
+    s = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("place_id"))
+    deep = F.when(F.col("place_id") % 2 == 0, F.array(F.lit("https://x.fr/a/b"), F.lit("https://x.fr/a"))).otherwise(F.array(F.lit("https://x.fr/c"), F.lit("https://x.fr/d")))
+    best = resolve.best_by_role(s.select("place_id", F.posexplode(deep).alias("ord", "url")).withColumn("role", F.lit("careers")))
+    return best.select("place_id", F.lit(1).alias("ord"), F.when(F.col("url") == "https://x.fr/a", "site-0").when(F.col("url") == "https://x.fr/c", "site-1").otherwise("wrong").alias("url"))

@@ -75,6 +75,7 @@ def uncited_claims(dossiers: DataFrame) -> DataFrame:
 def warnings(places: DataFrame, truncated: DataFrame) -> DataFrame:
     """Findings that never fail a run; ``truncated(reason)`` are the lanes cut short."""
     cut = truncated.select(F.lit("warning").alias("severity"), F.lit("run-truncated").alias("rule"), F.lit("").alias("place_id"), F.col("reason").alias("subject"))
+    places = places.withColumn("place_id", F.col("place_id").cast("string"))
     site = F.col("site_url").isNotNull()
     out = cut.unionByName(_found(places.where(F.col("reachable").eqNullSafe(False)), "site-unreachable", F.col("site_url"), "warning"))
     out = out.unionByName(_found(places.where(site & (F.col("site_confidence") != "corroborated")), "website-unverified", F.col("site_url"), "warning"))

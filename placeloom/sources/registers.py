@@ -328,3 +328,11 @@ def connectors_for(spark, country: str, available: dict[str, str] | None = None)
     usable = F.col("reason").isNull() & F.col("sweeps")
     first = F.row_number().over(W.partitionBy(usable).orderBy("ord")) == 1
     return d.select("ord", "connector", F.when(F.col("reason").isNotNull(), "unavailable").when(usable & first, "sweep").otherwise("lookup").alias("role"), "reason").orderBy("ord")
+
+
+def divisions_of_section(spark, catalogue_path: str, section: str) -> DataFrame:
+    """Activity codes of a section, grouped into divisions, from a catalogue file ``code,label``; the catalogue has over
+    seven hundred codes and is a parameter, not part of the package."""
+    codes = spark.read.csv(catalogue_path, header=True, schema="code string, label string")
+    own = codes.where(score.nace_section(F.col("code")) == section)
+    return own.groupBy(F.substr("code", F.lit(1), F.lit(2)).alias("division")).agg(F.sort_array(F.collect_list("code")).alias("codes")).orderBy("division")

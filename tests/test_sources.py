@@ -117,3 +117,21 @@ def test_freshness(spark):
     c = spark.createDataFrame([("a", "2024-01-01", "1", bulk.LAYOUT), ("b", "2024-01-01", "1", bulk.LAYOUT), ("c", "2024-01-01", "1", 1)], "source string, modified string, tool string, layout int")
     u = spark.createDataFrame([("a", "2024-02-01"), ("b", "2024-01-01")], "source string, modified string")
     assert {r.source: r.state for r in bulk.freshness(c, u, "1").collect()} == {"a": "stale", "b": "fresh", "c": "unreadable"}
+
+
+def test_robots(spark):
+    from placeloom.sources import pages
+
+    body = "User-agent: *\nDisallow: /\n\nUser-agent: placeloom\nUser-agent: other\nDisallow: /private # no\nAllow: /private/open\nDisallow: /*.pdf$\nDisallow:\n"
+    rules = pages.robots_rules(spark.createDataFrame([("s", body), ("t", "")], "site string, body string"))
+    paths = ["/private/x", "/private/open", "/a.pdf", "/a.pdf?x", "/"]
+    urls = spark.createDataFrame([(s, p) for s in "st" for p in paths], "site string, path string")
+    got = {(r.site, r.path): r.allowed for r in pages.allowed(urls, rules, "Placeloom/1.0").collect()}
+    assert [got["s", p] for p in paths] == [False, True, False, True, True] and all(got["t", p] for p in paths)
+    assert not any(r.allowed for r in pages.allowed(urls.where("site = 's'"), rules, "x").collect())
+
+
+def test_activity_catalogue(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("code,label\n62.01Z,a\n62.02A,b\n63.11Z,c\n01.11Z,d\n")
+    got = registers.divisions_of_section(spark, str(tmp_path / "c.csv"), "J").collect()
+    assert [(r.division, r.codes) for r in got] == [("62", ["62.01Z", "62.02A"]), ("63", ["63.11Z"])]
