@@ -79,13 +79,14 @@ def score_pairs(pairs: DataFrame, plan: MatchPlan = MatchPlan()) -> DataFrame:
         lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc),
     )
     brand = F.coalesce(F.array_max(F.transform("r_trading", lambda f: text.forms_similarity(F.col("p_brand_forms"), f))), F.lit(0.0))
-    out = (
-        pairs.withColumn("best", best)
-        .withColumn("s_name", F.col("best.score"))
-        .withColumn("matched_name", F.col("best.name"))
-        .drop("best")
-        .withColumn("s_brand", brand)
-        .withColumn("s_address", address_score(F.col("p_number"), F.col("p_street"), F.col("r_number"), F.col("r_street"), F.col("r_kind")))
+    # scores are the costly part: pairs are spread over all tasks first, and the generator is a barrier that keeps the
+    # optimizer from copying the similarity expressions into each of their uses
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    address = address_score(F.col("p_number"), F.col("p_street"), F.col("r_number"), F.col("r_street"), F.col("r_kind"))
+    once = F.struct(best.alias("best"), brand.alias("s_brand"), address.alias("s_address"))
+    keep = [c for c in pairs.columns if c not in ("p_forms", "p_brand_forms", "r_names", "r_trading")]
+    out = pairs.repartition(n, "poi_id", "rec_key").select(*keep, F.inline(F.array(once))).select(
+        *keep, F.col("best.score").alias("s_name"), F.col("best.name").alias("matched_name"), "s_brand", "s_address"
     )
     supported = (F.col("s_name") >= 0.4) | (F.col("s_brand") >= 0.4)
     by_address = F.when(F.col("s_address") == 1, F.when(supported, 0.9).otherwise(0.6)).otherwise(F.col("s_address") * 0.5)
