@@ -40,7 +40,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
             .distinct()
         )
         nxt = scratch.write(small, "edges")
-        now = tuple(nxt.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum("b")).first())
+        now = tuple(nxt.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.col("b").cast("decimal(20,0)"))).first())
         for old in (e, low, large, low2):
             scratch.drop(old)
         e = nxt

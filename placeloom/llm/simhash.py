@@ -27,6 +27,7 @@ from placeloom.llm.components import connected_components
 
 SEED = 42
 TILE = 1024
+ROW_BYTES = 32_768  # shingle sets above this mean size fill a tile by their bytes
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -57,8 +58,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def sketch(text: str | None, shingle: int, words: int) -> np.ndarray:
+    """SimHash of 64 * words bits over the distinct shingles of a text."""
+    return sketch_of(np.unique(shingle_hashes(text, shingle)), words)
+
+
+def sketch_of(h: np.ndarray, words: int) -> np.ndarray:
     """SimHash of 64 * words bits: word 0 from the shingle hashes, the others from fixed remixes of them."""
-    h = shingle_hashes(text, shingle)
     out = np.zeros(words, dtype="<u8")
     for w in range(words):
         out[w] = majority(h)
@@ -214,15 +219,45 @@ def _tiles(frames: Iterator[pd.DataFrame], tile: int) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def _link(radius: int, tile: int):
+def jaccard_reached(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Is the Jaccard similarity of two sorted sets at least ``similarity``? Empty sets are like empty sets only."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return not len(b)
+    if len(a) < similarity * len(b) - 1e-9:
+        return False
+    both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def verified(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], similarity: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs whose sets reach the similarity, less pairs that others already connect."""
+    low = np.arange(len(sets))
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    while len(i):
+        good = np.array([jaccard_reached(sets[a], sets[b], similarity) for a, b in zip(i[:step], j[:step], strict=True)], dtype=bool)
+        left.append(i[:step][good])
+        right.append(j[:step][good])
+        i, j = i[step:], j[step:]
+        if good.any():
+            low = forest(len(sets), np.concatenate(left), np.concatenate(right))
+        apart = low[i] != low[j]
+        i, j = i[apart], j[apart]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _link(radius: int, tile: int, similarity: float | None = None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _tiles(frames, 16 * tile):
+        for part in _tiles(frames, 16 * tile if similarity is None else tile):
             key, rep = part["tile_key"].to_numpy(), part["rep"].to_numpy()
             if part["fp"].dtype == object:
                 fps = np.frombuffer(b"".join(part["fp"]), dtype="<u8").reshape(len(rep), -1)
             else:
                 fps = part["fp"].to_numpy().view(np.uint64)[:, None]
             i, j = links_by_key(key, fps, radius)
+            if similarity is not None:
+                i, j = verified(i, j, [np.frombuffer(g, dtype="<u8") for g in part["grams"]], similarity)
             if not len(i):
                 continue
             nodes, index = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)
@@ -234,12 +269,17 @@ def _link(radius: int, tile: int):
     return run
 
 
-def _linked(spark: SparkSession, keyed: DataFrame, scratch: Scratch, radius: int, tile: int) -> DataFrame:
-    """``keyed(key, rep, fp)`` -> ``(node, component)`` over links among rows with equal keys.
+def _linked(spark: SparkSession, keyed: DataFrame, scratch: Scratch, radius: int, tile: int, similarity: float | None = None) -> DataFrame:
+    """``keyed(key, rep, fp)`` -> ``(node, component)`` over links among rows with equal keys. With a similarity,
+    ``keyed`` also has ``grams`` (sorted shingle hashes) and only pairs of that Jaccard similarity link.
 
     A key above ``tile`` rows is split into row blocks, and block pairs are dealt out as keys of their own."""
+    load, payload = F.count("*"), ["fp", "rep"]
+    if similarity is not None:
+        load = F.greatest(load, F.least(load * tile, F.ceil(F.sum(F.octet_length("grams").cast("long")) / ROW_BYTES)))
+        payload.append("grams")
     hot = scratch.write(
-        keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).alias("nb")), "hot"
+        keyed.groupBy("key").agg(load.alias("load")).where(F.col("load") > tile).select("key", F.ceil(F.col("load") / tile).alias("nb")), "hot"
     )
     zero = F.lit(0).cast("long")
     cold = F.col("nb").isNull()
@@ -247,10 +287,10 @@ def _linked(spark: SparkSession, keyed: DataFrame, scratch: Scratch, radius: int
         keyed.join(hot, "key", "left")
         .withColumn("mine", F.when(cold, zero).otherwise(F.pmod(F.xxhash64("rep", F.lit("block")), F.col("nb"))))
         .withColumn("other", F.explode(F.when(cold, F.array(zero)).otherwise(F.sequence(zero, F.col("nb") - 1))))
-        .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile_key"), "fp", "rep")
+        .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile_key"), *payload)
     )
     tiles = dealt.repartition("tile_key").sortWithinPartitions("tile_key")
-    return connected_components(spark, tiles.mapInPandas(_link(radius, tile), "src long, dst long"), scratch)
+    return connected_components(spark, tiles.mapInPandas(_link(radius, tile, similarity), "src long, dst long"), scratch)
 
 
 def _part_keys(radius: int):
@@ -299,12 +339,19 @@ def simhash_documents(
     )
 
 
-def plan_samples(n: int, similarity: float, recall: float) -> tuple[int, int, float]:
-    """(bits, tables, share of differing bits at the threshold); bits grow with log2 n, tables follow from the recall
-    wanted for a pair exactly at the threshold."""
+def plan_samples(n: int, similarity: float, recall: float, size: int) -> tuple[int, int, int]:
+    """(sampled bits, tables, radius) for sketches of ``size`` bits. Sampled bits grow with log2 n. The distance of a
+    pair exactly at the threshold is taken as binomial; radius and tables together make it a candidate with probability
+    >= ``recall``. Sets of unequal size have a larger cosine at the same Jaccard similarity, so are closer."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = max(12, math.ceil(math.log2(max(n, 2))) - 2)
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits)), share
+    chance = [math.comb(size, d) * share**d * (1 - share) ** (size - d) for d in range(size + 1)]
+    radius = next(d for d in range(size + 1) if sum(chance[d + 1 :]) <= (1 - recall) / 50)
+    agree = [math.comb(size - d, bits) / math.comb(size, bits) for d in range(radius + 1)]
+    tables = 1
+    while sum(c * (1 - (1 - q) ** tables) for c, q in zip(chance, agree, strict=False)) < recall:
+        tables += 1
+    return bits, tables, radius
 
 
 def _sampled(bits: int, tables: int, words: int, seed: int):
@@ -322,27 +369,54 @@ def _sampled(bits: int, tables: int, words: int, seed: int):
     return run
 
 
-def similar_documents(
+def similar_texts(
     spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, words: int = 4, tile: int = TILE, seed: int = 23
 ) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, component_id)`` linking texts by word-shingle similarity.
-
-    For high similarities wider sketches (64 * words bits) replace the 64-bit fingerprint: two texts link when their
-    sketches differ in at most the share of bits that the similarity (as Jaccard of equal-sized shingle sets) implies.
-    Candidates share the sampled bits of one of several tables; a pair at the threshold is compared with probability
-    >= ``recall``, closer pairs more surely. Equal sketches always link. Null ids link with nothing.
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, text_hash, component)``, one row per input row; texts link when the
+    Jaccard similarity of their sets of word shingles reaches ``similarity``.
+
+    SimHash sketches of 64 * words bits over the distinct shingles only propose: candidates share the sampled bits of one
+    of several tables, and a pair at the threshold is proposed with probability >= ``recall``, closer pairs more surely
+    (sets of four or five shingles less so, as their sketches are coarse). Every link is then verified on the whole sets,
+    within the components that the candidates form. Equal sets always link. Null ids link with nothing and have a null
+    component. Exact up to 64-bit hash collisions.
     """
     scratch = Scratch(spark, "similar")
+    text_hash = F.xxhash64("text").alias("text_hash")
 
-    @F.pandas_udf(T.BinaryType())
-    def sketch_udf(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(t, shingle, words).tobytes() for t in texts])
+    @F.pandas_udf("node long, fp binary")
+    def sketch_udf(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+        nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"node": nodes, "fp": [sketch_of(h, words).tobytes() for h in sets]})
 
-    fps = scratch.write(docs.select(F.col("doc_id").cast("long").alias("id"), sketch_udf("text").alias("fp")), "fps")
-    reps = scratch.write(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    bits, tables, share = plan_samples(reps.count(), similarity, recall)
+    @F.pandas_udf(T.BinaryType())
+    def grams_udf(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts])
+
+    made = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash, sketch_udf("text").alias("s"))
+    fps = scratch.write(made.select("id", "text_hash", "s.node", "s.fp"), "fps")
+    sets = scratch.write(fps.where("id is not null").groupBy("node", "fp").agg(F.min(F.struct("id", "text_hash")).alias("pick")), "sets")
+    reps = scratch.write(sets.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "reps")
+    bits, tables, radius = plan_samples(reps.count(), similarity, recall, 64 * words)
     keyed = reps.mapInPandas(_sampled(bits, tables, words, seed), "rep long, fp binary, keys array<long>")
     keyed = keyed.select("rep", "fp", F.posexplode("keys").alias("t", "k")).select("rep", "fp", F.xxhash64("t", "k").alias("key"))
-    groups = _linked(spark, keyed, scratch, round(share * 64 * words), tile)
-    of_rep = scratch.write(reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "of_rep")
-    return fps.join(of_rep, "fp", "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    proposed = _linked(spark, keyed, scratch, radius, tile)
+    of_fp = scratch.write(reps.join(proposed, reps.rep == proposed.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("key")), "of_fp")
+    shared = of_fp.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    members = sets.join(of_fp.join(shared, "key", "left_semi"), "fp").select("key", "fp", F.col("node").alias("rep"), "pick.*")
+    members = scratch.write(members, "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash, "text")
+    texts = texts.join(members, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+    grams = scratch.write(texts.select("key", "rep", "fp", grams_udf("text").alias("grams")), "grams")
+    links = _linked(spark, grams, scratch, radius, tile, similarity)
+    scratch.drop(grams)
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", fps.node)).alias("component")
+    return fps.join(links, fps.node == links.node, "left").select(F.col("id").alias("doc_id"), "text_hash", component)
+
+
+def similar_documents(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, component_id)``: components of ``similar_texts`` under their smallest id."""
+    texts = similar_texts(spark, docs, **how)
+    first = texts.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return texts.join(first, "component", "left").select("doc_id", "component_id")

@@ -306,6 +306,35 @@ def test_similar_documents(spark, none):
     assert simhash.similar_documents(spark, none).count() == 0
 
 
+def test_similar_documents_are_verified(spark):
+    """Links are exact: a repeated common line links nothing, and pairs at the threshold are found whatever they repeat."""
+    gram = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    like = lambda a, b: len(gram(a) & gram(b)) / len(gram(a) | gram(b))
+    line, texts = words(77, 10), {}
+    for k in range(40):
+        texts[k] = " ".join(words(3000 + k, 100) + line * 20)
+        w = [f"q{k}x{i}" for i in range(364)]  # 320 of 400 shingles in common: exactly 0.8
+        texts[100 + k], texts[200 + k] = " ".join(w), " ".join(w[:324] + [f"r{k}x{i}" for i in range(40)])
+        texts[300 + k] = " ".join(w[:316] + [f"s{k}x{i}" for i in range(48)])
+    assert like(texts[100], texts[200]) == 0.8 and like(texts[100], texts[300]) < 0.8 and like(texts[0], texts[1]) < 0.2
+    texts = {i: t for i, t in texts.items() if i < 300 or i % 2}
+    ids = sorted(texts)
+    near = [(a, b) for a in ids for b in ids if a < b and a % 100 == b % 100 and a >= 100 and like(texts[a], texts[b]) >= 0.8]
+    low = smallest_reachable(400, near)
+    for tile in (8, 1024):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark, table(spark, texts.items()), tile=tile).collect()}
+        assert all(got[i] in (i, low[i]) for i in ids)
+        assert sum(got[i] == low[i] for i in ids if low[i] != i) >= 0.9 * sum(low[i] != i for i in ids)
+
+
+def test_jaccard_of_sorted_sets():
+    g = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (np.unique(g.integers(0, 14, g.integers(0, 14)).astype(np.uint64)) for _ in range(2))
+        x, y = set(a.tolist()), set(b.tolist())
+        assert simhash.jaccard_reached(a, b, 0.8) == (x == y or len(x & y) >= 0.8 * len(x | y) - 1e-9)
+
+
 # 6 chat -------------------------------------------------------------------------------------------------------------
 
 
