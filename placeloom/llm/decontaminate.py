@@ -6,7 +6,9 @@ current word, then advance or not by a random bit that depends on step and word)
 distance; bit-sampling hashes of several walks bring a leaking window and its item together with high probability; a
 bit-parallel exact edit distance confirms every candidate. Most windows are not worth embedding: of the d + m rarest
 words of an item a window within d edits must hold at least m, so only windows with so many of some item's rarest words
-are embedded; that condition loses nothing.
+are embedded; that condition loses nothing. Walks of long items and of many edits drift apart, so hashes alone would lose
+leaks near the edit limit: whatever passes the condition and was not confirmed through a hash is verified by the exact
+edit distance too. Recall is 1.
 """
 
 from __future__ import annotations
@@ -137,18 +139,21 @@ class Index:
         hits: list[set[int]] = [set() for _ in texts]
         tokens = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
         ends = np.cumsum(lengths)
-        for n, starts in self._worth(tokens, ends):
+        runs = self._runs(tokens, ends)
+        for n, starts in self._worth(len(tokens), *runs):
             owners = np.searchsorted(ends, starts, side="right")
             for at in range(0, len(starts), WINDOWS):
                 self._confirm(tokens, starts[at : at + WINDOWS], n, self.edits(n), owners[at : at + WINDOWS], ends, hits)
+        self._verify(tokens, ends, *runs, hits)
         return [sorted(h) for h in hits]
 
-    def _worth(self, tokens: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(n, starts) of the windows of n tokens that hold enough of some item's rarest words."""
+    def _runs(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, doc, low, high): starts low to high of stretches that hold enough of an item's rarest words. Rows of one
+        item are in the order of the text."""
         place = np.flatnonzero(self.vote_count[tokens])
         count = self.vote_count[tokens[place]]
         if not len(place):
-            return
+            return (np.zeros(0, dtype=np.int64),) * 4
         spread = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         item = self.vote_items[np.repeat(self.vote_begin[tokens[place]], count) + spread]
         key = np.sort((item << 40) | np.repeat(place, count))
@@ -166,13 +171,32 @@ class Index:
         begin = np.where(doc > 0, ends[doc - 1], 0)
         low = np.maximum(begin, pos[last] - n - d + 1)
         high = np.minimum(pos[first], np.maximum(begin, ends[doc] - n + d))
+        return item[first], doc, low, np.maximum(low, high)
+
+    def _worth(self, length: int, item: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, starts) of the windows of n tokens that hold enough of some item's rarest words."""
+        n = self.size[item]
         for size in np.unique(n):
             mine = n == size
             # ranges of starts as a running sum of +1 and -1
-            edge = np.zeros(len(tokens) + 2, dtype=np.int64)
+            edge = np.zeros(length + 2, dtype=np.int64)
             np.add.at(edge, low[mine], 1)
-            np.add.at(edge, np.maximum(low[mine], high[mine]) + 1, -1)
-            yield int(size), np.flatnonzero(np.cumsum(edge[: len(tokens)]) > 0)
+            np.add.at(edge, high[mine] + 1, -1)
+            yield int(size), np.flatnonzero(np.cumsum(edge[:length]) > 0)
+
+    def _verify(self, tokens, ends, item, doc, low, high, hits) -> None:
+        """Settle every stretch of ``_runs`` whose item is not yet known to leak into its text."""
+        if not len(item):
+            return
+        stop = np.minimum(ends[doc], high + self.size[item] + self.limit[item])
+        fresh = np.append(True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] > stop[:-1]))
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(item)) - 1
+        for k, t, a, b in zip(item[first].tolist(), doc[first].tolist(), low[first].tolist(), stop[last].tolist(), strict=True):
+            name, ids = self.items[k]
+            d = int(self.limit[k])
+            if name not in hits[t] and self._overlap(ids, tokens[a:b]) >= len(ids) - d and edit_within(ids, tokens[a:b].tolist(), d):
+                hits[t].add(name)
 
     @staticmethod
     def _overlap(ids: list[int], window: np.ndarray) -> int:

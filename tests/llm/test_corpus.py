@@ -529,6 +529,25 @@ def test_edit_distance():
             assert decontaminate.edit_within(p, t, limit) == (levenshtein_in(p, t) <= limit)
 
 
+@pytest.mark.parametrize("size", [50, 100, 200, 300])
+def test_no_long_item_within_the_limit_is_lost(size):
+    g = random.Random(size)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(k, g.choices(vocabulary, k=size)) for k in range(30)]
+    d = size // 5
+    texts = []
+    for k, ids in items:
+        for change in ("insert", "delete", "replace", "mixed"):
+            w = list(ids)
+            for i in sorted(g.sample(range(size), d), reverse=True):
+                how = g.choice(["insert", "delete", "replace"]) if change == "mixed" else change
+                w[i : i + 1] = {"insert": [w[i], g.choice(vocabulary)], "delete": [], "replace": [g.choice(vocabulary)]}[how]
+            texts.append((k, " ".join(g.choices(vocabulary, k=g.randint(0, 80)) + w + g.choices(vocabulary, k=g.randint(0, 80)))))
+    index = decontaminate.Index([(k, " ".join(ids)) for k, ids in items])
+    found = index.search([t for _, t in texts] + [" ".join(g.choices(vocabulary, k=900)) for _ in range(10)])
+    assert found[: len(texts)] == [[k] for k, _ in texts] and not any(found[len(texts) :])
+
+
 def test_decontamination(spark, docs, none):
     g = random.Random(9)
     items = [(k, " ".join(words(5000 + k, g.randint(8, 60)))) for k in range(60)]
