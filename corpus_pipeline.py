@@ -20,9 +20,10 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; rows of any other kind stay as they came, repeats too."""
+    """Documents that the classifier rejects go; rows of any other kind stay as they came, repeats too.
+    Without labelled documents of both kinds there is no classifier, and all stay."""
     net = quality.fit_quality(spark, docs, table(spark, sf_dir, "labels"))
-    return docs.where(quality.score_udf(net)("text") >= THRESHOLD)
+    return docs.where(quality.score_udf(net)("text") >= THRESHOLD) if net.learned else docs
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,11 +175,12 @@ def held_out(doc_id):
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Params | None = None) -> ByteConvNet:
     """Fit on a bounded sample of labelled rows outside the held-out fold: the first ``per_class`` of each label in
     hash order. Weights restore the label shares of all learnable rows. Labels that are null or not 0/1 are ignored;
-    without rows of both labels the net is left as initialised."""
+    without rows of both labels the net is left as initialised and its ``learned`` is False."""
     p = params or Params()
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     shares = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     net = ByteConvNet(p.seed)
+    net.learned = False
     if len(shares) < 2:
         return net
     rows = []
@@ -197,6 +198,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, params:
     y = np.array([r[1] for r in rows], dtype=np.float32)
     if len(set(y.tolist())) < 2:
         return net
+    net.learned = True
     have = {k: float((y == k).sum()) for k in (0, 1)}
     w = np.array([shares[int(k)] / have[int(k)] for k in y], dtype=np.float64)
     return net.fit([r[0] for r in rows], y, w / w.mean(), p)

@@ -50,3 +50,11 @@ def test_stages_take_odd_rows(spark):
         assert stage(spark, odd, SF).count() > 0
         assert stage(spark, odd.limit(0), SF).count() == 0
     assert quality.score_udf(quality.ByteConvNet(1)) is not None
+
+
+def test_quality_stage_takes_odd_rows_and_rejects_nothing_unlearned(spark, tmp_path):
+    odd = edge_cases.documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    assert pipeline.quality_stage(spark, odd.limit(0), SF).count() == 0
+    for k, rows in enumerate(([], [(i, 0, 0) for i in range(1, 11)], [(i, 1, 0) for i in range(1, 11)], [(1000 + i, i % 2, 0) for i in range(20)])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert pipeline.quality_stage(spark, odd, f"{tmp_path}/{k}").count() == odd.count()
