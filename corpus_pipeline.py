@@ -27,12 +27,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the smallest doc_id stays, once even if its row is repeated. Rows without
-    a doc_id stay."""
-    groups = simhash.similar_documents(spark, docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Of each group of similar texts the one under the smallest doc_id stays, once even if its row is repeated. Texts are
+    judged by themselves: different texts under one doc_id may all stay. Rows without a doc_id stay."""
+    groups = simhash.similar_texts(spark, docs).where("component is not null").groupBy("component")
+    keep = groups.agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    named = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).join(keep, ["doc_id", "text_hash"], "left_semi")
+    return named.dropDuplicates(["doc_id", "text_hash"]).drop("text_hash").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,11 @@ def test_quality_stage_takes_odd_rows_and_rejects_nothing_unlearned(spark, tmp_p
     for k, rows in enumerate(([], [(i, 0, 0) for i in range(1, 11)], [(i, 1, 0) for i in range(1, 11)], [(1000 + i, i % 2, 0) for i in range(20)])):
         spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
         assert pipeline.quality_stage(spark, odd, f"{tmp_path}/{k}").count() == odd.count()
+
+
+def test_texts_under_one_id_are_judged_by_themselves(spark):
+    a, b, c = (" ".join(edge_cases.words(seed, 120)) for seed in (1, 2, 3))
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, c), (3, c + " more"), (4, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in pipeline.near_duplicate_stage(spark, docs, SF).collect()]
+    assert len(got) == 4 and {(1, a), (1, b), (None, a)} < set(got) and sum(i == 3 for i, _ in got) == 1
