@@ -386,9 +386,12 @@ def similar_texts(
 
     @F.pandas_udf("node long, fp binary")
     def sketch_udf(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-        nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"node": nodes, "fp": [sketch_of(h, words).tobytes() for h in sets]})
+        nodes, fps = [], []
+        for t in texts:  # one set at a time
+            h = np.unique(shingle_hashes(t, shingle))
+            nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+            fps.append(sketch_of(h, words).tobytes())
+        return pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "fp": fps})
 
     @F.pandas_udf(T.BinaryType())
     def grams_udf(texts: pd.Series) -> pd.Series:
