@@ -724,6 +724,14 @@ def confirm_by_name(spark: SparkSession, d: str) -> DataFrame:
     return confirm.by_name(confirm.lookup(p, s), p).select("place_id", "rec_key", F.round("score", 6).alias("score"), "band")
 
 
+@_query(_ORACLES["confirm_by_name"].replace(" WHERE c_custkey % 10 = 0", ""))
+def confirm_by_name_all(spark: SparkSession, d: str) -> DataFrame:
+    """Name confirmation of every customer."""
+    p = _base(spark, d, f"SELECT c_custkey AS place_id, {_name('c_custkey')} AS name, CAST(c_nationkey AS STRING) AS locality, c_custkey % 9 AS postcode FROM {{customer}}", "customer")
+    s = _base(spark, d, f"SELECT concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, array(concat('SARL ', {_name('s_suppkey')})) AS names, CAST(s_nationkey AS STRING) AS locality, CASE WHEN s_suppkey % 6 = 0 THEN 'ceased' ELSE 'active' END AS status, s_suppkey % 9 AS postcode_r FROM {{supplier}}", "supplier")
+    return confirm.by_name(confirm.lookup(p, s), p).select("place_id", "rec_key", F.round("score", 6).alias("score"), "band")
+
+
 PAGES_TEXT = "SELECT doc_id AS place_id, concat('P', CAST(doc_id AS STRING)) AS page_id, text FROM {documents}"
 CONTACT_CLAIMS = "SELECT doc_id AS place_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 2, 9) WHEN 1 THEN 'nowhere@x.fr' ELSE substr(text, 1, 12) END AS value, CASE WHEN doc_id % 7 = 0 THEN 'osm' ELSE 'web' END AS lane, CASE WHEN doc_id % 5 = 0 THEN 'P-none' ELSE concat('P', CAST(doc_id AS STRING)) END AS `from` FROM {documents}"
 

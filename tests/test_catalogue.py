@@ -58,3 +58,8 @@ def test_diff_of_a_run_with_itself_is_empty(spark):
     ab = {(r.delta_kind, r.key) for r in diff_runs(a, b).collect()}
     ba = {(r.delta_kind, r.key) for r in diff_runs(b, a).collect()}
     assert {k for kind, k in ab if kind == "appeared"} == {k for kind, k in ba if kind == "disappeared"}
+
+
+def test_every_customer_is_looked_up(spark):
+    tenth, whole = ({tuple(r) for r in catalogue.queries()[q](spark, SF).collect()} for q in ("confirm_by_name", "confirm_by_name_all"))
+    assert {r for r in whole if r[0] % 10 == 0} == tenth and len(whole) > len(tenth)
