@@ -291,6 +291,21 @@ def verdict_fold(spark: SparkSession, d: str) -> DataFrame:
     return outcome.select("place_id", "rec_key", "outcome")
 
 
+ALL_VERDICT_PLACES, ALL_VERDICTS = VERDICT_PLACES.replace(" WHERE c_custkey % 5 = 0", ""), VERDICTS.replace(" WHERE o_orderkey % 40 = 3", "")
+
+
+@_query(
+    _ORACLES["verdict_fold"].replace(_duck(VERDICT_PLACES).replace("STRING", "VARCHAR"), _duck(ALL_VERDICT_PLACES).replace("STRING", "VARCHAR")).replace(_duck(VERDICTS).replace("STRING", "VARCHAR"), _duck(ALL_VERDICTS).replace("STRING", "VARCHAR"))
+)
+def verdict_fold_all(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome of a verdict from every order on every customer's place."""
+    pl = _base(spark, d, ALL_VERDICT_PLACES, "customer", "supplier")
+    pl = pl.select("place_id", F.array("lane").alias("sources"), "rec_key", F.lit(None).cast("double").alias("match_confidence"), F.lit(None).cast("string").alias("matched_by"))
+    v = _base(spark, d, ALL_VERDICTS, "orders").distinct().withColumn("why", F.lit(""))
+    _, outcome = match.fold_verdicts(pl, v)
+    return outcome.select("place_id", "rec_key", "outcome")
+
+
 FITS = "SELECT doc_id AS place_id, CASE WHEN toxic = 1 THEN 'no' WHEN quality = 1 AND doc_id % 3 = 0 THEN 'strong' WHEN quality = 1 THEN 'possible' ELSE 'weak' END AS fit FROM {labels}"
 TOTALS = "SELECT doc_id AS place_id, CAST(n_chars % 100 AS BIGINT) AS total FROM {documents}"
 
@@ -349,6 +364,17 @@ def run_diff(spark: SparkSession, d: str) -> DataFrame:
     return diff.diff_runs(_run(spark, d, 0), _run(spark, d, 1))
 
 
+def _whole_sql(sql: str) -> str:
+    return sql.replace("o_orderkey % 5 > 2", "o_orderkey % 5 >= 3").replace("o_orderkey % 5 < 2", "o_orderkey % 5 < 3")
+
+
+@_query(_whole_sql(_ORACLES["run_diff"]))
+def run_diff_all(spark: SparkSession, d: str) -> DataFrame:
+    """All nine change sets between two runs that hold every order between them."""
+    before, after = (_base(spark, d, _whole_sql(_run_sql(k)), "orders").withColumn("titles", F.array("title")).drop("title") for k in (0, 1))
+    return diff.diff_runs(before, after)
+
+
 @_query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
 def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return diff.first_seen(_table(spark, d, "orders"), F.col("o_custkey"), F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
