@@ -71,3 +71,7 @@ def test_all_verdicts_and_orders_take_part(spark):
     assert catalogue.queries()["verdict_fold_all"](spark, SF).count() == want
     runs = [catalogue._base(spark, SF, catalogue._whole_sql(catalogue._run_sql(k)), "orders").select("ord") for k in (0, 1)]
     assert runs[0].union(runs[1]).distinct().count() == orders.count()
+
+
+def test_every_page_is_quoted(spark):
+    assert catalogue.queries()["excerpts_all"](spark, SF).count() == catalogue._table(spark, SF, "documents").count()
