@@ -34,13 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def temporary_dir(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared folder that goes when the driver's JVM ends."""
+    where = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, p = filesystem(spark, where)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return where
+
+
 class Scratch:
-    """Parquet tables in the shared folder; a written table cuts lineage and survives lost executors."""
+    """Parquet tables in the shared folder; a written table cuts lineage and survives lost executors.
+
+    An operator drops all of its tables but those that its lazy result reads (``keep``); these go with the application."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = temporary_dir(spark, label)
         self._n = 0
+        self._live: list[str] = []
 
     def path(self, name: str = "t") -> str:
         self._n += 1
@@ -51,11 +63,20 @@ class Scratch:
         df.write.parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._scratch_path = where
+        self._live.append(where)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of this scratch area that no pending plan reads any more."""
         delete_path(self.spark, df._scratch_path)
+        self._live.remove(df._scratch_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {t._scratch_path for t in tables}
+        for where in [w for w in self._live if w not in kept]:
+            delete_path(self.spark, where)
+        self._live = sorted(kept)
 
 
 def filesystem(spark: SparkSession, path: str):

@@ -469,10 +469,16 @@ def test_shards(spark, docs, none):
 # 9 substrings -------------------------------------------------------------------------------------------------------
 
 
+def signed_hash(text):
+    v = xxhash.xxh64_intdigest(text.encode(), 42)
+    return v - 2**64 if v >> 63 else v
+
+
 def brute_repeats(rows, length):
+    """By (doc_id, text): documents in the order of doc_id, nulls first, then of the text's hash."""
     seen, out = set(), {}
-    for doc, text in sorted(rows):
-        x = (text or "").encode()
+    for doc, text in sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, signed_hash(r[1]))):
+        x = text.encode()
         cover = np.zeros(len(x) + 1, dtype=int)
         for p in range(len(x) - length + 1):
             w = x[p : p + length]
@@ -482,21 +488,35 @@ def brute_repeats(rows, length):
             seen.add(w)
         gone = np.cumsum(cover[:-1]) > 0
         kept = bytes(np.frombuffer(x, dtype=np.uint8)[~gone])
-        out[doc] = (len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+        out[doc, len(x), hashlib.sha256(x).hexdigest()] = (int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
     return out
 
 
-@pytest.mark.parametrize("length, seed", [(100, 1), (20, 2), (16, 3)])
-def test_repeats_brute_force(spark, length, seed, monkeypatch):
-    if seed == 3:
-        monkeypatch.setattr(substrings, "HOT", 3)  # the way for hot anchors
+def same_repeats(spark, rows, length, parts=5, **how):
+    df = table(spark, rows).withColumn("a", F.lit("clash")).withColumn("th", F.lit(1)).repartition(parts)
+    got = sorted(map(str, ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(spark, df, length, **how).collect())))
+    want = brute_repeats(rows, length)
+    text = lambda t: (len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest())
+    assert got == sorted(str((d, text(t)[0], *want[(d, *text(t))])) for d, t in rows)
+
+
+@pytest.mark.parametrize("length, seed, tile", [(100, 1, 1000), (20, 2, 1000), (16, 3, 2), (100, 4, 2), (31, 5, 3)])
+def test_repeats_brute_force(spark, length, seed, tile):
     g = random.Random(seed)
     pool = [" ".join(words(k, g.randint(3, 60))) for k in range(12)]
     rows = [(i, "".join(g.choice(pool) + g.choice(["", " é", "\n", "q"]) for _ in range(g.randint(0, 6)))) for i in range(80)]
     rows += [(200, "ab" * 300), (201, "ab" * 150 + "c"), (202, "a" * 500), (203, None), (204, rows[5][1])]
-    df = table(spark, rows).repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(spark, df, length).collect()}
-    assert got == brute_repeats(rows, length)
+    # one id with several texts, texts without an id, and whole rows that repeat
+    rows += [(300, pool[0] * 3), (300, pool[0] + pool[1]), (300, pool[0] + pool[1]), (None, pool[1] * 2), (None, pool[2] * 2), (None, pool[1] * 2), (None, None), (5, rows[5][1])]
+    same_repeats(spark, rows, length, tile=tile)
+
+
+@pytest.mark.parametrize("tile", [4, 1000])
+def test_repeats_at_a_hot_anchor(spark, tile):
+    """A passage that most documents share, amid texts of their own: its anchors meet as many pieces as documents."""
+    passage = " ".join(words(99, 45))
+    rows = [(i, " ".join(words(i, 12)) + passage[i % 3 :] + " ".join(words(i + 1000, 12))) for i in range(150)]
+    same_repeats(spark, rows, 100, parts=9, tile=tile)
 
 
 def test_repeats_edges(spark, docs, none):
