@@ -122,10 +122,12 @@ def near_duplicate_vectors(
 
     Vectors link when labels are equal and not null and the double-precision cosine is >= threshold. Null,
     zero, empty vectors and those with null or non-finite components link with nothing, nor do rows with a
-    null id. Vectors of different dimension never link. Equal vectors of a label collapse into one class with a
-    multiplicity before hashing. Buckets above ``block`` members are compared block against block; a
+    null id. Vectors of different dimension never link. Every row is a vector of its own: repeated rows link with each
+    other, and different vectors under one vec_id have their own links and component. Equal vectors of a label collapse
+    into one class with a multiplicity before hashing; classes go by a 64-bit hash of their SHA-256. Buckets above ``block`` members are compared block against block; a
     pair is counted only in the first table whose signature it shares, so counts need no pair shuffle. At the
-    threshold a pair is found with probability >= ``recall``; above it the odds only rise.
+    threshold a pair is found with probability >= ``recall``; above it the odds only rise. Other columns are ignored; an
+    empty table gives no rows.
     """
     scratch = Scratch(spark, "vectors")
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"), F.col("label"))
@@ -138,11 +140,11 @@ def near_duplicate_vectors(
         & F.expr("exists(embedding, x -> x <> 0)")
     )
     key = F.when(valid, F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.col("embedding").cast("string")), 256))
-    v = v.withColumn("key", key)
+    v = v.withColumn("key", F.when(key.isNotNull(), F.xxhash64(key)))
     classes = scratch.write(
         v.where("key is not null")
-        .groupBy("key")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding")),
+        .groupBy(F.col("key").alias("rep"))
+        .agg(F.min("vec_id").alias("first_id"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding")),
         "classes",
     )
     bits, tables = plan_tables(classes.count(), threshold, recall)
@@ -171,13 +173,16 @@ def near_duplicate_vectors(
     )
     groups = connected_components(spark, found.select(F.col("rep").alias("src"), F.col("low").alias("dst")), scratch)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_class = scratch.write(
-        classes.select("key", "rep", "mult")
+    placed = scratch.write(
+        classes.select("rep", "mult", "first_id")
         .join(links, "rep", "left")
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
-        "per_class",
+        .select("rep", "first_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")),
+        "placed",
     )
+    first = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    per_class = scratch.write(placed.join(first, "component").select(F.col("rep").alias("key"), "n_links", "component_id"), "per_class")
+    scratch.keep(per_class)
     out = v.select("vec_id", "key").join(per_class, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(

@@ -193,15 +193,23 @@ def test_vectors_brute_force(spark):
     want = near.sum(1)
     found = np.array([got[i].n_links for i in range(len(x))])
     assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
-    if (found == want).all():
-        low = smallest_reachable(len(x), np.argwhere(near))
-        assert [got[i].component_id for i in range(len(x))] == low
-        assert all(got[i].kept == (low[i] == i) for i in range(len(x)))
+    low = smallest_reachable(len(x), np.argwhere(near))
+    assert (found == want).all() and [got[i].component_id for i in range(len(x))] == low
+    assert all(got[i].kept == (low[i] == i) for i in range(len(x)))
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(900, 907))
     assert len(got) == len(rows) + len(bad)
     assert embeddings.near_duplicate_vectors(spark, df.limit(0)).count() == 0
 
 
+def test_vectors_under_one_id_keep_their_own_links(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, a, 1), (1, b, 1), (2, a, 1), (3, b, 1), (4, [1.0, 1.0], 1), (5, [-1.0, 0.0], 1), (5, a, 2), (0, b, 1), (None, a, 1), (6, a, 2), (6, a, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("component", F.lit("clash"))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicate_vectors(spark, df).where("vec_id is not null").collect())
+    want = [(0, 2, 0, True), (1, 1, 1, True), (1, 2, 0, False), (2, 1, 1, False), (3, 2, 0, False), (4, 0, 4, True), (5, 0, 5, True), (5, 2, 5, True), (6, 2, 5, False), (6, 2, 5, False)]
+    assert got == want
+
+
 def test_vectors_recall_on_the_table(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = embeddings.near_duplicate_vectors(spark, e).toPandas().set_index("vec_id").n_links
