@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.llm import chat, decontaminate, embeddings, packing, quality, secrets, sharding, simhash, substrings, wordpieces
-from placeloom.llm.common import shared_dir, table
+from placeloom.llm.common import table, temporary_dir
 
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 COUNT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -49,9 +49,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents appended in batches, compacted and read back through the current manifest."""
-    import uuid
-
-    store = sharding.shard_documents(spark, table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store = sharding.shard_documents(spark, table(spark, sf_dir, "documents"), f"{temporary_dir(spark, 'shards')}/store")
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -1,8 +1,9 @@
 """Incremental secret scanning over a content-addressed blob ledger, DataFrame functions only.
 
 Every historical version of a file is addressed by the SHA-256 of its text. Only blobs whose (blob, rule,
-rule version) pair is not in the ledger are scanned, each blob once however many paths carry it; findings
-are then joined back to all paths. Spans are code-point offsets, end exclusive.
+rule version) pair is not in the ledger are scanned, each blob once however many paths carry it; what was scanned, clean
+or not, is appended to the ledger, a store of immutable shards under atomic versions, and findings are joined from it
+back to all paths. Spans are code-point offsets, end exclusive.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import Scratch
+from placeloom.llm.common import temporary_dir
+from placeloom.llm.sharding import ShardStore
 
 
 @dataclass(frozen=True)
@@ -40,10 +42,11 @@ EXTRA_RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=(("PRIVATE KEY-----",),)),
 )
 RULES = BASE_RULES + EXTRA_RULES
-SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+SPAN = "array<struct<start:bigint,end:bigint>>"
+FOUND = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
+def _spans(text: Column, rule: Rule) -> Column:
     """Leftmost non-overlapping matches as spans: the pieces between matches and the matches themselves give
     every start by one running sum."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -60,7 +63,7 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["len"]).alias("end"), F.lit(rule.kind).alias("kind")))
+        one = F.array(F.struct(start.alias("start"), (start + x["len"]).alias("end")))
         return F.struct((start + x["len"]).alias("pos"), F.when(x["ok"], F.concat(acc["out"], one)).otherwise(acc["out"]).cast(SPAN).alias("out"))
 
     found = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
@@ -73,76 +76,89 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(possible, found).otherwise(empty)
 
 
-def scan_blobs(
-    spark: SparkSession, versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES
-) -> tuple[DataFrame, DataFrame]:
-    """``versions(text, ...)`` -> (hits, ledger): ``hits(blob, spans)`` of the blobs with a finding, spans sorted by start,
-    then rule order, and the ledger ``(blob, kind, version, spans)`` of all pairs scanned so far, clean ones too."""
-    scratch = Scratch(spark, "secrets")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is None:
-        blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
+def blob_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def new_ledger(spark: SparkSession, root: str | None = None) -> ShardStore:
+    """A ledger at ``root``, or one that lasts as long as the application. Rows are (blob, scans of one run)."""
+    return ShardStore(spark, root or f"{temporary_dir(spark, 'ledger')}/store")
+
+
+def scan(versions: DataFrame, ledger: ShardStore, rules: tuple[Rule, ...] = RULES) -> None:
+    """Scan the blobs of ``versions(text, ...)`` by the rules that the ledger does not have for them and add the outcome.
+    Of two runs that commit at once one gets ``CommitConflict``."""
+    blobs = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    if ledger.manifest()["version"]:
+        pairs = ledger.read().select("blob", F.explode("scans").alias("s")).select("blob", F.concat_ws(":", "s.kind", "s.version").alias("pair"))
+        blobs = blobs.join(pairs.groupBy("blob").agg(F.collect_set("pair").alias("seen")), "blob", "left")
     else:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+        blobs = blobs.withColumn("seen", F.lit(None).cast("array<string>"))
     scans = [
         F.when(
-            ~F.array_contains("seen", f"{r.kind}:{r.version}"),
-            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _spans(F.col("text"), r, i).alias("spans")),
+            ~F.coalesce(F.array_contains("seen", f"{r.kind}:{r.version}"), F.lit(False)),
+            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _spans(F.col("text"), r).alias("spans")),
         )
-        for i, r in enumerate(rules)
+        for r in rules
     ]
-    fresh = scratch.write(blobs.select("blob", F.array_compact(F.array(*scans)).alias("scans")), "fresh")
-    pairs = fresh.select("blob", F.inline("scans"))
-    per_blob = fresh.select("blob", F.flatten(F.transform("scans", lambda s: s["spans"])).alias("spans"))
-    if ledger is not None:
-        current = F.concat_ws(":", "kind", "version").isin([f"{r.kind}:{r.version}" for r in rules])
-        known = ledger.where(current).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("old"))
-        per_blob = per_blob.join(known, "blob", "left").select(
-            "blob", F.concat("spans", F.coalesce("old", F.array().cast(SPAN))).alias("spans")
-        )
-        pairs = ledger.select("blob", "kind", "version", "spans").unionByName(pairs)
-    hits = per_blob.where(F.size("spans") > 0).select("blob", F.array_sort("spans").alias("spans"))
-    return hits, pairs
+    ledger.append(blobs.select("blob", F.array_compact(F.array(*scans)).alias("scans")).where("size(scans) > 0"))
+
+
+def hits(ledger: ShardStore, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``(blob, spans)`` of all blobs of the ledger with a finding by these rules, spans sorted by start, then rule order."""
+    current = F.lit(False)
+    rank = F.lit(None).cast("int")
+    for i, r in enumerate(rules):
+        mine = (F.col("kind") == r.kind) & (F.col("version") == r.version)
+        current, rank = current | mine, F.when(mine, F.lit(i)).otherwise(rank)
+    found = ledger.read().select("blob", F.inline("scans")).where("size(spans) > 0").where(current)
+    whole = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), s["end"].alias("end"), F.col("kind")))
+    found = found.withColumn("rank", rank).select("blob", whole.cast(FOUND).alias("spans"))
+    return found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+
+
+def findings(versions: DataFrame, keys: list[str], ledger: ShardStore, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per row of ``versions`` with its keys, ``blob`` and ``spans`` as the ledger has them."""
+    paths = versions.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], blob_of(F.col("text")).alias("blob"))
+    return paths.join(hits(ledger, rules), "blob", "left").select(
+        *[F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)], "blob", F.coalesce("spans", F.array().cast(FOUND)).alias("spans")
+    )
 
 
 def scan_versions(
-    spark: SparkSession, versions: DataFrame, keys: list[str], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES
-) -> tuple[DataFrame, DataFrame]:
-    """``versions(*keys, text, ...)`` -> (findings, ledger).
+    spark: SparkSession, versions: DataFrame, keys: list[str], ledger: ShardStore | None = None, rules: tuple[Rule, ...] = RULES
+) -> tuple[DataFrame, ShardStore]:
+    """``versions(*keys, text, ...)`` -> (findings, ledger): scans what the ledger lacks, then one row per input row.
 
-    findings: one row per input row with its keys, ``blob`` and ``spans``; hand the ledger, written, to the next run.
     Null text is the empty blob. Repeated rows come back as often as they came. Columns beyond keys and text
     are ignored. An empty table gives empty results.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hits, pairs = scan_blobs(spark, versions, ledger, rules)
-    paths = versions.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.sha2(text, 256).alias("blob"))
-    found = paths.join(hits, "blob", "left").select(
-        *[F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)], "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")
-    )
-    return found, pairs
+    ledger = ledger or new_ledger(spark)
+    scan(versions, ledger, rules)
+    return findings(versions, keys, ledger, rules), ledger
 
 
-def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def redacted(spark: SparkSession, docs: DataFrame, ledger: ShardStore | None = None) -> DataFrame:
     """The same rows and columns with every secret's characters replaced by its kind in brackets; where spans
-    overlap the first names the kind. ``n_chars``, if there, follows the new text; clean rows come back unchanged."""
-    hits, _ = scan_blobs(spark, docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("__blob", F.sha2(text, 256)).join(hits.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
+    overlap the first names the kind. ``n_chars``, if there, follows the new text; clean rows come back unchanged, null
+    texts and repeated rows too. Any other column names may occur."""
+    ledger = ledger or new_ledger(spark)
+    scan(docs, ledger)
+    rows = docs.select(blob_of(F.col("text")).alias("blob"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(hits(ledger), "blob", "left")
+    text = F.col("row.text")
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))
+        gap = F.substr(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))
         new = F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], new).otherwise(acc["out"]).alias("out"))
 
     seed = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", seed, step, lambda a: F.concat(a["out"], F.substr(F.col("text"), (a["pos"] + 1).cast("int"))))
-    out = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    clean = F.aggregate("spans", seed, step, lambda a: F.concat(a["out"], F.substr(text, (a["pos"] + 1).cast("int"))))
+    new = joined.select("row", F.when(F.col("spans").isNotNull(), clean).alias("new"))
+    changed = {"text": F.col("new"), "n_chars": F.length("new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    old = lambda c: F.col("row").getField(c)
+    return new.select(*[(F.when(F.col("new").isNotNull(), changed[c]).otherwise(old(c)) if c in changed else old(c)).alias(c) for c in docs.columns])
 
 
 def span_text(spans: Column) -> Column:
@@ -151,9 +167,16 @@ def span_text(spans: Column) -> Column:
     )
 
 
-def secret_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per document: counts of the three base kinds, a digest of the base spans, and all spans as text."""
-    found, _ = scan_versions(spark, docs, ["doc_id"])
+def secret_digest(spark: SparkSession, docs: DataFrame, arrivals: int = 2) -> DataFrame:
+    """Per document: counts of the three base kinds, a digest of the base spans, and all spans as text.
+
+    Rows arrive in batches by a hash of doc_id (null ids first) at one ledger, so a text that an earlier batch brought is not
+    scanned again."""
+    ledger = new_ledger(spark)
+    batch = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)), F.lit(0))
+    for k in range(arrivals):
+        scan(docs.where(batch == k), ledger)
+    found = findings(docs, ["doc_id"], ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     return found.select(
