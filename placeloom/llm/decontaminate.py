@@ -9,6 +9,9 @@ words of an item a window within d edits must hold at least m, so only windows w
 are embedded; that condition loses nothing. Walks of long items and of many edits drift apart, so hashes alone would lose
 leaks near the edit limit: whatever passes the condition and was not confirmed through a hash is verified by the exact
 edit distance too. Recall is 1.
+
+Items are taken in blocks of bounded size, one pass over the texts for each block; only one block is ever on the driver
+or in a task.
 """
 
 from __future__ import annotations
@@ -16,15 +19,19 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ITEM_BLOCK = 2_000  # keeps the table of random bits of a block near 100 MB
+from placeloom.llm.common import Scratch
+
+ITEM_BLOCK, BLOCK_CHARS = 2_000, 4_000_000  # bounds of a block: a task holds its words, votes and tables, some 20 bytes a character
 WINDOWS = 5_000
 BATCH_CHARS = 8_000_000
 # words are runs of ASCII letters, digits and underscores and of bytes above ASCII
@@ -84,8 +91,8 @@ class Index:
         sizes = sorted({len(ids) for _, ids in self.items})
         g = np.random.default_rng(seed)
         longest = 3 * (sizes[-1] if sizes else 0)
-        # a random bit for each walk, step and word; 0 stands for all words outside the vocabulary
-        self.bits = g.integers(0, 2, (walks, longest, len(self.vocabulary) + 2), dtype=np.uint8)
+        # the random bit of a walk, step and word is the top bit of their product; word 0 is all words outside the vocabulary
+        self.steps = g.integers(0, 2**63, (walks, longest), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.odd = g.integers(0, 2**63, (walks, samples, picks), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.tables: dict[int, list] = {}
         self.places: dict[int, np.ndarray] = {}
@@ -93,7 +100,8 @@ class Index:
             self.places[n] = np.sort(g.integers(0, 3 * n, (walks, samples, picks)), axis=2)
             mine = [(item, ids) for item, ids in self.items if len(ids) == n]
             flat = np.array([ids for _, ids in mine], dtype=np.int64)
-            keys = self.hashes(flat.ravel(), np.arange(len(mine)) * n, n)
+            begins = np.arange(len(mine)) * n
+            keys = self.hashes(flat.ravel(), begins, begins + n, n)
             order = np.argsort(keys, axis=1, kind="stable")
             self.tables[n] = [mine, np.take_along_axis(keys, order, 1), order]
         # votes: which items count a word among their d + m rarest
@@ -109,17 +117,19 @@ class Index:
         self.vote_begin = np.cumsum(self.vote_count) - self.vote_count
         self.vote_items = np.array([k for v in voters for k in v], dtype=np.int64)
 
-    def hashes(self, tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """(walks * samples, windows) hashes of the windows of n tokens at starts."""
+    def hashes(self, tokens: np.ndarray, starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
+        """(walks * samples, windows) hashes of the windows of n tokens at starts; past ``stops``, the ends of their texts,
+        windows are padded."""
         pad = len(self.vocabulary) + 1
-        walk = np.arange(self.walks)[:, None]
         at = np.zeros((self.walks, len(starts)), dtype=np.int64)
+        room = np.minimum(n, stops - starts)
         places = self.places[n]
         copied = np.empty((int(places.max()) + 1, self.walks, len(starts)), dtype=np.uint32)
+        walk = np.arange(self.walks)[:, None]
         for j in range(len(copied)):
-            symbol = np.where(at < n, tokens[np.minimum(starts + at, len(tokens) - 1)], pad)
+            symbol = np.where(at < room, tokens[np.minimum(starts + at, len(tokens) - 1)], pad)
             copied[j] = symbol
-            at += self.bits[walk, j, symbol]
+            at += ((symbol.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * self.steps[:, j, None] >> np.uint64(63)).astype(np.int64)
         out = np.zeros((self.walks, self.samples, len(starts)), dtype=np.uint64)
         for k in range(self.picks):
             out += (copied[places[:, :, k], walk].astype(np.uint64) + np.uint64(0x9E3779B9)) * self.odd[:, :, k, None]
@@ -206,7 +216,8 @@ class Index:
 
     def _confirm(self, tokens, starts, n, d, owners, ends, hits) -> None:
         mine, keys, order = self.tables[n]
-        found = self.hashes(tokens, starts, n)
+        stops = ends[owners]
+        found = self.hashes(tokens, starts, stops, n)
         candidates: set[tuple[int, int]] = set()
         for row in range(len(found)):
             lo = np.searchsorted(keys[row], found[row], side="left")
@@ -214,7 +225,7 @@ class Index:
             for w in np.flatnonzero(hi > lo):
                 for k in range(lo[w], hi[w]):
                     candidates.add((int(order[row, k]), int(w)))
-        candidates = {(k, w) for k, w in candidates if self._overlap(mine[k][1], tokens[starts[w] : starts[w] + n]) >= n - d}
+        candidates = {(k, w) for k, w in candidates if self._overlap(mine[k][1], tokens[starts[w] : min(starts[w] + n, stops[w])]) >= n - d}
         for k, w in sorted(candidates):
             item, ids = mine[k]
             doc = owners[w]
@@ -226,10 +237,10 @@ class Index:
                 hits[doc].add(item)
 
 
-def _leaks(items: list[tuple[int, str]], max_edit: float):
+def _leaks(items: Broadcast, max_edit: float):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(items, max_edit)
+        index = Index(items.value, max_edit)
         for texts in batches:
             out: list[list[int]] = []
             held: list[str | None] = []
@@ -247,23 +258,57 @@ def _leaks(items: list[tuple[int, str]], max_edit: float):
     return udf
 
 
-def leaked_items(benchmark: DataFrame, max_edit: float = 0.2, block: int = ITEM_BLOCK) -> Column:
-    """A column over ``text``: sorted ids of the items that leak into it. Items are taken in blocks of about ``block``
-    rows, so what a task holds is bounded however many items there are. Items without an id or a word are ignored."""
+def item_blocks(benchmark: DataFrame, block: int, chars: int) -> list[DataFrame]:
+    """Items with an id and a text in blocks of about ``block`` rows and ``chars`` characters, dealt by a hash of the item."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = max(1, math.ceil(items.count() / block))
-    columns = []
-    for k in range(n):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        columns.append(_leaks(sorted((r[0], r[1]) for r in mine.collect()), max_edit)("text"))
-    return columns[0] if n == 1 else F.array_sort(F.array_distinct(F.concat(*columns)))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars")).first()
+    n = max(1, math.ceil(size["n"] / block), math.ceil(size["chars"] / chars))
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
 
+def with_leaks(
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name: str = "item_ids", max_edit: float = 0.2, block: int = ITEM_BLOCK, chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """``docs`` with one more column: the sorted ids of the items that leak into ``text``.
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2) -> DataFrame:
+    Items without an id or a word are ignored, repeated ones count once. One block needs no pass of its own. Of several
+    each writes the texts it finds leaks in, by a 64-bit hash of the text, before the next is read; texts are judged by
+    content, so repeated rows get the same result.
+    """
+    blocks = item_blocks(benchmark, block, chars)
+    share = lambda rows: spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in rows.collect()))
+    if len(blocks) == 1:
+        return docs.withColumn(name, _leaks(share(blocks[0]), max_edit)("text"))
+    scratch = Scratch(spark, "leaks")
+    parts = []
+    for rows in blocks:
+        items = share(rows)
+        found = docs.select(F.xxhash64("text").alias("th"), _leaks(items, max_edit)("text").alias("ids")).where("size(ids) > 0")
+        parts.append(scratch.write(found.select("th", F.explode("ids").alias("id")).distinct(), "found"))
+        items.destroy()
+    found = reduce(DataFrame.unionByName, parts).groupBy("th").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    found = scratch.write(found.select(F.col("th").alias("leak_th"), F.col("ids").alias("leak_ids")), "leaks")
+    scratch.keep(found)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("th"))
+    ids = F.coalesce("leak_ids", F.array().cast("array<bigint>"))
+    joined = rows.join(found, F.col("th") == F.col("leak_th"), "left")
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], ids.alias(name))
+
+
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, **blocks) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, contaminated, n_items, item_ids)``, one row per input row.
 
-    Null and empty texts are clean; repeated rows are judged alike; other columns are ignored.
+    Null and empty texts are clean; repeated rows are judged alike; very long texts are searched whole, in windows; other
+    columns are ignored; an empty table gives no rows.
     """
-    found = docs.select("doc_id", leaked_items(benchmark, max_edit).alias("item_ids"))
+    found = with_leaks(spark, docs.select("doc_id", "text"), benchmark, "item_ids", max_edit, **blocks)
     size = F.size("item_ids")
     return found.select("doc_id", (size > 0).alias("contaminated"), size.cast("long").alias("n_items"), "item_ids")
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2) -> DataFrame:
+    """The rows of ``docs`` that hold no item, columns as they are."""
+    name = "leaked"
+    while name in docs.columns:
+        name += "_"
+    return with_leaks(spark, docs, benchmark, name, max_edit).where(F.size(name) == 0).drop(name)

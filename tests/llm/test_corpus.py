@@ -645,25 +645,71 @@ def test_no_long_item_within_the_limit_is_lost(size):
     assert found[: len(texts)] == [[k] for k, _ in texts] and not any(found[len(texts) :])
 
 
+def fewest_edits(items, text):
+    """Of several items of one length: the fewest edits that turn each into some stretch of the text."""
+    rows = np.array(items)
+    at = np.arange(rows.shape[1] + 1)
+    d = np.repeat(at[None, :], len(rows), axis=0)
+    best = d[:, -1].copy()
+    for w in text:
+        new = np.zeros_like(d)
+        new[:, 1:] = np.minimum(d[:, :-1] + (rows != w), d[:, 1:] + 1)
+        d = np.minimum.accumulate(new - at, axis=1) + at
+        best = np.minimum(best, d[:, -1])
+    return best
+
+
+def brute_leaks(items, texts):
+    """Ids of the items within a fifth of their words of a stretch of each text."""
+    code = defaultdict(lambda: len(code) + 1)
+    by_size = defaultdict(list)
+    for k, text in items:
+        w = [code[x] for x in decontaminate.words_of(text)]
+        if k is not None and w:
+            by_size[len(w)].append((k, w))
+    out = []
+    for text in texts:
+        words = [code.get(x, 0) for x in decontaminate.words_of(text)]
+        out.append({k for n, mine in by_size.items() for (k, _), e in zip(mine, fewest_edits([w for _, w in mine], words), strict=True) if e <= int(0.2 * n + 1e-9)})
+    return out
+
+
 def test_decontamination(spark, docs, none):
     g = random.Random(9)
     items = [(k, " ".join(words(5000 + k, g.randint(8, 60)))) for k in range(60)]
     noise = [w for k in range(40) for w in words(k, 200)]
-    rows, want = [], {}
-    for k, (item, text) in enumerate(items * 3):
+    rows = []
+    for k, (_, text) in enumerate(items * 3):
         w = text.split()
         for _ in range(int(0.2 * len(w)) if k >= 60 else 0):
             i = g.randrange(len(w))
             w[i : i + 1] = g.choice([[], [g.choice(noise)], [w[i], g.choice(noise)]])
         rows.append((k, " ".join(g.choices(noise, k=g.randint(0, 200)) + w + g.choices(noise, k=g.randint(0, 200))).replace(" ", ", ", 3).upper()))
-        want[k] = {i for i, t in items if levenshtein_in(decontaminate.words_of(t), decontaminate.words_of(rows[-1][1])) <= int(0.2 * len(t.split()))} if k % 9 == 0 else {item}
     rows += [(1000 + k, " ".join(g.choices(noise, k=300))) for k in range(60)]
-    bench = spark.createDataFrame(items + [(None, "x y z"), (777, None), (778, " ")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    rows += [(2000, rows[0][1]), (2000, rows[1][1]), (2000, rows[1][1]), (2001, " ".join(g.choices(noise, k=60_000)) + " " + rows[5][1])]
+    want = sorted((k, tuple(sorted(ids))) for (k, _), ids in zip(rows, brute_leaks(items, [t for _, t in rows]), strict=True))
+    assert sum(len(ids) for _, ids in want) > 170
+    bench = spark.createDataFrame(items + [items[0], (None, "x y z"), (777, None), (778, " ")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    df = table(spark, rows).withColumn("th", F.lit(1)).withColumn("item_ids", F.lit("clash"))
     for block in (20_000, 25):
-        got = {r.doc_id: set(r.item_ids) for r in table(spark, rows).select("doc_id", decontaminate.leaked_items(bench, block=block).alias("item_ids")).collect()}
-        hit = [want[k] <= got[k] for k in want]
-        assert sum(hit) >= 0.98 * len(hit)
-        assert all(got[k] <= want[k] for k in want if k % 9 == 0) and all(not got[1000 + k] for k in range(60))
+        found = decontaminate.contamination(spark, df, bench, block=block).collect()
+        assert sorted((r.doc_id, tuple(r.item_ids)) for r in found) == want
+        assert all((r.contaminated, r.n_items) == (bool(r.item_ids), len(r.item_ids)) for r in found)
+    assert len(decontaminate.item_blocks(bench, 25, 10**9)) == 3 and len(decontaminate.item_blocks(bench, 10**9, 5000)) > 1
+    left = decontaminate.without_leaks(spark, df.withColumn("leaked", F.lit("kept")), bench)
+    assert left.columns == [*df.columns, "leaked"] and sorted(r.doc_id for r in left.collect()) == sorted(k for k, ids in want if not ids)
     assert decontaminate.contamination(spark, docs, bench).where("contaminated").count() == 0
-    assert decontaminate.contamination(spark, none, bench).count() == 0
+    for block in (20_000, 25):
+        assert decontaminate.contamination(spark, none, bench, block=block).count() == 0
     assert decontaminate.contamination(spark, docs, bench.limit(0)).count() == 12
+
+
+def test_decontamination_of_the_table_in_blocks(spark):
+    folder = "/root/testdata/sf0.01"
+    d, b = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "benchmark"))
+    n = b.count()
+    assert len(decontaminate.item_blocks(b, max(1, n // 4), 10**9)) >= 4
+    found = {r.doc_id: set(r.item_ids) for r in decontaminate.contamination(spark, d, b, block=max(1, n // 4)).collect()}
+    rows = d.select("doc_id", "text").collect()
+    want = brute_leaks([(r.item_id, r.text) for r in b.collect()], [r.text for r in rows])
+    assert all(found[r.doc_id] == w for r, w in zip(rows, want, strict=True)) and any(want)
