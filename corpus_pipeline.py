@@ -37,7 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within the edit limit go."""
-    return docs.where(F.size(decontaminate.leaked_items(table(spark, sf_dir, "benchmark"))) == 0)
+    return decontaminate.without_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
