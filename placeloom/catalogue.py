@@ -10,11 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from placeloom import ship
+from placeloom import scratch_dir, ship
 from placeloom.functions import dims, extract, geo, text
-from placeloom.operators import confirm, diff, gate, match, resolve, score, summary
+from placeloom.operators import confirm, diff, gate, match, ranks, resolve, score, summary
 from placeloom.plans import render, sweep
 from placeloom.sources import bulk, pages, poi, registers
 
@@ -70,7 +69,7 @@ def _name(key: str) -> str:
 
 
 def _lat(key: str) -> str:
-    return f"CAST(48.84 AS DOUBLE) + ({key} % 97) * CAST(0.0003 AS DOUBLE)"
+    return f"CAST(48.84 AS DOUBLE) + ({key} % 97) * CAST(0.0003 AS DOUBLE) + floor({key} / 5000) * CAST(0.05 AS DOUBLE)"
 
 
 def _lon(key: str) -> str:
@@ -270,9 +269,9 @@ def street_line(spark: SparkSession, d: str) -> DataFrame:
 
 # verdicts, doorways, sets -----------------------------------------------------------------------------------------
 
-VERDICT_PLACES = """SELECT concat('osm:', CAST(c_custkey AS STRING)) AS place_id, 'osm' AS lane, CAST(NULL AS STRING) AS rec_key FROM {customer} WHERE c_custkey % 5 = 0
+VERDICT_PLACES = """SELECT concat('osm:', CAST(c_custkey AS STRING)) AS place_id, 'osm' AS lane, CAST(NULL AS STRING) AS rec_key FROM {customer}
 UNION ALL SELECT concat('reg:', CAST(s_suppkey AS STRING)), 'registry', concat('reg:', CAST(s_suppkey AS STRING)) FROM {supplier}"""
-VERDICTS = """SELECT concat('osm:', CAST(o_custkey AS STRING)) AS place_id, concat(CASE WHEN o_orderkey % 2 = 0 THEN 'reg:' ELSE '' END, CAST(o_orderkey % 150 AS STRING)) AS rec_key, o_orderkey % 3 > 0 AS merge FROM {orders} WHERE o_orderkey % 40 = 3"""
+VERDICTS = """SELECT concat('osm:', CAST(o_custkey AS STRING)) AS place_id, concat(CASE WHEN o_orderkey % 2 = 0 THEN 'reg:' ELSE '' END, CAST(o_orderkey % 150 AS STRING)) AS rec_key, o_orderkey % 3 > 0 AS merge FROM {orders}"""
 
 
 @_query(
@@ -291,19 +290,18 @@ def verdict_fold(spark: SparkSession, d: str) -> DataFrame:
     return outcome.select("place_id", "rec_key", "outcome")
 
 
-ALL_VERDICT_PLACES, ALL_VERDICTS = VERDICT_PLACES.replace(" WHERE c_custkey % 5 = 0", ""), VERDICTS.replace(" WHERE o_orderkey % 40 = 3", "")
-
-
 @_query(
-    _ORACLES["verdict_fold"].replace(_duck(VERDICT_PLACES).replace("STRING", "VARCHAR"), _duck(ALL_VERDICT_PLACES).replace("STRING", "VARCHAR")).replace(_duck(VERDICTS).replace("STRING", "VARCHAR"), _duck(ALL_VERDICTS).replace("STRING", "VARCHAR"))
+    _ORACLES["verdict_fold"].rsplit("SELECT place_id, rec_key, CASE", 1)[0]
+    + """, m AS (SELECT place_id, full_key FROM j WHERE known AND merge AND rp = 1 AND rr = 1)
+SELECT pl.place_id, coalesce(m.full_key, pl.rec_key) AS rec_key, CASE WHEN m.full_key IS NULL THEN pl.lane ELSE 'osm+registry' END AS sources, CASE WHEN m.full_key IS NOT NULL THEN 1.0 END::DOUBLE AS match_confidence, CASE WHEN m.full_key IS NOT NULL THEN 'verdict' END AS matched_by
+FROM pl LEFT JOIN m USING (place_id) WHERE pl.lane = 'osm' OR pl.rec_key NOT IN (SELECT full_key FROM m)"""
 )
-def verdict_fold_all(spark: SparkSession, d: str) -> DataFrame:
-    """Outcome of a verdict from every order on every customer's place."""
-    pl = _base(spark, d, ALL_VERDICT_PLACES, "customer", "supplier")
+def verdict_places(spark: SparkSession, d: str) -> DataFrame:
+    """The places after the verdicts: merged ones carry the record, absorbed register places are gone."""
+    pl = _base(spark, d, VERDICT_PLACES, "customer", "supplier")
     pl = pl.select("place_id", F.array("lane").alias("sources"), "rec_key", F.lit(None).cast("double").alias("match_confidence"), F.lit(None).cast("string").alias("matched_by"))
-    v = _base(spark, d, ALL_VERDICTS, "orders").distinct().withColumn("why", F.lit(""))
-    _, outcome = match.fold_verdicts(pl, v)
-    return outcome.select("place_id", "rec_key", "outcome")
+    places, _ = match.fold_verdicts(pl, _base(spark, d, VERDICTS, "orders").distinct().withColumn("why", F.lit("")))
+    return places.select("place_id", "rec_key", F.array_join("sources", "+").alias("sources"), "match_confidence", "matched_by")
 
 
 FITS = "SELECT doc_id AS place_id, CASE WHEN toxic = 1 THEN 'no' WHEN quality = 1 AND doc_id % 3 = 0 THEN 'strong' WHEN quality = 1 THEN 'possible' ELSE 'weak' END AS fit FROM {labels}"
@@ -345,7 +343,7 @@ def _run(spark: SparkSession, d: str, parity: int) -> DataFrame:
 
 
 def _run_sql(parity: int) -> str:
-    return RUN.replace("o_orderkey % 2 = %PARITY%", f"o_orderkey % 5 {'<' if parity else '>'} 2").replace("%PARITY%", "0")
+    return RUN.replace("o_orderkey % 2 = %PARITY%", f"o_orderkey % 5 {'<' if parity else '>='} 3").replace("%PARITY%", "0")
 
 
 @_query(
@@ -364,17 +362,6 @@ def run_diff(spark: SparkSession, d: str) -> DataFrame:
     return diff.diff_runs(_run(spark, d, 0), _run(spark, d, 1))
 
 
-def _whole_sql(sql: str) -> str:
-    return sql.replace("o_orderkey % 5 > 2", "o_orderkey % 5 >= 3").replace("o_orderkey % 5 < 2", "o_orderkey % 5 < 3")
-
-
-@_query(_whole_sql(_ORACLES["run_diff"]))
-def run_diff_all(spark: SparkSession, d: str) -> DataFrame:
-    """All nine change sets between two runs that hold every order between them."""
-    before, after = (_base(spark, d, _whole_sql(_run_sql(k)), "orders").withColumn("titles", F.array("title")).drop("title") for k in (0, 1))
-    return diff.diff_runs(before, after)
-
-
 @_query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
 def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return diff.first_seen(_table(spark, d, "orders"), F.col("o_custkey"), F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
@@ -382,12 +369,13 @@ def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     """SELECT key, ord, store FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY store DESC, ord DESC) AS rn FROM (
-SELECT o_custkey AS key, o_orderkey AS ord, 0 AS store FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey, 1 FROM orders WHERE o_orderstatus = 'O')) WHERE rn = 1"""
+SELECT o_custkey AS key, o_orderkey AS ord, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS store FROM orders)) WHERE rn = 1"""
 )
 def last_wins_union(spark: SparkSession, d: str) -> DataFrame:
     o = _table(spark, d, "orders")
-    store = lambda s, i: o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ord"), F.lit(i).alias("store"))
-    return diff.union_records([store("F", 0), store("O", 1)], "key")
+    status = F.col("o_orderstatus")
+    store = lambda own, i: o.where(own).select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ord"), F.lit(i).alias("store"))
+    return diff.union_records([store(status == "F", 0), store(status == "O", 1), store(~status.isin("F", "O"), 2)], "key")
 
 
 @_query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) > 100 AS truncated FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
@@ -413,15 +401,15 @@ def work_batches(spark: SparkSession, d: str) -> DataFrame:
 )
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     e = _table(spark, d, "events")
-    ranks = e.withColumn("rk", F.row_number().over(W.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")))
-    return diff.reciprocal_rank_fusion(ranks, "user_id", "event_type", "rk").select("user_id", F.round("score", 9).alias("score"))
+    placed = ranks.ranked_within(spark, e.select("user_id", "event_type", "value", "event_id"), ["event_type"], [F.col("value").desc(), F.col("event_id")], "rk")
+    return diff.reciprocal_rank_fusion(placed, "user_id", "event_type", "rk").select("user_id", F.round("score", 9).alias("score"))
 
 
 # pages ------------------------------------------------------------------------------------------------------------
 
-URL = "concat(CASE WHEN page_id % 3 = 0 THEN replace(regexp_replace(url, '[?#].*$', ''), 'http://', 'HTTP://WWW.') ELSE regexp_replace(url, '[?#].*$', '') END, CASE page_id % 4 WHEN 0 THEN '/?utm_source=x&b=2&a=1#top' WHEN 1 THEN '/' WHEN 2 THEN '#f' ELSE '' END)"
+URL = "concat(CASE WHEN page_id % 3 = 0 THEN replace(regexp_replace(url, '[?#].*$', ''), 'http://', 'HTTP://WWW.') ELSE regexp_replace(url, '[?#].*$', '') END, CASE page_id % 4 WHEN 0 THEN '/?utm_anything=x&b=2&a=1&mc_x=3&igshid=q&b=%31#top' WHEN 1 THEN '/' WHEN 2 THEN '#f' ELSE '' END)"
 CANON = r"""lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '')
- || CASE WHEN contains(u, 'b=2&a=1') THEN '?a=1&b=2' ELSE '' END"""
+ || CASE WHEN contains(u, 'b=2&a=1') THEN '?a=1&b=2&b=1' ELSE '' END"""
 
 
 @_query(f"SELECT page_id, {CANON} AS canonical FROM (SELECT page_id, {URL} AS u FROM pages)")
@@ -491,11 +479,14 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    r"""SELECT doc_id, value FROM (SELECT DISTINCT doc_id, regexp_replace(lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]{2,}'))), '[.,;:]$', '') AS value FROM documents)
+    r"""SELECT doc_id, 'jean+' || doc_id::VARCHAR || '@x.fr' AS value, 'mailto link' AS note FROM documents UNION ALL
+SELECT doc_id, value, 'in the page text' FROM (SELECT DISTINCT doc_id, regexp_replace(lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]{2,}'))), '[.,;:]$', '') AS value FROM documents)
 WHERE regexp_matches(value, '^[^@\s]+@[^@\s]+\.[a-z]{2,}$') AND NOT regexp_matches(value, '\.(png|jpe?g|gif|svg|webp|css|js|woff2?)$') AND NOT regexp_matches(value, '^(?:example|test|no-?reply|your|email|nom|prenom)@')"""
 )
 def emails(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", F.explode(extract.emails(F.col("text"), F.lit(""))).alias("e")).select("doc_id", "e.value")
+    """Addresses of links, then those written in the text."""
+    html = F.concat(F.lit('<a href="mailto:Jean%2B'), F.col("doc_id").cast("string"), F.lit('@x.fr?subject=a">x</a><a href="mailto:noreply@x.fr">y</a>'))
+    return _table(spark, d, "documents").select("doc_id", F.explode(extract.emails(F.coalesce("text", F.lit("")), html)).alias("e")).select("doc_id", "e.value", "e.note")
 
 
 CONTACT_MARKUP = """concat('<a href="tel:+33 1 ', CAST(10000000 + page_id AS STRING), '">x</a><a href="https://www.linkedin.com/company/c', CAST(page_id AS STRING), '/">', CASE WHEN page_id % 2 = 0 THEN '<a href="https://facebook.com/sharer?u=1">' ELSE '<a href="https://jobs.lever.co/acme-', CAST(page_id % 9 AS STRING), '/x">' END)""".replace(
@@ -681,25 +672,54 @@ def register_counts(spark: SparkSession, d: str) -> DataFrame:
 SNAP = "SELECT s_suppkey, concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, n_name AS locality, s_name, CASE WHEN s_suppkey % 6 = 0 THEN 'ceased' ELSE 'active' END AS status FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"
 
 
-@_query(f"SELECT rec_key, status FROM ({_duck(SNAP).replace('STRING', 'VARCHAR')}) WHERE trim(regexp_replace(lower(strip_accents(locality)), '[^a-z0-9._-]+', '-', 'g'), '-') = 'nation_7' AND status <> 'ceased'")
+SNAP_RECORDS = """SELECT s_suppkey, 'test' AS connector, concat('reg:', CAST(s_suppkey AS STRING)) AS id, CAST(NULL AS STRING) AS establishment_id, CASE WHEN s_suppkey % 6 = 0 THEN 'ceased' ELSE 'active' END AS status,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Ville É' WHEN 1 THEN n_name WHEN 2 THEN '東京' ELSE concat(n_name, ' Nord') END AS locality, concat(repeat('x', 130), '-', CAST(s_suppkey AS STRING)) AS long_id,
+  concat('HRB ', CAST(s_suppkey % 50 AS STRING)) AS short_id, CASE WHEN s_suppkey % 3 = 0 THEN '2024-02-02' END AS as_of FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""
+
+
+def _snapshot(spark: SparkSession, d: str) -> tuple[bulk.Snapshot, dict]:
+    r = _base(spark, d, SNAP_RECORDS, "supplier", "nation")
+    mapped = r.withColumn("localities", F.array("locality", F.lit("everywhere"))).withColumn("ids", F.array("long_id", "short_id")).where("s_suppkey % 10 > 0").drop("locality", "long_id", "short_id")
+    store = bulk.Snapshot(spark, scratch_dir(spark, "snapshot"))
+    return store, store.ingest(mapped, total=r.count(), modified="2024-01-01")
+
+
+@_query(
+    f"""WITH s AS (SELECT * FROM ({_duck(SNAP_RECORDS).replace("STRING", "VARCHAR")}) WHERE s_suppkey % 10 > 0), k AS (SELECT unnest(['VILLE e', 'nation_7', 'Nation_3  nord', '大阪', '', 'everywhere']) AS wanted)
+SELECT wanted, 'test:' || id AS rec_key, coalesce(as_of, '2024-01-01') AS as_of FROM k JOIN s ON status <> 'ceased' AND CASE wanted WHEN 'VILLE e' THEN locality = 'Ville É' WHEN 'nation_7' THEN locality = 'NATION_7' WHEN 'everywhere' THEN true WHEN 'Nation_3  nord' THEN locality = 'NATION_3 Nord' ELSE false END"""
+)
 def snapshot_by_locality(spark: SparkSession, d: str) -> DataFrame:
-    """Look-up by the exact locality key with the register filters."""
-    s = _base(spark, d, SNAP, "supplier", "nation").withColumn("key", text.slug(F.col("locality")))
-    return s.where((F.col("key") == "nation_7") & bulk.passes(F.col("status"), F.lit(None), F.lit(None))).select("rec_key", "status")
+    """Look-ups by whole locality keys in an ingested snapshot: accents and case aside, a key without letters finds nothing."""
+    store, _ = _snapshot(spark, d)
+    wanted = spark.sql("SELECT * FROM VALUES ('VILLE e'), ('nation_7'), ('Nation_3  nord'), ('大阪'), (''), ('everywhere') AS t(wanted)")
+    return store.localities(wanted, "wanted").where(bulk.passes(F.col("status"), F.lit(None), F.lit(None))).select("wanted", "rec_key", "as_of")
 
 
-@_query(f"SELECT o_orderkey, rec_key FROM orders JOIN ({_duck(SNAP).replace('STRING', 'VARCHAR')}) ON s_suppkey = o_custkey")
+@_query(
+    f"""WITH s AS (SELECT * FROM ({_duck(SNAP_RECORDS).replace("STRING", "VARCHAR")}) WHERE s_suppkey % 10 > 0)
+SELECT o_orderkey, 'test:' || id AS rec_key FROM orders JOIN s ON CASE WHEN o_orderkey % 2 = 0 THEN s_suppkey = o_custkey ELSE s_suppkey % 50 = o_custkey END"""
+)
 def snapshot_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Look-ups by identifier in an ingested snapshot; keys that agree in their first 120 characters stay apart."""
+    store, _ = _snapshot(spark, d)
+    key = F.col("o_custkey").cast("string")
+    wanted = _table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.repeat(F.lit("X"), 130), F.lit(" "), key)).otherwise(F.concat(F.lit("hrb "), key)).alias("wanted"))
+    return store.identifiers(wanted, "wanted").select("o_orderkey", "rec_key")
+
+
+@_query(f"SELECT o_orderkey, rec_key FROM orders JOIN ({_duck(SNAP).replace('STRING', 'VARCHAR')}) ON s_suppkey = o_custkey")
+def unique_ids(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers in any spelling against the register: unique hits only."""
     ids = _base(spark, d, SNAP, "supplier", "nation").select("rec_key", F.concat(F.lit("HRB "), F.col("s_suppkey").cast("string")).alias("id"))
     wanted = _table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), F.concat(F.lit("hrb-"), F.col("o_custkey").cast("string")).alias("id"))
     return confirm.unique_identifier(ids, wanted).select(F.col("query").alias("o_orderkey"), "rec_key")
 
 
-@_query("SELECT count(*) FILTER (s_name IS NOT NULL AND s_suppkey % 10 > 0) AS mapped, count(*) FILTER (s_suppkey % 10 = 0) AS skipped FROM supplier")
+@_query("SELECT count(*) FILTER (s_suppkey % 10 > 0) AS mapped, count(*) FILTER (s_suppkey % 10 = 0) AS skipped FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = _table(spark, d, "supplier").withColumn("ok", F.col("s_name").isNotNull() & (F.col("s_suppkey") % 10 > 0))
-    return s.agg(F.count_if("ok").alias("mapped"), F.count_if(~F.col("ok")).alias("skipped"))
+    """What an ingest says it mapped and skipped."""
+    _, told = _snapshot(spark, d)
+    return spark.sql(f"SELECT {told['rows']}L AS mapped, {told['skipped']}L AS skipped")
 
 
 LADDER_CAP = 10_000
@@ -738,21 +758,13 @@ def confirm_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH p AS (SELECT c_custkey AS place_id, {_name("c_custkey")} AS a, c_nationkey AS loc, c_custkey % 9 AS postcode FROM customer WHERE c_custkey % 10 = 0), s AS (SELECT concat('reg:', s_suppkey::VARCHAR) AS rec_key, concat('SARL ', {_name("s_suppkey")}) AS b, s_nationkey AS loc, s_suppkey % 9 AS postcode_r FROM supplier WHERE s_suppkey % 6 > 0),
+    f"""WITH p AS (SELECT c_custkey AS place_id, {_name("c_custkey")} AS a, c_nationkey AS loc, c_custkey % 9 AS postcode FROM customer), s AS (SELECT concat('reg:', s_suppkey::VARCHAR) AS rec_key, concat('SARL ', {_name("s_suppkey")}) AS b, s_nationkey AS loc, s_suppkey % 9 AS postcode_r FROM supplier WHERE s_suppkey % 6 > 0),
 c AS (SELECT *, place_id * 1000000 + substr(rec_key, 5)::BIGINT AS pid FROM p JOIN s USING (loc)), {_similarity("c", "a", "b", "sims")},
 h AS (SELECT place_id, rec_key, CASE WHEN postcode = postcode_r THEN least(1.0, sim + 0.1) ELSE sim END AS score, row_number() OVER (PARTITION BY place_id ORDER BY sim DESC, rec_key) AS lookup_rank FROM c JOIN sims USING (pid) WHERE sim >= 0.6 OR contains({_norm("b")}, {_norm("a")}) OR contains({_norm("a")}, {_norm("b")})),
 b AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, rec_key) AS rn FROM h WHERE lookup_rank <= 20)
 SELECT place_id, rec_key, round(score, 6) AS score, CASE WHEN score >= 0.72 THEN 'merge' WHEN score >= 0.4 THEN 'undecided' ELSE 'distinct' END AS band FROM b WHERE rn = 1"""
 )
 def confirm_by_name(spark: SparkSession, d: str) -> DataFrame:
-    p = _base(spark, d, f"SELECT c_custkey AS place_id, {_name('c_custkey')} AS name, CAST(c_nationkey AS STRING) AS locality, c_custkey % 9 AS postcode FROM {{customer}} WHERE c_custkey % 10 = 0", "customer")
-    s = _base(spark, d, f"SELECT concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, array(concat('SARL ', {_name('s_suppkey')})) AS names, CAST(s_nationkey AS STRING) AS locality, CASE WHEN s_suppkey % 6 = 0 THEN 'ceased' ELSE 'active' END AS status, s_suppkey % 9 AS postcode_r FROM {{supplier}}", "supplier")
-    return confirm.by_name(confirm.lookup(p, s), p).select("place_id", "rec_key", F.round("score", 6).alias("score"), "band")
-
-
-@_query(_ORACLES["confirm_by_name"].replace(" WHERE c_custkey % 10 = 0", ""))
-def confirm_by_name_all(spark: SparkSession, d: str) -> DataFrame:
-    """Name confirmation of every customer."""
     p = _base(spark, d, f"SELECT c_custkey AS place_id, {_name('c_custkey')} AS name, CAST(c_nationkey AS STRING) AS locality, c_custkey % 9 AS postcode FROM {{customer}}", "customer")
     s = _base(spark, d, f"SELECT concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, array(concat('SARL ', {_name('s_suppkey')})) AS names, CAST(s_nationkey AS STRING) AS locality, CASE WHEN s_suppkey % 6 = 0 THEN 'ceased' ELSE 'active' END AS status, s_suppkey % 9 AS postcode_r FROM {{supplier}}", "supplier")
     return confirm.by_name(confirm.lookup(p, s), p).select("place_id", "rec_key", F.round("score", 6).alias("score"), "band")
@@ -770,12 +782,30 @@ def gate_contacts(spark: SparkSession, d: str) -> DataFrame:
     return gate.contacts(c, p).select("place_id", "rule")
 
 
-@_query("SELECT doc_id AS place_id, CASE WHEN doc_id % 3 = 0 THEN 'citation-unresolved' ELSE 'citation-foreign' END AS rule FROM documents WHERE doc_id % 3 < 2 AND doc_id + 1 < (SELECT count(*) FROM documents)")
+@_query("""SELECT d.doc_id AS place_id, CASE WHEN d.doc_id % 3 = 0 OR o.doc_id IS NULL THEN 'citation-unresolved' ELSE 'citation-foreign' END AS rule
+FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + 1 WHERE d.doc_id % 3 < 2""")
 def gate_citations(spark: SparkSession, d: str) -> DataFrame:
-    body = "SELECT doc_id AS place_id, CASE doc_id % 3 WHEN 0 THEN 'claim [P99999999]' WHEN 1 THEN concat('claim [P', CAST(doc_id + 1 AS STRING), ']') ELSE concat('claim [P', CAST(doc_id AS STRING), '] [M]') END AS body FROM {documents} WHERE doc_id + 1 < (SELECT count(*) FROM {documents})"
+    """Citations of no page, of another place's page and of the own page; ids count over the whole run, so they differ."""
+    body = "SELECT doc_id AS place_id, CASE doc_id % 3 WHEN 0 THEN 'claim [P99999999]' WHEN 1 THEN concat('claim [P', CAST(doc_id + 1 AS STRING), ']') ELSE concat('claim [P', CAST(doc_id AS STRING), '] [M]') END AS body FROM {documents}"
     return gate.citations(_base(spark, d, body, "documents"), _base(spark, d, PAGES_TEXT, "documents")).select("place_id", "rule")
 
 
+@_query(
+    """WITH p AS (SELECT page_id, page_id % 7 AS place_id, 'P' || row_number() OVER (ORDER BY url, page_id)::VARCHAR AS label FROM pages),
+n AS (SELECT page_id, place_id, label, lead(label) OVER (ORDER BY page_id) AS cited, lead(place_id) OVER (ORDER BY page_id) AS owner FROM p)
+SELECT page_id, CASE WHEN cited IS NULL THEN 'citation-unresolved' ELSE 'citation-foreign' END AS rule FROM n WHERE cited IS NULL OR owner <> place_id"""
+)
+def foreign_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's dossier cites the page after it: labels that the run gave out, of another place or of none."""
+    p = _table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", (F.col("page_id") % 7).alias("place_id"))
+    labelled = pages.page_ids(spark, p, [F.col("url"), F.col("id")])
+    after = labelled.select((F.col("id") - 1).alias("id"), F.col("page_id").alias("cited"))
+    bodies = labelled.join(after, "id", "left").select(F.col("id"), "place_id", F.concat(F.lit("see ["), F.coalesce("cited", F.lit("P99999999")), F.lit("]")).alias("body"))
+    found = gate.citations(bodies.select("place_id", "body"), labelled.select("place_id", "page_id")).select("place_id", "rule", F.col("subject").alias("cited"))
+    asked = labelled.join(after, "id", "left").select("id", "place_id", F.coalesce("cited", F.lit("P99999999")).alias("cited"))
+    return found.join(asked, ["place_id", "cited"]).select(F.col("id").alias("page_id"), "rule")
+
+
 @_query("SELECT doc_id AS place_id FROM documents WHERE doc_id % 4 = 3")
 def gate_dated(spark: SparkSession, d: str) -> DataFrame:
     body = "SELECT doc_id AS place_id, CASE doc_id % 4 WHEN 0 THEN 'as of 2023' WHEN 1 THEN 'in 2023-05' WHEN 2 THEN 'on 2023-05-17' ELSE 'in 2023' END AS body FROM {documents}"
@@ -792,18 +822,15 @@ def gate_uncited(spark: SparkSession, d: str) -> DataFrame:
     return gate.uncited_claims(b).select("place_id", "subject")
 
 
-@_query("SELECT doc_id AS place_id, doc_id % 2 = 0 AS found FROM documents WHERE length(text) > 60")
+@_query(
+    r"""WITH v AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN nullif(substr(text, 20, 12), '') ELSE 'never-there-0' END AS value FROM documents),
+p AS (SELECT *, nullif(instr(lower(text), lower(value)), 0) AS pos FROM v), b AS (SELECT *, greatest(1, pos - 170) AS a FROM p)
+SELECT doc_id AS place_id, coalesce(pos IS NOT NULL, false) AS found, coalesce(trim(regexp_replace(substr(text, a, len(value) + pos - a + 170), '\s+', ' ', 'g')), '') AS quote FROM b"""
+)
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """Values quoted from their pages; those that are not there say so."""
-    v = _base(spark, d, "SELECT doc_id AS place_id, 1 AS ord, CASE WHEN doc_id % 2 = 0 THEN substr(text, 20, 12) ELSE 'never-there-0' END AS value, concat('P', CAST(doc_id AS STRING)) AS `from` FROM {documents} WHERE length(text) > 60", "documents")
-    return gate.quotes(v, _base(spark, d, PAGES_TEXT, "documents")).select("place_id", "found")
-
-
-@_query("SELECT doc_id AS place_id, doc_id % 2 = 0 AND coalesce(length(text) >= 20, false) AS found FROM documents")
-def excerpts_all(spark: SparkSession, d: str) -> DataFrame:
-    """Values quoted from every page, null, empty and short ones too."""
+    """Values quoted from every page, null, empty and short ones too; those that are not there say so."""
     v = _base(spark, d, "SELECT doc_id AS place_id, 1 AS ord, CASE WHEN doc_id % 2 = 0 THEN nullif(substr(text, 20, 12), '') ELSE 'never-there-0' END AS value, concat('P', CAST(doc_id AS STRING)) AS `from` FROM {documents}", "documents")
-    return gate.quotes(v, _base(spark, d, PAGES_TEXT, "documents")).select("place_id", "found")
+    return gate.quotes(v, _base(spark, d, PAGES_TEXT, "documents")).select("place_id", "found", "quote")
 
 
 @_query("SELECT s_suppkey, '\"' || s_name || ', \"\"x\"\"\",' || s_nationkey::VARCHAR || ',yes' AS line FROM supplier")
@@ -902,10 +929,11 @@ def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", pages.fetch_outcome(F.col("status"), F.col("body")).alias("outcome"))
 
 
-@_query("SELECT page_id, 'P' || row_number() OVER (PARTITION BY page_id % 7 ORDER BY url, page_id)::VARCHAR AS label FROM pages")
+@_query("SELECT page_id, 'P' || (10 + row_number() OVER (ORDER BY url, page_id))::VARCHAR AS label FROM pages")
 def page_labels(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", (F.col("page_id") % 7).alias("place_id"))
-    return pages.page_ids(p, [F.col("url"), F.col("id")]).select(F.col("id").alias("page_id"), F.col("page_id").alias("label"))
+    earlier = spark.sql("SELECT * FROM VALUES ('P3'), ('P10'), ('other') AS t(page_id)")
+    return pages.page_ids(spark, p, [F.col("url"), F.col("id")], earlier).select(F.col("id").alias("page_id"), F.col("page_id").alias("label"))
 
 
 @_query(
@@ -932,7 +960,7 @@ def gate_legal_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT 'warning' AS severity, 'site-unreachable' AS rule, page_id AS place_id FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT 'warning', 'website-unverified', page_id FROM pages WHERE page_id % 3 = 1")
 def gate_warnings(spark: SparkSession, d: str) -> DataFrame:
-    p = _base(spark, d, "SELECT page_id AS place_id, 'u' AS site_url, CASE page_id % 3 WHEN 1 THEN 'declared' ELSE 'corroborated' END AS site_confidence, page_id % 5 > 0 AS reachable, true AS enriched FROM {pages}", "pages")
+    p = _base(spark, d, "SELECT page_id AS place_id, 'u' AS site_url, CASE page_id % 3 WHEN 1 THEN 'unverified' WHEN 2 THEN 'declared' ELSE 'corroborated' END AS site_confidence, page_id % 5 > 0 AS reachable, true AS enriched FROM {pages}", "pages")
     none = spark.sql("SELECT 'x' AS reason WHERE false")
     return gate.warnings(p, none).select("severity", "rule", F.col("place_id").try_cast("long").alias("place_id"))
 

@@ -14,7 +14,7 @@ from placeloom.functions import dims
 ASSET_SUFFIX = r"(?i)\.(png|jpe?g|gif|svg|webp|css|js|woff2?)$"
 PLACEHOLDER = r"(?i)^(?:example|test|no-?reply|your|email|nom|prenom)@"
 # fixed values: query parameters that only track
-TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid mc_cid mc_eid ref".split()
+TRACKING = r"(?i)^(?:utm_|fbclid$|gclid$|mc_|ref$|ref_src$|ref_url$|spm$|_hsenc$|_hsmi$|igshid$)"
 
 
 def matches(c: Column, pattern: str, group: int = 0) -> Column:
@@ -37,7 +37,7 @@ def plausible_email(c: Column) -> Column:
 def emails(text: Column, html: Column) -> Column:
     """Array of ``(value, note)``: mailto links first, then addresses in the text; the first of each value."""
     linked = F.transform(matches(html, r"""(?i)mailto:([^"'?>\s]+@[^"'?>\s]+)""", 1), lambda m: F.lower(F.coalesce(F.try_url_decode(m), m)))
-    written = F.transform(matches(text, r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]{2,}"), lambda m: F.regexp_replace(F.lower(m), "[.,;:]$", ""))
+    written = F.transform(matches(text, r"[\w.+-]+@[\w-]+\.[\w.-]{2,}"), lambda m: F.regexp_replace(F.lower(m), "[.,;:]$", ""))
     linked = F.array_distinct(F.filter(linked, plausible_email))
     written = F.array_except(F.filter(written, plausible_email), linked)
     tag = lambda note: lambda v: F.struct(v.alias("value"), F.lit(note).alias("note"))
@@ -156,30 +156,38 @@ def _spaced(unit: str) -> str:
     return body + (f"{{{m[2]}}}" if m[2] else "")
 
 
+# fixed values: shapes of national register numbers and of the court beside them
+HR_NUMBER = r"(?i)\bHR([AB])\s*[:\s]?\s*(\d{1,7})\b"
+HR_COURT = r"\b(?:Amtsgerichts?|Registergerichts?)\s*:?\s*(?!HR[AB]\b)(?!Amtsgericht|Registergericht)([A-ZÄÖÜ][\wÄÖÜäöüß.]*(?:[- ][A-ZÄÖÜ][\wÄÖÜäöüß.]*)?)"
+SIRET = r"(?i)\bSIRET\D{0,12}(\d[\d\s.]{12,17}\d)\b"
+SIREN = r"(?i)\b(?:SIREN|RCS[^\d]{0,30})\D{0,6}(\d[\d\s.]{7,12}\d)\b"
+UK_NUMBER = r"(?i)\b(?:compan(?:y|ies)\s+(?:reg(?:istration|istered)?\.?\s*)?(?:no\.?|number)|registered\s+in\s+England[^.]{0,40}?no\.?)[\s:.–—-]{0,10}((?:[A-Z]{2})?\d{6,8})\b"
+SPANISH_NIF = r"(?i)\b(?:C\.?I\.?F\.?|N\.?I\.?F\.?)\s*[:.]?\s*([A-Z]\d{7}[A-Z0-9]|\d{8}[A-Z])\b"
+
+
 def handelsregister(text: Column) -> Column:
     """``(value, court)`` of a German register number; the court is looked for near the number."""
-    kind, number = F.regexp_extract(text, r"(?i)\bHR([AB])\s*[:\s]?\s*(\d{1,7})\b", 1), F.regexp_extract(text, r"(?i)\bHR([AB])\s*[:\s]?\s*(\d{1,7})\b", 2)
-    at = F.length(F.get(F.split(text, r"(?i)\bHR[AB]\s*[:\s]?\s*\d{1,7}\b", 2), F.lit(0)))
+    kind, number = F.regexp_extract(text, HR_NUMBER, 1), F.regexp_extract(text, HR_NUMBER, 2)
+    at = F.length(F.get(F.split(text, HR_NUMBER, 2), F.lit(0)))
     begin = F.greatest(F.lit(0), at - 120)
     near = F.substr(text, begin + 1, at + 160 - begin)
-    court = F.regexp_extract(near, r"\b(?:Amtsgerichts?|Registergerichts?)\s*:?\s*(?!HR[AB]\b)(?!Amtsgericht|Registergericht)([A-ZÄÖÜ][\wÄÖÜäöüß.]*(?:[- ][A-ZÄÖÜ][\wÄÖÜäöüß.]*)?)", 1)
+    court = F.regexp_extract(near, HR_COURT, 1)
     return F.when(number != "", F.struct(F.concat(F.lit("HR"), F.upper(kind), F.lit(" "), number).alias("value"), F.nullif(F.trim(court), F.lit("")).alias("court")))
 
 
 def siren_siret(text: Column) -> Column:
-    siret = F.regexp_replace(F.regexp_extract(text, r"(?i)\bSIRET\D{0,12}(\d[\d\s.]{12,17}\d)\b", 1), r"\D", "")
-    siren = F.regexp_replace(F.regexp_extract(text, r"(?i)\b(?:SIREN|RCS[^\d]{0,30})\D{0,6}(\d[\d\s.]{7,12}\d)\b", 1), r"\D", "")
+    siret = F.regexp_replace(F.regexp_extract(text, SIRET, 1), r"\D", "")
+    siren = F.regexp_replace(F.regexp_extract(text, SIREN, 1), r"\D", "")
     make = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
     return F.when(siret != "", make("siret", siret)).when(siren != "", make("siren", siren))
 
 
 def uk_company_number(text: Column) -> Column:
-    pattern = r"(?i)\b(?:compan(?:y|ies)\s+(?:reg(?:istration|istered)?\.?\s*)?(?:no\.?|number)|registered\s+in\s+England[^.]{0,40}?no\.?)[\s:.–—-]{0,10}((?:[A-Z]{2})?\d{6,8})\b"
-    return F.nullif(F.upper(F.regexp_extract(text, pattern, 1)), F.lit(""))
+    return F.nullif(F.upper(F.regexp_extract(text, UK_NUMBER, 1)), F.lit(""))
 
 
 def spanish_nif(text: Column) -> Column:
-    return F.nullif(F.upper(F.regexp_extract(text, r"(?i)\b(?:C\.?I\.?F\.?|N\.?I\.?F\.?)\s*[:.]?\s*([A-Z]\d{7}[A-Z0-9]|\d{8}[A-Z])\b", 1)), F.lit(""))
+    return F.nullif(F.upper(F.regexp_extract(text, SPANISH_NIF, 1)), F.lit(""))
 
 
 def legal_ids(text: Column, country: Column) -> Column:
@@ -204,6 +212,22 @@ def legal_ids(text: Column, country: Column) -> Column:
     return F.concat(national, vat)
 
 
+# fixed values: countries whose law asks for a legal notice on a company's site
+NOTICE_COUNTRIES = "at be ch de es fr gb ie it nl pl pt".split()
+
+
+def legal_id_coverage(country: Column) -> Column:
+    """``(expected, note)``: whether sites of a country must show a registration number, and what to say if not."""
+    cc = F.lower(country)
+    known = F.coalesce(cc.isin(NOTICE_COUNTRIES), F.lit(False))
+    note = (
+        F.when(known, F.concat(cc, F.lit(": sites must publish a registration number")))
+        .when(cc == "us", "us: no federal register and no published company number; identity rests on address and name")
+        .otherwise(F.concat(F.coalesce(cc, F.lit("this country")), F.lit(": no registration number is expected on sites")))
+    )
+    return F.struct(known.alias("expected"), note.alias("note"))
+
+
 def html_to_text(html: Column) -> Column:
     """Visible text: comments, scripts, styles and templates out, block ends as line ends, tags out, entities decoded."""
     out = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template|svg|title)\b.*?</\1\s*>", " ")
@@ -213,11 +237,45 @@ def html_to_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{2,}", "\n"), r"^\s+|\s+$", "")
 
 
+# fixed values: named entities and their characters
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "copy": "©", "reg": "®", "euro": "€", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«",
+    "raquo": "»", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ouml": "ö", "auml": "ä", "uuml": "ü", "szlig": "ß",
+}
+
+
 def decode_entities(c: Column) -> Column:
-    out = c
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return out
+    """Named and numeric entities, each once; an unknown name stays, a number that is no character is a blank."""
+    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    pattern = r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+    gaps, refs = F.split(c, pattern, -1), matches(c, pattern, 1)
+
+    def plain(ref: Column) -> Column:
+        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2))).try_cast("int")
+        ok = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        wide = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        number = F.when(ok, wide).otherwise(" ")
+        return F.when(ref.startswith("#"), number).otherwise(F.coalesce(F.element_at(names, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
+
+    tail = F.transform(refs, lambda r, i: F.concat(plain(r), F.get(gaps, i + 1)))
+    return F.when(F.size(refs) > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(tail, ""))).otherwise(c)
+
+
+# fixed values: what the lines of a consent banner say
+CONSENT = [
+    r"(?i)\bcookies?\b", r"(?i)accept all\b", r"(?i)reject all\b", r"(?i)manage (?:preferences|choices|cookies|settings)", r"(?i)privacy (?:policy|preferences|choices)",
+    r"(?i)tracking technolog", r"(?i)advertising partners", r"(?i)legitimate interest",
+]
+
+
+def without_consent_lines(text: Column) -> Column:
+    """Lines of a consent banner out: two of its phrases, or one in a line of under 120 characters."""
+
+    def banner(line: Column) -> Column:
+        hits = sum((line.rlike(p).cast("int") for p in CONSENT), F.lit(0))
+        return (hits >= 2) | ((hits == 1) & (F.length(F.trim(line)) < 120))
+
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~banner(line)), "\n")
 
 
 def page_title(html: Column) -> Column:
@@ -232,16 +290,31 @@ def canonical_link(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"""(?is)<link[^>]*rel=["']canonical["'][^>]*href=["']([^"']+)["']""", 1), F.lit(""))
 
 
+def _encoded(c: Column) -> Column:
+    """Percent-encoding of one query part: a blank is %20, and ! ' ( ) * ~ stay."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, plain in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case host without ``www.``, no default port, trailing slash, fragment or tracking parameter, parameters sorted."""
+    """Lower-case host without ``www.``, no default port, trailing slash, fragment or tracking parameter; parameters are
+    sorted by name, those of one name stay in order. What is no URL loses its fragment and one trailing slash."""
+    url = F.trim(url)
     scheme, host = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), domain_of(url)
     port = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*?:(\d+)(?:[/?#]|$)", 1)
     usual = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
     path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
-    query = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
-    tail = F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(query), "&"))).otherwise("")
+    raw = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: p != "")
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")
+    pairs = F.transform(raw, lambda p, i: F.struct(plain(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), plain(value(p)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike(TRACKING)))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
     made = F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), path, tail)
-    return F.coalesce(made, url)
+    return F.regexp_replace(F.coalesce(made, F.regexp_replace(url, "#.*$", "")), "/$", "")
 
 
 def domain_of(url: Column) -> Column:

@@ -108,9 +108,10 @@ def street_line(number: Column, kind: Column, name: Column) -> Column:
     return F.when(n.isNotNull(), full).when(k.isNotNull(), F.concat_ws(" ", num, k)).otherwise("")
 
 
-def slug(c: Column, most: int = 120) -> Column:
-    """Folded key: everything but letters, digits, dot, underscore and dash becomes one dash; ends are trimmed."""
-    return F.substr(F.regexp_replace(F.regexp_replace(F.lower(fold(c)), "[^a-z0-9._-]+", "-"), "^-+|-+$", ""), F.lit(1), F.lit(most))
+def slug(c: Column) -> Column:
+    """Folded key: everything but letters, digits, dot, underscore and dash becomes one dash; ends are trimmed. The whole
+    text counts, however long; a text without such characters has the empty key, which finds nothing."""
+    return F.regexp_replace(F.regexp_replace(F.lower(fold(c)), "[^a-z0-9._-]+", "-"), "^-+|-+$", "")
 
 
 def first_text(*columns: Column) -> Column:
@@ -158,6 +159,23 @@ def html_escape(c: Column) -> Column:
     return out
 
 
+# fixed values: signs of currencies that English text has one for; others are written with their code
+CURRENCY_SIGNS = {
+    "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "CAD": "CA$", "AUD": "A$", "NZD": "NZ$", "HKD": "HK$", "MXN": "MX$", "BRL": "R$", "CNY": "CN¥", "INR": "₹", "KRW": "₩",
+    "ILS": "₪", "TWD": "NT$", "VND": "₫", "PHP": "₱", "XAF": "FCFA",
+}
+
+
+def money(n: Column, currency: Column) -> Column:
+    """Whole amounts with thousands marks and the sign or code of the currency they were filed in; without one the bare number."""
+    amount = F.format_number(F.floor(F.abs(n) + 0.5).cast("long"), 0)
+    minus = F.when(n <= -0.5, "-").otherwise("")
+    signs = F.create_map(*[F.lit(x) for kv in CURRENCY_SIGNS.items() for x in kv])
+    code = F.upper(currency)
+    head = F.coalesce(F.element_at(signs, code), F.concat(code, F.lit("\u00a0")))
+    return F.when(F.coalesce(currency, F.lit("")) == "", F.concat(minus, amount)).otherwise(F.concat(minus, head, amount))
+
+
 def parse_distance_m(c: Column) -> Column:
     """``800``, ``2km``, ``1,5 km`` -> whole metres; null if malformed or not above zero."""
     number = F.regexp_extract(c, r"(?i)^\s*([0-9]+(?:[.,][0-9]+)?)\s*(m|km)?\s*$", 1)

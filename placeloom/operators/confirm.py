@@ -58,20 +58,27 @@ def lookup(places: DataFrame, snapshot: DataFrame, limit: int = 20) -> DataFrame
     )
     sim = F.coalesce(F.array_max(F.transform("rf", lambda f: text.forms_similarity(F.col("pf"), f))), F.lit(0.0))
     inside = F.exists("rn", lambda n: (F.length(n) >= 3) & (F.length(F.col("pn")) >= 3) & (F.contains(n, F.col("pn")) | F.contains(F.col("pn"), n)))
-    hit = p.join(s, "loc").withColumn("similarity", sim).where((F.col("similarity") >= LOOKUP_SIMILARITY) | inside)
+    known = F.col("loc") != ""
+    hit = p.where(known).join(s.where(known), "loc").withColumn("similarity", sim).where((F.col("similarity") >= LOOKUP_SIMILARITY) | inside)
     rank = F.row_number().over(W.partitionBy("place_id").orderBy(F.col("similarity").desc(), "rec_key"))
     return hit.withColumn("rn_", rank).where(F.col("rn_") <= limit).select("place_id", "rec_key", "similarity", "postcode_r", F.col("rn_").alias("rank"))
 
 
 def by_name(hits: DataFrame, places: DataFrame, high: float = 0.72, low: float = 0.40) -> DataFrame:
-    """Best hit per place, +0.1 (to 1 at most) on an equal postcode, in the usual bands; connectors in order, first merge wins.
+    """Best hit per place, +0.1 (to 1 at most) on an equal postcode, in the usual bands. Hits may have a ``connector_ord``: of
+    each connector the best hit counts, the first connector that merges wins, else the best of all that are undecided.
 
     Without coordinates the distance is unknown and null."""
+    if "connector_ord" not in hits.columns:
+        hits = hits.withColumn("connector_ord", F.lit(0))
     j = hits.join(places.select("place_id", "postcode"), "place_id")
     same = F.coalesce(F.col("postcode") == F.col("postcode_r"), F.lit(False))
     scored = j.withColumn("score", F.when(same, F.least(F.lit(1.0), F.col("similarity") + 0.1)).otherwise(F.col("similarity")))
-    rn = F.row_number().over(W.partitionBy("place_id").orderBy(F.col("score").desc(), "rec_key"))
-    best = scored.withColumn("rn_", rn).where("rn_ = 1")
+    own = F.min_by(F.struct("score", "rec_key"), F.struct((-F.col("score")).alias("s"), "rec_key"))
+    each = scored.groupBy("place_id", "connector_ord").agg(own.alias("h")).select("place_id", "connector_ord", "h.*")
+    merges = F.col("score") >= high
+    rule = F.struct((~merges).alias("m"), F.when(merges, F.col("connector_ord")).alias("c"), (-F.col("score")).alias("s"), "connector_ord", "rec_key")
+    best = each.groupBy("place_id").agg(F.min_by(F.struct("score", "rec_key"), rule).alias("h")).select("place_id", "h.*")
     band = F.when(F.col("score") >= high, "merge").when(F.col("score") >= low, "undecided").otherwise("distinct")
     return best.select("place_id", "rec_key", "score", F.lit(None).cast("double").alias("distance_m"), band.alias("band"))
 

@@ -72,16 +72,20 @@ def uncited_claims(dossiers: DataFrame) -> DataFrame:
     return _found(dossiers.select("place_id", F.explode(bad).alias("paragraph")), "claim-uncited", F.substr("paragraph", F.lit(1), F.lit(80)))
 
 
-def warnings(places: DataFrame, truncated: DataFrame) -> DataFrame:
-    """Findings that never fail a run; ``truncated(reason)`` are the lanes cut short."""
+def warnings(places: DataFrame, truncated: DataFrame, dossiers: DataFrame | None = None) -> DataFrame:
+    """Findings that never fail a run; ``truncated(reason)`` are the lanes cut short. With ``dossiers`` given and none of them
+    written that is said too."""
     cut = truncated.select(F.lit("warning").alias("severity"), F.lit("run-truncated").alias("rule"), F.lit("").alias("place_id"), F.col("reason").alias("subject"))
     places = places.withColumn("place_id", F.col("place_id").cast("string"))
-    site = F.col("site_url").isNotNull()
     out = cut.unionByName(_found(places.where(F.col("reachable").eqNullSafe(False)), "site-unreachable", F.col("site_url"), "warning"))
-    out = out.unionByName(_found(places.where(site & (F.col("site_confidence") != "corroborated")), "website-unverified", F.col("site_url"), "warning"))
-    total = places.agg(F.count_if(site).alias("sites"), F.count_if("enriched").alias("read"))
+    out = out.unionByName(_found(places.where(F.col("site_confidence") == "unverified"), "website-unverified", F.col("site_url"), "warning"))
+    total = places.agg(F.count_if(F.col("site_confidence") == "corroborated").alias("sites"), F.count_if("enriched").alias("read"))
     cover = total.where("sites > read").select(F.lit("warning").alias("severity"), F.lit("coverage-enrichment").alias("rule"), F.lit("").alias("place_id"), F.concat_ws("/", "read", "sites").alias("subject"))
-    return out.unionByName(cover)
+    out = out.unionByName(cover)
+    if dossiers is None:
+        return out
+    none = dossiers.agg(F.count("*").alias("n")).where("n = 0")
+    return out.unionByName(none.select(F.lit("warning").alias("severity"), F.lit("no-dossiers").alias("rule"), F.lit("").alias("place_id"), F.lit("dossiers").alias("subject")))
 
 
 def quotes(values: DataFrame, pages: DataFrame, around: int = 170, per_place: int = 10, most_chars: int = 6000) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from placeloom.functions import geo, text
+from placeloom.operators.cut import cut as _cut
 
 MAX_DISTANCE_M = 150.0
 MERGE_HIGH = 0.72
@@ -38,10 +41,13 @@ def spatial_candidates(pois: DataFrame, records: DataFrame, plan: MatchPlan = Ma
     split when a cell is hot or broadcast when small; the exact distance is a residual filter.
     """
     lat0, lon0 = geo.cell(F.col("p_lat"), plan.cell), geo.cell(F.col("p_lon"), plan.cell)
+    around = lambda c: c
     if plan.mode == "exact":
         dy = geo.lat_reach(plan.max_distance_m, plan.cell)
         reach = geo.lon_reach(F.col("p_lat"), plan.max_distance_m, plan.cell)
         dxs = F.sequence(-reach, reach)
+        cells = math.ceil(360 / plan.cell - 1e-9)  # columns meet again at 180 degrees
+        around = lambda c: F.pmod(c, F.lit(cells).cast("long"))
     else:
         dy, dxs = 1, F.array(*[F.lit(x) for x in (-1, 0, 1)])
     spread = (
@@ -49,9 +55,9 @@ def spatial_candidates(pois: DataFrame, records: DataFrame, plan: MatchPlan = Ma
         .withColumn("dy", F.explode(F.array(*[F.lit(y) for y in range(-dy, dy + 1)])))
         .withColumn("dx", F.explode(dxs))
         .withColumn("cy", lat0 + F.col("dy"))
-        .withColumn("cx", lon0 + F.col("dx"))
+        .withColumn("cx", around(lon0 + F.col("dx")))
     )
-    placed = records.where("r_lat is not null and r_lon is not null").withColumn("cy", geo.cell(F.col("r_lat"), plan.cell)).withColumn("cx", geo.cell(F.col("r_lon"), plan.cell))
+    placed = records.where("r_lat is not null and r_lon is not null").withColumn("cy", geo.cell(F.col("r_lat"), plan.cell)).withColumn("cx", around(geo.cell(F.col("r_lon"), plan.cell)))
     distance = geo.haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("r_lat"), F.col("r_lon"))
     return spread.join(placed, ["cy", "cx"]).withColumn("distance_m", distance).where(F.col("distance_m") <= plan.max_distance_m).drop("cy", "cx")
 
@@ -111,16 +117,65 @@ def carried_by() -> Column:
     )
 
 
-def assign_one_to_one(spark: SparkSession, pairs: DataFrame, order: list[Column]) -> DataFrame:
-    """Greedy one-to-one assignment as repeated mutual best: in a strict total order the pairs that are first for
-    both their sides are exactly those greedy would take next. Each round is checkpointed; rounds end when no pair is
-    left. ``pairs`` has ``poi_id`` and ``rec_key``."""
+LARGE_COMPONENT = 100_000
+
+
+def assign_one_to_one(spark: SparkSession, pairs: DataFrame, order: list[Column], large: int = LARGE_COMPONENT) -> DataFrame:
+    """Greedy one-to-one assignment in a strict total order, given by values that sort ascending. ``pairs`` has ``poi_id`` and
+    ``rec_key``, both strings.
+
+    Pairs that share no side, not even through others, do not affect each other, so every connected component is taken
+    greedily by itself, in one task and in order. Components above ``large`` pairs go in rounds of mutual best pairs instead: the
+    pairs that are first for both their sides are those that greedy takes next. Both ways give the same pairs."""
+    ordered = _cut(spark, pairs.withColumn("__o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])))
+    labels = _components(spark, ordered)
+    sized = ordered.join(labels, "poi_id")
+    sizes = sized.groupBy("component").agg(F.count("*").alias("__n"))
+    sized = _cut(spark, sized.join(sizes, "component"))
+    small = sized.where(F.col("__n") <= large).drop("__n")
+    taken = small.repartition("component").sortWithinPartitions("component", "__o").select("component", "poi_id", "rec_key").mapInPandas(_greedy, "poi_id string, rec_key string")
+    chosen = _cut(spark, taken)
+    first = ordered.join(chosen, ["poi_id", "rec_key"], "left_semi")
+    rest = sized.where(F.col("__n") > large).select(*ordered.columns)
+    return (first if rest.isEmpty() else first.unionByName(_mutual_best(spark, rest))).select(*pairs.columns)
+
+
+def _components(spark: SparkSession, pairs: DataFrame) -> DataFrame:
+    """``(poi_id, component)``: the smallest record reachable. Labels go from records to POIs and back until none changes; each
+    round halves the way of most labels by reading them through the record they name."""
+    edges = pairs.select("poi_id", "rec_key").distinct()
+    label = _cut(spark, edges.groupBy("rec_key").agg(F.min("rec_key").alias("component")))
+    while True:
+        by_poi = edges.join(label, "rec_key").groupBy("poi_id").agg(F.min("component").alias("component"))
+        new = edges.join(by_poi, "poi_id").groupBy("rec_key").agg(F.min("component").alias("component"))
+        ahead = new.select(F.col("rec_key").alias("component"), F.col("component").alias("ahead"))
+        new = _cut(spark, new.join(ahead, "component", "left").select("rec_key", F.least("component", F.coalesce("ahead", "component")).alias("component")))
+        if new.join(label.withColumnRenamed("component", "old"), "rec_key").where("component <> old").isEmpty():
+            return edges.join(new, "rec_key").groupBy("poi_id").agg(F.min("component").alias("component"))
+        label = new
+
+
+def _greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by component and in order; what a component has taken is forgotten with it."""
+    component, pois, records = None, set(), set()
+    for f in frames:
+        taken = []
+        for c, p, r in zip(f["component"], f["poi_id"], f["rec_key"], strict=True):
+            if c != component:
+                component, pois, records = c, set(), set()
+            if p not in pois and r not in records:
+                pois.add(p)
+                records.add(r)
+                taken.append((p, r))
+        if taken:
+            yield pd.DataFrame(taken, columns=["poi_id", "rec_key"])
+
+
+def _mutual_best(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     rest = _cut(spark, pairs)
     taken: DataFrame | None = None
     while True:
-        ranked = rest.withColumn("rp", F.row_number().over(W.partitionBy("poi_id").orderBy(*order))).withColumn(
-            "rr", F.row_number().over(W.partitionBy("rec_key").orderBy(*order))
-        )
+        ranked = rest.withColumn("rp", F.row_number().over(W.partitionBy("poi_id").orderBy("__o"))).withColumn("rr", F.row_number().over(W.partitionBy("rec_key").orderBy("__o")))
         ranked = _cut(spark, ranked)
         mutual = ranked.where("rp = 1 and rr = 1").drop("rp", "rr")
         if mutual.isEmpty():
@@ -132,21 +187,9 @@ def assign_one_to_one(spark: SparkSession, pairs: DataFrame, order: list[Column]
         )
 
 
-def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder. Local sessions (tests) without one get a temporary folder; a
-    cluster must name one that its machines share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        where = context.getConf().get("spark.checkpoint.dir")
-        if where is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="placeloom-ck-"))
-    return df.checkpoint()
-
-
 def pair_order() -> list[Column]:
-    """Best score first; ties by POI, then by cell and record order."""
-    return [F.col("score").desc(), F.col("poi_ord"), F.col("dy"), F.col("dx"), F.col("rec_ord")]
+    """Values that sort ascending: best score first; ties by POI, then by cell and record order."""
+    return [-F.col("score"), F.col("poi_ord"), F.col("dy"), F.col("dx"), F.col("rec_ord")]
 
 
 def match_lanes(spark: SparkSession, scored: DataFrame, plan: MatchPlan = MatchPlan()) -> tuple[DataFrame, DataFrame]:

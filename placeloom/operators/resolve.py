@@ -92,7 +92,7 @@ def attribute_hits(hits: DataFrame, places: DataFrame) -> DataFrame:
     loose = hits.join(any_tag, F.lit(True), "left_anti")
     said = loose.select("url", F.explode(F.array_distinct(words(F.concat_ws(" ", "title", "snippet")))).alias("word"))
     host = F.regexp_replace(extract.domain_of(F.col("url")), "[^a-z0-9]", "")
-    parts = F.flatten(F.transform(F.sequence(F.lit(4), F.least(F.lit(24), F.length(host))), lambda n: F.transform(F.sequence(F.lit(1), F.length(host) - n + 1), lambda i: F.substr(host, i, n))))
+    parts = F.flatten(F.transform(F.sequence(F.lit(4), F.length(host)), lambda n: F.transform(F.sequence(F.lit(1), F.length(host) - n + 1), lambda i: F.substr(host, i, n))))
     hosted = loose.where(F.length(host) >= 4).select("url", F.explode(F.array_distinct(parts)).alias("word"))
     loose_hits = said.unionByName(hosted).join(p, "word").select("place_id", "url")
     return tagged.unionByName(loose_hits).distinct()

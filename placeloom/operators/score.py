@@ -146,6 +146,13 @@ def ranked(places: DataFrame, tie: str = "place_id", limit: int | None = None) -
     return places.withColumn("rank", F.row_number().over(W.orderBy(*order))) if limit is not None else places.orderBy(*order)
 
 
+def table_order(column: Column, numeric: bool, descending: bool) -> Column:
+    """Sort key of a table column: numbers by the number that a cell begins with, texts as they are; blanks, "?" and other
+    cells without a number always come last, never as zero."""
+    value = F.nullif(F.regexp_extract(F.trim(column), r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0), F.lit("")).try_cast("double") if numeric else F.nullif(F.trim(column), F.lit(""))
+    return value.desc_nulls_last() if descending else value.asc_nulls_last()
+
+
 def keep_rows(places: DataFrame, min_score: int | None = None, min_fit: str | None = None) -> DataFrame:
     """Rows of the flat file: total at least min_score, fit at least min_fit on weak < possible < strong, others below all."""
     level = lambda c: F.array_position(F.array(F.lit("weak"), F.lit("possible"), F.lit("strong")), F.coalesce(c, F.lit(""))) - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 import os
 import uuid
@@ -87,23 +88,73 @@ def report(places: DataFrame, lanes: DataFrame, notes: DataFrame, title: str) ->
     parts += ["## Coverage", summary.coverage_sentence(lanes).first()["coverage"], markdown_table(totals, 20)]
     hiring = summary.hiring_counts(places).first()
     parts += ["## Hiring", f"{hiring['hiring']} of {n} hire, {hiring['not_hiring']} do not, {hiring['unknown']} unknown; {hiring['open_roles']} open roles."]
+    parts += inventory(places) + judged(places)
     parts += ["## Ranked", markdown_table(score.ranked(places).select("place_id", "name", "total", "fit"), 50)]
     parts += ["## Notes", markdown_table(summary.fold_notes(notes).select("text", "n"), 25)]
+    said = [r["licence"] for r in licences(lanes).orderBy("licence").collect()] if {"connector", "lane"} <= set(lanes.columns) else []
+    parts += ["## Sources", "\n".join(f"- {s}" for s in said)] if said else []
     return "\n\n".join(parts) + "\n"
 
 
+def inventory(places: DataFrame) -> list[str]:
+    """Reachability, websites, scores and activities in numbers; needs the columns of ``contact_counts``."""
+    if not {"emails", "phones", "site_confidence", "cms", "has_pricing", "has_ecommerce", "page_count"} <= set(places.columns):
+        return []
+    c = summary.contact_counts(places).first()
+    lines = [
+        f"- **Contacts.** {c['with_any']} of {c['places']} have an e-mail address or a phone number, {c['with_both']} both",
+        f"- **Websites.** {c['corroborated']} corroborated, {c['declared']} declared, {c['unverified']} unverified; {c['pages_read']} pages read",
+        f"- **Sites.** {c['with_cms']} with a known content system, {c['with_pricing']} publish prices, {c['with_ecommerce']} sell online",
+    ]
+    parts = ["## Inventory", "\n".join(lines)]
+    if "total" in places.columns:
+        parts += ["### Score distribution", markdown_table(summary.score_histogram(places.sparkSession, places).select("band", "n"), 10)]
+    return parts
+
+
+def judged(places: DataFrame, most: int = 25) -> list[str]:
+    """The verdicts that somebody wrote, word for word, best first, and how many places have none."""
+    if not {"fit", "why", "angle"} <= set(places.columns):
+        return []
+    own = places.where("fit is not null")
+    counts = {r["fit"]: r["count"] for r in own.groupBy("fit").count().collect()}
+    n, total = sum(counts.values()), places.count()
+    if not n:
+        return []
+    parts = [f"## Judged ({n} of {total})", " · ".join(f"{counts[f]} {f}" for f in ("strong", "possible", "weak", "no") if f in counts)]
+    for r in score.ranked(own, limit=most).orderBy("rank").collect():
+        parts += [f"### {r['rank']}. {r['name']} — {r['fit']} · {r['total']}"] + [f"**{k}.** {v}" for k, v in (("Why", r["why"]), ("Angle", r["angle"])) if v]
+    return parts + ([f"…and {n - most} more verdicts in the flat file."] if n > most else []) + ([f"{total - n} companies have a measured score and no verdict yet."] if total > n else [])
+
+
+# sort by a click on a heading, blanks last whichever way, and filter rows by a word
+PAGE_SCRIPT = """<script>
+const body = document.querySelector('tbody');
+document.querySelectorAll('th').forEach((head, column) => head.onclick = () => {
+  const down = head.dataset.down = head.dataset.down === '1' ? '' : '1', sign = down ? -1 : 1;
+  const cell = (row) => row.cells[column].textContent.trim();
+  const key = (row) => head.dataset.kind === 'number' ? parseFloat(cell(row)) : cell(row);
+  const blank = (k) => k === '' || Number.isNaN(k);
+  [...body.rows].sort((a, b) => { const x = key(a), y = key(b); return blank(x) || blank(y) ? blank(x) - blank(y) : sign * (x < y ? -1 : x > y ? 1 : 0); }).forEach((row) => body.append(row));
+});
+document.querySelector('input').oninput = (e) => [...body.rows].forEach((row) => row.hidden = !row.dataset.text.includes(e.target.value.toLowerCase()));
+</script>"""
+
+
 def html_page(places: DataFrame, title: str, limit: int = 2000) -> str:
     """One self-contained page: facets, a dot map and the ranked table, up to ``limit`` rows."""
     rows = score.ranked(places, limit=limit)
     e = rows.crossJoin(F.broadcast(summary.extent(places).withColumnRenamed("best", "best_total")))  # one row
     e = e.withColumn("xy", summary.project(F.col("lat"), F.col("lon"), F.col("south"), F.col("north"), F.col("west"), F.col("east")))
-    line = F.concat(F.lit("<tr><td>"), F.col("rank").cast("string"), F.lit("</td><td>"), text.html_escape(F.col("name")), F.lit("</td><td>"), F.coalesce("total", F.lit(0)).cast("string"), F.lit("</td></tr>"))
+    line = F.concat(F.lit('<tr data-text="'), text.html_escape(F.lower("name")), F.lit('"><td>'), F.col("rank").cast("string"), F.lit("</td><td>"), text.html_escape(F.col("name")), F.lit("</td><td>"), F.coalesce("total", F.lit(0)).cast("string"), F.lit("</td></tr>"))
     dot = F.when(F.col("xy.x").isNotNull(), F.format_string('<circle cx="%.1f" cy="%.1f" r="3"/>', F.col("xy.x"), F.col("xy.y")))
     got = e.orderBy("rank").select(line.alias("line"), dot.alias("dot")).collect()
     facet = " ".join(f"<span>{r['facet']}: {r['n']}</span>" for r in summary.facets(places).collect())
     dots = "".join(r["dot"] or "" for r in got)
+    title = html.escape(title)
     head = f"<!doctype html><meta charset=utf-8><title>{title}</title><h1>{title}</h1><p>{facet}</p><svg viewBox='0 0 800 600'>{dots}</svg>"
-    return head + "<table><tr><th>#<th>name<th>score</tr>" + "".join(r["line"] for r in got) + "</table>"
+    heads = '<th data-kind="number">#</th><th>name</th><th data-kind="number">score</th>'
+    return head + f"<input type=search><table><thead><tr>{heads}</tr></thead><tbody>" + "".join(r["line"] for r in got) + "</tbody></table>" + PAGE_SCRIPT
 
 
 def delta_report(delta: DataFrame, truncated: bool = False) -> str:
@@ -124,10 +175,33 @@ def privacy_note(places: DataFrame) -> str | None:
     return f"This folder holds personal data: {r['officers']} officers, {r['people']} people, {r['personal_emails']} personal-looking e-mail addresses.\n"
 
 
+FACTS = [
+    ("sources", "sources"), ("match confidence", "match_confidence"), ("category", "category"), ("register", "registry"), ("identifier", "registry_id"), ("establishment", "establishment_id"),
+    ("legal name", "legal_name"), ("legal form", "legal_form"), ("register matched by", "registry_evidence"), ("AS OF", "registry_as_of"), ("activity", "activity_code"), ("section", "section"),
+    ("activity of the company", "company_activity_code"), ("headcount", "headcount_band"), ("headcount of the company", "company_headcount_band"), ("registered since", "registered_since"),
+    ("state", "status"), ("officers", "officers"), ("website", "website"), ("website confidence", "website_confidence"), ("e-mails", "emails"), ("phones", "phones"), ("profiles", "socials"),
+    ("open roles", "open_roles"), ("oldest open role, days", "oldest_open_role_days"), ("boards", "ats"), ("content system", "cms"), ("newest content", "last_content_at"), ("pages read", "pages_read"), ("score", "score"),
+]
+
+
 def fact_sheet(places: DataFrame) -> DataFrame:
-    """One text per place with the facts that are known and where they come from."""
+    """One text per place with the facts that are known: address, register, activity on both levels, money in the currency it was
+    filed in, contacts and signals. What is unknown has no line; a place without a website says so. Columns are those of the flat file
+    that the table has."""
+    have = dict(places.dtypes)
+    shown = lambda c: F.array_join(F.col(c), "; ") if have[c].startswith("array") else F.col(c).cast("string")
     line = lambda label, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"- {label}: "), c))
-    lines = [F.concat(F.lit("# "), "name")] + [line(k, F.col(c).cast("string")) for k, c in (("category", "category"), ("register", "registry_id"), ("site", "website"), ("city", "city"), ("score", "score")) if c in places.columns]
+    lines = [F.concat(F.lit("# "), "name"), line("id", F.col("id"))]
+    if {"street", "postcode", "city"} <= set(have):
+        lines.append(line("address", F.concat_ws(", ", *[F.nullif(F.trim(c), F.lit("")) for c in ("street", "postcode", "city")])))
+    for label, c in FACTS:
+        if c in have:
+            lines.append(line(label, shown(c)))
+            if c == "website":
+                lines.append(F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit("- website: none found")))
+    if {"revenue", "revenue_currency"} <= set(have):
+        year = F.concat(F.lit(" ("), F.col("revenue_year").cast("string"), F.lit(")")) if "revenue_year" in have else F.lit("")
+        lines.append(line("revenue", F.concat(text.money(F.col("revenue"), F.col("revenue_currency")), F.coalesce(year, F.lit("")))))
     return places.select("id", F.concat_ws("\n", *lines).alias("sheet"))
 
 

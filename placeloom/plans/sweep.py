@@ -30,18 +30,47 @@ def split_ladder(rows: DataFrame, section: Column, division: Column, cap: int =
 
 def quad_tiles(spark, bbox: tuple[float, float, float, float], points: DataFrame, cap: int, depth: int = 3) -> DataFrame:
     """Leaf tiles of a quad tree over ``points(lat, lon)``: a tile above the cap is quartered, to the given depth; a leaf
-    still above it is incomplete. Every point is counted once per level; levels are one aggregation each."""
-    tiles = spark.createDataFrame([(0, "", *map(float, bbox))], "level int, path string, south double, north double, west double, east double")
-    leaves = None
-    for level in range(depth + 1):
-        inside = points.join(F.broadcast(tiles), (F.col("lat") >= F.col("south")) & (F.col("lat") < F.col("north")) & (F.col("lon") >= F.col("west")) & (F.col("lon") < F.col("east")))
-        counts = tiles.join(inside.groupBy("path").agg(F.count("*").alias("n")), "path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        done = counts.where((F.col("n") <= cap) | F.lit(level == depth)).select("level", "path", "south", "north", "west", "east", "n", (F.col("n") > cap).alias("incomplete"))
-        leaves = done if leaves is None else leaves.unionByName(done)
-        tiles = counts.where(F.col("n") > cap).select(
-            F.lit(level + 1).alias("level"), "path", F.posexplode(geo.bbox_quadrants(F.col("south"), F.col("north"), F.col("west"), F.col("east"))).alias("q", "b")
-        ).select("level", F.concat("path", F.col("q").cast("string")).alias("path"), "b.south", "b.north", "b.west", "b.east")
-    return leaves
+    still above it is incomplete. A point's path follows from its coordinates by halving, so points are read once and
+    joined with nothing; counts of coarser tiles are sums over prefixes of the finest paths."""
+    south, north, west, east = map(float, bbox)
+    inside = points.where((F.col("lat") >= south) & (F.col("lat") < north) & (F.col("lon") >= west) & (F.col("lon") < east))
+    finest = inside.select(_path(F.col("lat"), F.col("lon"), bbox, depth).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda k: F.substr("path", F.lit(1), k))
+    counts = finest.select(F.explode(prefixes).alias("path"), "n").groupBy("path").agg(F.sum("n").alias("n"))
+    split = counts.where((F.col("n") > cap) & (F.length("path") < depth))
+    tiles = split.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: F.concat("path", q.cast("string")))).alias("path"))
+    tiles = tiles.unionByName(spark.sql("SELECT '' AS path")).join(counts, "path", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    leaves = tiles.where((F.col("n") <= cap) | (F.length("path") == depth))
+    box = _box(F.col("path"), bbox, depth)
+    return leaves.select(F.length("path").alias("level"), "path", *[box[k].alias(k) for k in ("south", "north", "west", "east")], "n", (F.col("n") > cap).alias("incomplete"))
+
+
+def _path(lat: Column, lon: Column, bbox, depth: int) -> Column:
+    """Quadrants (0 south-west, 1 south-east, 2 north-west, 3 north-east) of a point, level by level."""
+    s, n, w, e = (F.lit(float(x)) for x in bbox)
+    digits = []
+    for _ in range(depth):
+        lat_mid, lon_mid = (s + n) / 2, (w + e) / 2
+        up, right = lat >= lat_mid, lon >= lon_mid
+        digits.append((F.when(up, 2).otherwise(0) + F.when(right, 1).otherwise(0)).cast("string"))
+        s, n = F.when(up, lat_mid).otherwise(s), F.when(up, n).otherwise(lat_mid)
+        w, e = F.when(right, lon_mid).otherwise(w), F.when(right, e).otherwise(lon_mid)
+    return F.concat(*digits) if digits else F.lit("")
+
+
+def _box(path: Column, bbox, depth: int) -> Column:
+    south, north, west, east = (F.lit(float(x)) for x in bbox)
+    start = F.struct(south.alias("south"), north.alias("north"), west.alias("west"), east.alias("east"))
+
+    def halve(b: Column, q: Column) -> Column:
+        lat, lon, digit = (b["south"] + b["north"]) / 2, (b["west"] + b["east"]) / 2, q.cast("int")
+        up, right = digit >= 2, digit % 2 == 1
+        return F.struct(
+            F.when(up, lat).otherwise(b["south"]).alias("south"), F.when(up, b["north"]).otherwise(lat).alias("north"),
+            F.when(right, lon).otherwise(b["west"]).alias("west"), F.when(right, b["east"]).otherwise(lon).alias("east"),
+        )
+
+    return F.aggregate(F.filter(F.split(path, ""), lambda q: q != ""), start, halve)
 
 
 def budgeted(rows: DataFrame, lane: str, order: list[Column], budget: int) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from placeloom.operators import diff
 
 # provider -> (path of the list, {column: paths in order}); fixed values of the providers' formats
 FORMATS = {
@@ -39,6 +42,17 @@ def postings(boards: DataFrame) -> DataFrame:
     return out.unionByName(_personio(boards))
 
 
+def one_of_each(jobs: DataFrame, place: str = "place_id", order: str = "ord") -> DataFrame:
+    """One posting per place, title and location, case aside: the same opening may stand on two boards. The first stays."""
+    same = F.lower(F.concat_ws("|", "title", F.coalesce("location", F.lit(""))))
+    return diff.first_seen(jobs, F.struct(F.col(place), same), F.col(order))
+
+
+def boards_of_place(found: DataFrame) -> DataFrame:
+    """``found(place_id, ord, provider, token)`` of all pages of a place -> each board once, where it was first seen."""
+    return found.groupBy("place_id", "provider", "token").agg(F.min("ord").alias("ord"))
+
+
 def _personio(boards: DataFrame) -> DataFrame:
     """XML positions; descriptions are cut first since they repeat tag names."""
     p = boards.where("provider = 'personio'").select("provider", "token", F.explode(F.regexp_extract_all("payload", F.lit(r"(?is)<position>(.*?)</position>"), F.lit(1))).alias("x"))
@@ -57,8 +71,10 @@ def _personio(boards: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_entries(files: DataFrame) -> DataFrame:
-    """``files(site, url, body)`` -> ``(site, loc, lastmod, is_index)``: pages and nested sitemaps of up to three files a site."""
+def sitemap_entries(files: DataFrame, most: int = 3) -> DataFrame:
+    """``files(site, ord, body)`` -> ``(site, loc, lastmod, is_index)``: pages and nested sitemaps of the first ``most`` files
+    that were read of a site."""
+    files = files.withColumn("rn", F.row_number().over(W.partitionBy("site").orderBy("ord"))).where(F.col("rn") <= most)
     items = F.regexp_extract_all("body", F.lit(r"(?is)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1))
     d = files.select("site", F.col("body").rlike("(?i)<sitemapindex").alias("is_index"), F.explode(items).alias("x"))
     get = lambda t: F.nullif(F.trim(F.regexp_extract("x", rf"(?is)<{t}>(.*?)</{t}>", 1)), F.lit(""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,10 +14,13 @@ from placeloom.functions import text
 LAYOUT = 3
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """RFC 4180 rows: quotes, doubled quotes, line ends inside fields, BOM; names and values trimmed, missing cells empty."""
+def read_csv(spark: SparkSession, path: str, sep: str = ",", lines_in_fields: bool = True) -> DataFrame:
+    """RFC 4180 rows: quotes, doubled quotes, line ends inside fields, BOM; names and values trimmed, missing cells empty.
+
+    A file whose fields may hold line ends is read by one task, since only its start tells quotes apart; exports known to
+    have none are read in splits with ``lines_in_fields=False``."""
     raw = spark.read.csv(
-        path, header=True, sep=sep, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", nullValue=None, emptyValue=""
+        path, header=True, sep=sep, quote='"', escape='"', multiLine=lines_in_fields, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", nullValue=None, emptyValue=""
     )
     return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip().lstrip("﻿")) for c in raw.columns])
 
@@ -52,34 +56,79 @@ class Snapshot:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def ingest(self, records: DataFrame, total: int | None = None, vintage: str | None = None, dated: bool = True, files: int = 8) -> dict:
-        """Replace the snapshot by mapped records with ``localities`` and ``ids``. No record is an error; more rejected
-        than mapped rows a warning."""
-        r = records.withColumn("as_of", record_date(F.col("as_of"), vintage, None, dated)).withColumn("rec_key", F.concat_ws(":", "connector", F.coalesce("establishment_id", "id")))
-        r.write.mode("overwrite").parquet(f"{self.folder}/mapped")
-        r = self.spark.read.parquet(f"{self.folder}/mapped")
+    def ingest(self, records: DataFrame, total: int | None = None, vintage: str | None = None, modified: str | None = None, dated: bool = True, files: int | None = None) -> dict:
+        """Replace the snapshot by mapped records with ``localities`` and ``ids``; ``modified`` is the date of the export file.
+        The new one is written beside the old and becomes current by one rename, so look-ups always read a whole one.
+        ``files`` are left to Spark unless given. No record is an error; more rejected than mapped rows a warning."""
+        r = records.withColumn("as_of", record_date(F.col("as_of"), vintage, modified, dated)).withColumn("rec_key", F.concat_ws(":", "connector", F.coalesce("establishment_id", "id")))
+        where = f"{self.folder}/{uuid.uuid4().hex}"
+        r.write.parquet(f"{where}/mapped")
+        r = self.spark.read.parquet(f"{where}/mapped")
         n = r.count()
         if n == 0:
             raise ValueError("no row of the export could be mapped")
-        by_place = r.withColumn("locality", F.explode_outer("localities")).withColumn("locality_key", text.slug(F.col("locality")))
-        by_place.repartitionByRange(files, "locality_key").sortWithinPartitions("locality_key").write.mode("overwrite").parquet(f"{self.folder}/records")
-        ids = r.select("rec_key", F.explode("ids").alias("id")).select(text.slug(F.col("id")).alias("id_key"), "rec_key")
-        ids.repartitionByRange(files, "id_key").sortWithinPartitions("id_key").write.mode("overwrite").parquet(f"{self.folder}/ids")
+        keys = F.array_distinct(F.filter(F.transform("localities", text.slug), lambda k: k != ""))
+        by_place = r.withColumn("locality_key", F.explode_outer(keys))
+        self._sorted(by_place, "locality_key", files, f"{where}/records")
+        ids = r.select("rec_key", F.explode(F.array_distinct(F.transform("ids", text.slug))).alias("id_key")).where("id_key <> ''")
+        self._sorted(ids, "id_key", files, f"{where}/ids")
+        self._point(where)
         skipped = None if total is None else total - n
         return {"rows": n, "skipped": skipped, "layout": LAYOUT, "warning": bool(skipped and skipped > n)}
 
+    @staticmethod
+    def _sorted(df: DataFrame, key: str, files: int | None, where: str) -> None:
+        spread = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
+        spread.sortWithinPartitions(key).write.parquet(where)
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _point(self, where: str) -> None:
+        fs, path = self._fs()
+        draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{where}/CURRENT")
+        out = fs.create(draft, True)
+        out.write(bytearray(where.encode()))
+        out.close()
+        if fs.exists(path):
+            fs.delete(path, False)
+        fs.rename(draft, path)
+
+    def current(self) -> str:
+        """Folder of the snapshot that look-ups read."""
+        fs, path = self._fs()
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.current()}/{name}")
+
+    def localities(self, wanted: DataFrame, column: str = "locality") -> DataFrame:
+        """Records of each of many wanted localities: one join on the key, an empty key finds nothing."""
+        keyed = wanted.withColumn("locality_key", text.slug(F.col(column))).where("locality_key <> ''")
+        return keyed.join(self._read("records"), "locality_key").drop("locality_key")
+
+    def identifiers(self, wanted: DataFrame, column: str = "wanted_id") -> DataFrame:
+        """Records that carry each of many wanted identifiers, whole keys compared."""
+        keyed = wanted.withColumn("id_key", text.slug(F.col(column))).where("id_key <> ''")
+        return keyed.join(self._read("ids").distinct(), "id_key").drop("id_key").join(self._read("mapped"), "rec_key")
+
     def by_locality(self, locality: str, extra: Column | None = None, limit: int | None = None) -> DataFrame:
-        """Records of exactly this locality; no limit unless asked for."""
-        key = self.spark.range(1).select(text.slug(F.lit(locality)).alias("k")).first()["k"]
-        out = self.spark.read.parquet(f"{self.folder}/records").where(F.col("locality_key") == key)
+        """Records of exactly this locality, none if its key is empty; no limit unless asked for."""
+        key = text.slug(F.lit(locality))
+        out = self._read("records").where((F.col("locality_key") == key) & (key != ""))
         if extra is not None:
             out = out.where(extra)
         return out if limit is None else out.limit(limit)
 
     def by_id(self, value: str) -> DataFrame:
-        key = self.spark.range(1).select(text.slug(F.lit(value)).alias("k")).first()["k"]
-        hit = self.spark.read.parquet(f"{self.folder}/ids").where(F.col("id_key") == key).select("rec_key").distinct()
-        return self.spark.read.parquet(f"{self.folder}/mapped").join(hit, "rec_key", "left_semi")
+        key = text.slug(F.lit(value))
+        hit = self._read("ids").where((F.col("id_key") == key) & (key != "")).select("rec_key").distinct()
+        return self._read("mapped").join(hit, "rec_key", "left_semi")
 
 
 def freshness(cached: DataFrame, upstream: DataFrame, tool: str) -> DataFrame:
@@ -89,6 +138,13 @@ def freshness(cached: DataFrame, upstream: DataFrame, tool: str) -> DataFrame:
     return j.select("source", state.alias("state"))
 
 
+def client_filter(status: Column, band: Column, ceased: bool = False, bands: list[str] | None = None, around_point: bool = False) -> Column:
+    """What a register's answer is filtered by afterwards: status always, headcount bands only where the endpoint for points
+    could not filter them itself."""
+    out = F.lit(True) if ceased else F.coalesce(status != "ceased", F.lit(True))
+    return out & F.coalesce(band.isin(bands), F.lit(False)) if bands and around_point else out
+
+
 def passes(status: Column, section: Column, code: Column, ceased: bool = False, sections: list[str] | None = None, prefixes: list[str] | None = None) -> Column:
     """Register filters: ceased rows only on demand, section one of, activity code begins with one of."""
     out = F.lit(True) if ceased else (status != "ceased")

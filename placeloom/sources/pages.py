@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from placeloom.operators import ranks
+
 READABLE_CHARS = 120
 
 
@@ -19,9 +21,14 @@ def fetch_outcome(status: Column, text: Column) -> Column:
     )
 
 
-def page_ids(pages: DataFrame, order: list[Column]) -> DataFrame:
-    """``P1``, ``P2``, ... within each place, in the order pages were read."""
-    return pages.withColumn("page_id", F.concat(F.lit("P"), F.row_number().over(W.partitionBy("place_id").orderBy(*order)).cast("string")))
+def page_ids(spark: SparkSession, pages: DataFrame, order: list[Column], existing: DataFrame | None = None) -> DataFrame:
+    """``P1``, ``P2``, ... over the whole run in the order pages were read, so an id names one page of one place. With the
+    ``existing(page_id)`` of earlier passes numbers go on after the highest."""
+    start = 1
+    if existing is not None:
+        start += existing.agg(F.max(F.regexp_extract("page_id", r"^P(\d+)$", 1).try_cast("long"))).first()[0] or 0
+    numbers = ranks.numbered(spark, pages, order, "page_number", start)
+    return numbers.withColumn("page_id", F.concat(F.lit("P"), F.col("page_number").cast("string"))).drop("page_number")
 
 
 def robots_rules(files: DataFrame) -> DataFrame:

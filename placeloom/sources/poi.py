@@ -87,10 +87,11 @@ def to_places(pois: DataFrame) -> DataFrame:
     )
 
 
-# fixed values: body patterns of an instance that is busy and of a question that is too big
-BUSY = r"(?i)rate_limited|too many requests|dispatcher_client|server is probably too busy|load is too high"
-TOO_BIG = r"(?i)timed out|timeout|out of memory|memory limit|query run out"
+# fixed values: messages of an instance that is busy and of a question that is too big
+BUSY = r"(?i)dispatcher|open64|too busy|rate.?limit|HTTP 50[234]|HTTP 429|HTTP 0\b|not JSON|fetch failed|aborted|socket|ETIMEDOUT|ECONNRESET"
+TOO_BIG = r"(?i)query timed out|out of memory|too many results|memory limit"
 
 
-def failure_class(body: Column) -> Column:
-    return F.when(body.rlike(BUSY), "busy").when(body.rlike(TOO_BIG), "too-big").otherwise("other")
+def failure_class(message: Column) -> Column:
+    """too-big: ask for less, no instance will give it; busy: ask another instance; a bare "timeout" says neither."""
+    return F.when(message.rlike(TOO_BIG), "too-big").when(message.rlike(BUSY), "busy").otherwise("other")

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from placeloom.functions import text
-from placeloom.operators import score
+from placeloom.operators import diff, score
 
 COLUMNS = (
     "connector id establishment_id names legal_name trading_names activity_code section activity_scheme size_band employees parent_band officers number kind "
@@ -225,11 +226,72 @@ def disclosed(c: Column) -> Column:
 
 
 def vat_verdict(payload: Column) -> Column:
-    """valid, invalid, or inconclusive when the service could not say."""
+    """valid or invalid as the member state says; anything else, an outage too, is inconclusive."""
     v = F.try_parse_json(payload)
-    valid = F.coalesce(F.try_variant_get(v, "$.isValid", "boolean"), F.try_variant_get(v, "$.valid", "boolean"))
-    error = F.coalesce(F.try_variant_get(v, "$.userError", "string"), F.lit("VALID"))
-    return F.when(valid, "valid").when(~valid & error.isin("VALID", "INVALID"), "invalid").otherwise("inconclusive")
+    return (
+        F.when(F.try_variant_get(v, "$.isValid", "boolean").eqNullSafe(True), "valid")
+        .when(F.try_variant_get(v, "$.userError", "string").eqNullSafe("INVALID"), "invalid")
+        .otherwise("inconclusive")
+    )
+
+
+def vat_prefix(country: Column) -> Column:
+    """Greece writes EL before its numbers, all others their country code."""
+    cc = F.upper(country)
+    return F.when(cc == "GR", "EL").otherwise(cc)
+
+
+def vat_records(answers: DataFrame) -> DataFrame:
+    """``answers(country, vat, payload)``: a record only of a valid number whose holder is named; a blank or ``---`` is not
+    disclosed."""
+    d = _j(answers)
+    cc = vat_prefix(F.col("country"))
+    number = F.concat(cc, F.regexp_replace(F.regexp_replace("vat", "(?i)^[A-Z]{2}", ""), r"[\s.-]", ""))
+    name, raw = disclosed(_s("$.name")), disclosed(_s("$.address"))
+    d = d.withColumn("a", vat_address(raw)).withColumn("number_", number).withColumn("cc_", cc)
+    return _record(
+        d, (vat_verdict(F.col("payload")) == "valid") & name.isNotNull(), connector=F.lit("eu-vies"), id=F.col("number_"), names=F.array(name), legal_name=name, activity_scheme=F.lit("none"),
+        street=F.col("a.street"), postcode=F.col("a.postcode"), city=F.col("a.city"), address_raw=raw, country_name=F.col("cc_"), country=F.lower("cc_"), status=F.lit("active"),
+        source_url=F.lit("https://ec.europa.eu/taxation_customs/vies/"), national=_national(vat=F.col("number_")),
+    )
+
+
+def uk_live(df: DataFrame) -> DataFrame:
+    """Company profiles and search hits: the legal form under either name, previous names after the name, only "active" trades."""
+    d = _j(df)
+    number, state = F.upper(_s("$.company_number")), _s("$.company_status")
+    code = F.nullif(F.regexp_extract(F.coalesce(_s("$.sic_codes[0]"), F.lit("")), r"^(\d{4,5})", 1), F.lit(""))
+    admin = code.isin(list(ADMINISTRATIVE_SIC))
+    a = lambda k: _s(f"$.registered_office_address.{k}")
+    street = _joined(" ", a("premises"), a("address_line_1"), a("address_line_2"))
+    return _record(
+        d, number.isNotNull() & (number != ""), connector=F.lit("gb-companies-house"), id=number, names=F.concat(F.array(_s("$.company_name")), _each(_arr("$.previous_company_names"), "$.name")),
+        legal_name=_s("$.company_name"), activity_code=code, section=F.when(~admin, score.nace_section(code)), activity_scheme=F.lit("nace"), number=a("premises"), street=a("address_line_1"),
+        postcode=a("postal_code"), city=a("locality"), address_raw=_joined(", ", street, a("locality"), a("postal_code")), country_name=F.coalesce(a("country"), F.lit("United Kingdom")), country=F.lit("gb"),
+        legal_form=F.coalesce(_s("$.type"), _s("$.company_type")), date_created=_s("$.date_of_creation"), date_closed=_s("$.date_of_cessation"),
+        status=F.when(state == "active", "active").when(F.coalesce(state, F.lit("")) != "", "ceased").otherwise("unknown"),
+        source_url=F.concat(F.lit("https://find-and-update.company-information.service.gov.uk/company/"), _s("$.company_number")),
+        national=_national(company_status=state, administrative=F.element_at(F.create_map(*[F.lit(x) for kv in ADMINISTRATIVE_SIC.items() for x in kv]), code)),
+    )
+
+
+def one_per_establishment(records: DataFrame, order: Column) -> DataFrame:
+    """One record per establishment, the first seen; a unit without one counts as itself."""
+    return diff.first_seen(records, F.coalesce("establishment_id", F.concat(F.lit("siren:"), F.col("id"))), order)
+
+
+def ticker_search(index: DataFrame, wanted: DataFrame, limit: int = 5) -> DataFrame:
+    """``index(ord, id, name, ticker)`` of listed companies, ``wanted(query, name)``: companies whose name holds the whole wanted
+    text (letters, digits and blanks, three at least), the first ``limit`` in index order, ten at most. Names meet on the first three
+    characters of the wanted text, so no pair is compared that cannot match."""
+    needle = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9 ]+", " "))
+    w = wanted.select("query", needle.alias("needle")).where("length(needle) >= 3").withColumn("k", F.substr("needle", F.lit(1), F.lit(3)))
+    low = F.lower("name")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))
+    i = index.where("id is not null and name <> ''").select("ord", "id", "name", "ticker", low.alias("low"), F.explode(grams).alias("k"))
+    hit = w.join(i, "k").where(F.contains("low", F.col("needle")))
+    rank = F.row_number().over(W.partitionBy("query").orderBy("ord"))
+    return hit.withColumn("rank", rank).where(F.col("rank") <= min(10, limit)).select("query", "rank", "id", "name", "ticker")
 
 
 def split_native(c: Column) -> Column:
@@ -296,16 +358,41 @@ def estonian_bulk(rows: DataFrame) -> DataFrame:
     return out.withColumn("ids", F.array_compact(F.array(F.col("id"), F.element_at("national", F.lit("vat")))))
 
 
-def verify_id_form(connector: str, value: Column) -> Column:
-    """An identifier as its register writes it: UK numbers padded to eight, filings to ten, others without separators."""
-    bare = F.upper(F.regexp_replace(value, r"[\s.-]", ""))
+def verify_id_form(connector: str, value: Column, kind: Column | None = None) -> Column:
+    """An identifier as its register writes it; null if the register has no such kind or the value no such shape. Without a kind
+    the register's own is meant."""
+    digits, squeezed = F.regexp_replace(value, r"\D", ""), F.upper(F.regexp_replace(value, r"\s+", ""))
+    own = lambda *kinds: F.lit(True) if kind is None else F.lower(kind).isin([k.lower() for k in kinds])
+    is_vat = F.lit(False) if kind is None else F.lower(kind) == "vat"
+    n = F.length(digits)
+    if connector == "fr-sirene":
+        siren = F.when(own("siren") & (n == 9), digits).when(own("siret") & (n == 14), F.substr(digits, F.lit(1), F.lit(9)))
+        return siren.when(is_vat & (n == 11), F.substr(digits, F.lit(3), F.lit(9)))
     if connector == "gb-companies-house":
-        return F.when(bare.rlike(r"^\d{1,8}$"), F.lpad(bare, 8, "0")).otherwise(bare)
+        padded = F.when(squeezed.rlike(r"^\d+$"), F.lpad(squeezed, 8, "0")).otherwise(squeezed)
+        return F.when(own("company-number") & squeezed.rlike(r"^(?:\d{6,8}|[A-Z]{2}\d{6})$"), padded)
+    if connector == "de-offeneregister":
+        return F.when(own("HRA", "HRB", "GnR", "VR", "PR"), F.regexp_replace(F.trim(value), r"\s+", " "))
+    if connector == "no-brreg":
+        return F.when(own("vat", "orgnr", "company-number") & (n >= 9), F.substr(digits, F.lit(1), F.lit(9)))
+    if connector == "fi-prh":
+        vat = F.when(n == 8, F.concat(F.substr(digits, F.lit(1), F.lit(7)), F.lit("-"), F.substr(digits, F.lit(8), F.lit(1))))
+        return F.when(is_vat, vat).when(F.trim(value).rlike(r"^\d{7}-\d$"), F.trim(value))
+    if connector == "cz-ares":
+        return F.when(own("vat", "ico", "company-number") & n.between(1, 8), F.lpad(digits, 8, "0"))
+    if connector == "pl-krs":
+        return F.when(own("krs", "company-number") & n.between(1, 10), F.lpad(digits, 10, "0"))
     if connector == "us-edgar":
-        return F.lpad(F.regexp_replace(bare, r"^CIK", ""), 10, "0")
-    if connector == "fr-sirene":
-        return F.when(F.length(F.regexp_replace(bare, r"\D", "")).isin(9, 14), F.regexp_replace(bare, r"\D", ""))
-    return bare
+        cik = F.when(n <= 10, F.lpad(digits, 10, "0")).otherwise(digits)
+        return F.when(own("cik") & (cik != "0000000000"), cik)
+    if connector == "ee-ariregister":
+        return F.when(is_vat & squeezed.rlike(r"^EE\d{9}$"), squeezed).when(~is_vat & squeezed.rlike(r"^\d{8}$"), squeezed)
+    if connector == "gleif":
+        lei = F.lit(True) if kind is None else F.lower(kind) == "lei"
+        return F.when(lei, F.upper(value)).otherwise(F.nullif(F.upper(F.regexp_replace(value, r"[\s.]", "")), F.lit("")))
+    if connector == "eu-vies":
+        return F.when(F.lit(True) if kind is None else is_vat, F.nullif(F.regexp_replace(F.regexp_replace(value, "(?i)^[A-Z]{2}", ""), r"[\s.-]", ""), F.lit("")))
+    raise ValueError(f"unknown connector {connector}")
 
 
 # connectors in the order they are asked: (id, countries, can sweep, label)
@@ -322,14 +409,17 @@ def connectors_for(spark, country: str, available: dict[str, str] | None = None)
     reason = F.lit(None).cast("string")
     for c, why in (available or {}).items():
         reason = F.when(F.col("connector") == c, why).otherwise(reason)
-    from pyspark.sql import Window as W
-
     d = d.withColumn("reason", reason)
     usable = F.col("reason").isNull() & F.col("sweeps")
     first = F.row_number().over(W.partitionBy(usable).orderBy("ord")) == 1
     return d.select("ord", "connector", F.when(F.col("reason").isNotNull(), "unavailable").when(usable & first, "sweep").otherwise("lookup").alias("role"), "reason").orderBy("ord")
 
 
+def unknown_connectors(asked: DataFrame) -> DataFrame:
+    """``asked(connector)`` that no register has."""
+    return asked.where(~F.trim("connector").isin([c for c, _, _ in CONNECTORS])).select("connector").distinct()
+
+
 def divisions_of_section(spark, catalogue_path: str, section: str) -> DataFrame:
     """Activity codes of a section, grouped into divisions, from a catalogue file ``code,label``; the catalogue has over
     seven hundred codes and is a parameter, not part of the package."""

@@ -51,7 +51,14 @@ def test_addresses(value):
     assert tuple(value(registers.vat_address(L("RUE X 1\n75001 PARIS")))) == ("RUE X 1", "75001", "PARIS")
     assert value(registers.disclosed(L("---"))) is None
     assert [value(registers.vat_verdict(L(x))) for x in ('{"isValid":true}', '{"isValid":false,"userError":"INVALID"}', '{"isValid":false,"userError":"MS_UNAVAILABLE"}')] == ["valid", "invalid", "inconclusive"]
-    assert value(registers.verify_id_form("gb-companies-house", L("1234"))) == "00001234"
+    form = lambda c, v, k=None: value(registers.verify_id_form(c, L(v), None if k is None else L(k)))
+    assert [form("gb-companies-house", v) for v in ("123 4567", "sc123456", "SC12345678", "1234")] == ["01234567", "SC123456", None, None]
+    assert form("gb-companies-house", "GB123456789", "vat") is None and form("us-edgar", "CIK 320193") == "0000320193" and form("us-edgar", "0") is None
+    assert [form("fr-sirene", *x) for x in (("302 474 648", "siren"), ("30247464800017", "siret"), ("FR12302474648", "vat"), ("12", "siren"))] == ["302474648"] * 3 + [None]
+    assert form("no-brreg", "NO 923 609 016 MVA", "vat") == "923609016" and form("fi-prh", "FI01120389", "vat") == form("fi-prh", " 0112038-9 ", "ytunnus") == "0112038-9"
+    assert form("cz-ares", "CZ177041", "vat") == "00177041" and form("pl-krs", "41581", "krs") == "0000041581" and form("pl-krs", "41581", "vat") is None
+    assert form("ee-ariregister", "ee 123456789", "vat") == "EE123456789" and form("ee-ariregister", "12345678", "code") == "12345678" and form("ee-ariregister", "1234", "code") is None
+    assert form("de-offeneregister", " HRB   9 B", "hrb") == "HRB 9 B" and form("gleif", "hrb 1.2", "hrb") == "HRB12" and form("gleif", "abc", "lei") == "ABC" and form("eu-vies", "EL 12-3", "vat") == "123"
 
 
 def test_bulk_csv_zip_and_lookup(spark, tmp_path):
@@ -97,12 +104,12 @@ def test_boards(spark):
     got = {(r.provider, r.title): r for r in boards.postings(d).collect()}
     assert set(got) == {("lever", "Dev"), ("lever", "(untitled)"), ("personio", "A & B"), ("workable", "T")}
     assert got["lever", "Dev"].posted_at == "2023-11-14T22:13:20.000Z" and got["workable", "T"].location == "Lyon, FR"
-    s = spark.createDataFrame([("s", "u", "<urlset><url><loc>a</loc><lastmod>2024-01-02</lastmod></url><url><loc>b</loc></url></urlset>")], "site string, url string, body string")
+    s = spark.createDataFrame([("s", 1, "<urlset><url><loc>a</loc><lastmod>2024-01-02</lastmod></url><url><loc>b</loc></url></urlset>")], "site string, ord int, body string")
     assert tuple(boards.sitemap_summary(boards.sitemap_entries(s)).first()) == ("s", 2, "2024-01-02")
 
 
 def test_poi_classes(value):
-    assert [value(poi.failure_class(L(x))) for x in ("Too Many Requests", "Query timed out", "x")] == ["busy", "too-big", "other"]
+    assert [value(poi.failure_class(L(x))) for x in ("Dispatcher_Client::request_read_and_idx::timeout", "HTTP 504", "HTTP 429", "fetch failed", "ETIMEDOUT", "rate limit", "Query timed out in 90 seconds", "out of memory", "timeout", "x")] == ["busy"] * 6 + ["too-big"] * 2 + ["other"] * 2
     assert value(poi.area_id(L("relation"), L(108346))) == 3600108346
 
 
