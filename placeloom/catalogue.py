@@ -972,3 +972,6 @@ def best_page_by_role(spark: SparkSession, d: str) -> DataFrame:
     deep = F.when(F.col("place_id") % 2 == 0, F.array(F.lit("https://x.fr/a/b"), F.lit("https://x.fr/a"))).otherwise(F.array(F.lit("https://x.fr/c"), F.lit("https://x.fr/d")))
     best = resolve.best_by_role(s.select("place_id", F.posexplode(deep).alias("ord", "url")).withColumn("role", F.lit("careers")))
     return best.select("place_id", F.lit(1).alias("ord"), F.when(F.col("url") == "https://x.fr/a", "site-0").when(F.col("url") == "https://x.fr/c", "site-1").otherwise("wrong").alias("url"))
+
+
+from placeloom import catalogue_records  # noqa: E402, F401  registers further queries

@@ -191,7 +191,7 @@ def fact_sheet(places: DataFrame) -> DataFrame:
     have = dict(places.dtypes)
     shown = lambda c: F.array_join(F.col(c), "; ") if have[c].startswith("array") else F.col(c).cast("string")
     line = lambda label, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"- {label}: "), c))
-    lines = [F.concat(F.lit("# "), "name"), line("id", F.col("id"))]
+    lines = [F.concat(F.lit("# "), "name"), line("id", F.col("id").cast("string"))]
     if {"street", "postcode", "city"} <= set(have):
         lines.append(line("address", F.concat_ws(", ", *[F.nullif(F.trim(c), F.lit("")) for c in ("street", "postcode", "city")])))
     for label, c in FACTS:
