@@ -11,8 +11,11 @@ first time lie under the loss mask.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 # fixed values: control strings whose first character is escaped
 ANGLE = r"<(?=\||/?s>|</?SYS>>)"
@@ -39,33 +42,31 @@ def turn_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\w+|[^\w\s]")).cast("long") + OVERHEAD
 
 
-def conversation_windows(turns: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
+def conversation_windows(turns: DataFrame, budget: int = 512, history: int = 128, tokens: Callable[[Column], Column] = turn_tokens) -> DataFrame:
     """``turns(conv_id, turn, role, text, ...)`` -> ``(conv_id, windows)``, windows an array of
     ``(window, formatted, loss, tokens, over_budget)``; loss holds ``(start, length)`` code-point spans, 0-based.
 
     Turns are ordered by turn, role, text (nulls first), so ties have one order and repeated rows stay. Null
     roles and texts are empty. A turn that alone exceeds the budget makes a window of its own with
     ``over_budget``; nothing is cut. A null conv_id is one conversation. Other columns are ignored. A
-    conversation is one row of the result and so must fit Spark's row limit; only its turns meet in a task.
+    conversation is one row of the result and so must fit Spark's row limit; only its turns meet in a task. An empty table
+    gives no rows. ``tokens`` counts a turn's tokens from its text; the default is an estimate.
     """
     rows = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("tok", turn_tokens(F.col("text")))
-    one = F.struct("turn", "role", "text", "tok")
+    ).withColumn("tok", tokens(F.col("text")))
+    # prefix sums of turn tokens; the groups below have the same partitioning
+    so_far = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("tok").over(so_far))
+    one = F.struct("turn", "role", "text", "tok", "upto")
     conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
     has_system = F.col("t")[0]["role"] == "system"
     conv = conv.withColumn("skip", F.when(has_system, 1).otherwise(0)).withColumn(
         "sys_tok", F.when(has_system, F.col("t")[0]["tok"]).otherwise(F.lit(0).cast("long"))
     )
-    # prefix sums over the turns after the system turn: p[i] = tokens before turn skip + i
-    conv = conv.withColumn(
-        "p",
-        F.aggregate(
-            F.slice("t", F.col("skip") + 1, F.greatest(F.size("t") - F.col("skip"), F.lit(0))),
-            F.array(F.lit(0).cast("long")),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["tok"])),
-        ),
-    )
+    # over the turns after the system turn: p[i] = tokens before turn skip + i
+    rest = F.slice("t", F.col("skip") + 1, F.greatest(F.size("t") - F.col("skip"), F.lit(0)))
+    conv = conv.withColumn("p", F.concat(F.array(F.lit(0).cast("long")), F.transform(rest, lambda x: x["upto"] - F.col("sys_tok"))))
     n = F.size("p") - 1
     room = F.lit(budget) - F.col("sys_tok")
     start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("base"), room.cast("long").alias("room"))

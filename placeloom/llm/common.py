@@ -12,12 +12,24 @@ from placeloom import ship
 _LOCAL: dict[str, str] = {}
 
 
+BATCHES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches go by bytes as well as by rows, since ten thousand texts may be any size. A session's own setting stays."""
+    if not spark.conf.get("placeloom.batches", None):
+        spark.conf.set("placeloom.batches", "set")
+        if spark.sparkContext.getConf().get(BATCHES) is None:
+            spark.conf.set(BATCHES, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Only a purely local session (tests) may fall back to a temporary folder.
     """
     ship(spark)
+    bounded_batches(spark)
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
@@ -31,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

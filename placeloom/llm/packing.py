@@ -4,7 +4,8 @@ Packing needs only the histogram of piece lengths, which has at most ``capacity`
 size, so the plan is made on the driver from that histogram and is exact for all rows. Pieces above a third of the
 capacity go at most two to a sequence: the largest is matched with the largest that still fits beside it. Smaller
 pieces, longest first, go where the smallest sufficient gap is left. The plan is a list of runs "pieces of this
-length with these ranks go to these sequences at this offset"; ranks within a length come from salted windows.
+length with these ranks go to these sequences at this offset"; ranks within a length come from salted windows. Pieces of
+the full capacity, most of a large corpus, have a sequence to themselves and need no rank.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from placeloom.llm.common import Scratch
 from placeloom.llm.wordpieces import byte_symbols
 
 SPECIAL = "<|endoftext|>"
-SALTS = 64
+PER_SALT = 1_000_000
 FRONT = 20
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
@@ -275,34 +276,39 @@ def _place(runs: list[tuple[int, int, int, int, int, int]]):
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
+def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int, per_salt: int = PER_SALT) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to written pieces ``(doc_id, piece, start, length, ids_crc32)``.
 
-    Ranks within a length are dealt over a fixed number of salts, so a length that holds most pieces is spread;
-    the offsets of the salts are at most capacity x salts rows and are broadcast.
+    A length has one salt for every ``per_salt`` pieces, so a length that many pieces have is ranked by many tasks; what meets
+    the driver is one count per salt, some ``pieces / per_salt`` and ``capacity`` rows.
     """
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
-    histogram: dict[int, int] = {}
-    offsets = []
-    for r in sorted(sizes):
-        offsets.append((r["length"], r["salt"], histogram.get(r["length"], 0)))
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
-    runs, _ = plan_packing(histogram, capacity)
-    offset = {(a, b): c for a, b, c in offsets}
-    before = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for (a, b), c in offset.items():
-        before[a, b] = c
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    histogram.pop(capacity, None)
+    runs, sequences = plan_packing(histogram, capacity)
+    salts = [0] * capacity
+    for size, n in histogram.items():
+        salts[size] = -(-n // per_salt)
+    first = np.cumsum([0, *salts])  # of each length's salts among all
+    own = F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int") + 1)
+    short = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), own).cast("int"))
+    before = np.zeros(int(first[-1]) + 1, dtype=np.int64)
+    for r in short.groupBy("length", "salt").agg(F.count("*").alias("n")).collect():
+        before[first[r["length"]] + r["salt"]] = r["n"]
+    for size in histogram:
+        mine = slice(int(first[size]), int(first[size]) + salts[size])
+        before[mine] = np.cumsum(before[mine]) - before[mine]
 
     def shift(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["rank"] = f["rank"].to_numpy() - 1 + before[f["length"].to_numpy(), f["salt"].to_numpy()]
+            f["rank"] = f["rank"].to_numpy() - 1 + before[first[f["length"].to_numpy()] + f["salt"].to_numpy()]
             yield f
 
     w = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(w).cast("long"))
+    ranked = short.withColumn("rank", F.row_number().over(w).cast("long"))
     place = _place(runs)
-    return ranked.mapInPandas(lambda frames: place(shift(frames)), PIECES + ", sequence_id long, offset long")
+    packed = ranked.mapInPandas(lambda frames: place(shift(frames)), PIECES + ", sequence_id long, offset long")
+    alone = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() + sequences)
+    return packed.unionByName(alone.withColumn("offset", F.lit(0).cast("long")))
 
 
 def tokenise_pieces(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -325,7 +331,7 @@ def tokenise_pieces(spark: SparkSession, docs: DataFrame, tokenizer_path: str, c
     return rows.mapInPandas(run, PIECES)
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, per_salt: int = PER_SALT) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``.
 
     A document is its ids and then ``end_id``; only documents above the capacity are cut, into pieces of the
@@ -334,4 +340,4 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, ca
     """
     scratch = Scratch(spark, "packing")
     pieces = scratch.write(tokenise_pieces(spark, docs, tokenizer_path, capacity, end_id), "pieces")
-    return pack_pieces(spark, pieces, capacity, scratch)
+    return pack_pieces(spark, pieces, capacity, per_salt)

@@ -214,7 +214,9 @@ def score_udf(net: ByteConvNet):
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, params: Params | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, held_out, score, predicted)``, one row per input row; null and empty
-    texts are scored too. Only the text is an input of a score."""
+    texts are scored too, very long ones whole. Only the text is an input of a score, so repeated rows score alike and
+    other columns do not matter; an empty table gives no rows. Without labels of both kinds scores are those of an untaught
+    net."""
     net = fit_quality(spark, docs, labels, params)
     scored = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score_udf(net)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

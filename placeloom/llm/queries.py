@@ -131,5 +131,24 @@ SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_r
 }
 
 
+def _pieces_sql() -> str:
+    """Greedy cover of every distinct unit, one piece a step."""
+    symbols = ", ".join("'" + s.replace("'", "''") + "'" for s in wordpieces.byte_symbols())
+    return rf"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT DISTINCT regexp_replace(k, '</w>$', chr(57344)) AS piece FROM (SELECT unnest(json_keys(json, '$.model.vocab')) AS k FROM read_json_objects('{COUNT_VOCABULARY}', format='unstructured', maximum_object_size=100000000))),
+t AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\p{{Z}}\s\x0b\x1c-\x1f\x{{85}}]+')) AS unit FROM documents),
+s AS MATERIALIZED (SELECT unit, array_to_string(list_transform(range(0, len(h) // 2), lambda i: ([{symbols}])[('0x' || substr(h, 2 * i + 1, 2))::INT + 1]), '') || chr(57344) AS word FROM (SELECT unit, hex(encode(unit)) AS h FROM (SELECT DISTINCT unit FROM t))),
+longest AS (SELECT max(len(piece)) AS m FROM v),
+g(unit, word, pos, n) AS (
+  SELECT unit, word, 0, 0 FROM s
+  UNION ALL
+  SELECT unit, any_value(word), coalesce(max(pos + len(piece)), -1), any_value(n) + 1 FROM (
+    SELECT g.unit, g.word, g.pos, g.n, v.piece FROM (SELECT *, unnest(range(1, (SELECT m FROM longest) + 1)) AS l FROM g WHERE pos >= 0 AND pos < len(word)) g LEFT JOIN v ON v.piece = substr(g.word, g.pos + 1, g.l) AND len(v.piece) = g.l)
+  GROUP BY unit),
+c AS (SELECT unit, CASE WHEN min(pos) < 0 THEN 1 ELSE max(n) END AS n FROM g GROUP BY unit)
+SELECT d.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\p{{Z}}\s\x0b\x1c-\x1f\x{{85}}]+'), lambda w: w <> ''))::BIGINT AS n_words
+FROM documents d LEFT JOIN (SELECT doc_id, sum(n) AS n_tokens FROM t JOIN c USING (unit) GROUP BY doc_id) USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op4_token_counts": _pieces_sql()}

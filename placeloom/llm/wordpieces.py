@@ -120,7 +120,8 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary_path: str) ->
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_tokens, n_words)``, one row per input row.
 
     Whole texts are lower-cased and cut at white space into units of word characters and of other symbols; each
-    unit is covered greedily by the longest vocabulary pieces. Null and empty texts count 0. The vocabulary (a
+    unit is covered greedily by the longest vocabulary pieces. Null and empty texts count 0; very long texts and units are
+    counted whole; repeated rows count alike; other columns are ignored; an empty table gives no rows. The vocabulary (a
     file of fixed size) is read on the driver and broadcast, so executors need no file of their own.
     """
     pieces = spark.sparkContext.broadcast(vocabulary(vocabulary_path))

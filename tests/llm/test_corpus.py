@@ -89,6 +89,35 @@ def test_quality_edges(spark, docs, none):
     assert quality.quality_scores(spark, docs, edge_cases.labels(spark).limit(0)).count() == 12
 
 
+def test_quality_equals_a_plain_pass(spark):
+    """Every filter at every place of every chunk, one byte after another."""
+    net = quality.ByteConvNet(5)
+    net.bias[:] = np.random.default_rng(1).standard_normal(len(net.bias)) * 0.1
+    texts = ["", "a", "héllo wörld", "x" * 255, "lorem ipsum " * 60, None]
+    want = []
+    for text in texts:
+        data = list((text or "").encode())
+        total = weight = 0.0
+        begin = 0
+        while True:
+            chunk = (data[begin : begin + quality.CHUNK] + [0] * quality.CHUNK)[: quality.CHUNK]
+            best = [-np.inf] * quality.FILTERS
+            for place in range(0, quality.CHUNK - quality.STRIDE, quality.STRIDE):
+                first = np.concatenate([net.emb[b] for b in chunk[place : place + quality.STRIDE]])
+                second = np.concatenate([net.emb[b] for b in chunk[place + quality.STRIDE : place + 2 * quality.STRIDE]])
+                for f in range(quality.FILTERS):
+                    best[f] = max(best[f], float(first @ net.wa[:, f] + second @ net.wb[:, f]))
+            h = np.maximum(np.array(best) + net.bias, 0)
+            z = float((np.maximum(h @ net.v1 + net.c1, 0) @ net.v2 + net.c2)[0])
+            size = max(1, min(quality.CHUNK, len(data) - begin))
+            total, weight = total + z * size, weight + size
+            begin += quality.STEP
+            if begin + quality.OVERLAP >= len(data):
+                break
+        want.append(1 / (1 + np.exp(-total / weight)))
+    assert np.allclose(net.score(texts), want, atol=1e-5)
+
+
 def test_chunks_cover_everything():
     for n in (0, 1, 255, 256, 257, 1000, 5000):
         x, size = quality.chunks_of("a" * n)
@@ -267,9 +296,10 @@ def test_token_counts(spark, docs, none):
     pieces = wordpieces.vocabulary(path)
     vocabulary = {p[:-4] + "" if p.endswith("</w>") else p for p in pieces}
     symbols = wordpieces.byte_symbols()
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(11).cast("long")).withColumn("text", F.lit("né 9世" * 20_000))).withColumn("c", F.lit(1)).withColumn("n_tokens", F.lit(2))
     got = {(r.doc_id, r.n_tokens) for r in wordpieces.token_counts(spark, docs, path).collect()}
     for r in docs.collect():
-        if r.text is None or len(r.text) < 10_000:
+        if True:
             want = sum(greedy("".join(symbols[b] for b in u.encode()) + "", vocabulary) for t in (r.text or "").lower().split() for u in wordpieces.UNITS.findall(t))
             assert (r.doc_id, want) in got
     assert wordpieces.token_counts(spark, none, path).count() == 0
@@ -397,6 +427,15 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """A conversation of many turns takes linear work; token counts may come from elsewhere."""
+    rows = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('turn ', id) AS text")
+    r = chat.chat_digest(rows).first()
+    assert r.n_turns == 20_000 and r.n_windows > 100
+    one = chat.conversation_windows(rows.limit(100), 10, 0, tokens=lambda text: F.lit(1).cast("long")).first().windows
+    assert len(one) == 10 and all(w.tokens == 10 for w in one)
+
+
 # 7 packing ----------------------------------------------------------------------------------------------------------
 
 
@@ -446,6 +485,19 @@ def test_tokens_equal_the_tokenizer():
         assert t.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist(), repr(text)
 
 
+def test_packing_with_many_salts(spark):
+    """Ranks of a length over several salts fill the same plan; full pieces stand alone."""
+    g = random.Random(8)
+    sizes = [g.randint(1, 30) for _ in range(600)] + [30] * 50 + [7] * 300
+    pieces = common.Scratch(spark, "t").write(spark.createDataFrame([(i % 50, i, 0, n, i) for i, n in enumerate(sizes)], packing.PIECES))
+    plans = []
+    for per_salt in (20, 10**6):
+        rows = packing.pack_pieces(spark, pieces, 30, per_salt).collect()
+        assert len(rows) == len(sizes)
+        plans.append(check_packing(rows, 30))
+    assert plans[0] == plans[1] <= 1.03 * sum(sizes) / 30
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
