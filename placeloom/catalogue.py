@@ -232,18 +232,19 @@ def name_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH c AS (SELECT a.p_partkey AS k, b.p_partkey AS o, a.p_partkey * 1000000 + b.p_partkey AS pid, a.p_name AS a, concat(b.p_name, ' ', b.p_type) AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey),
+    f"""WITH c AS (SELECT a.p_partkey AS k, b.p_partkey AS o, a.p_partkey * 1000000 + b.p_partkey AS pid, a.p_name AS a, concat(b.p_name, ' ', b.p_type) AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey // 5000 = b.p_partkey // 5000 AND a.p_partkey <> b.p_partkey),
 {_similarity("c", "a", "b", "sims")},
 best AS (SELECT k, b, sim, row_number() OVER (PARTITION BY k ORDER BY sim DESC, o) AS rn FROM c JOIN sims USING (pid) WHERE sim > 0)
 SELECT k AS p_partkey, b AS best_name, round(sim, 6) AS sim FROM best WHERE rn = 1"""
 )
 def best_name(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar of several candidates, the first on ties, none if nothing is alike."""
-    p = _table(spark, d, "part")
-    a = p.select(F.col("p_partkey").alias("k"), "p_brand", "p_size", text.name_forms(F.col("p_name")).alias("fa"))
+    """The most similar of several candidates, the first on ties, none if nothing is alike. Candidates are the parts of one brand
+    and size among five thousand neighbours, so their number does not grow with the table."""
+    p = _table(spark, d, "part").withColumn("near", F.expr("p_partkey DIV 5000"))
+    a = p.select(F.col("p_partkey").alias("k"), "p_brand", "p_size", "near", text.name_forms(F.col("p_name")).alias("fa"))
     other = F.concat_ws(" ", "p_name", "p_type")
-    b = p.select(F.col("p_partkey").alias("o"), "p_brand", "p_size", other.alias("b"), text.name_forms(other).alias("fb"))
-    s = a.join(b, ["p_brand", "p_size"]).where("k <> o").withColumn("sim", text.forms_similarity(F.col("fa"), F.col("fb"))).where("sim > 0")
+    b = p.select(F.col("p_partkey").alias("o"), "p_brand", "p_size", "near", other.alias("b"), text.name_forms(other).alias("fb"))
+    s = a.join(b, ["p_brand", "p_size", "near"]).where("k <> o").withColumn("sim", text.forms_similarity(F.col("fa"), F.col("fb"))).where("sim > 0")
     best = s.groupBy("k").agg(F.max_by(F.struct("b", "sim"), F.struct("sim", -F.col("o"))).alias("x"))
     return best.select(F.col("k").alias("p_partkey"), F.col("x.b").alias("best_name"), F.round("x.sim", 6).alias("sim"))
 
@@ -454,16 +455,34 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", F.coalesce(extract.page_title(F.col("html")), F.lit("")).alias("title"))
 
 
-@_query()
+def _plain_sql(x: str) -> str:
+    """Visible text in relational SQL: an alternative for each hidden tag in place of a back reference."""
+    hidden = "|".join(["<!--.*?-->"] + [rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "svg", "title")])
+    out = rf"regexp_replace({x}, '(?is){hidden}', ' ', 'g')"
+    out = rf"regexp_replace({out}, '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article|header|footer|ul|ol|table|nav|main)\s*>', chr(10), 'g')"
+    out = rf"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
+    for entity, plain in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("eacute", "é"), ("amp", "&")):
+        out = f"replace({out}, '&{entity};', '{plain}')"
+    out = rf"regexp_replace(regexp_replace({out}, '[ \t\x0B\f\r\x{{A0}}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
+    return rf"regexp_replace(regexp_replace({out}, '\n{{2,}}', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@_query(
+    rf"""WITH m AS (SELECT page_id, html, list_concat(regexp_extract_all(html, '(?is)<main\b[^>]*>(.*?)</main\b', 1), regexp_extract_all(html, '(?is)<article\b[^>]*>(.*?)</article\b', 1)) AS blocks FROM pages),
+b AS (SELECT page_id, html, CASE WHEN len(blocks) > 0 THEN blocks[1] ELSE regexp_extract(html, '(?is)<body[^>]*>(.*?)(?:</body>|$)', 1) END AS main FROM m)
+SELECT page_id, len({_plain_sql("html")})::INT AS body_chars, md5({_plain_sql("html")}) AS body_md5, md5({_plain_sql("main")}) AS main_md5 FROM b"""
+)
 def page_text(spark: SparkSession, d: str) -> DataFrame:
-    """Visible text and main content of every page (nested blocks have no SQL form)."""
+    """Visible text and main content of every page."""
     p = _table(spark, d, "pages").select("page_id", extract.html_to_text(F.col("html")).alias("body_text"), extract.main_content(F.col("html")).alias("main"))
-    return p.select("page_id", F.length("body_text").alias("body_chars"), F.length(extract.html_to_text(F.col("main"))).alias("main_chars"))
+    return p.select("page_id", F.length("body_text").alias("body_chars"), F.md5(F.col("body_text").cast("binary")).alias("body_md5"), F.md5(extract.html_to_text(F.col("main")).cast("binary")).alias("main_md5"))
 
 
-@_query()
+@_query(
+    r"""SELECT DISTINCT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || h AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*\shref=["'']([^"'']+)["'']', 1)) AS h FROM pages) WHERE starts_with(h, '/')"""
+)
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    """Same-origin links (relative resolution has no SQL form)."""
+    """Same-origin links of every page."""
     return _table(spark, d, "pages").select("page_id", F.explode(extract.same_origin_links(F.col("html"), F.col("url"))).alias("link"))
 
 

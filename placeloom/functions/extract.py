@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -237,11 +238,8 @@ def html_to_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{2,}", "\n"), r"^\s+|\s+$", "")
 
 
-# fixed values: named entities and their characters
-ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "copy": "©", "reg": "®", "euro": "€", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«",
-    "raquo": "»", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ouml": "ö", "auml": "ä", "uuml": "ü", "szlig": "ß",
-}
+# the named entities of HTML 4, and the apostrophe; no-break spaces are plain ones
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
 
 
 def decode_entities(c: Column) -> Column:

@@ -48,22 +48,52 @@ def lookup(places: DataFrame, snapshot: DataFrame, limit: int = 20) -> DataFrame
     """Name lookup inside a locality: live records whose best name similarity is >= 0.6, or one of whose normalised names
     contains the place's or lies in it (three letters at least); up to ``limit`` per place, best first.
 
-    ``places(place_id, name, locality)``, ``snapshot(rec_key, names, locality, status, postcode)``; the locality is
-    compared by slug, so the join is an equi-join.
+    ``places(place_id, name, locality)``, ``snapshot(rec_key, names, locality, status, postcode)``. Localities are compared by
+    slug, and names meet through rare trigrams (``name_keys``), which every pair that can pass shares, so a town's places
+    are not compared with all its records.
     """
-    p = places.select("place_id", "name", text.slug(F.col("locality")).alias("loc"), text.name_forms(F.col("name")).alias("pf"), text.normalize_name(F.col("name")).alias("pn"))
+    p = places.select("place_id", "name", text.slug(F.col("locality")).alias("loc"), text.name_forms(F.col("name")).alias("pf"), text.normalize_name(F.col("name")).alias("pn")).where("loc <> ''")
     s = snapshot.where("status <> 'ceased'").select(
-        "rec_key", "names", text.slug(F.col("locality")).alias("loc"), "postcode_r",
-        F.transform("names", lambda n: text.name_forms(n)).alias("rf"), F.transform("names", lambda n: text.normalize_name(n)).alias("rn"),
-    )
+        "rec_key", text.slug(F.col("locality")).alias("loc"), "postcode_r", F.transform("names", lambda n: text.name_forms(n)).alias("rf"), F.transform("names", lambda n: text.normalize_name(n)).alias("rn"),
+    ).where("loc <> ''")
+    forms = lambda df, key, one, whole: df.select(F.col(key).alias("id"), "loc", F.explode(F.array_union(F.transform(one, lambda f: f["n"]), whole)).alias("n")).where("n <> ''")
+    pk = name_keys(forms(p, "place_id", F.col("pf"), F.array("pn")))
+    rk = name_keys(forms(s, "rec_key", F.flatten("rf"), F.col("rn")))
+    side = lambda k, c, name: k.select(F.col("id").alias(name), "loc", F.explode(c).alias("gram"))
+    meet = lambda a, b: side(pk, a, "place_id").join(side(rk, b, "rec_key"), ["loc", "gram"]).select("place_id", "rec_key")
+    pairs = meet("rare", "every").unionByName(meet("every", "rare")).distinct()
     sim = F.coalesce(F.array_max(F.transform("rf", lambda f: text.forms_similarity(F.col("pf"), f))), F.lit(0.0))
     inside = F.exists("rn", lambda n: (F.length(n) >= 3) & (F.length(F.col("pn")) >= 3) & (F.contains(n, F.col("pn")) | F.contains(F.col("pn"), n)))
-    known = F.col("loc") != ""
-    hit = p.where(known).join(s.where(known), "loc").withColumn("similarity", sim).where((F.col("similarity") >= LOOKUP_SIMILARITY) | inside)
+    hit = pairs.join(p.drop("name", "loc"), "place_id").join(s.drop("loc"), "rec_key").withColumn("similarity", sim).where((F.col("similarity") >= LOOKUP_SIMILARITY) | inside)
     rank = F.row_number().over(W.partitionBy("place_id").orderBy(F.col("similarity").desc(), "rec_key"))
     return hit.withColumn("rn_", rank).where(F.col("rn_") <= limit).select("place_id", "rec_key", "similarity", "postcode_r", F.col("rn_").alias("rank"))
 
 
+def name_keys(names: DataFrame, similarity: float = LOOKUP_SIMILARITY) -> DataFrame:
+    """``names(id, loc, n)``, n normalised -> ``(id, loc, rare, every)``: all trigrams of a name, and the few of which a partner must
+    have one among all of its own.
+
+    Of names with trigram sets of Jaccard similarity s each has one of the other's first ``|x| - ceil(s |x|) + 1`` trigrams in any
+    fixed order; token sets alike, a token standing for its first trigram; where one's tokens, or its letters, all lie in
+    the other's, its very first does. The order is by rarity, taken from all names; normalised letters, digits and blanks make
+    37^3 trigrams at most, so the table of counts has a proven bound and is broadcast."""
+    g = names.select("id", "loc", "n").distinct().withColumn("every", text.trigrams(F.col("n")))
+    counts = g.select(F.explode("every").alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+    spread = g.select("id", "loc", "n", F.explode("every").alias("gram")).join(F.broadcast(counts), "gram")
+    g = spread.groupBy("id", "loc", "n").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("o")).withColumn("every", F.col("o.gram"))
+    share = lambda n: (n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int")
+    first = lambda part: F.get(F.filter("every", lambda x: F.contains(part, x)), F.lit(0))
+    tokens = F.filter(F.split("n", " "), lambda t: F.length(t) > 1)
+    marked = F.transform(F.array_distinct(tokens), lambda t: F.struct(F.array_position("every", first(F.concat(F.lit(" "), t))).alias("at"), t.alias("t"), first(F.concat(F.lit(" "), t)).alias("gram")))
+    rarest = F.array_sort(marked)
+    rare = F.concat(
+        F.slice("every", 1, share(F.size("every"))),
+        F.when(F.size(rarest) > 0, F.slice(F.transform(rarest, lambda x: x["gram"]), 1, F.greatest(F.lit(1), share(F.size(rarest))))).otherwise(F.array().cast("array<string>")),
+        F.array(first(F.col("n"))),
+    )
+    return g.select("id", "loc", F.array_compact(F.array_distinct(rare)).alias("rare"), "every")
+
+
 def by_name(hits: DataFrame, places: DataFrame, high: float = 0.72, low: float = 0.40) -> DataFrame:
     """Best hit per place, +0.1 (to 1 at most) on an equal postcode, in the usual bands. Hits may have a ``connector_ord``: of
     each connector the best hit counts, the first connector that merges wins, else the best of all that are undecided.

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import html
 import json
-import os
-import uuid
 from datetime import datetime, timezone
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeloom import files
 from placeloom.functions import text
 from placeloom.operators import score, summary
 from placeloom.operators.diff import KINDS
@@ -206,25 +204,28 @@ def fact_sheet(places: DataFrame) -> DataFrame:
 
 
 class Run:
-    """A run folder: Parquet tables and a manifest that replaces its predecessor atomically."""
+    """A run folder on any file system: Parquet tables and a manifest that replaces its predecessor atomically."""
 
-    def __init__(self, root: str, name: str | None = None):
-        self.path = Path(root) / (name or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S"))
-        self.path.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, root: str, name: str | None = None):
+        self.spark, self.path = spark, f"{root.rstrip('/')}/{name or datetime.now(timezone.utc).strftime('%Y%m%dT%H%M%S')}"
 
     def write(self, name: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(str(self.path / name))
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def manifest(self, **fields) -> dict:
-        target, draft = self.path / "manifest.json", self.path / f".{uuid.uuid4().hex}"
-        old = json.loads(target.read_text()) if target.exists() else {}
-        draft.write_text(json.dumps(old | fields, indent=2, sort_keys=True))
-        os.replace(draft, target)
-        return old | fields
+        """Merge fields into the manifest; without any just read it."""
+        where = f"{self.path}/manifest.json"
+        held = json.loads(files.read_text(self.spark, where) or "{}") | fields
+        if fields:
+            files.replace_text(self.spark, where, json.dumps(held, indent=2, sort_keys=True))
+        return held
 
     @staticmethod
-    def newest(root: str) -> Path:
-        return max(p for p in Path(root).iterdir() if (p / "manifest.json").exists())
+    def newest(spark: SparkSession, root: str) -> str:
+        """The newest run that has a manifest."""
+        fs, p = files.filesystem(spark, root)
+        runs = [s.getPath().toString() for s in fs.listStatus(p)]
+        return max(r for r in runs if files.read_text(spark, f"{r}/manifest.json") is not None)
 
 
 # fixed values: data licences by source

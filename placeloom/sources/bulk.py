@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeloom import files
 from placeloom.functions import text
 
 LAYOUT = 3
@@ -30,17 +29,6 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("payload")).where("trim(payload) <> ''")
 
 
-def unzip_member(archive: str, folder: str, suffix: str = ".csv") -> str:
-    """Unpack the first member with the suffix beside the archive: zip is no codec of Spark. Streams; runs on the driver."""
-    with zipfile.ZipFile(archive) as z:
-        name = next(n for n in z.namelist() if n.lower().endswith(suffix))
-        out = Path(folder) / Path(name).name
-        with z.open(name) as src, out.open("wb") as dst:
-            while block := src.read(1 << 20):
-                dst.write(block)
-    return str(out)
-
-
 def record_date(own: Column, vintage: str | None, modified: str | None, dated: bool = True) -> Column:
     """The row's date, else the snapshot's, else the file's; none for sources whose rows are not dated by it."""
     rest = [F.lit(x) for x in (vintage, modified) if x] if dated else []
@@ -56,10 +44,10 @@ class Snapshot:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def ingest(self, records: DataFrame, total: int | None = None, vintage: str | None = None, modified: str | None = None, dated: bool = True, files: int | None = None) -> dict:
+    def ingest(self, records: DataFrame, total: int | None = None, vintage: str | None = None, modified: str | None = None, dated: bool = True, parts: int | None = None) -> dict:
         """Replace the snapshot by mapped records with ``localities`` and ``ids``; ``modified`` is the date of the export file.
         The new one is written beside the old and becomes current by one rename, so look-ups always read a whole one.
-        ``files`` are left to Spark unless given. No record is an error; more rejected than mapped rows a warning."""
+        The number of ``parts`` is left to Spark unless given. No record is an error; more rejected than mapped rows a warning."""
         r = records.withColumn("as_of", record_date(F.col("as_of"), vintage, modified, dated)).withColumn("rec_key", F.concat_ws(":", "connector", F.coalesce("establishment_id", "id")))
         where = f"{self.folder}/{uuid.uuid4().hex}"
         r.write.parquet(f"{where}/mapped")
@@ -69,40 +57,24 @@ class Snapshot:
             raise ValueError("no row of the export could be mapped")
         keys = F.array_distinct(F.filter(F.transform("localities", text.slug), lambda k: k != ""))
         by_place = r.withColumn("locality_key", F.explode_outer(keys))
-        self._sorted(by_place, "locality_key", files, f"{where}/records")
+        self._sorted(by_place, "locality_key", parts, f"{where}/records")
         ids = r.select("rec_key", F.explode(F.array_distinct(F.transform("ids", text.slug))).alias("id_key")).where("id_key <> ''")
-        self._sorted(ids, "id_key", files, f"{where}/ids")
-        self._point(where)
+        self._sorted(ids, "id_key", parts, f"{where}/ids")
+        files.replace_text(self.spark, f"{self.folder}/CURRENT", where)
         skipped = None if total is None else total - n
         return {"rows": n, "skipped": skipped, "layout": LAYOUT, "warning": bool(skipped and skipped > n)}
 
     @staticmethod
-    def _sorted(df: DataFrame, key: str, files: int | None, where: str) -> None:
-        spread = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
+    def _sorted(df: DataFrame, key: str, parts: int | None, where: str) -> None:
+        spread = df.repartitionByRange(parts, key) if parts else df.repartitionByRange(key)
         spread.sortWithinPartitions(key).write.parquet(where)
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _point(self, where: str) -> None:
-        fs, path = self._fs()
-        draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{where}/CURRENT")
-        out = fs.create(draft, True)
-        out.write(bytearray(where.encode()))
-        out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(draft, path)
-
     def current(self) -> str:
         """Folder of the snapshot that look-ups read."""
-        fs, path = self._fs()
-        stream = fs.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        where = files.read_text(self.spark, f"{self.folder}/CURRENT")
+        if where is None:
+            raise FileNotFoundError(f"no snapshot in {self.folder}")
+        return where
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.current()}/{name}")

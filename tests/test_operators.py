@@ -108,12 +108,17 @@ def test_render(spark, tmp_path):
     notes = spark.createDataFrame([(1, "scan: ok")], "ord long, text string")
     md = render.report(p, lanes, notes, "Town")
     assert "Truncated" in md and "map places only" in md
-    assert "&quot;x&quot;" in render.html_page(p, "Town")
+    page = render.html_page(p, "Town <1>")
+    assert "&quot;x&quot;" in page and "Town &lt;1&gt;" in page and "Town <1>" not in page and "blank(x)" in page
+    more = p.selectExpr("*", "cast(null AS string) AS cms", "true AS has_pricing", "false AS has_ecommerce", "2 AS page_count", "'because' AS why", "'call' AS angle")
+    more = more.unionByName(more.withColumn("place_id", F.lit("2")).withColumn("fit", F.lit(None).cast("string")))
+    md = render.report(more, lanes.withColumn("connector", F.lit("no-brreg")), notes, "Town")
+    assert "2 pages read" not in md and "4 pages read" in md and "## Judged (1 of 2)" in md and "**Why.** because" in md and "1 companies have" in md and "## Sources" in md and "NLOD" in md
     assert render.privacy_note(p) is None
-    run = render.Run(str(tmp_path), "r1")
+    run = render.Run(spark, str(tmp_path), "r1")
     run.write("places", p)
     assert run.manifest(a=1) == {"a": 1} and run.manifest(b=2) == {"a": 1, "b": 2}
-    assert render.Run.newest(str(tmp_path)).name == "r1"
+    assert render.Run.newest(spark, str(tmp_path)).endswith("/r1") and run.manifest() == {"a": 1, "b": 2}
     assert len(render.CSV_HEADER) == 51 and render.csv_frame(p.drop("term_matches").withColumnRenamed("place_id", "id")).columns == render.CSV_HEADER
 
 
@@ -134,3 +139,24 @@ def test_stream_deltas(spark, tmp_path):
     assert {("startedHiring", "x"), ("appeared", "y")} <= got
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert windowed_tally(events, "ts", "event_type").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_names_meet_through_rare_trigrams(spark):
+    """No pair that passes is lost by blocking."""
+    import random
+
+    from placeloom.functions import text
+    from placeloom.operators import confirm
+
+    g = random.Random(4)
+    words = ["boulangerie", "martin", "du", "reve", "ab", "cd", "la", "garage", "x", "soleil", "sol", "rest", "restaurant", "etoile", "dor", "7", "abc"]
+    name = lambda: " ".join(g.choice(words) for _ in range(g.randint(1, 4)))
+    places = spark.createDataFrame([(i, name(), "Lyon") for i in range(120)] + [(900, "martin", ""), (901, None, "Lyon")], "place_id long, name string, locality string")
+    records = spark.createDataFrame([(f"r{i}", [name() for _ in range(g.randint(1, 2))], "LYON", "active", None) for i in range(120)], "rec_key string, names array<string>, locality string, status string, postcode_r string")
+    got = {(r.place_id, r.rec_key): round(r.similarity, 9) for r in confirm.lookup(places, records, limit=1000).collect()}
+    n, m = text.normalize_name, F.col("name")
+    every = places.where("locality = 'Lyon' and name is not null").crossJoin(records.select("rec_key", F.explode("names").alias("r")))
+    inside = (F.length(n(m)) >= 3) & (F.length(n(F.col("r"))) >= 3) & (F.contains(n(m), n(F.col("r"))) | F.contains(n(F.col("r")), n(m)))
+    judged = every.select("place_id", "rec_key", text.name_similarity(m, F.col("r")).alias("s"), inside.alias("inside")).groupBy("place_id", "rec_key").agg(F.max("s").alias("s"), F.bool_or("inside").alias("inside"))
+    want = {(r.place_id, r.rec_key): round(r.s, 9) for r in judged.where("s >= 0.6 or inside").collect()}
+    assert got == want and len(want) > 500

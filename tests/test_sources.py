@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from placeloom import files
 from placeloom.sources import boards, bulk, poi, registers
 
 L = F.lit
@@ -66,7 +67,7 @@ def test_bulk_csv_zip_and_lookup(spark, tmp_path):
     csv += '\n1,"ACME, ""Best""\nLtd",99999 - Dormant,LEEDS,1 High St,LS1,,Private,Active,,,OLD,,,,\n,No number,,,,,,,,,,,,,,\n2,B,62010 - IT,York,,,,,Dissolved,,,,,,,\n'
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("a.csv", csv)
-    rows = bulk.read_csv(spark, bulk.unzip_member(str(tmp_path / "a.zip"), str(tmp_path)))
+    rows = bulk.read_csv(spark, files.unzip_member(spark, str(tmp_path / "a.zip"), str(tmp_path)))
     r = registers.uk_bulk(rows)
     got = {x.id: x for x in r.collect()}
     assert set(got) == {"1", "2"}
@@ -142,3 +143,33 @@ def test_activity_catalogue(spark, tmp_path):
     (tmp_path / "c.csv").write_text("code,label\n62.01Z,a\n62.02A,b\n63.11Z,c\n01.11Z,d\n")
     got = registers.divisions_of_section(spark, str(tmp_path / "c.csv"), "J").collect()
     assert [(r.division, r.codes) for r in got] == [("62", ["62.01Z", "62.02A"]), ("63", ["63.11Z"])]
+
+
+def test_lanes_are_replayed(spark, tmp_path):
+    from placeloom.sources import places
+
+    one = spark.range(1).selectExpr("'Lyon' AS label")
+    places.record_lanes(f"{tmp_path}/r", one, spark.range(3), spark.range(2))
+    lanes = places.load_lanes(spark, f"{tmp_path}/r")
+    assert [lanes[k].count() for k in places.LANES] == [1, 3, 2]
+    with pytest.raises(Exception, match="(?i)exist"):
+        places.record_lanes(f"{tmp_path}/r", one, one, one)
+    places.record_lanes(f"{tmp_path}/e", one.limit(0), one, one)
+    with pytest.raises(ValueError):
+        places.load_lanes(spark, f"{tmp_path}/e")
+
+
+def test_snapshot_keys(spark, tmp_path):
+    """A key without letters finds nothing; a new ingest replaces the old one at once."""
+    rows = [("1", ["東京"], ["x" * 130 + "a"]), ("2", ["Ōsaka", "osaka"], ["x" * 130 + "b"])]
+    r = spark.createDataFrame(rows, "id string, localities array<string>, ids array<string>").selectExpr("*", "'c' AS connector", "cast(null AS string) AS establishment_id", "cast(null AS string) AS as_of")
+    snap = bulk.Snapshot(spark, f"{tmp_path}/s")
+    with pytest.raises(FileNotFoundError):
+        snap.current()
+    snap.ingest(r, modified="2024-03-01")
+    first = snap.current()
+    assert snap.by_locality("大阪").count() == 0 and snap.by_locality("OSAKA").count() == 1
+    assert [x.id for x in snap.by_id("X" * 130 + "B").collect()] == ["2"] and snap.by_id("東京").count() == 0
+    assert {x.as_of for x in snap.by_id("x" * 130 + "a").collect()} == {"2024-03-01"}
+    snap.ingest(r.where("id = '2'"))
+    assert snap.current() != first and snap.by_id("x" * 130 + "a").count() == 0
