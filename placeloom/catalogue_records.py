@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeloom import scratch_dir
 from placeloom.catalogue import _base, _case, _duck, _places, _query, _scored, _table, PLACES, USERS
 from placeloom.functions import extract, text
 from placeloom.operators import confirm, diff, gate, match, resolve, score, summary
@@ -637,3 +638,92 @@ def new_roles(spark: SparkSession, d: str) -> DataFrame:
     g = o.groupBy("key").agg(F.collect_set(F.when(F.col("r") < 2, F.lower("title"))).alias("old"), F.collect_set("title").alias("new"))
     before, after = rest(g.withColumn("titles", F.col("old"))), rest(g.withColumn("titles", F.col("new")))
     return diff.diff_runs(before, after).where("delta_kind = 'newRoles'").select("key", "detail")
+
+
+def _lines(spark: SparkSession, said: str, keep) -> DataFrame:
+    rows = [(i, line) for i, line in enumerate(x for x in said.split("\n") if keep(x))]
+    return spark.createDataFrame(rows, "ord long, line string")
+
+
+@_query("SELECT s_suppkey AS id, s_name AS name, [s_nationkey::VARCHAR, 'x'] AS listed, s_acctbal AS balance FROM supplier")
+def json_export(spark: SparkSession, d: str) -> DataFrame:
+    """Places written as JSON lines and read back."""
+    where = f"{scratch_dir(spark, 'json')}/places"
+    render.write_json(_table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array(F.col("s_nationkey").cast("string"), F.lit("x")).alias("listed"), F.col("s_acctbal").cast("double").alias("balance")), where)
+    return spark.read.schema("id long, name string, listed array<string>, balance double").json(where)
+
+
+@_query("SELECT s_suppkey AS id, 'r2' AS newest, '2024' AS built, (SELECT count(*) FROM supplier)::VARCHAR AS places FROM supplier")
+def run_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of one folder: the newest is found, its manifest was merged, its table is read back."""
+    root = scratch_dir(spark, "runs")
+    for name in ("r1", "r2"):
+        run = render.Run(spark, root, name)
+        run.write("places", _table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
+        run.manifest(built="2024")
+        run.manifest(places=spark.read.parquet(f"{run.path}/places").count())
+    newest = render.Run.newest(spark, root)
+    told = render.Run(spark, root, newest.rsplit("/", 1)[-1]).manifest()
+    return spark.read.parquet(f"{newest}/places").select("id", F.lit(newest.rsplit("/", 1)[-1]).alias("newest"), F.lit(told["built"]).alias("built"), F.lit(str(told["places"])).alias("places"))
+
+
+@_query("SELECT 'This folder holds personal data: ' || sum(c_custkey % 3)::BIGINT::VARCHAR || ' officers, ' || sum(c_custkey % 2)::BIGINT::VARCHAR || ' people, ' || count(*) FILTER (c_custkey % 5 = 0)::VARCHAR || ' personal-looking e-mail addresses.' AS line, 0 AS ord FROM customer")
+def privacy_note(spark: SparkSession, d: str) -> DataFrame:
+    c = _base(spark, d, "SELECT c_custkey % 3 AS n_officers, c_custkey % 2 AS n_people, CASE WHEN c_custkey % 5 = 0 THEN array('jean.martin@x.fr') ELSE array('contact@x.fr') END AS emails FROM {customer}", "customer")
+    return _lines(spark, render.privacy_note(c), bool)
+
+
+@_query("SELECT 0 AS ord, 'map tags shop, office' AS line UNION ALL SELECT 1, 'sections C, J' UNION ALL SELECT 2, '2 explicit register identifiers' UNION ALL SELECT 3, 'at most 50 rows' UNION ALL SELECT 4, 'ceased companies included'")
+def filter_words(spark: SparkSession, d: str) -> DataFrame:
+    said = render.describe_filters({"osm_groups": ["shop", "office"], "activity_codes": [], "sections": ["C", "J"], "registry_ids": ["1", "2"], "max_results": 50, "include_ceased": True})
+    return _lines(spark, "\n".join(said), bool)
+
+
+@_query(
+    """WITH d AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'appeared' WHEN 1 THEN 'gotWebsite' ELSE 'wentDark' END AS kind, o_orderkey AS key FROM orders),
+t AS (SELECT kind, count(*) AS n FROM d GROUP BY kind), l AS (SELECT CASE kind WHEN 'appeared' THEN 0 WHEN 'gotWebsite' THEN 1 ELSE 2 END AS k, kind, n FROM t)
+SELECT 3 * k AS ord, '## ' || kind AS line FROM l UNION ALL SELECT 3 * k + 1, '| ' || (SELECT min(key) FROM d WHERE d.kind = l.kind)::VARCHAR || ' | x |' FROM l UNION ALL SELECT 3 * k + 2, '... and ' || (n - 50)::VARCHAR || ' more' FROM l"""
+)
+def delta_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of a delta report, the first row of each section and how many more there are."""
+    delta = _base(spark, d, "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'appeared' WHEN 1 THEN 'gotWebsite' ELSE 'wentDark' END AS delta_kind, o_orderkey AS key, 'x' AS detail FROM {orders}", "orders")
+    lines, fresh = [], False
+    for line in render.delta_report(delta).split("\n"):
+        if line.startswith("## ") or line.startswith("... and") or (fresh and line.startswith("| ") and "| detail |" not in line):
+            lines.append(line)
+            fresh = line.startswith("## ")
+    return _lines(spark, "\n".join(lines), bool)
+
+
+@_query(
+    f"""WITH p AS ({_duck(PLACES)}), c AS (SELECT count(*) AS n, count(*) FILTER (ne > 0 OR np > 0) AS anyone, count(*) FILTER (ne > 0 AND np > 0) AS both_, count(*) FILTER (is_hiring) AS h, count(*) FILTER (NOT is_hiring) AS nh, count(*) FILTER (is_hiring IS NULL) AS u, sum(open_roles) FILTER (is_hiring)::BIGINT AS roles, count(*) FILTER (place_id % 4 = 0) AS fit FROM p)
+SELECT 0 AS ord, '- **Contacts.** ' || anyone || ' of ' || n || ' have an e-mail address or a phone number, ' || both_ || ' both' AS line FROM c UNION ALL SELECT 1, '## Judged (' || fit || ' of ' || n || ')' FROM c UNION ALL SELECT 2, fit || ' strong' FROM c
+UNION ALL SELECT 3, (n - fit) || ' companies have a measured score and no verdict yet.' FROM c"""
+)
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers that the report states about the inventory and the verdicts."""
+    p = _places(spark, d).withColumn("fit", F.when(F.col("place_id") % 4 == 0, "strong")).withColumn("why", F.lit(None).cast("string")).withColumn("angle", F.lit(None).cast("string"))
+    p = p.withColumn("total", F.lit(1)).withColumn("name", F.lit("x"))
+    parts = render.inventory(p) + render.judged(p)
+    return _lines(spark, "\n".join(parts), lambda x: x.startswith(("- **Contacts", "## Judged")) or x.endswith(" strong") or "no verdict yet" in x)
+
+
+@_query("SELECT 'Town &lt;1&gt;' AS title, least(2000, count(*)) AS rows, count(*) FILTER (s_suppkey % 2 = 0 AND s_suppkey % 3 = 0) > 0 AS hiring FROM supplier")
+def page_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The page escapes its title and carries every place up to its limit."""
+    import re
+
+    s = _base(spark, d, "SELECT s_suppkey AS place_id, s_name AS name, 1 AS total, CAST(NULL AS STRING) AS fit, CAST(NULL AS STRING) AS site_confidence, 48.0D + s_suppkey * 0.001D AS lat, 2.0D AS lon, CASE WHEN s_suppkey % 6 = 0 THEN true END AS is_hiring, CAST(array() AS ARRAY<STRING>) AS emails, CAST(array() AS ARRAY<STRING>) AS phones, 0 AS term_matches, 0 AS matched_roles, CAST(NULL AS STRING) AS connector, CAST(NULL AS STRING) AS as_of FROM {supplier}", "supplier")
+    page = render.html_page(s, "Town <1>")
+    return spark.createDataFrame([(re.search("<title>(.*?)</title>", page)[1], page.count("<tr data-text"), "hiring:" in page)], "title string, rows long, hiring boolean")
+
+
+@_query(
+    """SELECT s_suppkey AS k, lpad((900000000 + s_suppkey)::VARCHAR, 9, '0') AS no_brreg, '0112' || lpad((s_suppkey % 1000)::VARCHAR, 3, '0') || '-9' AS fi_prh, 'EE' || (100000000 + s_suppkey)::VARCHAR AS ee_ariregister, 'HRB ' || s_suppkey::VARCHAR || ' B' AS de_offeneregister,
+'HRB' || s_suppkey::VARCHAR || 'B' AS gleif, (100000000 + s_suppkey)::VARCHAR AS eu_vies FROM supplier"""
+)
+def more_identifier_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The other registers' identifiers, out of VAT numbers and spellings."""
+    s = _base(spark, d, "SELECT s_suppkey AS k, concat('NO ', CAST(900000000 + s_suppkey AS STRING), ' MVA') AS no, concat('FI0112', lpad(CAST(s_suppkey % 1000 AS STRING), 3, '0'), '9') AS fi, concat('ee ', CAST(100000000 + s_suppkey AS STRING)) AS ee, concat(' HRB  ', CAST(s_suppkey AS STRING), ' B') AS de, concat('hrb. ', CAST(s_suppkey AS STRING), ' b') AS gl, concat('EL ', CAST(100000000 + s_suppkey AS STRING)) AS el FROM {supplier}", "supplier")
+    form = lambda c, v, k: registers.verify_id_form(c, F.col(v), F.lit(k)).alias(c.replace("-", "_"))
+    return s.select("k", form("no-brreg", "no", "vat"), form("fi-prh", "fi", "vat"), form("ee-ariregister", "ee", "vat"), form("de-offeneregister", "de", "HRB"), form("gleif", "gl", "hrb"), form("eu-vies", "el", "vat"))
