@@ -289,6 +289,20 @@ def failure_classes(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(k, m)").select("k", poi.failure_class(F.col("m")).alias("class"))
 
 
+@_query(
+    """SELECT 'n' || s_suppkey::VARCHAR AS poi_id, CASE WHEN s_suppkey % 2 = 0 THEN 'shop=bakery' ELSE 'tourism=hotel' END AS category FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey % 20 < 10 AND s_suppkey % 7 IN (0, 6)"""
+)
+def poi_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Businesses inside a box across the date line: whole keys, listed values, neither; coordinates of nodes and of centres."""
+    e = _base(
+        spark, d, """SELECT 'node' AS type, s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN lat END AS lat, CASE WHEN s_suppkey % 2 = 0 THEN lon END AS lon, CASE WHEN s_suppkey % 2 = 1 THEN named_struct('lat', lat, 'lon', lon) END AS center,
+        map(CASE WHEN s_suppkey % 3 = 0 THEN 'tourism' WHEN s_suppkey % 2 = 0 THEN 'shop' ELSE 'tourism' END, CASE WHEN s_suppkey % 3 = 0 THEN 'viewpoint' WHEN s_suppkey % 2 = 0 THEN 'bakery' ELSE 'hotel' END) AS tags
+        FROM (SELECT s_suppkey, CAST(s_suppkey % 20 AS DOUBLE) AS lat, CASE s_suppkey % 7 WHEN 0 THEN 179.5D WHEN 6 THEN -179.5D ELSE 10.0D * (s_suppkey % 7) END AS lon FROM {supplier})""", "supplier"
+    )
+    p = poi.to_pois(poi.within(e.where(poi.business_filter(F.col("tags"))), 0.0, 9.5, 179.0, -179.0))
+    return p.select("poi_id", poi.category(F.col("tags")).alias("category"))
+
+
 # pages -----------------------------------------------------------------------------------------------------------------
 
 LINKED = """concat('<a href="/a#x">1</a><a class="b" href="', CAST(page_id AS STRING), '.html">2</a><a href="https://other.example/">3</a><a href="mailto:x@y.fr">4</a><a href="../up">5</a><a href="//acme.example/p">6</a><a href="/a">7</a>')"""

@@ -50,6 +50,13 @@ def business_filter(tags: Column, groups: list[str] | None = None) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def within(elements: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
+    """Elements whose coordinate, or that of their centre, lies in a box; a box whose west is above its east crosses 180 degrees."""
+    lat, lon = F.coalesce("lat", "center.lat"), F.coalesce("lon", "center.lon")
+    columns = lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
+    return elements.where(lat.between(south, north) & columns)
+
+
 def to_pois(elements: DataFrame) -> DataFrame:
     """``(poi_id, osm_type, osm_id, name, lat, lon, tags)``; elements without a coordinate are dropped."""
     tag = lambda k: F.element_at("tags", F.lit(k))
