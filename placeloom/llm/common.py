@@ -12,15 +12,18 @@ from placeloom import ship
 _LOCAL: dict[str, str] = {}
 
 
-BATCHES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+# Arrow batches go by bytes as well as by rows, since ten thousand texts may be any size; shuffle files go when the execution that
+# wrote them ends, since operators run several after one another
+DEFAULTS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches go by bytes as well as by rows, since ten thousand texts may be any size. A session's own setting stays."""
-    if not spark.conf.get("placeloom.batches", None):
-        spark.conf.set("placeloom.batches", "set")
-        if spark.sparkContext.getConf().get(BATCHES) is None:
-            spark.conf.set(BATCHES, BATCH_BYTES)
+def session_defaults(spark: SparkSession) -> None:
+    """Set ``DEFAULTS`` once; what the application has set itself stays."""
+    if not spark.conf.get("placeloom.defaults", None):
+        spark.conf.set("placeloom.defaults", "set")
+        for key, value in DEFAULTS.items():
+            if spark.sparkContext.getConf().get(key) is None:
+                spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a purely local session (tests) may fall back to a temporary folder.
     """
     ship(spark)
-    bounded_batches(spark)
+    session_defaults(spark)
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
@@ -43,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    bounded_batches(spark)
+    session_defaults(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

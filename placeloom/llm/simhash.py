@@ -320,6 +320,7 @@ def near_duplicates(
     of_rep = scratch.write(
         reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "of_rep"
     )
+    scratch.keep(fps, of_rep)
     joined = fps.join(of_rep, "fp", "left")
     return joined.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -412,8 +413,8 @@ def similar_texts(
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash, "text")
     texts = texts.join(members, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
     grams = scratch.write(texts.select("key", "rep", "fp", grams_udf("text").alias("grams")), "grams")
-    links = _linked(spark, grams, scratch, radius, tile, similarity)
-    scratch.drop(grams)
+    links = scratch.write(_linked(spark, grams, scratch, radius, tile, similarity), "links")
+    scratch.keep(fps, links)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", fps.node)).alias("component")
     return fps.join(links, fps.node == links.node, "left").select(F.col("id").alias("doc_id"), "text_hash", component)
 
