@@ -5,13 +5,11 @@ Every stage takes (spark, docs, sf_dir); docs has the columns of documents and i
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.llm import decontaminate, packing, quality, secrets, simhash
-from placeloom.llm.common import shared_dir, table
+from placeloom.llm.common import table, temporary_dir
 from placeloom.llm.queries import PACK_TOKENIZER
 
 THRESHOLD = 0.3
@@ -61,7 +59,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents; each result is written to the shared folder and read again."""
-    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    where = temporary_dir(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
