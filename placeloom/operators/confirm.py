@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from placeloom.functions import text
+from placeloom.operators.cut import cut
 
 ID_ROUTE_SCORE = 0.3
 LOOKUP_SIMILARITY = 0.6
@@ -57,8 +58,10 @@ def lookup(places: DataFrame, snapshot: DataFrame, limit: int = 20) -> DataFrame
         "rec_key", text.slug(F.col("locality")).alias("loc"), "postcode_r", F.transform("names", lambda n: text.name_forms(n)).alias("rf"), F.transform("names", lambda n: text.normalize_name(n)).alias("rn"),
     ).where("loc <> ''")
     forms = lambda df, key, one, whole: df.select(F.col(key).alias("id"), "loc", F.explode(F.array_union(F.transform(one, lambda f: f["n"]), whole)).alias("n")).where("n <> ''")
-    pk = name_keys(forms(p, "place_id", F.col("pf"), F.array("pn")))
-    rk = name_keys(forms(s, "rec_key", F.flatten("rf"), F.col("rn")))
+    spark = places.sparkSession
+    p, s = cut(spark, p), cut(spark, s)  # read three times below
+    pk = cut(spark, name_keys(forms(p, "place_id", F.col("pf"), F.array("pn"))))
+    rk = cut(spark, name_keys(forms(s, "rec_key", F.flatten("rf"), F.col("rn"))))
     side = lambda k, c, name: k.select(F.col("id").alias(name), "loc", F.explode(c).alias("gram"))
     meet = lambda a, b: side(pk, a, "place_id").join(side(rk, b, "rec_key"), ["loc", "gram"]).select("place_id", "rec_key")
     pairs = meet("rare", "every").unionByName(meet("every", "rare")).distinct()
