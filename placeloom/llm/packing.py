@@ -26,7 +26,7 @@ from placeloom.llm.common import Scratch
 from placeloom.llm.wordpieces import byte_symbols
 
 SPECIAL = "<|endoftext|>"
-PER_SALT = 1_000_000
+PER_SALT, LEAST_SALTS = 1_000_000, 16
 FRONT = 20
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
@@ -279,15 +279,15 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int, per_salt: int = PER_SALT) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to written pieces ``(doc_id, piece, start, length, ids_crc32)``.
 
-    A length has one salt for every ``per_salt`` pieces, so a length that many pieces have is ranked by many tasks; what meets
-    the driver is one count per salt, some ``pieces / per_salt`` and ``capacity`` rows.
+    A length has one salt for every ``per_salt`` pieces and ``LEAST_SALTS`` at least, so a length that many pieces have is ranked by
+    many tasks; what meets the driver is one count per salt, some ``pieces / per_salt`` and ``LEAST_SALTS * capacity`` rows.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     histogram.pop(capacity, None)
     runs, sequences = plan_packing(histogram, capacity)
     salts = [0] * capacity
     for size, n in histogram.items():
-        salts[size] = -(-n // per_salt)
+        salts[size] = max(-(-n // per_salt), LEAST_SALTS)
     first = np.cumsum([0, *salts])  # of each length's salts among all
     own = F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int") + 1)
     short = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), own).cast("int"))
