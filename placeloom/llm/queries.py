@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import chat, decontaminate, embeddings, packing, quality, secrets, sharding, simhash, substrings, wordpieces
+from placeloom.llm import chat, decontaminate, embeddings, importance, neighbours, packing, quality, secrets, sharding, simhash, substrings, whitening, wordpieces
 from placeloom.llm.common import table, temporary_dir
 
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,8 +61,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_embeddings, op4_token_counts, op5_simhash, op6_chat, op7_packing, op8_sharding, op9_substrings, op10_decontamination)}
+    every = (op1_quality, op2_secrets, op3_embeddings, op4_token_counts, op5_simhash, op6_chat, op7_packing, op8_sharding, op9_substrings, op10_decontamination, op11_importance, op12_neighbours, op13_whitening)
+    return {f.__name__: f for f in every}
 
 
 ORACLES = {
@@ -127,6 +140,25 @@ c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a)
 k AS (SELECT c.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front FROM c JOIN d USING (doc_id) GROUP BY c.doc_id)
 SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op11_importance": r"""
+WITH RECURSIVE c(b, v, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM c WHERE k < 8),
+tab AS MATERIALIZED (SELECT b, v FROM c WHERE k = 8),
+w AS MATERIALIZED (SELECT *, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT 's' AS side, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark)),
+f AS MATERIALIZED (SELECT side, doc_id, array_to_string(ws[i:i + n - 1], ' ') AS feature FROM (SELECT side, doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(n))),
+u AS MATERIALIZED (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM f)),
+g(feature, h, p, x) AS (SELECT feature, h, 0, 4294967295::BIGINT FROM u
+  UNION ALL SELECT feature, h, p + 1, xor(x >> 8, v) FROM g JOIN tab ON b = xor(x, ('0x' || substr(h, 2 * p + 1, 2))::BIGINT) & 255 WHERE 2 * p < len(h)),
+k AS MATERIALIZED (SELECT feature, xor(x, 4294967295) % 10000 AS bucket FROM g WHERE 2 * p = len(h)),
+n AS MATERIALIZED (SELECT side, doc_id, bucket, count(*) AS n FROM f JOIN k USING (feature) GROUP BY ALL),
+t AS (SELECT bucket, coalesce(sum(n) FILTER (side = 's'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM n GROUP BY bucket),
+a AS (SELECT sum(s) AS s, sum(t) AS t FROM t),
+gain AS (SELECT bucket, floor(1000 * ln(((t.t + 1) * (a.s + 10000))::DOUBLE / ((t.s + 1) * (a.t + 10000))::DOUBLE))::BIGINT AS gain FROM t, a),
+d AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM n JOIN gain USING (bucket) WHERE side = 's' GROUP BY doc_id),
+r AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN d ON d.doc_id = w.doc_id WHERE side = 's'),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS many FROM r WHERE n_words >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN rank <= 5 * many // 100 THEN rank END AS rank FROM r LEFT JOIN o USING (doc_id)""",
     "op8_sharding": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }
 
