@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from placeloom import scratch_dir, ship
 from placeloom.functions import dims, extract, geo, text
-from placeloom.operators import confirm, diff, gate, match, ranks, resolve, score, summary
+from placeloom.operators import confirm, content, diff, gate, match, ranks, resolve, score, summary
 from placeloom.plans import render, sweep
 from placeloom.sources import bulk, pages, poi, registers
 
@@ -474,8 +474,50 @@ SELECT page_id, len({_plain_sql("html")})::INT AS body_chars, md5({_plain_sql("h
 )
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     """Visible text and main content of every page."""
-    p = _table(spark, d, "pages").select("page_id", extract.html_to_text(F.col("html")).alias("body_text"), extract.main_content(F.col("html")).alias("main"))
-    return p.select("page_id", F.length("body_text").alias("body_chars"), F.md5(F.col("body_text").cast("binary")).alias("body_md5"), F.md5(extract.html_to_text(F.col("main")).cast("binary")).alias("main_md5"))
+    p = content.with_main(_table(spark, d, "pages").select("page_id", "html"), "html", content.LARGEST, "main")
+    seen = extract.bound(extract.html_to_text(F.col("html")), lambda t: F.struct(F.length(t).alias("n"), F.md5(t.cast("binary")).alias("md5")))
+    return p.select("page_id", seen.alias("seen"), F.md5(extract.html_to_text(F.col("main")).cast("binary")).alias("main_md5")).select(
+        "page_id", F.col("seen.n").alias("body_chars"), F.col("seen.md5").alias("body_md5"), "main_md5"
+    )
+
+
+ARTICLE = r"(?is)<article>(.*?)</article>"
+SHAPES = [
+    "html", "replace(html, '<article>', '<article><div class=\"content\"><article>inner</article>')", "replace(replace(html, '<article>', '<MAIN id=\"x\">'), '</article>', '</main >')", "replace(html, '</article>', '')",
+    "replace(replace(html, '<article>', '<div><div data-x=\"1\" class=\"the post entry\"><div><section>a</section></div><div>'), '</article>', '</div></div></div>')",
+    "replace(html, '<article>', '</section></div><article>tiny</article><div>')", "concat('<link href=\"https://acme.example/', CAST(page_id AS STRING), '?a=1&amp;b=2\" rel=\"canonical\"><article><article>', html)",
+]
+MAIN_OF = ["a", "'<div class=\"content\"><article>inner</article>' || a", "a", "h", "'<div><section>a</section></div><div>' || a || '</div>'", "'tiny'", "a"]
+
+
+def _readable_sql(x: str) -> str:
+    hidden = "|".join(["<!--.*?-->"] + [rf"<{t}.*?</{t}>" for t in ("script", "style", "noscript", "head", "nav", "footer", "svg", "template")])
+    out = rf"regexp_replace({x}, '(?is){hidden}', ' ', 'g')"
+    for level in range(1, 7):
+        out = rf"regexp_replace({out}, '(?i)<h{level}(?:\s[^>]*)?>', chr(10) || '{'#' * level} ', 'g')"
+    lines = extract.LINE_TAGS.removeprefix("(?i)")
+    out = rf"regexp_replace(regexp_replace({out}, '(?i){lines}', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g')"
+    for entity, plain in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("eacute", "é"), ("amp", "&")):
+        out = f"replace({out}, '&{entity};', '{plain}')"
+    return rf"array_to_string(list_filter(list_transform(string_split(regexp_replace({out}, '[ \t]+', ' ', 'g'), chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10))"
+
+
+def _shape_sql(dialect: str) -> str:
+    return f"SELECT page_id, html, CASE page_id % {len(SHAPES)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(SHAPES)) + f" END AS h FROM {dialect}"
+
+
+@_query(
+    rf"""WITH s AS (SELECT *, regexp_extract(html, '{ARTICLE}', 1) AS a FROM ({_shape_sql("pages").replace("STRING", "VARCHAR")})),
+m AS (SELECT page_id, h, CASE page_id % {len(MAIN_OF)} {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(MAIN_OF))} END AS main FROM s),
+v AS (SELECT *, len(trim(regexp_replace(regexp_replace(main, '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS part, len(trim(regexp_replace(regexp_replace(h, '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS whole FROM m),
+w AS (SELECT page_id, h, CASE WHEN part < 500 AND part < 0.3 * whole THEN h ELSE main END AS main FROM v)
+SELECT page_id, md5(main) AS main_md5, {_readable_sql("main")} AS readable, CASE WHEN page_id % {len(SHAPES)} = 6 THEN 'https://acme.example/' || page_id::VARCHAR || '?a=1&b=2' END AS canonical FROM w"""
+)
+def page_extract(spark: SparkSession, d: str) -> DataFrame:
+    """What is stored of a page: its main block in seven shapes (nested, broken, in other tags, too small to be it), as readable text, and its own address."""
+    p = content.with_main(_base(spark, d, _shape_sql("{pages}"), "pages"), "h", content.NAMED, "main")
+    return p.select("page_id", F.md5("main").alias("main_md5"), extract.readable_text(F.col("main")).alias("readable"), extract.canonical_link(F.col("h")).alias("canonical"))
+
 
 
 @_query(

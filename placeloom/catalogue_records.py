@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from placeloom import scratch_dir
 from placeloom.catalogue import _base, _case, _duck, _places, _query, _scored, _table, PLACES, USERS
 from placeloom.functions import extract, text
-from placeloom.operators import confirm, diff, gate, match, resolve, score, summary
+from placeloom.operators import confirm, content, diff, gate, match, resolve, score, summary
 from placeloom.plans import render, sweep
 from placeloom.sources import boards, bulk, places, poi, registers
 
@@ -330,7 +330,7 @@ def decoded_text(spark: SparkSession, d: str) -> DataFrame:
 def main_text(spark: SparkSession, d: str) -> DataFrame:
     """The main block of a page, blocks nested in it included."""
     p = _base(spark, d, "SELECT page_id, concat('<body><nav>menu menu menu</nav><main>main ', CAST(page_id AS STRING), ' <main>inner</main> more</main><footer>foot</footer></body>') AS h FROM {pages}", "pages")
-    p = p.select("page_id", extract.main_content(F.col("h")).alias("m"))
+    p = content.with_main(p, "h", content.LARGEST, "m")
     return p.select("page_id", F.regexp_replace(extract.html_to_text(F.col("m")), r"\s+", " ").alias("main_text"))
 
 

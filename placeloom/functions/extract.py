@@ -22,6 +22,11 @@ def matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often and wherever ``use`` mentions it, lambdas included."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def page_role(url: Column) -> Column:
     """What a page is for, from the path of its URL; an unparsable URL is taken as a path."""
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), url)
@@ -238,6 +243,23 @@ def html_to_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{2,}", "\n"), r"^\s+|\s+$", "")
 
 
+# fixed values: what a reader does not see, and where lines begin and end
+UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|head|nav|footer|svg|template).*?</\1>"
+LINE_TAGS = r"(?i)</(?:p|div|section|article|li|tr|td|th|ul|ol|h[1-6]|pre|blockquote|br)>|<(?:p|div|section|article|li|tr|td|th|ul|ol|pre|blockquote|table)\b[^>]*>|<(?:br|hr)\s*/?>"
+BLANK = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+def readable_text(html: Column) -> Column:
+    """What a reader sees of a piece of markup, for storing and citing: navigation and footers out as well, one line for each block, list item and
+    table cell, headings marked by as many # as their level, entities decoded, no empty lines."""
+    out = F.regexp_replace(html, UNSEEN, " ")
+    for level in range(1, 7):
+        out = F.regexp_replace(out, rf"(?i)<h{level}(?:\s[^>]*)?>", f"\n{'#' * level} ")
+    out = F.regexp_replace(F.regexp_replace(out, LINE_TAGS, "\n"), r"(?s)<[^>]+>", " ")
+    lines = F.transform(F.split(F.regexp_replace(decode_entities(out), r"[ \t]+", " "), "\n"), lambda line: F.regexp_replace(line, f"^{BLANK}|{BLANK}$", ""))
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
+
+
 # the named entities of HTML 4, and the apostrophe; no-break spaces are plain ones
 ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
 
@@ -246,7 +268,6 @@ def decode_entities(c: Column) -> Column:
     """Named and numeric entities, each once; an unknown name stays, a number that is no character is a blank."""
     names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
     pattern = r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
-    gaps, refs = F.split(c, pattern, -1), matches(c, pattern, 1)
 
     def plain(ref: Column) -> Column:
         code = F.when(ref.rlike("^#[xX]"), F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2))).try_cast("int")
@@ -255,8 +276,12 @@ def decode_entities(c: Column) -> Column:
         number = F.when(ok, wide).otherwise(" ")
         return F.when(ref.startswith("#"), number).otherwise(F.coalesce(F.element_at(names, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
 
-    tail = F.transform(refs, lambda r, i: F.concat(plain(r), F.get(gaps, i + 1)))
-    return F.when(F.size(refs) > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(tail, ""))).otherwise(c)
+    def joined(parts: Column) -> Column:  # a reference and the text after it, pair by pair
+        pairs = F.zip_with(parts["refs"], F.slice(parts["gaps"], 2, F.greatest(F.size(parts["refs"]), F.lit(1))), lambda ref, gap: F.concat(plain(ref), gap))
+        return F.concat(F.get(parts["gaps"], F.lit(0)), F.array_join(pairs, ""))
+
+    split = lambda t: F.struct(F.split(t, pattern, -1).alias("gaps"), matches(t, pattern, 1).alias("refs"))
+    return bound(c, lambda t: F.when(F.contains(t, F.lit("&")), bound(split(t), joined)).otherwise(t))
 
 
 # fixed values: what the lines of a consent banner say
@@ -271,7 +296,7 @@ def without_consent_lines(text: Column) -> Column:
 
     def banner(line: Column) -> Column:
         hits = sum((line.rlike(p).cast("int") for p in CONSENT), F.lit(0))
-        return (hits >= 2) | ((hits == 1) & (F.length(F.trim(line)) < 120))
+        return hits >= F.when(F.length(F.trim(line)) < 120, 1).otherwise(2)
 
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~banner(line)), "\n")
 
@@ -285,7 +310,9 @@ def meta_description(html: Column) -> Column:
 
 
 def canonical_link(html: Column) -> Column:
-    return F.nullif(F.regexp_extract(html, r"""(?is)<link[^>]*rel=["']canonical["'][^>]*href=["']([^"']+)["']""", 1), F.lit(""))
+    """The address a page gives itself: of its canonical link, else of its og:url, the attributes in any order."""
+    address = lambda tag: F.nullif(F.trim(F.regexp_extract(F.regexp_extract(html, tag, 0), r"""(?is)\b(?:href|content)=["']([^"']+)["']""", 1)), F.lit(""))
+    return decode_entities(F.coalesce(address(r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*>"""), address(r"""(?i)<meta\b[^>]*\bproperty=["']?og:url["']?[^>]*>""")))
 
 
 def _encoded(c: Column) -> Column:
@@ -362,39 +389,3 @@ def _resolve_links(html: str | None, base: str | None) -> list[str]:
         except ValueError:
             continue
     return list(out)
-
-
-def main_content(html: Column) -> Column:
-    """The largest of ``<main>``, ``<article>`` and role=main blocks by visible text, else the body; nested blocks need a
-    parser, so this runs as an Arrow UDF."""
-
-    @F.pandas_udf("string")
-    def pick(pages: pd.Series) -> pd.Series:
-        return pd.Series([_main_of(p) for p in pages])
-
-    return pick(html)
-
-
-def _main_of(html: str | None) -> str | None:
-    if html is None:
-        return None
-    best, size = None, -1
-    opening = re.compile(r"""(?is)<(main|article|div|section)\b([^>]*)>""")
-    for m in opening.finditer(html):
-        tag = m[1].lower()
-        if tag in ("div", "section") and not re.search(r"""(?i)role=["']main["']""", m[2]):
-            continue
-        depth, end = 1, len(html)
-        for t in re.compile(rf"(?is)<(/?){tag}\b[^>]*>").finditer(html, m.end()):
-            depth += -1 if t[1] else 1
-            if depth == 0:
-                end = t.start()
-                break
-        inner = html[m.end() : end]
-        text = len(re.sub(r"(?s)<[^>]*>|\s+", "", inner))
-        if text > size:
-            best, size = inner, text
-    if best is None:
-        body = re.search(r"(?is)<body[^>]*>(.*?)(?:</body>|$)", html)
-        best = body[1] if body else html
-    return best

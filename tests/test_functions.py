@@ -93,7 +93,6 @@ def test_pages(value):
     assert value(extract.html_to_text(L(html))) == "Hello\nyou\nA b"
     assert value(extract.canonical_url(L("HTTPS://WWW.Acme.fr:443/a/b/?utm_source=x&b=2&a=1#f"))) == "https://acme.fr/a/b?a=1&b=2"
     assert value(extract.same_origin_links(L('<a href="/a#x"><a href="https://y.fr/b"><a href="mailto:z"><a href="b">'), L("https://x.fr/c/"))) == ["https://x.fr/a", "https://x.fr/c/b"]
-    assert value(extract.main_content(L("<body><nav>n</nav><main><div>abc</div></main></body>"))) == "<div>abc</div>"
     boards = value(extract.job_boards(L("https://jobs.lever.co/acme https://www.recruitee.com https://acme.recruitee.com")))
     assert [(b.provider, b.token) for b in boards] == [("lever", "acme"), ("recruitee", "acme")]
 
