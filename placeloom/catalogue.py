@@ -232,21 +232,18 @@ def name_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH c AS (SELECT a.p_partkey AS k, b.p_partkey AS o, a.p_partkey * 1000000 + b.p_partkey AS pid, a.p_name AS a, concat(b.p_name, ' ', b.p_type) AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey // 5000 = b.p_partkey // 5000 AND a.p_partkey <> b.p_partkey),
+    f"""WITH c AS (SELECT a.p_partkey AS k, b.p_partkey AS o, a.p_partkey * 1000000 + b.p_partkey AS pid, a.p_name AS a, concat(b.p_name, ' ', b.p_type) AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey),
 {_similarity("c", "a", "b", "sims")},
 best AS (SELECT k, b, sim, row_number() OVER (PARTITION BY k ORDER BY sim DESC, o) AS rn FROM c JOIN sims USING (pid) WHERE sim > 0)
 SELECT k AS p_partkey, b AS best_name, round(sim, 6) AS sim FROM best WHERE rn = 1"""
 )
 def best_name(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar of several candidates, the first on ties, none if nothing is alike. Candidates are the parts of one brand
-    and size among five thousand neighbours, so their number does not grow with the table."""
-    p = _table(spark, d, "part").withColumn("near", F.expr("p_partkey DIV 5000"))
-    a = p.select(F.col("p_partkey").alias("k"), "p_brand", "p_size", "near", text.name_forms(F.col("p_name")).alias("fa"))
-    other = F.concat_ws(" ", "p_name", "p_type")
-    b = p.select(F.col("p_partkey").alias("o"), "p_brand", "p_size", "near", other.alias("b"), text.name_forms(other).alias("fb"))
-    s = a.join(b, ["p_brand", "p_size", "near"]).where("k <> o").withColumn("sim", text.forms_similarity(F.col("fa"), F.col("fb"))).where("sim > 0")
-    best = s.groupBy("k").agg(F.max_by(F.struct("b", "sim"), F.struct("sim", -F.col("o"))).alias("x"))
-    return best.select(F.col("k").alias("p_partkey"), F.col("x.b").alias("best_name"), F.round("x.sim", 6).alias("sim"))
+    """The most similar of all other parts of the same brand and size, the first on ties, none if nothing is alike."""
+    p = _table(spark, d, "part")
+    loc, other = F.concat_ws("|", "p_brand", "p_size").alias("loc"), F.concat_ws(" ", "p_name", "p_type")
+    best = confirm.closest_names(spark, p.select(F.col("p_partkey").alias("id"), loc, F.col("p_name").alias("name")), p.select(F.col("p_partkey").alias("id"), loc, other.alias("name")))
+    named = p.select(F.col("p_partkey").alias("other"), other.alias("best_name"))
+    return best.join(named, "other").select(F.col("id").alias("p_partkey"), "best_name", F.round("similarity", 6).alias("sim"))
 
 
 @_query(
@@ -276,14 +273,17 @@ VERDICTS = """SELECT concat('osm:', CAST(o_custkey AS STRING)) AS place_id, conc
 
 
 @_query(
-    f"""WITH pl AS ({_duck(VERDICT_PLACES).replace("STRING", "VARCHAR")}), v AS (SELECT DISTINCT * FROM ({_duck(VERDICTS).replace("STRING", "VARCHAR")})),
+    f"""WITH RECURSIVE pl AS ({_duck(VERDICT_PLACES).replace("STRING", "VARCHAR")}), v AS (SELECT DISTINCT * FROM ({_duck(VERDICTS).replace("STRING", "VARCHAR")})),
 k AS (SELECT v.*, f.rec_key AS full_key, o.place_id IS NOT NULL AND f.rec_key IS NOT NULL AS known FROM v LEFT JOIN (SELECT rec_key FROM pl WHERE lane = 'registry') f ON f.rec_key = v.rec_key OR split_part(f.rec_key, ':', 2) = v.rec_key
   LEFT JOIN (SELECT place_id FROM pl WHERE lane = 'osm') o ON o.place_id = v.place_id),
-j AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY (known AND merge) DESC, rec_key) AS rp, row_number() OVER (PARTITION BY full_key ORDER BY (known AND merge) DESC, place_id) AS rr FROM k)
-SELECT place_id, rec_key, CASE WHEN NOT known THEN 'unknown' WHEN NOT merge THEN 'kept apart' WHEN rp = 1 AND rr = 1 THEN 'merged' ELSE 'rejected' END AS outcome FROM j"""
+c AS (SELECT place_id, list({{'r': rec_key, 'f': full_key}} ORDER BY rec_key) AS options, row_number() OVER (ORDER BY place_id) AS n FROM k WHERE known AND merge GROUP BY place_id),
+g(n, place_id, taken, pick) AS (SELECT 0::BIGINT, NULL::VARCHAR, []::VARCHAR[], NULL::STRUCT(r VARCHAR, f VARCHAR)
+  UNION ALL SELECT n, place_id, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.f) END, pick FROM (SELECT c.n, c.place_id, g.taken, list_filter(c.options, lambda x: NOT list_contains(g.taken, x.f))[1] AS pick FROM g JOIN c ON c.n = g.n + 1)),
+m AS MATERIALIZED (SELECT place_id, pick.f AS full_key, pick.r AS by_key FROM g WHERE pick IS NOT NULL)
+SELECT k.place_id, k.rec_key, CASE WHEN NOT known THEN 'unknown' WHEN NOT merge THEN 'kept apart' WHEN m.by_key = k.rec_key THEN 'merged' ELSE 'rejected' END AS outcome FROM k LEFT JOIN m ON m.place_id = k.place_id AND m.full_key = k.full_key"""
 )
 def verdict_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Outcome of every verdict: exact or suffix keys, one record per place and one place per record."""
+    """Outcome of every verdict: exact or suffix keys, one record per place and one place per record, the first that is still free."""
     pl = _base(spark, d, VERDICT_PLACES, "customer", "supplier")
     pl = pl.select("place_id", F.array("lane").alias("sources"), "rec_key", F.lit(None).cast("double").alias("match_confidence"), F.lit(None).cast("string").alias("matched_by"))
     v = _base(spark, d, VERDICTS, "orders").distinct().withColumn("why", F.lit(""))
@@ -292,8 +292,8 @@ def verdict_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    _ORACLES["verdict_fold"].rsplit("SELECT place_id, rec_key, CASE", 1)[0]
-    + """, m AS (SELECT place_id, full_key FROM j WHERE known AND merge AND rp = 1 AND rr = 1)
+    _ORACLES["verdict_fold"].rsplit("SELECT k.place_id, k.rec_key, CASE", 1)[0]
+    + """
 SELECT pl.place_id, coalesce(m.full_key, pl.rec_key) AS rec_key, CASE WHEN m.full_key IS NULL THEN pl.lane ELSE 'osm+registry' END AS sources, CASE WHEN m.full_key IS NOT NULL THEN 1.0 END::DOUBLE AS match_confidence, CASE WHEN m.full_key IS NOT NULL THEN 'verdict' END AS matched_by
 FROM pl LEFT JOIN m USING (place_id) WHERE pl.lane = 'osm' OR pl.rec_key NOT IN (SELECT full_key FROM m)"""
 )
@@ -819,15 +819,16 @@ def confirm_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH p AS (SELECT c_custkey AS place_id, {_name("c_custkey")} AS a, c_nationkey AS loc, c_custkey % 9 AS postcode FROM customer), s AS (SELECT concat('reg:', s_suppkey::VARCHAR) AS rec_key, concat('SARL ', {_name("s_suppkey")}) AS b, s_nationkey AS loc, s_suppkey % 9 AS postcode_r FROM supplier WHERE s_suppkey % 6 > 0),
+    f"""WITH p AS (SELECT c_custkey AS place_id, {_name("c_custkey")} AS a, c_nationkey AS loc, c_custkey % 9 AS postcode FROM customer), s AS (SELECT concat('reg:', s_suppkey::VARCHAR) AS rec_key, concat('SARL ', {_name("s_suppkey")}) AS b, unnest(CASE WHEN s_suppkey % 4 = 0 THEN [s_nationkey, (s_nationkey + 1) % 25] ELSE [s_nationkey] END) AS loc, s_suppkey % 9 AS postcode_r FROM supplier WHERE s_suppkey % 6 > 0),
 c AS (SELECT *, place_id * 1000000 + substr(rec_key, 5)::BIGINT AS pid FROM p JOIN s USING (loc)), {_similarity("c", "a", "b", "sims")},
 h AS (SELECT place_id, rec_key, CASE WHEN postcode = postcode_r THEN least(1.0, sim + 0.1) ELSE sim END AS score, row_number() OVER (PARTITION BY place_id ORDER BY sim DESC, rec_key) AS lookup_rank FROM c JOIN sims USING (pid) WHERE sim >= 0.6 OR contains({_norm("b")}, {_norm("a")}) OR contains({_norm("a")}, {_norm("b")})),
 b AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, rec_key) AS rn FROM h WHERE lookup_rank <= 20)
 SELECT place_id, rec_key, round(score, 6) AS score, CASE WHEN score >= 0.72 THEN 'merge' WHEN score >= 0.4 THEN 'undecided' ELSE 'distinct' END AS band FROM b WHERE rn = 1"""
 )
 def confirm_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Every place looked up by name in its town; a quarter of the records is listed under two."""
     p = _base(spark, d, f"SELECT c_custkey AS place_id, {_name('c_custkey')} AS name, CAST(c_nationkey AS STRING) AS locality, c_custkey % 9 AS postcode FROM {{customer}}", "customer")
-    s = _base(spark, d, f"SELECT concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, array(concat('SARL ', {_name('s_suppkey')})) AS names, CAST(s_nationkey AS STRING) AS locality, CASE WHEN s_suppkey % 6 = 0 THEN 'ceased' ELSE 'active' END AS status, s_suppkey % 9 AS postcode_r FROM {{supplier}}", "supplier")
+    s = _base(spark, d, f"SELECT concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, array(concat('SARL ', {_name('s_suppkey')})) AS names, explode(CASE WHEN s_suppkey % 4 = 0 THEN array(CAST(s_nationkey AS STRING), CAST((s_nationkey + 1) % 25 AS STRING)) ELSE array(CAST(s_nationkey AS STRING)) END) AS locality, CASE WHEN s_suppkey % 6 = 0 THEN 'ceased' ELSE 'active' END AS status, s_suppkey % 9 AS postcode_r FROM {{supplier}}", "supplier")
     return confirm.by_name(confirm.lookup(p, s), p).select("place_id", "rec_key", F.round("score", 6).alias("score"), "band")
 
 

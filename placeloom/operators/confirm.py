@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from placeloom.functions import text
 from placeloom.operators.cut import cut
+from placeloom.operators.skew import two_way
 
 ID_ROUTE_SCORE = 0.3
 LOOKUP_SIMILARITY = 0.6
@@ -49,8 +50,8 @@ def lookup(places: DataFrame, snapshot: DataFrame, limit: int = 20) -> DataFrame
     """Name lookup inside a locality: live records whose best name similarity is >= 0.6, or one of whose normalised names
     contains the place's or lies in it (three letters at least); up to ``limit`` per place, best first.
 
-    ``places(place_id, name, locality)``, ``snapshot(rec_key, names, locality, status, postcode)``. Localities are compared by
-    slug, and names meet through rare trigrams (``name_keys``), which every pair that can pass shares, so a town's places
+    ``places(place_id, name, locality)``, ``snapshot(rec_key, names, locality, status, postcode_r)``. A record may be listed under several
+    localities, a row each; it is found in each of them, and once in one. Localities are compared by slug, and names meet through rare trigrams (``name_keys``), which every pair that can pass shares, so a town's places
     are not compared with all its records.
     """
     p = places.select("place_id", "name", text.slug(F.col("locality")).alias("loc"), text.name_forms(F.col("name")).alias("pf"), text.normalize_name(F.col("name")).alias("pn")).where("loc <> ''")
@@ -59,19 +60,49 @@ def lookup(places: DataFrame, snapshot: DataFrame, limit: int = 20) -> DataFrame
     ).where("loc <> ''")
     forms = lambda df, key, one, whole: df.select(F.col(key).alias("id"), "loc", F.explode(F.array_union(F.transform(one, lambda f: f["n"]), whole)).alias("n")).where("n <> ''")
     spark = places.sparkSession
-    p, s = cut(spark, p), cut(spark, s)  # read three times below
-    pk = cut(spark, name_keys(forms(p, "place_id", F.col("pf"), F.array("pn"))))
-    rk = cut(spark, name_keys(forms(s, "rec_key", F.flatten("rf"), F.col("rn"))))
-    side = lambda k, c, name: k.select(F.col("id").alias(name), "loc", F.explode(c).alias("gram"))
-    meet = lambda a, b: side(pk, a, "place_id").join(side(rk, b, "rec_key"), ["loc", "gram"]).select("place_id", "rec_key")
-    pairs = meet("rare", "every").unionByName(meet("every", "rare")).distinct()
+    p, s = cut(spark, p), cut(spark, s.dropDuplicates(["rec_key", "loc"]))  # read three times below; spellings of a town are one
+    pk = name_keys(forms(p, "place_id", F.col("pf"), F.array("pn")))
+    rk = name_keys(forms(s, "rec_key", F.flatten("rf"), F.col("rn")))
+    pairs = _sharing(cut(spark, pk), cut(spark, rk), "place_id", "rec_key")
     sim = F.coalesce(F.array_max(F.transform("rf", lambda f: text.forms_similarity(F.col("pf"), f))), F.lit(0.0))
     inside = F.exists("rn", lambda n: (F.length(n) >= 3) & (F.length(F.col("pn")) >= 3) & (F.contains(n, F.col("pn")) | F.contains(F.col("pn"), n)))
-    hit = pairs.join(p.drop("name", "loc"), "place_id").join(s.drop("loc"), "rec_key").withColumn("similarity", sim).where((F.col("similarity") >= LOOKUP_SIMILARITY) | inside)
+    hit = pairs.join(p.drop("name"), ["place_id", "loc"]).join(s, ["rec_key", "loc"]).withColumn("similarity", sim).where((F.col("similarity") >= LOOKUP_SIMILARITY) | inside)
     rank = F.row_number().over(W.partitionBy("place_id").orderBy(F.col("similarity").desc(), "rec_key"))
     return hit.withColumn("rn_", rank).where(F.col("rn_") <= limit).select("place_id", "rec_key", "similarity", "postcode_r", F.col("rn_").alias("rank"))
 
 
+def _sharing(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Pairs of ids, with their locality, of keys that share a trigram that is rare for either side."""
+    side = lambda k, c, name: k.select(F.col("id").alias(name), "loc", F.explode(c).alias("gram"))
+    meet = lambda a, b: two_way(side(left, a, left_id), side(right, b, right_id), ["loc", "gram"]).select(left_id, right_id, "loc")
+    return meet("rare", "every").unionByName(meet("every", "rare")).distinct()
+
+
+def closest_names(spark: SparkSession, names: DataFrame, candidates: DataFrame, level: float = LOOKUP_SIMILARITY, few: int = 256) -> DataFrame:
+    """``names(id, loc, name)`` against ``candidates(id, loc, name)`` of the same ``loc`` and another id -> ``(id, other, similarity)``: the most similar
+    candidate, the smallest id on ties; names that nothing is like at all are left out.
+
+    Where a ``loc`` has more than ``few`` candidates, pairs that can reach ``level`` are compared first (``name_keys``). What is found there is the best
+    there is, since no pair at or above the level is lost. Names without such a find, and all in small ``loc``s, are compared with all of theirs."""
+    formed = lambda df: df.select("id", "loc", text.name_forms(F.col("name")).alias("f"))
+    todo, other = formed(names), cut(spark, formed(candidates))
+    crowded = other.groupBy("loc").count().where(F.col("count") > few).select("loc")
+    a = lambda df: df.select(F.col("id").alias("a"), "loc", F.col("f").alias("fa"))
+    b = other.select(F.col("id").alias("b"), "loc", F.col("f").alias("fb"))
+
+    def best(pairs: DataFrame, least: float) -> DataFrame:
+        good = pairs.where("a <> b").select("a", "b", text.forms_similarity(F.col("fa"), F.col("fb")).alias("s")).where((F.col("s") >= least) & (F.col("s") > 0))
+        top = good.groupBy("a").agg(F.max_by(F.struct("b", "s"), F.struct("s", -F.col("b"))).alias("x"))
+        return top.select(F.col("a").alias("id"), F.col("x.b").alias("other"), F.col("x.s").alias("similarity"))
+
+    if crowded.isEmpty():
+        return best(two_way(a(todo), b, ["loc"]), 0.0)
+    todo = cut(spark, todo)
+    keys = lambda df: cut(spark, name_keys(df.join(crowded, "loc", "left_semi").select("id", "loc", F.explode(F.transform("f", lambda f: f["n"])).alias("n")), level))
+    found = cut(spark, best(_sharing(keys(todo), keys(other), "a", "b").join(a(todo), ["a", "loc"]).join(b, ["b", "loc"]), level))
+    return found.unionByName(best(two_way(a(todo.join(found, "id", "left_anti")), b, ["loc"]), 0.0))
+
+
 def name_keys(names: DataFrame, similarity: float = LOOKUP_SIMILARITY) -> DataFrame:
     """``names(id, loc, n)``, n normalised -> ``(id, loc, rare, every)``: all trigrams of a name, and the few of which a partner must
     have one among all of its own.

@@ -85,13 +85,12 @@ def score_pairs(pairs: DataFrame, plan: MatchPlan = MatchPlan()) -> DataFrame:
         lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc),
     )
     brand = F.coalesce(F.array_max(F.transform("r_trading", lambda f: text.forms_similarity(F.col("p_brand_forms"), f))), F.lit(0.0))
-    # scores are the costly part: pairs are spread over all tasks first, and the generator is a barrier that keeps the
+    # scores are the costly part: pairs are spread over tasks first, and the generator is a barrier that keeps the
     # optimizer from copying the similarity expressions into each of their uses
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     address = address_score(F.col("p_number"), F.col("p_street"), F.col("r_number"), F.col("r_street"), F.col("r_kind"))
     once = F.struct(best.alias("best"), brand.alias("s_brand"), address.alias("s_address"))
     keep = [c for c in pairs.columns if c not in ("p_forms", "p_brand_forms", "r_names", "r_trading")]
-    out = pairs.repartition(n, "poi_id", "rec_key").select(*keep, F.inline(F.array(once))).select(
+    out = pairs.repartition("poi_id", "rec_key").select(*keep, F.inline(F.array(once))).select(
         *keep, F.col("best.score").alias("s_name"), F.col("best.name").alias("matched_name"), "s_brand", "s_address"
     )
     supported = (F.col("s_name") >= 0.4) | (F.col("s_brand") >= 0.4)
@@ -277,14 +276,16 @@ def fold_verdicts(places: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, Da
         .withColumn("known", F.col("full_key").isNotNull() & F.col("o_id").isNotNull())
     )
     go = F.col("known") & F.col("merge")
-    by_place = W.partitionBy("place_id").orderBy(go.desc(), "rec_key")
-    by_record = W.partitionBy("full_key").orderBy(go.desc(), "place_id")
-    judged = known.withColumn("rp", F.row_number().over(by_place)).withColumn("rr", F.row_number().over(by_record))
+    turn = F.struct(*(["ord"] if "ord" in verdicts.columns else []), F.col("place_id").alias("p"), F.col("rec_key").alias("k"))
+    asked = known.where(go).groupBy(F.col("place_id").alias("poi_id"), F.col("full_key").alias("t_key")).agg(F.min(turn).alias("turn"))
+    taken = assign_one_to_one(places.sparkSession, asked.withColumnRenamed("t_key", "rec_key"), [F.col("turn")])
+    taken = taken.select(F.col("poi_id").alias("place_id"), F.col("rec_key").alias("full_key"), F.col("turn.k").alias("t_key"))
+    judged = known.join(taken, ["place_id", "full_key"], "left")
     judged = judged.withColumn(
         "outcome",
-        F.when(~F.col("known"), "unknown").when(~F.col("merge"), "kept apart").when((F.col("rp") == 1) & (F.col("rr") == 1), "merged").otherwise("rejected"),
+        F.when(~F.col("known"), "unknown").when(~F.col("merge"), "kept apart").when(F.col("t_key").eqNullSafe(F.col("rec_key")), "merged").otherwise("rejected"),
     )
-    merged = judged.where("outcome = 'merged'").select("place_id", F.col("full_key").alias("new_key"))
+    merged = taken.select("place_id", F.col("full_key").alias("new_key"))
     gone = merged.select(F.col("new_key").alias("rec_key"))
     kept = places.join(gone.withColumn("absorbed", F.lit(True)), "rec_key", "left").where("absorbed is null or array_contains(sources, 'osm')").drop("absorbed")
     out = kept.join(merged, "place_id", "left")

@@ -15,11 +15,12 @@ def numbered(spark: SparkSession, rows: DataFrame, order: list[Column], name: st
     those before it end. Only one count per partition meets the driver."""
     placed = cut(spark, rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
+    counts = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}
     before, total = [], start
-    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
-        before.append((r["part"], total))
-        total += r["count"]
-    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before for x in pair]), part) if before else F.lit(start)
+    for k in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(k, 0)
+    offset = F.get(F.lit(before) if before else F.array(F.lit(start)), part.cast("int"))  # by position, not by search
     return placed.withColumn(name, (offset + F.col("__at").bitwiseAND(F.lit(_INDEX))).cast("long")).drop("__at")
 
 

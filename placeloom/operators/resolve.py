@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from placeloom.functions import extract, text
+from placeloom.operators.skew import two_way
 
 # fixed values: hosts of directories, everywhere and by country, and of social networks
 DIRECTORIES = (
@@ -78,23 +79,39 @@ def search_queries(map_name: Column, trading: Column, legal_name: Column, town:
     return F.slice(F.array_distinct(F.concat(plain, F.array_compact(F.array(by_id, notice)))), 1, 3)
 
 
-def attribute_hits(hits: DataFrame, places: DataFrame) -> DataFrame:
+def _grams(c: Column, width: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (width - 1)), lambda i: F.substr(c, i, F.lit(width))))
+
+
+def words_inside(hosts: DataFrame, words: DataFrame, width: int = 4, block: int = 20_000) -> DataFrame:
+    """``(host, word)`` of all distinct ``hosts(host)`` and ``words(word)``, each of ``width`` letters at least, whose word lies in the host.
+
+    A word is keyed by that of its grams which the fewest hosts have, a host by each of its own, so a host of L letters has L - 3 rows
+    whatever the words are, and meets only words that share their rarest piece with it. Words with a gram that no host has drop out at once."""
+    h = hosts.where(F.length("host") >= width).select("host").distinct().select("host", F.explode(_grams(F.col("host"), width)).alias("gram"))
+    w = words.where(F.length("word") >= width).select("word").distinct().select("word", F.explode(_grams(F.col("word"), width)).alias("gram"))
+    seen = h.groupBy("gram").agg(F.count("*").alias("n"))
+    keyed = w.join(seen, "gram", "left").groupBy("word").agg(F.min(F.struct("n", "gram")).alias("k"), F.count("*").alias("all"), F.count("n").alias("known"))
+    keyed = keyed.where(F.col("all") == F.col("known")).select("word", F.col("k.gram").alias("gram"))
+    return two_way(h, keyed, ["gram"], block).where(F.contains("host", F.col("word"))).select("host", "word")
+
+
+def attribute_hits(hits: DataFrame, places: DataFrame, block: int = 20_000) -> DataFrame:
     """``hits(url, title, snippet, tag)`` to ``places(place_id, name)``: many to many.
 
     If any hit is tagged with a place, only tagged hits count. Otherwise a hit belongs to every place one of whose
-    name words of four letters stands in its title or snippet, or lies in its host. Words meet by equi-join; hosts are
-    matched through their substrings of the lengths that place words have.
+    name words of four letters stands in its title or snippet, or lies in its host. Words of texts meet by equi-join, hosts as in
+    ``words_inside``; a word that many places and many hits share is dealt out to many tasks.
     """
     tagged = hits.where("tag is not null").select(F.col("tag").alias("place_id"), "url")
-    any_tag = hits.where("tag is not null").select(F.lit(1).alias("x")).limit(1)
+    any_tag = hits.agg(F.coalesce(F.bool_or(F.col("tag").isNotNull()), F.lit(False))).scalar()
     words = lambda c: F.filter(F.split(text.normalize_name(c), " "), lambda t: F.length(t) >= 4)
     p = places.select("place_id", F.explode(F.array_distinct(words(F.col("name")))).alias("word"))
-    loose = hits.join(any_tag, F.lit(True), "left_anti")
+    loose = hits.where(~any_tag)
     said = loose.select("url", F.explode(F.array_distinct(words(F.concat_ws(" ", "title", "snippet")))).alias("word"))
-    host = F.regexp_replace(extract.domain_of(F.col("url")), "[^a-z0-9]", "")
-    parts = F.flatten(F.transform(F.sequence(F.lit(4), F.length(host)), lambda n: F.transform(F.sequence(F.lit(1), F.length(host) - n + 1), lambda i: F.substr(host, i, n))))
-    hosted = loose.where(F.length(host) >= 4).select("url", F.explode(F.array_distinct(parts)).alias("word"))
-    loose_hits = said.unionByName(hosted).join(p, "word").select("place_id", "url")
+    hosted = loose.select("url", F.regexp_replace(extract.domain_of(F.col("url")), "[^a-z0-9]", "").alias("host"))
+    inside = hosted.join(words_inside(hosted, p, block=block), "host").select("url", "word")
+    loose_hits = two_way(said.unionByName(inside).distinct(), p, ["word"], block).select("place_id", "url")
     return tagged.unionByName(loose_hits).distinct()
 
 

@@ -160,3 +160,78 @@ def test_names_meet_through_rare_trigrams(spark):
     judged = every.select("place_id", "rec_key", text.name_similarity(m, F.col("r")).alias("s"), inside.alias("inside")).groupBy("place_id", "rec_key").agg(F.max("s").alias("s"), F.bool_or("inside").alias("inside"))
     want = {(r.place_id, r.rec_key): round(r.s, 9) for r in judged.where("s >= 0.6 or inside").collect()}
     assert got == want and len(want) > 500
+
+
+def test_closest_names(spark):
+    """Both ways give the most similar candidate of all."""
+    import random
+
+    from placeloom.functions import text
+
+    g = random.Random(8)
+    words = ["boulangerie", "martin", "reve", "ab", "garage", "soleil", "restaurant", "etoile", "dor", "7", "xyz"]
+    rows = [(i, f"l{i % 3}", " ".join(g.choice(words) for _ in range(g.randint(0, 3)))) for i in range(150)]
+    names = spark.createDataFrame(rows, "id long, loc string, name string")
+    pairs = names.select(F.col("id").alias("a"), "loc", F.col("name").alias("x")).join(names.select(F.col("id").alias("b"), "loc", F.col("name").alias("y")), "loc").where("a <> b")
+    scored = pairs.select("a", "b", text.name_similarity(F.col("x"), F.col("y")).alias("s")).where("s > 0").collect()
+    want = {}
+    for r in scored:
+        want[r.a] = max(want.get(r.a, (0, 0)), (r.s, -r.b))
+    for few in (10, 1000):
+        got = {r.id: (r.similarity, -r.other) for r in confirm.closest_names(spark, names, names, few=few).collect()}
+        assert got == want
+
+
+def test_record_in_several_towns_is_found_once_in_each(spark):
+    places = spark.createDataFrame([(1, "Garage Martin", "Lyon"), (2, "Garage Martin", "PARIS"), (3, "Garage Martin", "Nice")], "place_id long, name string, locality string")
+    records = spark.createDataFrame([("r1", ["Garage Martin"], t, "active", None) for t in ("Lyon", "Paris", "LYON")] + [("r2", ["Garage Martin"], "Lyon", "active", None)], "rec_key string, names array<string>, locality string, status string, postcode_r string")
+    got = sorted((r.place_id, r["rank"], r.rec_key) for r in confirm.lookup(places, records).collect())
+    assert got == [(1, 1, "r1"), (1, 2, "r2"), (2, 1, "r1")]
+
+
+def test_second_verdict_takes_a_free_record(spark):
+    places = spark.createDataFrame(
+        [(f"osm:{c}", ["osm"], None, None, None) for c in "ABC"] + [(f"reg:{n}", ["registry"], f"reg:{n}", None, None) for n in (1, 2, 3)],
+        "place_id string, sources array<string>, rec_key string, match_confidence double, matched_by string",
+    )
+    rows = [("osm:A", "reg:1", 2), ("osm:A", "2", 3), ("osm:B", "reg:1", 1), ("osm:C", "2", 4), ("osm:C", "reg:2", 5), ("osm:C", "3", 6)]
+    verdicts = spark.createDataFrame([(p, k, True, "", o) for p, k, o in rows], "place_id string, rec_key string, merge boolean, why string, ord int")
+    out, outcome = match.fold_verdicts(places, verdicts)
+    assert {(r.place_id, r.rec_key) for r in outcome.where("outcome = 'merged'").collect()} == {("osm:B", "reg:1"), ("osm:A", "2"), ("osm:C", "3")}
+    assert {r.place_id: r.rec_key for r in out.collect()} == {"osm:A": "reg:2", "osm:B": "reg:1", "osm:C": "reg:3"}
+    _, by_key = match.fold_verdicts(places, verdicts.drop("ord"))
+    assert {(r.place_id, r.rec_key) for r in by_key.where("outcome = 'merged'").collect()} == {("osm:A", "2"), ("osm:B", "reg:1"), ("osm:C", "3")}
+
+
+def test_words_inside_hosts(spark):
+    """Equal to brute force; a word that many hosts and many places share is dealt out."""
+    import random
+
+    g = random.Random(5)
+    hosts = ["".join(g.choice("abc") for _ in range(g.randint(1, 14))) for _ in range(300)] + [f"garage{i}" for i in range(80)]
+    words = ["".join(g.choice("abc") for _ in range(g.randint(1, 7))) for _ in range(200)] + ["garage", "gara", "rage", "zzzz"]
+    h, w = spark.createDataFrame([(x,) for x in hosts], "host string"), spark.createDataFrame([(x,) for x in words], "word string")
+    want = {(a, b) for a in hosts for b in words if len(a) >= 4 and len(b) >= 4 and b in a}
+    for block in (10, 20_000):
+        got = [tuple(r) for r in resolve.words_inside(h, w, block=block).select("host", "word").collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_hot_words_do_not_make_one_task(spark):
+    hits = spark.range(2000).select(F.concat(F.lit("https://x"), "id", F.lit(".fr")).alias("url"), F.lit("garage central").alias("title"), F.lit("").alias("snippet"), F.lit(None).cast("long").alias("tag"))
+    places = spark.range(300).select(F.col("id").alias("place_id"), F.lit("Garage Dupont").alias("name"))
+    j = resolve.attribute_hits(hits, places, block=50)
+    assert j.count() == 600_000
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    tagged = hits.limit(3).unionByName(hits.limit(1).withColumn("tag", F.lit(7).cast("long")))
+    assert [tuple(r) for r in resolve.attribute_hits(tagged, places).select("place_id").collect()] == [(7,)]
+
+
+def test_two_way_join_splits_hot_keys(spark):
+    from placeloom.operators.skew import two_way
+
+    left = spark.createDataFrame([("hot", i) for i in range(500)] + [("a", 1), (None, 2), ("l", 3)], "k string, x int")
+    right = spark.createDataFrame([("hot", i) for i in range(300)] + [("a", 1), ("a", 2), (None, 2), ("r", 3)], "k string, y int")
+    got = two_way(left, right, ["k"], block=40)
+    assert got.columns == ["k", "x", "y"] and got.count() == 150_002 and got.distinct().count() == 150_002
