@@ -808,6 +808,36 @@ def quad_tiles(spark: SparkSession, d: str) -> DataFrame:
     return sweep.quad_tiles(spark, (48.84, 48.88, 2.42, 2.46), pts, 200).select("level", "path", "n", "incomplete")
 
 
+# outlines of areas: an outer ring of eight corners, every third with a hole; every fifth has a box only. Some lie across 180 degrees
+CORNERS = "(VALUES (0, 0, 1.0, 0.0), (0, 1, 0.75, 0.75), (0, 2, 0.0, 1.0), (0, 3, -0.5, 0.5), (0, 4, -1.0, 0.0), (0, 5, -0.25, -0.25), (0, 6, 0.0, -1.0), (0, 7, 0.75, -0.75), (1, 0, 0.25, 0.0), (1, 1, 0.0, 0.25), (1, 2, -0.25, 0.0), (1, 3, 0.0, -0.25)) AS v(ring, i, dx, dy)"
+OUTLINES = f"""SELECT area_id, ring, i, CASE WHEN lon > 180 THEN lon - 360 WHEN lon < -180 THEN lon + 360 ELSE lon END AS lon, lat FROM (
+  SELECT n_nationkey AS area_id, ring, i, CAST(n_nationkey * 15 - 180 + dx * (4 + n_nationkey % 7) AS DOUBLE) AS lon, CAST((n_nationkey * 7) % 50 - 25 + dy * (3 + n_nationkey % 5) AS DOUBLE) AS lat
+  FROM {{nation}} CROSS JOIN {CORNERS} WHERE ring = 0 OR n_nationkey % 3 = 0)"""
+AREA_POINTS = "SELECT c_custkey AS id, CAST((c_custkey * 7919) % 100003 * 0.0036 - 180 AS DOUBLE) AS lon, CAST((c_custkey * 104729) % 100019 * 0.0006 - 30 AS DOUBLE) AS lat FROM {customer}"
+
+
+@_query(
+    f"""WITH o AS ({_duck(OUTLINES)}), p AS ({_duck(AREA_POINTS)}),
+s AS (SELECT *, lon - lag(lon) OVER w AS step FROM o WINDOW w AS (PARTITION BY area_id, ring ORDER BY i)),
+x AS (SELECT area_id, ring, i, lat, lon - 360 * sum(coalesce(floor((step + 180) / 360), 0)) OVER (PARTITION BY area_id, ring ORDER BY i) AS x FROM s),
+b AS (SELECT area_id, min(x) AS w, max(x) AS e, min(lat) AS s, max(lat) AS n FROM x WHERE ring = 0 GROUP BY area_id),
+g AS (SELECT area_id, x AS xa, lat AS ya, coalesce(lead(x) OVER w, first(x) OVER w) AS xb, coalesce(lead(lat) OVER w, first(lat) OVER w) AS yb FROM x WINDOW w AS (PARTITION BY area_id, ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT id, lat, lon + 360 * k AS lon FROM p, (VALUES (-1), (0), (1)) v(k))
+SELECT area_id, id FROM t JOIN g ON (ya > lat) <> (yb > lat) AND lon < (xb - xa) * (lat - ya) / (yb - ya) + xa WHERE area_id % 5 > 0 GROUP BY area_id, id, lon HAVING count(*) % 2 = 1
+UNION ALL SELECT area_id, id FROM t JOIN b ON area_id % 5 = 0 AND lon >= w AND lon < e AND lat >= s AND lat < n"""
+)
+def points_by_area(spark: SparkSession, d: str) -> DataFrame:
+    """Places by the administrative areas they lie in: outlines with holes, a box where there is none, across 180 degrees too."""
+    ring = _base(spark, d, OUTLINES, "nation").groupBy("area_id", "ring").agg(F.array_sort(F.collect_list(F.struct("i", "lon", "lat"))).alias("c"))
+    x = F.transform("c", lambda c: F.when(c["lon"] < F.get("c", F.lit(0))["lon"] - 180, c["lon"] + 360).when(c["lon"] > F.get("c", F.lit(0))["lon"] + 180, c["lon"] - 360).otherwise(c["lon"]))
+    box = F.struct(F.array_min("c.lat").alias("south"), F.array_max("c.lat").alias("north"), F.array_min(x).alias("west"), F.array_max(x).alias("east"))
+    ring = ring.select("area_id", "ring", F.transform("c", lambda c: F.struct(c["lon"].alias("lon"), c["lat"].alias("lat"))).alias("corners"), box.alias("box"))
+    a = ring.groupBy("area_id").agg(F.collect_list("corners").alias("rings"), F.min_by("box", "ring").alias("box"))
+    a = a.withColumn("rings", F.when(F.col("area_id") % 5 > 0, F.col("rings")))
+    elements = _base(spark, d, AREA_POINTS, "customer").selectExpr("id", "lat", "lon", "CAST(NULL AS struct<lat:double,lon:double>) AS center")
+    return poi.within_areas(spark, elements, a).select("area_id", "id")
+
+
 CLAIMS = f"SELECT s_suppkey AS place_id, {_name('s_suppkey')} AS name, s_suppkey % 3 AS page_ord, 0 AS id_ord, 'siren' AS kind, CAST(900000 + s_suppkey + CASE WHEN s_suppkey % 5 = 0 THEN 500000 ELSE 0 END AS STRING) AS value FROM {{supplier}}"
 REGISTER = f"SELECT concat('reg:', CAST(s_suppkey AS STRING)) AS rec_key, CASE WHEN s_suppkey % 3 = 0 THEN 'ZZZ QQQ' ELSE concat('SAS ', {_name('s_suppkey')}) END AS reg_name, 'siren' AS kind, concat(substr(CAST(900000 + s_suppkey AS STRING), 1, 3), ' ', substr(CAST(900000 + s_suppkey AS STRING), 4)) AS value FROM {{supplier}}"
 

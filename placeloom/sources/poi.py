@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placeloom.functions import text
+from placeloom.operators.areas import points_in_areas
 
 ELEMENT_SCHEMA = T.StructType(
     [
@@ -57,6 +58,13 @@ def within(elements: DataFrame, south: float, north: float, west: float, east: f
     return elements.where(lat.between(south, north) & columns)
 
 
+def within_areas(spark: SparkSession, elements: DataFrame, areas: DataFrame) -> DataFrame:
+    """Elements with the ``area_id`` of every administrative area of ``areas(area_id, rings, box)`` they lie in. An area whose outline is missing is
+    read by its box instead, as a region that is too much for one question is."""
+    placed = elements.select(F.struct(*elements.columns).alias("__e"), F.coalesce("lat", "center.lat").alias("lat"), F.coalesce("lon", "center.lon").alias("lon"))
+    return points_in_areas(spark, placed, areas).select("__e.*", "area_id")
+
+
 def to_pois(elements: DataFrame) -> DataFrame:
     """``(poi_id, osm_type, osm_id, name, lat, lon, tags)``; elements without a coordinate are dropped."""
     tag = lambda k: F.element_at("tags", F.lit(k))
