@@ -38,6 +38,11 @@ def replace_text(spark: SparkSession, path: str, content: str) -> None:
     context.rename(draft, target, options)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = filesystem(spark, path)
+    fs.delete(p, True)
+
+
 def unzip_member(spark: SparkSession, archive: str, folder: str, suffix: str = ".csv") -> str:
     """Unpack the first member with the suffix into a folder, which may be remote: zip is no codec of Spark. One stream on the
     driver, whatever the size."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placeloom import files
 from placeloom.functions import text
 
-LAYOUT = 3
+LAYOUT = 4
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", lines_in_fields: bool = True) -> DataFrame:
@@ -36,71 +36,114 @@ def record_date(own: Column, vintage: str | None, modified: str | None, dated: b
 
 
 class Snapshot:
-    """A register snapshot as Parquet: ``records`` clustered by locality key, narrow ``ids`` that point to records.
+    """A register snapshot as three bucketed, sorted Parquet tables: ``records`` by locality, narrow ``ids`` that point to records, and ``mapped`` by
+    record.
 
-    Both are range-partitioned and sorted by their key, so a look-up prunes files and row groups by their statistics.
+    A batch look-up shuffles what is asked for to the snapshot's buckets; the snapshot itself is read where it lies, without an exchange.
+    A single look-up reads one bucket, and in it the row groups whose statistics and Bloom filter may hold the key. A key
+    with more than ``block`` rows, a capital for instance, is cut into slots that lie in different buckets; ``slots`` names such keys, and what asks for one
+    asks for each of its slots. The tables are external; their entries in the session's catalog come and go with it.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, block: int = 1_000_000):
+        self.spark, self.folder, self.block = spark, folder, block
 
     def ingest(self, records: DataFrame, total: int | None = None, vintage: str | None = None, modified: str | None = None, dated: bool = True, parts: int | None = None) -> dict:
         """Replace the snapshot by mapped records with ``localities`` and ``ids``; ``modified`` is the date of the export file.
         The new one is written beside the old and becomes current by one rename, so look-ups always read a whole one.
-        The number of ``parts`` is left to Spark unless given. No record is an error; more rejected than mapped rows a warning."""
+        ``parts`` buckets a table, by default one for every ``block`` rows, eight at least. No record is an error; more rejected than mapped rows a warning."""
         r = records.withColumn("as_of", record_date(F.col("as_of"), vintage, modified, dated)).withColumn("rec_key", F.concat_ws(":", "connector", F.coalesce("establishment_id", "id")))
         where = f"{self.folder}/{uuid.uuid4().hex}"
-        r.write.parquet(f"{where}/mapped")
-        r = self.spark.read.parquet(f"{where}/mapped")
+        r.write.parquet(f"{where}/read")
+        r = self.spark.read.parquet(f"{where}/read")
         n = r.count()
         if n == 0:
             raise ValueError("no row of the export could be mapped")
         keys = F.array_distinct(F.filter(F.transform("localities", text.slug), lambda k: k != ""))
-        by_place = r.withColumn("locality_key", F.explode_outer(keys))
-        self._sorted(by_place, "locality_key", parts, f"{where}/records")
-        ids = r.select("rec_key", F.explode(F.array_distinct(F.transform("ids", text.slug))).alias("id_key")).where("id_key <> ''")
-        self._sorted(ids, "id_key", parts, f"{where}/ids")
-        files.replace_text(self.spark, f"{self.folder}/CURRENT", where)
+        ids = F.array_distinct(F.transform("ids", text.slug))
+        parts = parts or max(8, -(-n // self.block))
+        self._bucketed(r.withColumn("locality_key", F.explode(keys)), "records", "locality_key", parts, where)
+        self._bucketed(r.select("rec_key", F.explode(ids).alias("id_key")).where("id_key <> ''").distinct(), "ids", "id_key", parts, where)
+        self._bucketed(r, "mapped", "rec_key", parts, where)
+        files.delete(self.spark, f"{where}/read")
+        files.replace_text(self.spark, f"{self.folder}/CURRENT", f"{where} {parts}")
         skipped = None if total is None else total - n
         return {"rows": n, "skipped": skipped, "layout": LAYOUT, "warning": bool(skipped and skipped > n)}
 
+    def _bucketed(self, df: DataFrame, name: str, key: str, parts: int, where: str) -> None:
+        counts = df.groupBy(key).agg(F.ceil(F.count("*") / self.block).cast("int").alias("slots")).where("slots > 1")
+        counts.write.parquet(f"{where}/{name}-slots")
+        slots = self.spark.read.parquet(f"{where}/{name}-slots")
+        slot = F.when(F.col("slots").isNull(), F.col(key)).otherwise(self._slot(key, F.pmod(F.xxhash64(*[c for c in ("rec_key", "id") if c in df.columns]), F.col("slots"))))
+        keyed = df.join(slots, key, "left").withColumn("slot", slot).drop("slots")
+        laid = keyed.repartition(parts, "slot").sortWithinPartitions("slot").write.option("path", f"{where}/{name}")
+        # about as many different keys as rows in a bucket, at most
+        laid = laid.option("parquet.bloom.filter.enabled#slot", "true").option("parquet.bloom.filter.expected.ndv#slot", str(min(self.block, 1_000_000)))
+        laid.bucketBy(parts, "slot").sortBy("slot").saveAsTable(self._name(where, name))
+
+    @staticmethod
+    def _slot(key: str, k: Column) -> Column:
+        return F.concat(F.col(key), F.lit("\x01"), k.cast("string"))  # keys are slugs or record keys, which hold no control characters
+
     @staticmethod
-    def _sorted(df: DataFrame, key: str, parts: int | None, where: str) -> None:
-        spread = df.repartitionByRange(parts, key) if parts else df.repartitionByRange(key)
-        spread.sortWithinPartitions(key).write.parquet(where)
+    def _name(where: str, name: str) -> str:
+        return f"snapshot_{where.rstrip('/').rsplit('/', 1)[-1]}_{name}"
+
+    def _where(self) -> tuple[str, int]:
+        current = files.read_text(self.spark, f"{self.folder}/CURRENT")
+        if current is None:
+            raise FileNotFoundError(f"no snapshot in {self.folder}")
+        where, _, parts = current.rpartition(" ")
+        return where, int(parts)
 
     def current(self) -> str:
         """Folder of the snapshot that look-ups read."""
-        where = files.read_text(self.spark, f"{self.folder}/CURRENT")
-        if where is None:
-            raise FileNotFoundError(f"no snapshot in {self.folder}")
-        return where
+        return self._where()[0]
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.current()}/{name}")
+        where, parts = self._where()
+        table = self._name(where, name)
+        if not self.spark.catalog.tableExists(table):  # another session wrote it
+            shape = self.spark.read.parquet(f"{where}/{name}").schema.toDDL()
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({shape}) USING parquet CLUSTERED BY (slot) SORTED BY (slot) INTO {parts} BUCKETS LOCATION '{where}/{name}'")
+        return self.spark.table(table)
+
+    def _asked(self, wanted: DataFrame, name: str, key: str) -> DataFrame:
+        """What is asked for, once for each slot of its key."""
+        slots = self.spark.read.parquet(f"{self.current()}/{name}-slots")
+        each = wanted.join(slots, key, "left").withColumn("__k", F.explode(F.when(F.col("slots").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("slots") - 1))))
+        return each.withColumn("slot", F.when(F.col("slots").isNull(), F.col(key)).otherwise(self._slot(key, F.col("__k")))).drop("slots", "__k")
 
     def localities(self, wanted: DataFrame, column: str = "locality") -> DataFrame:
         """Records of each of many wanted localities: one join on the key, an empty key finds nothing."""
-        keyed = wanted.withColumn("locality_key", text.slug(F.col(column))).where("locality_key <> ''")
-        return keyed.join(self._read("records"), "locality_key").drop("locality_key")
+        keyed = self._asked(wanted.withColumn("locality_key", text.slug(F.col(column))).where("locality_key <> ''"), "records", "locality_key")
+        return keyed.drop("locality_key").join(self._read("records").drop("locality_key"), "slot").drop("slot")
 
     def identifiers(self, wanted: DataFrame, column: str = "wanted_id") -> DataFrame:
         """Records that carry each of many wanted identifiers, whole keys compared."""
-        keyed = wanted.withColumn("id_key", text.slug(F.col(column))).where("id_key <> ''")
-        return keyed.join(self._read("ids").distinct(), "id_key").drop("id_key").join(self._read("mapped"), "rec_key")
+        keyed = self._asked(wanted.withColumn("id_key", text.slug(F.col(column))).where("id_key <> ''"), "ids", "id_key")
+        hits = keyed.drop("id_key").join(self._read("ids").select("slot", "rec_key"), "slot").drop("slot")
+        return self._asked(hits, "mapped", "rec_key").drop("rec_key").join(self._read("mapped"), "slot").drop("slot")
+
+    def _slots_of(self, name: str, key: str, value: str) -> list[str]:
+        found = self.spark.read.parquet(f"{self.current()}/{name}-slots").where(F.col(key) == value).head(1)
+        return [f"{value}\x01{k}" for k in range(found[0]["slots"])] if found else [value]
 
     def by_locality(self, locality: str, extra: Column | None = None, limit: int | None = None) -> DataFrame:
         """Records of exactly this locality, none if its key is empty; no limit unless asked for."""
-        key = text.slug(F.lit(locality))
-        out = self._read("records").where((F.col("locality_key") == key) & (key != ""))
+        key = self._key(locality)
+        out = self._read("records").where(F.col("slot").isin(self._slots_of("records", "locality_key", key)) & F.lit(key != "")).drop("slot")
         if extra is not None:
             out = out.where(extra)
         return out if limit is None else out.limit(limit)
 
     def by_id(self, value: str) -> DataFrame:
-        key = text.slug(F.lit(value))
-        hit = self._read("ids").where((F.col("id_key") == key) & (key != "")).select("rec_key").distinct()
-        return self._read("mapped").join(hit, "rec_key", "left_semi")
+        key = self._key(value)
+        hit = self._read("ids").where(F.col("slot").isin(self._slots_of("ids", "id_key", key)) & F.lit(key != "")).select("rec_key").distinct()
+        return self._asked(hit, "mapped", "rec_key").select("slot").join(self._read("mapped"), "slot").drop("slot")
+
+    def _key(self, value: str) -> str:
+        return self.spark.range(1).select(text.slug(F.lit(value)).alias("k")).first()["k"]
 
 
 def freshness(cached: DataFrame, upstream: DataFrame, tool: str) -> DataFrame:

@@ -173,3 +173,53 @@ def test_snapshot_keys(spark, tmp_path):
     assert {x.as_of for x in snap.by_id("x" * 130 + "a").collect()} == {"2024-03-01"}
     snap.ingest(r.where("id = '2'"))
     assert snap.current() != first and snap.by_id("x" * 130 + "a").count() == 0
+
+
+def _no_exchange_over(plan, folder):
+    """Scans under the folder have no exchange above them up to their join."""
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "FileScan" in line and folder in line:
+            depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            for above in reversed(lines[:i]):
+                own = len(above) - len(above.lstrip(" :+-*()0123456789"))
+                if own < depth:
+                    if "Exchange" in above:
+                        return False
+                    if "Join" in above:
+                        break
+                    depth = own
+    return True
+
+
+def test_batch_look_ups_leave_the_snapshot_where_it_is(spark, tmp_path):
+    """Hot towns are cut into slots; neither look-up has an exchange over snapshot tables, from another session either."""
+    r = spark.range(3000).selectExpr("cast(id AS string) AS id", "array(CASE WHEN id % 3 = 0 THEN 'Paris' ELSE concat('T', id % 40) END, 'all') AS localities", "array(concat('N', id), concat('G', id % 700)) AS ids", "'c' AS connector", "cast(null AS string) AS establishment_id", "cast(null AS string) AS as_of")
+    snap = bulk.Snapshot(spark, f"{tmp_path}/s", block=200)
+    snap.ingest(r)
+    parts = {f.name.split("_")[-1][:5] for f in (tmp_path / "s").glob("*/records/part-*.parquet")}
+    assert len(parts) > 8
+    wanted = spark.createDataFrame([("PARIS",), ("t7",), ("none",), ("all",)], "locality string")
+    ids = spark.range(0, 9000, 7).selectExpr("concat('n', id) AS wanted_id").unionByName(spark.createDataFrame([("g5",), ("G699",)], "wanted_id string"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for session in (spark, spark.newSession()):
+            session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            again = bulk.Snapshot(session, f"{tmp_path}/s", block=200)
+            if session is not spark:
+                for t in ("records", "ids", "mapped"):
+                    session.sql(f"DROP TABLE {again._name(again.current(), t)}")
+                wanted, ids = (session.createDataFrame(x.collect(), x.schema) for x in (wanted, ids))
+            town, number = again.localities(wanted), again.identifiers(ids)
+            assert {x["locality"]: x["count"] for x in town.groupBy("locality").count().collect()} == {"PARIS": 1000, "all": 3000, "t7": 50}
+            assert number.count() == len(range(0, 3000, 7)) + 5 + 4
+            for out, tables in ((town, ["records"]), (number, ["ids", "mapped"])):
+                plan = out._jdf.queryExecution().executedPlan().toString()
+                assert all(f"{t}" in plan and _no_exchange_over(plan, f"/{t}]") for t in tables), plan
+                assert plan.count("Bucketed: true") >= len(tables)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert snap.by_locality("paris").count() == 1000 and sorted(x.id for x in snap.by_id("G5").collect()) == ["1405", "2105", "2805", "5", "705"]
+    one = snap.by_locality("t7")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in one and "EqualTo(slot,t7)" in one
