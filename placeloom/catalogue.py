@@ -16,6 +16,7 @@ from placeloom.functions import dims, extract, geo, text
 from placeloom.operators import confirm, content, diff, gate, match, ranks, resolve, score, summary
 from placeloom.plans import render, sweep
 from placeloom.sources import bulk, pages, poi, registers
+from placeloom.streaming import deltas
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -363,6 +364,19 @@ def run_diff(spark: SparkSession, d: str) -> DataFrame:
     return diff.diff_runs(_run(spark, d, 0), _run(spark, d, 1))
 
 
+@_query(_ORACLES["run_diff"])
+def run_diff_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same changes told by keyed state and timers while the records of both runs stream in; a heartbeat closes the second run."""
+    where = scratch_dir(spark, "stream")
+    runs = [_run(spark, d, k).withColumn("run", F.lit(k).cast("long")) for k in (0, 1)]
+    beat = runs[0].limit(1).withColumn("key", F.lit(None).cast("string")).withColumn("run", F.lit(2).cast("long"))
+    runs[0].unionByName(runs[1]).unionByName(beat).write.partitionBy("run").parquet(f"{where}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{where}/in").schema).parquet(f"{where}/in").withColumn("run", F.col("run").cast("long"))
+    out = deltas.run_deltas(stream).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}/out").select("delta_kind", "key", "detail")
+
+
 @_query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
 def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return diff.first_seen(_table(spark, d, "orders"), F.col("o_custkey"), F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")

@@ -38,6 +38,12 @@ def replace_text(spark: SparkSession, path: str, content: str) -> None:
     context.rename(draft, target, options)
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder."""
+    fs, p = filesystem(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = filesystem(spark, path)
     fs.delete(p, True)

@@ -48,7 +48,11 @@ def diff_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     when reachable yes becomes no; a lost website is not reported. One full outer join serves all nine sets.
     """
     side = lambda df, p: last_wins(df, F.col("key"), F.col("ord")).select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    j = side(before, "b").join(side(after, "a"), F.col("b_key") == F.col("a_key"), "full_outer")
+    return changes(side(before, "b").join(side(after, "a"), F.col("b_key") == F.col("a_key"), "full_outer"))
+
+
+def changes(j: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The change sets of rows that hold a key's state before (``b_`` columns) and after (``a_``); no key on a side means it is not there."""
     both = F.col("b_key").isNotNull() & F.col("a_key").isNotNull()
     site = lambda p: F.when(F.col(f"{p}_site_confidence") == "corroborated", F.col(f"{p}_site_url"))
     yes, no = (lambda c: F.col(c).eqNullSafe(True)), (lambda c: F.col(c).eqNullSafe(False))
@@ -69,7 +73,8 @@ def diff_runs(before: DataFrame, after: DataFrame) -> DataFrame:
             row("wentDark", both & yes("b_reachable") & no("a_reachable"), none),
         )
     )
-    return j.select(F.coalesce("a_key", "b_key").alias("key"), F.inline(rows)).select("delta_kind", "key", "detail")
+    carry = carry or []
+    return j.select(*carry, F.coalesce("a_key", "b_key").alias("key"), F.inline(rows)).select(*carry, "delta_kind", "key", "detail")
 
 
 def truncated_top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
