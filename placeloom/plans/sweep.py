@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from placeloom.functions import geo
+from placeloom.operators.cut import cut
 
 CAP = 10_000
 
@@ -28,34 +29,53 @@ def split_ladder(rows: DataFrame, section: Column, division: Column, cap: int =
     return j.where(used).select("level", "section", "division", F.least(F.col("n"), F.lit(cap)).cast("long").alias("n"), (F.col("n") >= cap).alias("truncated"))
 
 
-def quad_tiles(spark, bbox: tuple[float, float, float, float], points: DataFrame, cap: int, depth: int = 3) -> DataFrame:
-    """Leaf tiles of a quad tree over ``points(lat, lon)``: a tile above the cap is quartered, to the given depth; a leaf
-    still above it is incomplete. A point's path follows from its coordinates by halving, so points are read once and
-    joined with nothing; counts of coarser tiles are sums over prefixes of the finest paths."""
+def quad_tiles(spark: SparkSession, bbox: tuple[float, float, float, float], points: DataFrame, cap: int, depth: int = 3, stride: int = 4) -> DataFrame:
+    """Leaf tiles of a quad tree over ``points(lat, lon)``: a tile above the cap is quartered, to the given depth (31 at most); a leaf
+    still above it is incomplete.
+
+    A point's place is one number, two bits a level (Morton code), found by halving as the tiles are; points are read once and
+    collapse to counts of the finest codes. Then ``stride`` levels at a time are counted, and only below tiles that are still above the cap, so
+    the work after the first aggregation follows the crowded places and not the depth."""
     south, north, west, east = map(float, bbox)
     inside = points.where((F.col("lat") >= south) & (F.col("lat") < north) & (F.col("lon") >= west) & (F.col("lon") < east))
-    finest = inside.select(_path(F.col("lat"), F.col("lon"), bbox, depth).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
-    prefixes = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda k: F.substr("path", F.lit(1), k))
-    counts = finest.select(F.explode(prefixes).alias("path"), "n").groupBy("path").agg(F.sum("n").alias("n"))
-    split = counts.where((F.col("n") > cap) & (F.length("path") < depth))
-    tiles = split.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: F.concat("path", q.cast("string")))).alias("path"))
-    tiles = tiles.unionByName(spark.sql("SELECT '' AS path")).join(counts, "path", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-    leaves = tiles.where((F.col("n") <= cap) | (F.length("path") == depth))
+    finest = cut(spark, inside.select(_morton(F.col("lat"), F.col("lon"), bbox, depth).alias("code")).groupBy("code").agg(F.count("*").alias("n")))
+    up = lambda c, level: F.expr(f"shiftrightunsigned({c}, cast(2 * ({depth} - {level}) AS int))")
+    open_, level = finest, 0
+    counts = finest.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("tile"), "n")
+    counts = cut(spark, counts)
+    crowded = counts.where(F.col("n") > cap)
+    while level < depth and not crowded.isEmpty():
+        lower = min(level + stride, depth)
+        # finest codes below tiles that are still above the cap, counted at the next levels; a tile's parent has its first bits
+        open_ = open_.join(crowded.select(F.col("tile").alias("__t")), up("code", level) == F.col("__t"), "left_semi")
+        each = open_.select("n", "code", F.explode(F.array(*[F.lit(k) for k in range(level + 1, lower + 1)])).alias("level"))
+        new = cut(spark, each.groupBy("level", up("code", "level").alias("tile")).agg(F.sum("n").alias("n")))
+        counts, level = counts.unionByName(new), lower
+        crowded = new.where((F.col("level") == level) & (F.col("n") > cap))
+    split = counts.where((F.col("n") > cap) & (F.col("level") < depth))
+    children = split.select((F.col("level") + 1).alias("level"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: F.col("tile") * 4 + q)).alias("tile"))
+    tiles = children.unionByName(counts.where("level = 0").select("level", "tile")).join(counts, ["level", "tile"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    leaves = tiles.where((F.col("n") <= cap) | (F.col("level") == depth))
+    path = F.when(F.col("level") == 0, "").otherwise(F.lpad(F.conv(F.col("tile").cast("string"), 10, 4), F.col("level"), F.lit("0")))
+    leaves = leaves.withColumn("path", path)
     box = _box(F.col("path"), bbox, depth)
-    return leaves.select(F.length("path").alias("level"), "path", *[box[k].alias(k) for k in ("south", "north", "west", "east")], "n", (F.col("n") > cap).alias("incomplete"))
+    return leaves.select("level", "path", *[box[k].alias(k) for k in ("south", "north", "west", "east")], "n", (F.col("n") > cap).alias("incomplete"))
+
 
+def _morton(lat: Column, lon: Column, bbox, depth: int) -> Column:
+    """Two bits a level: quadrants 0 south-west, 1 south-east, 2 north-west, 3 north-east."""
+    south, north, west, east = (F.lit(float(x)) for x in bbox)
+    start = F.struct(south.alias("s"), north.alias("n"), west.alias("w"), east.alias("e"), F.lit(0).cast("long").alias("code"))
 
-def _path(lat: Column, lon: Column, bbox, depth: int) -> Column:
-    """Quadrants (0 south-west, 1 south-east, 2 north-west, 3 north-east) of a point, level by level."""
-    s, n, w, e = (F.lit(float(x)) for x in bbox)
-    digits = []
-    for _ in range(depth):
-        lat_mid, lon_mid = (s + n) / 2, (w + e) / 2
+    def halve(b: Column, _) -> Column:
+        lat_mid, lon_mid = (b["s"] + b["n"]) / 2, (b["w"] + b["e"]) / 2
         up, right = lat >= lat_mid, lon >= lon_mid
-        digits.append((F.when(up, 2).otherwise(0) + F.when(right, 1).otherwise(0)).cast("string"))
-        s, n = F.when(up, lat_mid).otherwise(s), F.when(up, n).otherwise(lat_mid)
-        w, e = F.when(right, lon_mid).otherwise(w), F.when(right, e).otherwise(lon_mid)
-    return F.concat(*digits) if digits else F.lit("")
+        return F.struct(
+            F.when(up, lat_mid).otherwise(b["s"]).alias("s"), F.when(up, b["n"]).otherwise(lat_mid).alias("n"), F.when(right, lon_mid).otherwise(b["w"]).alias("w"), F.when(right, b["e"]).otherwise(lon_mid).alias("e"),
+            (b["code"] * 4 + F.when(up, 2).otherwise(0) + F.when(right, 1).otherwise(0)).cast("long").alias("code"),
+        )
+
+    return F.aggregate(F.slice(F.array_repeat(F.lit(0), max(depth, 1)), 1, depth), start, halve, lambda b: b["code"])
 
 
 def _box(path: Column, bbox, depth: int) -> Column:

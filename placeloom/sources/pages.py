@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from placeloom.operators import ranks
+from placeloom.operators.skew import two_way
 
 READABLE_CHARS = 120
 
@@ -50,13 +51,23 @@ def _rule_pattern(path: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\$(?!$)", r"\\\$"))
 
 
-def allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+def allowed(urls: DataFrame, rules: DataFrame, agent: str, block: int = 20_000) -> DataFrame:
     """``urls(site, path)`` with ``allowed``: of the groups that name the agent the longest name counts (``*`` last), of
-    its matching rules the longest, allow on ties. No rule means allowed."""
+    its matching rules the longest, allow on ties. No rule means allowed.
+
+    A rule is joined by its head, the text before its first wildcard or end mark, on the url's prefixes of the lengths that heads of the site have, so
+    a url meets only rules whose head it begins with; of these only rules with a tail are tested. A head that many rules and urls of a site share
+    is dealt out to many tasks."""
     mine = rules.where((F.col("agent") == "*") | F.contains(F.lit(agent.lower()), F.col("agent")))
     rank = F.when(F.col("agent") == "*", 0).otherwise(F.length("agent"))
     best = mine.groupBy("site").agg(F.max(rank).alias("best"))
-    mine = mine.withColumn("rank", rank).join(best, "site").where("rank = best and path <> ''").select("site", F.col("path").alias("rule"), "allow")
-    hit = urls.join(mine, "site").where(F.regexp("path", _rule_pattern(F.col("rule"))))
+    mine = mine.withColumn("rank", rank).join(best, "site").where("rank = best and path <> ''").select("site", F.col("path").alias("rule"), "allow").distinct()
+    mine = mine.withColumn("head", F.regexp_extract("rule", r"^(.*?)(?:\*|\$$|$)", 1))
+    lengths = mine.groupBy("site").agg(F.array_sort(F.collect_set(F.length("head"))).alias("lengths"))
+    asked = urls.select("site", "path").distinct()
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
+    spread = asked.join(lengths, "site").select("site", "path", F.explode(prefixes).alias("head"))
+    met = two_way(spread, mine, ["site", "head"], block)
+    hit = met.where((F.col("head") == F.col("rule")) | F.regexp("path", _rule_pattern(F.col("rule"))))
     said = hit.groupBy("site", "path").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("allow"))
     return urls.join(said, ["site", "path"], "left").select("site", "path", F.coalesce("allow", F.lit(True)).alias("allowed"))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from placeloom.operators import confirm, diff, gate, match, resolve, score, summary
@@ -235,3 +236,60 @@ def test_two_way_join_splits_hot_keys(spark):
     right = spark.createDataFrame([("hot", i) for i in range(300)] + [("a", 1), ("a", 2), (None, 2), ("r", 3)], "k string, y int")
     got = two_way(left, right, ["k"], block=40)
     assert got.columns == ["k", "x", "y"] and got.count() == 150_002 and got.distinct().count() == 150_002
+
+
+@pytest.mark.parametrize("depth, cap, stride", [(20, 3, 4), (20, 1, 7), (3, 40, 4), (0, 5, 4), (5, 10_000, 4)])
+def test_quad_tiles_equal_recursion(spark, depth, cap, stride):
+    """Skewed points: two dense knots, repeats that no depth can part, and points on tile borders."""
+    import random
+
+    g = random.Random(2)
+    box = (48.8, 48.9, 2.4, 2.47)
+    pts = [(g.uniform(48.8, 48.9), g.uniform(2.4, 2.47)) for _ in range(150)] + [(48.81 + g.gauss(0, 1e-5), 2.41 + g.gauss(0, 1e-5)) for _ in range(150)]
+    pts += [(48.85, 2.435)] * 9 + [(48.8, 2.4), (48.9, 2.4), (48.85, 2.47), (None, 2.41), (50.0, 2.41)]
+
+    def tiles(path, s, n, w, e, inside):
+        inside = [(y, x) for y, x in inside if y is not None and s <= y < n and w <= x < e]
+        if len(inside) <= cap or len(path) == depth:
+            return [(len(path), path, len(inside), len(inside) > cap, s, n, w, e)]
+        y, x = (s + n) / 2, (w + e) / 2
+        parts = [(s, y, w, x), (s, y, x, e), (y, n, w, x), (y, n, x, e)]
+        return [t for q, b in enumerate(parts) for t in tiles(f"{path}{q}", *b, inside)]
+
+    df = spark.createDataFrame(pts, "lat double, lon double")
+    got = sorted((r.level, r.path, r.n, r.incomplete, r.south, r.north, r.west, r.east) for r in sweep.quad_tiles(spark, box, df, cap, depth, stride).collect())
+    assert got == sorted(tiles("", *box, pts))
+    assert [r.n for r in sweep.quad_tiles(spark, box, df.limit(0), cap, depth).collect()] == [0]
+
+
+def test_robots_of_many_rules(spark):
+    """Equal to testing every rule; a hundred thousand rules on one site make no pairs of rules and urls."""
+    import random
+    import re
+
+    from placeloom.sources import pages
+
+    g = random.Random(3)
+    alphabet = ["/", "a", "b", "*", "$", ".", "?", "+"]
+    rules = [("s", "*", g.random() < 0.5, "/" + "".join(g.choice(alphabet) for _ in range(g.randint(0, 5)))) for _ in range(150)]
+    paths = ["/" + "".join(g.choice("/ab.?+$") for _ in range(g.randint(0, 7))) for _ in range(200)]
+
+    def says(path):
+        best = (0, True)
+        for _, _, allow, rule in rules:
+            pattern = "".join(".*" if c == "*" else "$" if c == "$" and i == len(rule) - 1 else re.escape(c) for i, c in enumerate(rule))
+            if re.match(pattern, path, re.S):
+                best = max(best, (len(rule), allow))
+        return best[1]
+
+    schema = "site string, agent string, allow boolean, path string"
+    urls = spark.createDataFrame([("s", p) for p in paths] + [("other", "/a")], "site string, path string")
+    for block in (5, 20_000):
+        got = {(r.site, r.path): r.allowed for r in pages.allowed(urls, spark.createDataFrame(rules, schema), "Bot/1", block).collect()}
+        assert got == {("s", p): says(p) for p in paths} | {("other", "/a"): True}
+    many = spark.range(100_000).selectExpr("concat('s', id % 1) AS site", "'*' AS agent", "id % 2 = 0 AS allow", "concat('/p/', id, CASE WHEN id % 3 = 0 THEN '/*.pdf$' ELSE '/' END) AS path")
+    asked = spark.range(20_000).selectExpr("concat('s', id % 1) AS site", "concat('/p/', id * 5, '/x.pdf') AS path")
+    out = pages.allowed(asked, many, "bot")
+    assert out.where("allowed").count() == 10_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
