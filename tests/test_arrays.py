@@ -11,7 +11,7 @@ def test_running_values(spark, size):
     g = random.Random(size)
     rows = [(i, [g.randint(0, 9) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 3, 4, 9, 10, 600])] + [(99, None)]
     df = spark.createDataFrame(rows, "k int, v array<long>")
-    most = arrays.running(F.col("v"), F.lit(0).cast("long"), F.greatest, size)
+    most = arrays.running(F.col("v"), F.lit(0).cast("long"), lambda a, x: F.greatest(a, x), size)
     for r in df.select("v", arrays.running_sums(F.col("v"), size).alias("s"), most.alias("m"), F.flatten(arrays.blocks(F.col("v"), size)).alias("b")).collect():
         if r.v is None:
             assert not r.s and not r.m
