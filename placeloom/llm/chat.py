@@ -15,6 +15,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from placeloom.functions.arrays import running_sums
+from placeloom.functions.extract import bound
 from pyspark.sql import Window as W
 
 # fixed values: control strings whose first character is escaped
@@ -107,19 +110,17 @@ def conversation_windows(turns: DataFrame, budget: int = 512, history: int = 128
             ),
         )
         spans = "array<struct<start:bigint,length:bigint>>"
-        seed = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(spans).alias("out"))
+        size = lambda x: (F.length(x["head"]) + F.length(x["body"]) + len("<|end|>")).cast("long")
 
-        def step(acc: Column, x: Column) -> Column:
-            at = acc["pos"] + F.length(x["head"])
-            size = F.length(x["body"]).cast("long")
-            more = F.concat(acc["out"], F.array(F.struct(at.alias("start"), size.alias("length"))))
-            return F.struct((at + size + len("<|end|>")).alias("pos"), F.when(x["loss"], more).otherwise(acc["out"]).cast(spans).alias("out"))
+        def masked(parts: Column) -> Column:
+            placed = F.zip_with(parts, running_sums(F.transform(parts, size)), lambda x, before: F.struct((before + F.length(x["head"])).alias("start"), F.length(x["body"]).cast("long").alias("length"), x["loss"].alias("loss")))
+            return F.transform(F.filter(placed, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).cast(spans)
 
         total = F.aggregate(w["turns"], F.lit(0).cast("long"), lambda a, x: a + x["tok"])
         return F.struct(
             w["window"].alias("window"),
             F.array_join(F.transform(parts, lambda x: F.concat(x["head"], x["body"], F.lit("<|end|>"))), "").alias("formatted"),
-            F.aggregate(parts, seed, step, lambda a: a["out"]).alias("loss"),
+            bound(parts, masked).alias("loss"),
             total.alias("tokens"),
             (total > budget).alias("over_budget"),
         )

@@ -3,12 +3,16 @@
 Items and texts are word sequences. An item of n words leaks into a text if some stretch of the text is within
 ``floor(max_edit * n)`` word edits of it. Item-sized windows of the text are embedded by the CGK random walk (copy the
 current word, then advance or not by a random bit that depends on step and word), which maps edit distance to Hamming
-distance; bit-sampling hashes of several walks bring a leaking window and its item together with high probability; a
-bit-parallel exact edit distance confirms every candidate. Most windows are not worth embedding: of the d + m rarest
-words of an item a window within d edits must hold at least m, so only windows with so many of some item's rarest words
-are embedded; that condition loses nothing. Walks of long items and of many edits drift apart, so hashes alone would lose
-leaks near the edit limit: whatever passes the condition and was not confirmed through a hash is verified by the exact
-edit distance too. Recall is 1.
+distance; bit-sampling hashes of several walks bring a leaking window and its item together; a bit-parallel exact edit distance confirms
+every candidate, so nothing is reported in error.
+
+Recall is planned. Walks of long items and of many edits drift apart, so fixed numbers of picks and samples would lose long items near the edit
+limit. For every item length, items with generated edits at the very limit (insertions, deletions, replacements, mixed) are walked, and the
+largest number of picks is taken at which the samples of all walks find ``recall`` of the worst kind. Fewer edits are found more surely.
+
+Most windows are not worth embedding: of the d + m rarest words of an item a window within d edits must hold at least m, so only windows with so many
+of some item's rarest words are embedded; that condition loses nothing. With ``exact`` every stretch that passes it is verified as well, which finds the
+last leaks that hashes miss (an audit; off by default).
 
 Items are taken in blocks of bounded size, one pass over the texts for each block; only one block is ever on the driver
 or in a task.
@@ -18,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -32,7 +36,7 @@ from pyspark.sql import types as T
 from placeloom.llm.common import Scratch
 
 ITEM_BLOCK, BLOCK_CHARS = 2_000, 4_000_000  # bounds of a block: a task holds its words, votes and tables, some 20 bytes a character
-WINDOWS = 5_000
+WINDOWS, CELLS = 5_000, 8_000_000  # windows, and words of their embeddings, at a time
 BATCH_CHARS = 8_000_000
 # words are runs of ASCII letters, digits and underscores and of bytes above ASCII
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
@@ -76,11 +80,61 @@ def edit_within(pattern: list[int], text: list[int], limit: int) -> bool:
     return False
 
 
+GRID = [4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024]
+WALKS, MOST_SAMPLES = 10, 48
+
+
+def embed(symbols: Callable[[np.ndarray], np.ndarray], steps: np.ndarray, many: int, length: int) -> np.ndarray:
+    """CGK strings (length, walks, many): ``symbols(at)`` gives the word under each walk of each sequence; whether it advances is the top bit of
+    the product of word and step."""
+    at = np.zeros((len(steps), many), dtype=np.int64)
+    copied = np.empty((length, len(steps), many), dtype=np.uint32)
+    for j in range(length):
+        symbol = symbols(at)
+        copied[j] = symbol
+        at += ((symbol.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * steps[:, j, None] >> np.uint64(63)).astype(np.int64)
+    return copied
+
+
+def plan_hashes(recall: float = 0.995, max_edit: float = 0.2, walks: int = WALKS, most: int = MOST_SAMPLES, pairs: int = 48, seed: int = 17) -> list[tuple[int, int, int]]:
+    """``(length, picks, samples)`` for lengths of ``GRID``: the most picks at which, over generated pairs at the edit limit of the worst kind of
+    edit, all walks together collide in one of at most ``most`` samples each with probability ``recall``, and how many that takes. Where even one pick
+    falls short, one pick and all samples. A window is also tried at its neighbours' starts, which only helps."""
+    g = np.random.default_rng(seed)
+    plan = []
+    for n in GRID:
+        d = math.floor(max_edit * n + 1e-9)
+        agree = []
+        for kind in ("insert", "delete", "replace", "mixed"):
+            left, right = g.integers(1, 1 << 20, (pairs, n)), np.zeros((pairs, n), dtype=np.int64)
+            for i in range(pairs):
+                w = left[i].tolist()
+                for at in sorted(g.choice(n, d, replace=False).tolist(), reverse=True):
+                    how = ("insert", "delete", "replace")[int(g.integers(3))] if kind == "mixed" else kind
+                    x = int(g.integers(1, 1 << 20))
+                    w[at : at + 1] = {"insert": [w[at], x], "delete": [], "replace": [x]}[how]
+                right[i] = (w + g.integers(1, 1 << 20, n).tolist())[:n]
+            both = np.vstack([left, right])
+            steps = g.integers(0, 2**63, (walks, 2 * n), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+            rows = np.arange(len(both))[None, :]
+            copied = embed(lambda at, both=both, rows=rows, n=n: np.where(at < n, both[rows, np.minimum(at, n - 1)], 0), steps, len(both), 2 * n)
+            agree.append((copied[:, :, :pairs] == copied[:, :, pairs:]).mean(axis=0))  # (walks, pairs)
+        chosen = (1, most)
+        for picks in range(5, 0, -1):
+            worst = lambda samples, picks=picks: min(float((1 - np.prod((1 - q**picks) ** samples, axis=0)).mean()) for q in agree)
+            enough = next((k for k in range(1, most + 1) if worst(k) >= recall), None)
+            if enough:
+                chosen = (picks, enough)
+                break
+        plan.append((n, *chosen))
+    return plan
+
+
 class Index:
-    """CGK tables over one block of items; ``walks`` embeddings, each sampled ``samples`` times at ``picks`` places."""
+    """CGK tables over one block of items: ``walks`` embeddings, each sampled as often and at as many places as the ``plan`` has it for the item's length."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edit: float = 0.2, walks: int = 10, samples: int = 4, picks: int = 5, seed: int = 3):
-        self.walks, self.samples, self.picks = walks, samples, picks
+    def __init__(self, items: list[tuple[int, str]], max_edit: float = 0.2, plan: list[tuple[int, int, int]] | None = None, exact: bool = False, walks: int = WALKS, seed: int = 3):
+        self.walks, self.exact = walks, exact
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, list[int]]] = []
         for item, text in items:
@@ -89,15 +143,16 @@ class Index:
                 self.items.append((item, ids))
         self.edits = lambda n: math.floor(max_edit * n + 1e-9)
         sizes = sorted({len(ids) for _, ids in self.items})
+        plan = plan or plan_hashes(max_edit=max_edit)
         g = np.random.default_rng(seed)
-        longest = 3 * (sizes[-1] if sizes else 0)
-        # the random bit of a walk, step and word is the top bit of their product; word 0 is all words outside the vocabulary
-        self.steps = g.integers(0, 2**63, (walks, longest), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self.odd = g.integers(0, 2**63, (walks, samples, picks), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        # word 0 is all words outside the vocabulary; most walks have left a window of n words after 2 n steps
+        self.steps = g.integers(0, 2**63, (walks, 2 * (sizes[-1] if sizes else 0)), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.tables: dict[int, list] = {}
-        self.places: dict[int, np.ndarray] = {}
+        self.places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sizes:
-            self.places[n] = np.sort(g.integers(0, 3 * n, (walks, samples, picks)), axis=2)
+            picks, samples = next(((k, m) for size, k, m in plan if size >= n), plan[-1][1:])
+            odd = g.integers(0, 2**63, (walks, samples, picks), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+            self.places[n] = (np.sort(g.integers(0, 2 * n, (walks, samples, picks)), axis=2), odd)
             mine = [(item, ids) for item, ids in self.items if len(ids) == n]
             flat = np.array([ids for _, ids in mine], dtype=np.int64)
             begins = np.arange(len(mine)) * n
@@ -121,20 +176,15 @@ class Index:
         """(walks * samples, windows) hashes of the windows of n tokens at starts; past ``stops``, the ends of their texts,
         windows are padded."""
         pad = len(self.vocabulary) + 1
-        at = np.zeros((self.walks, len(starts)), dtype=np.int64)
         room = np.minimum(n, stops - starts)
-        places = self.places[n]
-        copied = np.empty((int(places.max()) + 1, self.walks, len(starts)), dtype=np.uint32)
+        places, odd = self.places[n]
+        copied = embed(lambda at: np.where(at < room, tokens[np.minimum(starts + at, len(tokens) - 1)], pad), self.steps, len(starts), int(places.max()) + 1)
         walk = np.arange(self.walks)[:, None]
-        for j in range(len(copied)):
-            symbol = np.where(at < room, tokens[np.minimum(starts + at, len(tokens) - 1)], pad)
-            copied[j] = symbol
-            at += ((symbol.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * self.steps[:, j, None] >> np.uint64(63)).astype(np.int64)
-        out = np.zeros((self.walks, self.samples, len(starts)), dtype=np.uint64)
-        for k in range(self.picks):
-            out += (copied[places[:, :, k], walk].astype(np.uint64) + np.uint64(0x9E3779B9)) * self.odd[:, :, k, None]
+        out = np.zeros((*places.shape[:2], len(starts)), dtype=np.uint64)
+        for k in range(places.shape[2]):
+            out += (copied[places[:, :, k], walk].astype(np.uint64) + np.uint64(0x9E3779B9)) * odd[:, :, k, None]
             out ^= out >> np.uint64(29)
-        return out.reshape(self.walks * self.samples, len(starts))
+        return out.reshape(-1, len(starts))
 
     def search(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of the items that leak into each text, ascending."""
@@ -152,9 +202,11 @@ class Index:
         runs = self._runs(tokens, ends)
         for n, starts in self._worth(len(tokens), *runs):
             owners = np.searchsorted(ends, starts, side="right")
-            for at in range(0, len(starts), WINDOWS):
-                self._confirm(tokens, starts[at : at + WINDOWS], n, self.edits(n), owners[at : at + WINDOWS], ends, hits)
-        self._verify(tokens, ends, *runs, hits)
+            step = max(64, min(WINDOWS, CELLS // (2 * n * self.walks)))
+            for at in range(0, len(starts), step):
+                self._confirm(tokens, starts[at : at + step], n, self.edits(n), owners[at : at + step], ends, hits)
+        if self.exact:
+            self._verify(tokens, ends, *runs, hits)
         return [sorted(h) for h in hits]
 
     def _runs(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,15 +270,17 @@ class Index:
         mine, keys, order = self.tables[n]
         stops = ends[owners]
         found = self.hashes(tokens, starts, stops, n)
-        candidates: set[tuple[int, int]] = set()
+        met = []
         for row in range(len(found)):
             lo = np.searchsorted(keys[row], found[row], side="left")
-            hi = np.searchsorted(keys[row], found[row], side="right")
-            for w in np.flatnonzero(hi > lo):
-                for k in range(lo[w], hi[w]):
-                    candidates.add((int(order[row, k]), int(w)))
-        candidates = {(k, w) for k, w in candidates if self._overlap(mine[k][1], tokens[starts[w] : min(starts[w] + n, stops[w])]) >= n - d}
-        for k, w in sorted(candidates):
+            many = np.searchsorted(keys[row], found[row], side="right") - lo
+            w = np.flatnonzero(many)
+            spread = np.arange(many[w].sum()) - np.repeat(np.cumsum(many[w]) - many[w], many[w])
+            met.append(np.unique(order[row, np.repeat(lo[w], many[w]) + spread] * len(starts) + np.repeat(w, many[w])))
+        met = np.unique(np.concatenate(met))
+        candidates = [(k, w) for k, w in zip((met // len(starts)).tolist(), (met % len(starts)).tolist(), strict=True) if mine[k][0] not in hits[owners[w]]]
+        candidates = [(k, w) for k, w in candidates if self._overlap(mine[k][1], tokens[starts[w] : min(starts[w] + n, stops[w])]) >= n - d]
+        for k, w in candidates:
             item, ids = mine[k]
             doc = owners[w]
             if item in hits[doc]:
@@ -237,10 +291,10 @@ class Index:
                 hits[doc].add(item)
 
 
-def _leaks(items: Broadcast, max_edit: float):
+def _leaks(items: Broadcast, max_edit: float, plan: list[tuple[int, int, int]], exact: bool):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(items.value, max_edit)
+        index = Index(items.value, max_edit, plan, exact)
         for texts in batches:
             out: list[list[int]] = []
             held: list[str | None] = []
@@ -267,23 +321,24 @@ def item_blocks(benchmark: DataFrame, block: int, chars: int) -> list[DataFrame]
 
 
 def with_leaks(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name: str = "item_ids", max_edit: float = 0.2, block: int = ITEM_BLOCK, chars: int = BLOCK_CHARS
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name: str = "item_ids", max_edit: float = 0.2, block: int = ITEM_BLOCK, chars: int = BLOCK_CHARS,
+    recall: float = 0.995, exact: bool = False,
 ) -> DataFrame:
-    """``docs`` with one more column: the sorted ids of the items that leak into ``text``.
+    """``docs`` with one more column: the sorted ids of the items that leak into ``text``, found with probability ``recall`` at the edit limit.
 
     Items without an id or a word are ignored, repeated ones count once. One block needs no pass of its own. Of several
     each writes the texts it finds leaks in, by a 64-bit hash of the text, before the next is read; texts are judged by
     content, so repeated rows get the same result.
     """
-    blocks = item_blocks(benchmark, block, chars)
+    blocks, plan = item_blocks(benchmark, block, chars), plan_hashes(recall, max_edit)
     share = lambda rows: spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in rows.collect()))
     if len(blocks) == 1:
-        return docs.withColumn(name, _leaks(share(blocks[0]), max_edit)("text"))
+        return docs.withColumn(name, _leaks(share(blocks[0]), max_edit, plan, exact)("text"))
     scratch = Scratch(spark, "leaks")
     parts = []
     for rows in blocks:
         items = share(rows)
-        found = docs.select(F.xxhash64("text").alias("th"), _leaks(items, max_edit)("text").alias("ids")).where("size(ids) > 0")
+        found = docs.select(F.xxhash64("text").alias("th"), _leaks(items, max_edit, plan, exact)("text").alias("ids")).where("size(ids) > 0")
         parts.append(scratch.write(found.select("th", F.explode("ids").alias("id")).distinct(), "found"))
         items.destroy()
     found = reduce(DataFrame.unionByName, parts).groupBy("th").agg(F.array_sort(F.collect_set("id")).alias("ids"))
@@ -295,13 +350,13 @@ def with_leaks(
     return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], ids.alias(name))
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, **blocks) -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, **how) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, contaminated, n_items, item_ids)``, one row per input row.
 
     Null and empty texts are clean; repeated rows are judged alike; very long texts are searched whole, in windows; other
     columns are ignored; an empty table gives no rows.
     """
-    found = with_leaks(spark, docs.select("doc_id", "text"), benchmark, "item_ids", max_edit, **blocks)
+    found = with_leaks(spark, docs.select("doc_id", "text"), benchmark, "item_ids", max_edit, **how)
     size = F.size("item_ids")
     return found.select("doc_id", (size > 0).alias("contaminated"), size.cast("long").alias("n_items"), "item_ids")
 

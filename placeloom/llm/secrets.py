@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeloom.functions.arrays import blocks, running, running_sums
+from placeloom.functions.extract import bound
 from placeloom.llm.common import temporary_dir
 from placeloom.llm.sharding import ShardStore
 
@@ -47,26 +49,20 @@ FOUND = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
 def _spans(text: Column, rule: Rule) -> Column:
-    """Leftmost non-overlapping matches as spans: the pieces between matches and the matches themselves give
-    every start by one running sum."""
+    """Leftmost non-overlapping matches as spans: the pieces between matches and the matches themselves give every start by running
+    sums, in linear work however many matches a text has."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    pieces = F.split(text, rule.pattern, -1)
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.least else whole
-    steps = F.zip_with(
-        F.slice(pieces, 1, F.size(whole)),
-        F.arrays_zip(whole.alias("m"), judged.alias("j")),
-        lambda gap, m: F.struct(
-            F.length(gap).cast("long").alias("gap"), F.length(m["m"]).cast("long").alias("len"), (F.length(m["j"]) >= rule.least).alias("ok")
-        ),
-    )
+    size = lambda c: F.length(c).cast("long")
     empty = F.array().cast(SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), (start + x["len"]).alias("end")))
-        return F.struct((start + x["len"]).alias("pos"), F.when(x["ok"], F.concat(acc["out"], one)).otherwise(acc["out"]).cast(SPAN).alias("out"))
+    def placed(x: Column) -> Column:
+        steps = F.zip_with(F.slice(x["pieces"], 1, F.size(x["m"])), x["m"], lambda gap, m: size(gap) + size(m))
+        ends = F.zip_with(running_sums(steps), steps, lambda before, step: before + step)
+        spans = F.zip_with(ends, F.arrays_zip(x["m"].alias("m"), x["j"].alias("j")), lambda end, m: F.struct((end - size(m["m"])).alias("start"), end.alias("end"), (F.length(m["j"]) >= rule.least).alias("ok")))
+        return F.transform(F.filter(spans, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).cast(SPAN)
 
-    found = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+    found = bound(F.struct(F.split(text, rule.pattern, -1).alias("pieces"), whole.alias("m"), judged.alias("j")), placed)
     possible = text.rlike(rule.pattern)
     for hint in reversed(rule.hints):
         any_of = F.lit(False)
@@ -114,7 +110,10 @@ def hits(ledger: ShardStore, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     found = ledger.read().select("blob", F.inline("scans")).where("size(spans) > 0").where(current)
     whole = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), s["end"].alias("end"), F.col("kind")))
     found = found.withColumn("rank", rank).select("blob", whole.cast(FOUND).alias("spans"))
-    return found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # repeats stand side by side once sorted; array_distinct compares structs all with all
+    once = bound(F.col("spans"), lambda v: F.filter(v, lambda s, i: F.when(i > 0, s != F.get(v, i - 1)).otherwise(True)))
+    return found.select("blob", once.alias("spans"))
 
 
 def findings(versions: DataFrame, keys: list[str], ledger: ShardStore, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -147,14 +146,19 @@ def redacted(spark: SparkSession, docs: DataFrame, ledger: ShardStore | None = N
     rows = docs.select(blob_of(F.col("text")).alias("blob"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = rows.join(hits(ledger), "blob", "left")
     text = F.col("row.text")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))
-        new = F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], new).otherwise(acc["out"]).alias("out"))
-
-    seed = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", seed, step, lambda a: F.concat(a["out"], F.substr(text, (a["pos"] + 1).cast("int"))))
+    between = lambda t, a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def piece(cut: Column) -> Column:
+        """A block of spans is replaced in its own stretch of the text, since cutting at a place costs the way there."""
+        first, last = F.get(cut, F.lit(0))["upto"], F.element_at(cut, -1)["start"]
+        one = lambda t, s: F.concat(between(t, s["upto"] - first, s["start"] - first), F.lit("["), s["kind"], F.lit("]"))
+        return bound(between(text, first, last), lambda t: F.array_join(F.transform(cut, lambda s: one(t, s)), ""))
+
+    upto = running(F.transform("spans", lambda s: s["end"]), F.lit(0).cast("long"), lambda a, x: F.greatest(a, x))
+    placed = F.zip_with("spans", upto, lambda s, before: F.struct(before.alias("upto"), s["start"].alias("start"), s["kind"].alias("kind")))
+    kept = F.filter(placed, lambda s: s["start"] >= s["upto"])
+    rest = F.substr(text, (F.array_max(F.transform("spans", lambda s: s["end"])) + 1).cast("int"))
+    clean = F.concat(F.array_join(F.transform(blocks(kept), piece), ""), rest)
     new = joined.select("row", F.when(F.col("spans").isNotNull(), clean).alias("new"))
     changed = {"text": F.col("new"), "n_chars": F.length("new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     old = lambda c: F.col("row").getField(c)
@@ -168,8 +172,11 @@ def span_text(spans: Column) -> Column:
 
 
 def secret_digest(spark: SparkSession, docs: DataFrame, arrivals: int = 2) -> DataFrame:
-    """Per document: counts of the three base kinds, a digest of the base spans, and all spans as text.
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)``: per row counts of the three base
+    kinds, a digest of the base spans, and all spans as text.
 
+    Null and empty texts have none; repeated rows and several texts under one doc_id come back as often as they came, null ids too;
+    no other column is read, so names cannot clash; an empty table gives no rows. Work is linear in a text's matches.
     Rows arrive in batches by a hash of doc_id (null ids first) at one ledger, so a text that an earlier batch brought is not
     scanned again."""
     ledger = new_ledger(spark)

@@ -310,27 +310,31 @@ def near_duplicates(
 ) -> DataFrame:
     """``fps(id long, fp long)`` -> ``(id, fp, component_id)``; links are pairs at <= radius differing bits.
 
-    Every row comes back. Rows with a null id link with nothing and have a null component. Repeated rows
-    and equal fingerprints share a component; an empty table gives an empty result.
+    The fingerprint is what links, and the node of the graph; a component is named by the smallest id of its fingerprints. Every row
+    comes back. Rows with a null id link with nothing and have a null component. Repeated rows and equal fingerprints share a
+    component. One id with two fingerprints does not join them: its rows have the components of their own fingerprints. An empty table gives
+    an empty result.
     """
     fps = scratch.write(fps.select("id", "fp"), "fps")
-    reps = scratch.write(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    keyed = reps.select("fp", "rep", F.explode(F.array(*_part_keys(radius))).alias("key"))
+    reps = scratch.write(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("first_id")), "reps")
+    keyed = reps.select("fp", F.col("fp").alias("rep"), F.explode(F.array(*_part_keys(radius))).alias("key"))
     groups = _linked(spark, keyed, scratch, radius, tile)
-    of_rep = scratch.write(
-        reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "of_rep"
-    )
-    scratch.keep(fps, of_rep)
-    joined = fps.join(of_rep, "fp", "left")
+    placed = scratch.write(reps.join(groups, reps.fp == groups.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")), "placed")
+    first = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_fp = scratch.write(placed.join(first, "component").select("fp", "component_id"), "of_fp")
+    scratch.keep(fps, of_fp)
+    joined = fps.join(of_fp, "fp", "left")
     return joined.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def simhash_documents(
     spark: SparkSession, docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int = TILE
 ) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, fingerprint, component_id)``; other columns are ignored.
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, fingerprint, component_id)``, one row per input row.
 
-    Null and empty texts have fingerprint zero and link like any other.
+    Null and empty texts have fingerprint zero and link like any other; very long texts are read whole. Repeated rows share a component;
+    several texts under one doc_id each have that of their own fingerprint. Rows without a doc_id have a fingerprint and no component. Other columns
+    are not read, so names cannot clash; an empty table gives no rows.
     """
     scratch = Scratch(spark, "simhash")
     fps = docs.select(F.col("doc_id").cast("long").alias("id"), fingerprint_udf(shingle)("text").alias("fp"))

@@ -216,6 +216,22 @@ def test_secrets_edges_and_redaction(spark, docs, none):
     assert secrets.redacted(spark, none).count() == 0
 
 
+def test_secrets_are_linear_in_the_matches_of_a_text(spark):
+    import time
+
+    many = 200_000
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(many)), lambda i: F.concat(F.lpad(F.hex(i), 24, "0"), F.lit("é"))), ""), F.lit("end"))
+    one = spark.range(1).select(F.col("id").alias("doc_id"), F.lower(text).alias("text"))
+    scratch = common.Scratch(spark, "many")
+    one = scratch.write(one)
+    began = time.perf_counter()
+    r = secrets.secret_digest(spark, one).select("n_hex", F.substring("spans", 1, 40).alias("head"), F.substring_index("spans", ",", -1).alias("tail")).first()
+    assert (r.n_hex, r.head, r["tail"]) == (many, "hex:0:24,hex:25:49,hex:50:74,hex:75:99,he", f"hex:{25 * many - 25}:{25 * many - 1}")
+    clean = secrets.redacted(spark, one).select(F.length("text").alias("n"), F.substring("text", 1, 14).alias("head"), F.substring("text", -9, 9).alias("tail")).first()
+    assert (clean.n, clean.head, clean["tail"]) == (6 * many + 3, "[hex]é[hex]é[h", "[hex]éend")
+    assert time.perf_counter() - began < 60
+
+
 # 3 embeddings -------------------------------------------------------------------------------------------------------
 
 
@@ -339,6 +355,10 @@ def test_simhash_brute_force(spark, docs, none):
     for tile in (8, 1024):
         got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_documents(spark, df, tile=tile).collect()}
         assert got == {i: (f"{fps[i]:016x}", low[i]) for i in ids}
+    a, b = (" ".join(words(seed, 60)) for seed in (7, 8))
+    for rows in ([(1, a), (5, a), (1, b), (7, b)], [(1, a), (5, a), (5, b), (7, b)]):  # one id with two texts does not join them
+        got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_documents(spark, table(spark, rows)).collect()}
+        assert len(got) == 4 and all(c == min(i for i, t in rows if f"{plain_fingerprint(t):016x}" == f) for (_, f), c in got.items())
     out = simhash.simhash_documents(spark, docs)
     got = [(r.doc_id, r.component_id) for r in out.collect()]
     assert len(got) == 12 and (None, None) in got and (7, 1) in got and (6, 5) in got and (3, 2) in got
@@ -692,11 +712,40 @@ def test_no_long_item_within_the_limit_is_lost(size):
                 how = g.choice(["insert", "delete", "replace"]) if change == "mixed" else change
                 w[i : i + 1] = {"insert": [w[i], g.choice(vocabulary)], "delete": [], "replace": [g.choice(vocabulary)]}[how]
             texts.append((k, " ".join(g.choices(vocabulary, k=g.randint(0, 80)) + w + g.choices(vocabulary, k=g.randint(0, 80)))))
-    index = decontaminate.Index([(k, " ".join(ids)) for k, ids in items])
+    index = decontaminate.Index([(k, " ".join(ids)) for k, ids in items], exact=True)
     found = index.search([t for _, t in texts] + [" ".join(g.choices(vocabulary, k=900)) for _ in range(10)])
     assert found[: len(texts)] == [[k] for k, _ in texts] and not any(found[len(texts) :])
 
 
+@pytest.mark.parametrize("size", [15, 30, 60, 100, 200, 300])
+def test_hashes_alone_reach_the_planned_recall(size):
+    """Every kind of edit at the very limit; LSH and the exact check alone decide."""
+    g = random.Random(100 + size)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(k, g.choices(vocabulary, k=size)) for k in range(40)]
+    texts = []
+    for change in ("insert", "delete", "replace", "mixed"):
+        for k, ids in items:
+            w = list(ids)
+            for i in sorted(g.sample(range(size), size // 5), reverse=True):
+                how = g.choice(["insert", "delete", "replace"]) if change == "mixed" else change
+                w[i : i + 1] = {"insert": [w[i], g.choice(vocabulary)], "delete": [], "replace": [g.choice(vocabulary)]}[how]
+            texts.append((change, k, " ".join(g.choices(vocabulary, k=40) + w + g.choices(vocabulary, k=40))))
+    index = decontaminate.Index([(k, " ".join(ids)) for k, ids in items])
+    found = index.search([t for *_, t in texts] + [" ".join(g.choices(vocabulary, k=900)) for _ in range(10)])
+    assert not any(found[len(texts) :])
+    share = {c: np.mean([k in hits for (kind, k, _), hits in zip(texts, found, strict=False) if kind == c]) for c in ("insert", "delete", "replace", "mixed")}
+    print(size, share)
+    assert min(share.values()) >= 0.95
+
+
+def test_tables_leaks_by_hashes(spark):
+    """On the given table the hashes find what the exact edit distance finds."""
+    d, b = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "benchmark"))
+    sets = [{(r.doc_id, k) for r in decontaminate.contamination(spark, d, b, exact=exact).collect() for k in r.item_ids} for exact in (False, True)]
+    assert sets[0] <= sets[1] and len(sets[0]) >= 0.95 * len(sets[1]) > 10
+
+
 def brute_leaks(items, texts):
     """Ids of the items within a fifth of their words of some stretch of each text: all items' edit tables, a word a step."""
     code = defaultdict(lambda: len(code) + 1)
@@ -737,7 +786,7 @@ def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame(items + [items[0], (None, "x y z"), (777, None), (778, " ")], "item_id long, text string").withColumn("doc_id", F.lit(1))
     df = table(spark, rows).withColumn("th", F.lit(1)).withColumn("item_ids", F.lit("clash"))
     for block in (20_000, 25):
-        found = decontaminate.contamination(spark, df, bench, block=block).collect()
+        found = decontaminate.contamination(spark, df, bench, block=block, exact=True).collect()
         assert sorted((r.doc_id, tuple(r.item_ids)) for r in found) == want
         assert all((r.contaminated, r.n_items) == (bool(r.item_ids), len(r.item_ids)) for r in found)
     assert len(decontaminate.item_blocks(bench, 25, 10**9)) == 3 and len(decontaminate.item_blocks(bench, 10**9, 5000)) > 1
@@ -754,7 +803,7 @@ def test_decontamination_of_the_table_in_blocks(spark):
     d, b = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "benchmark"))
     n = b.count()
     assert len(decontaminate.item_blocks(b, max(1, n // 4), 10**9)) >= 4
-    found = {r.doc_id: set(r.item_ids) for r in decontaminate.contamination(spark, d, b, block=max(1, n // 4)).collect()}
+    found = {r.doc_id: set(r.item_ids) for r in decontaminate.contamination(spark, d, b, block=max(1, n // 4), exact=True).collect()}
     rows = d.select("doc_id", "text").collect()
     want = brute_leaks([(r.item_id, r.text) for r in b.collect()], [r.text for r in rows])
     assert all(found[r.doc_id] == w for r, w in zip(rows, want, strict=True)) and any(want)

@@ -66,3 +66,12 @@ def test_texts_under_one_id_are_judged_by_themselves(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in pipeline.near_duplicate_stage(spark, docs, SF).collect()]
     assert len(got) == 4 and {(1, a), (1, b), (None, a)} < set(got) and sum(i == 3 for i, _ in got) == 1
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    docs = edge_cases.documents(spark).selectExpr("*", "7 AS text_hash", "'r' AS row", "'x' AS component", "1 AS `a.b`")
+    out = pipeline.near_duplicate_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sorted((r.doc_id for r in rows), key=str) == [1, 10, 2, 5, 8, 9, None] and all((r.text_hash, r.row, r.component, r["a.b"]) == (7, "r", "x", 1) for r in rows)
+    assert pipeline.near_duplicate_stage(spark, docs.limit(0), SF).count() == 0
