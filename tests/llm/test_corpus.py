@@ -226,7 +226,7 @@ def test_secrets_are_linear_in_the_matches_of_a_text(spark):
     one = scratch.write(one)
     began = time.perf_counter()
     r = secrets.secret_digest(spark, one).select("n_hex", F.substring("spans", 1, 40).alias("head"), F.substring_index("spans", ",", -1).alias("tail")).first()
-    assert (r.n_hex, r.head, r["tail"]) == (many, "hex:0:24,hex:25:49,hex:50:74,hex:75:99,he", f"hex:{25 * many - 25}:{25 * many - 1}")
+    assert (r.n_hex, r.head, r["tail"]) == (many, "hex:0:24,hex:25:49,hex:50:74,hex:75:99,h", f"hex:{25 * many - 25}:{25 * many - 1}")
     clean = secrets.redacted(spark, one).select(F.length("text").alias("n"), F.substring("text", 1, 14).alias("head"), F.substring("text", -9, 9).alias("tail")).first()
     assert (clean.n, clean.head, clean["tail"]) == (6 * many + 3, "[hex]é[hex]é[h", "[hex]éend")
     assert time.perf_counter() - began < 60
