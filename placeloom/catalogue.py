@@ -406,6 +406,16 @@ def budget_rank(spark: SparkSession, d: str) -> DataFrame:
     return sweep.budgeted(_table(spark, d, "lineitem"), "l_returnflag", [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")], 5000)
 
 
+@_query(
+    """WITH t AS (SELECT l_linestatus, row_number() OVER (ORDER BY l_shipdate, l_quantity, l_linestatus) AS rn, count(*) OVER () // 2 AS half FROM lineitem)
+SELECT l_linestatus, count(*) AS requested, count(*) FILTER (rn <= half) AS returned, count(*) FILTER (rn <= half) < count(*) AS truncated FROM t GROUP BY l_linestatus"""
+)
+def budget_half(spark: SparkSession, d: str) -> DataFrame:
+    """A budget of half the rows over an order with many ties, which go by lane."""
+    items = _table(spark, d, "lineitem")
+    return sweep.budgeted(items, "l_linestatus", [F.col("l_shipdate"), F.col("l_quantity")], items.count() // 2)
+
+
 @_query("SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) / 12)::BIGINT AS batch FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40")
 def work_batches(spark: SparkSession, d: str) -> DataFrame:
     return diff.batches(_table(spark, d, "orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 12, 40).select("o_orderkey", "batch")
@@ -953,10 +963,18 @@ def csv_export(spark: SparkSession, d: str) -> DataFrame:
     return render.csv_frame(p, no_people=True).select("id", "name", "score", "sources", "emails", "officers", "is_hiring")
 
 
-@_query("SELECT 'register swept and fused with the map' AS coverage")
+@_query(
+    """WITH l AS (SELECT c_nationkey AS run, CASE WHEN c_custkey % 2 = 0 AND c_nationkey % 4 < 3 THEN 'osm' WHEN c_nationkey % 4 IN (0, 1) THEN 'registry' ELSE 'given' END AS lane, CASE WHEN c_nationkey % 4 = 0 AND c_custkey % 3 = 0 THEN 'sweep' ELSE 'confirm' END AS mode FROM customer)
+SELECT run, CASE WHEN max(CASE WHEN lane = 'registry' AND mode = 'sweep' THEN 1 ELSE 0 END) = 1 THEN 'register swept and fused with the map' WHEN max(CASE WHEN lane = 'registry' THEN 1 ELSE 0 END) = 1 THEN 'map places, each confirmed against a register'
+WHEN max(CASE WHEN lane = 'osm' THEN 1 ELSE 0 END) = 1 THEN 'map places only; no register was asked' ELSE 'built from given rows' END AS coverage FROM l GROUP BY run"""
+)
 def coverage_sentence(spark: SparkSession, d: str) -> DataFrame:
-    lanes = _base(spark, d, "SELECT CASE r_regionkey % 2 WHEN 0 THEN 'osm' ELSE 'registry' END AS lane, 'sweep' AS mode FROM {region}", "region")
-    return summary.coverage_sentence(lanes)
+    """Where the places of each run come from, in the four ways there are."""
+    lanes = _base(
+        spark, d, """SELECT c_nationkey AS run, CASE WHEN c_custkey % 2 = 0 AND c_nationkey % 4 < 3 THEN 'osm' WHEN c_nationkey % 4 IN (0, 1) THEN 'registry' ELSE 'given' END AS lane,
+        CASE WHEN c_nationkey % 4 = 0 AND c_custkey % 3 = 0 THEN 'sweep' ELSE 'confirm' END AS mode FROM {customer}""", "customer"
+    )
+    return summary.coverage_sentence(lanes, "run")
 
 
 @_query(
@@ -1080,4 +1098,4 @@ def best_page_by_role(spark: SparkSession, d: str) -> DataFrame:
     return best.select("place_id", F.lit(1).alias("ord"), F.when(F.col("url") == "https://x.fr/a", "site-0").when(F.col("url") == "https://x.fr/c", "site-1").otherwise("wrong").alias("url"))
 
 
-from placeloom import catalogue_records  # noqa: E402, F401  registers further queries
+from placeloom import catalogue_exports, catalogue_records  # noqa: E402, F401  register further queries

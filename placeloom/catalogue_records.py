@@ -266,10 +266,13 @@ def geocoded(spark: SparkSession, d: str) -> DataFrame:
     return places.geocode(q, g, c).select("query", "ok", "reason", "label", "south", "commune", "postcode")
 
 
-@_query("SELECT 'a' AS source, 'stale' AS state UNION ALL SELECT 'b', 'fresh' UNION ALL SELECT 'c', 'unreadable' UNION ALL SELECT 'd', 'other tool'")
+@_query(
+    """SELECT s_suppkey AS source, CASE WHEN s_suppkey % 7 = 0 THEN 'unreadable' WHEN s_suppkey % 4 > 0 AND s_suppkey % 3 = 0 THEN 'stale' WHEN s_suppkey % 5 = 0 THEN 'other tool' ELSE 'fresh' END AS state FROM supplier"""
+)
 def snapshot_freshness(spark: SparkSession, d: str) -> DataFrame:
-    c = spark.sql(f"SELECT * FROM VALUES ('a', '2024-01-01', '1', {bulk.LAYOUT}), ('b', '2024-01-01', '1', {bulk.LAYOUT}), ('c', '2024-01-01', '1', 1), ('d', '2024-01-01', '0', {bulk.LAYOUT}) AS t(source, modified, tool, layout)")
-    u = spark.sql("SELECT * FROM VALUES ('a', '2024-02-01'), ('b', '2024-01-01') AS t(source, modified)")
+    """Cached exports against what upstream has now; some are not there any more."""
+    c = _base(spark, d, f"SELECT s_suppkey AS source, concat('2024-0', CAST(s_suppkey % 3 + 1 AS STRING), '-15') AS modified, CASE WHEN s_suppkey % 5 = 0 THEN '0' ELSE '1' END AS tool, CASE WHEN s_suppkey % 7 = 0 THEN {bulk.LAYOUT - 1} ELSE {bulk.LAYOUT} END AS layout FROM {{supplier}}", "supplier")
+    u = _base(spark, d, "SELECT s_suppkey AS source, '2024-02-01' AS modified FROM {supplier} WHERE s_suppkey % 4 > 0", "supplier")
     return bulk.freshness(c, u, "1")
 
 
@@ -280,13 +283,14 @@ def client_filter(spark: SparkSession, d: str) -> DataFrame:
     return c.where(bulk.client_filter(F.col("status"), F.col("band"), bands=["11", "12"], around_point=True)).select("c_custkey")
 
 
-@_query(
-    """SELECT m.i AS k, m.c AS class FROM (VALUES (0, 'busy'), (1, 'busy'), (2, 'busy'), (3, 'busy'), (4, 'busy'), (5, 'busy'), (6, 'too-big'), (7, 'too-big'), (8, 'other'), (9, 'busy')) m(i, c)"""
-)
+SAID = ["Dispatcher_Client::request_read_and_idx::timeout", "HTTP 504", "HTTP 429", "fetch failed", "ETIMEDOUT", "rate limit", "Query timed out in 90 seconds", "out of memory", "timeout", "The server is probably too busy"]
+
+
+@_query("SELECT event_id AS k, CASE WHEN event_id % 10 IN (6, 7) THEN 'too-big' WHEN event_id % 10 = 8 THEN 'other' ELSE 'busy' END AS class FROM events")
 def failure_classes(spark: SparkSession, d: str) -> DataFrame:
-    said = ["Dispatcher_Client::request_read_and_idx::timeout", "HTTP 504", "HTTP 429", "fetch failed", "ETIMEDOUT", "rate limit", "Query timed out in 90 seconds", "out of memory", "timeout", "The server is probably too busy"]
-    rows = ", ".join(f"({i}, '{m}')" for i, m in enumerate(said))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(k, m)").select("k", poi.failure_class(F.col("m")).alias("class"))
+    """What instances said inside longer messages."""
+    e = _base(spark, d, f"SELECT event_id AS k, concat('attempt ', CAST(event_id AS STRING), ': ', {_case('event_id', SAID)}, ' (', event_type, ')') AS m FROM {{events}}", "events")
+    return e.select("k", poi.failure_class(F.col("m")).alias("class"))
 
 
 @_query(
@@ -612,10 +616,17 @@ def lane_licences(spark: SparkSession, d: str) -> DataFrame:
     return lanes.join(said.withColumn("lane_", key), F.col("lane") == F.col("lane_")).select("k", "licence")
 
 
-@_query(f"SELECT place_id, CASE WHEN n >= 10 THEN 'active user' ELSE '' END AS tag FROM ({_duck(USERS)}) WHERE n >= 10")
+@_query(
+    """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'fr-sirene' WHEN 1 THEN 'us-edgar' WHEN 2 THEN 'cz-ares' ELSE 'new' END || ':' || CASE WHEN s_suppkey % 2 = 0 THEN 'e' || s_suppkey::VARCHAR ELSE s_suppkey::VARCHAR END AS place_id, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey::VARCHAR ELSE s_name END AS name,
+CASE WHEN s_suppkey % 3 > 0 THEN CASE s_suppkey % 4 WHEN 0 THEN 'naf=' WHEN 1 THEN 'sic=' WHEN 2 THEN 'cz-nace=' ELSE 'activity=' END || (s_suppkey % 100)::VARCHAR END AS category, 'sweep' AS evidence FROM supplier"""
+)
 def place_projection(spark: SparkSession, d: str) -> DataFrame:
-    u = _base(spark, d, USERS, "events").where("n >= 10")
-    return u.select("place_id", F.lit("active user").alias("tag"))
+    """Register records as places: blank names, missing codes, a register without a nomenclature of its own."""
+    r = _base(
+        spark, d, """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'fr-sirene' WHEN 1 THEN 'us-edgar' WHEN 2 THEN 'cz-ares' ELSE 'new' END AS connector, CAST(s_suppkey AS STRING) AS id, CASE WHEN s_suppkey % 2 = 0 THEN concat('e', CAST(s_suppkey AS STRING)) END AS establishment_id,
+        CASE WHEN s_suppkey % 5 = 0 THEN array(' ') ELSE array('', concat(s_name, ' '), 'other') END AS names, CASE s_suppkey % 3 WHEN 0 THEN '' ELSE CAST(s_suppkey % 100 AS STRING) END AS activity_code, '1' AS number, 'x' AS street, 'y' AS postcode, 'z' AS city, 48.0D AS lat, 2.0D AS lon FROM {supplier}""", "supplier"
+    )
+    return registers.to_places(r).select("place_id", "name", "category", "evidence")
 
 
 @_query("SELECT 'osm:n' || c_custkey::VARCHAR AS place_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS name, 'shop' AS category, '7' AS number, CASE WHEN c_custkey % 3 = 0 THEN 'http://x.fr' END AS site_url, CASE WHEN c_custkey % 3 = 0 THEN 'declared' END AS site_confidence FROM customer")
@@ -687,10 +698,17 @@ def privacy_note(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, render.privacy_note(c), bool)
 
 
-@_query("SELECT 0 AS ord, 'map tags shop, office' AS line UNION ALL SELECT 1, 'sections C, J' UNION ALL SELECT 2, '2 explicit register identifiers' UNION ALL SELECT 3, 'at most 50 rows' UNION ALL SELECT 4, 'ceased companies included'")
+@_query(
+    """SELECT c_custkey AS k, array_to_string(list_filter([CASE c_custkey % 3 WHEN 0 THEN 'OSM `shop`, `office` tags only' WHEN 1 THEN 'OSM `shop` tags only' END, CASE WHEN c_custkey % 2 = 0 THEN 'register activity codes 62.01Z' END, CASE WHEN c_custkey % 5 = 0 THEN 'register sections C, J' END,
+CASE WHEN c_custkey % 7 > 0 THEN (c_custkey % 7)::VARCHAR || ' explicit register identifier(s)' END, CASE WHEN c_custkey % 4 > 0 THEN 'capped at ' || (c_custkey % 4)::VARCHAR || ' results' END, CASE WHEN c_custkey % 6 = 0 THEN 'ceased companies included' END], lambda x: x IS NOT NULL), '; ') AS said FROM customer"""
+)
 def filter_words(spark: SparkSession, d: str) -> DataFrame:
-    said = render.describe_filters({"osm_groups": ["shop", "office"], "activity_codes": [], "sections": ["C", "J"], "registry_ids": ["1", "2"], "max_results": 50, "include_ceased": True})
-    return _lines(spark, "\n".join(said), bool)
+    """The filters of each run in words; null, empty and default ones say nothing."""
+    runs = _base(
+        spark, d, """SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN array('shop', 'office') WHEN 1 THEN array('shop') END AS osm_groups, CASE WHEN c_custkey % 2 = 0 THEN array('62.01Z') ELSE CAST(array() AS ARRAY<STRING>) END AS activity_codes, CASE WHEN c_custkey % 5 = 0 THEN array('C', 'J') END AS sections,
+        CAST(array() AS ARRAY<STRING>) AS size_bands, array_repeat('1', CAST(c_custkey % 7 AS INT)) AS registry_ids, CAST(c_custkey % 4 AS INT) AS max_results, CASE c_custkey % 6 WHEN 0 THEN true WHEN 1 THEN false END AS include_ceased FROM {customer}""", "customer"
+    )
+    return render.filters_in_words(runs).select("k", F.array_join("said", "; ").alias("said"))
 
 
 @_query(

@@ -99,16 +99,16 @@ def lane_totals(lanes: DataFrame) -> DataFrame:
     return lanes.groupBy("lane").agg(F.sum("requested").alias("requested"), F.sum("returned").alias("returned"), F.bool_or("truncated").alias("truncated"))
 
 
-def coverage_sentence(lanes: DataFrame) -> DataFrame:
-    """One row saying where the places come from: a register sweep beats a confirm pass beats the map alone."""
-    flags = lanes.agg(F.bool_or((F.col("lane") == "registry") & (F.col("mode") == "sweep")).alias("sweep"), F.bool_or((F.col("lane") == "registry") & (F.col("mode") == "confirm")).alias("confirm"), F.bool_or(F.col("lane") == "osm").alias("osm"))
+def coverage_sentence(lanes: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each run ``by``, saying where the places come from: a register sweep beats a confirm pass beats the map alone."""
+    flags = lanes.groupBy(*by).agg(F.bool_or((F.col("lane") == "registry") & (F.col("mode") == "sweep")).alias("sweep"), F.bool_or((F.col("lane") == "registry") & (F.col("mode") == "confirm")).alias("confirm"), F.bool_or(F.col("lane") == "osm").alias("osm"))
     said = (
         F.when(F.col("sweep"), "register swept and fused with the map")
         .when(F.col("confirm"), "map places, each confirmed against a register")
         .when(F.col("osm"), "map places only; no register was asked")
         .otherwise("built from given rows")
     )
-    return flags.select(said.alias("coverage"))
+    return flags.select(*by, said.alias("coverage"))
 
 
 def privacy_counts(places: DataFrame) -> DataFrame:

@@ -244,16 +244,14 @@ def licences(lanes: DataFrame) -> DataFrame:
     return lanes.select(F.element_at(table, F.coalesce("connector", "lane")).alias("licence")).where("licence is not null").distinct()
 
 
-def describe_filters(filters: dict) -> list[str]:
-    """The filters of a run in words; only those that narrow it."""
-    said = []
-    for key, form in (("osm_groups", "map tags {}"), ("activity_codes", "activity codes {}"), ("sections", "sections {}"), ("size_bands", "headcount bands {}")):
-        if filters.get(key):
-            said.append(form.format(", ".join(map(str, filters[key]))))
-    if filters.get("registry_ids"):
-        said.append(f"{len(filters['registry_ids'])} explicit register identifiers")
-    if filters.get("max_results"):
-        said.append(f"at most {filters['max_results']} rows")
-    if filters.get("include_ceased"):
-        said.append("ceased companies included")
-    return said
+def filters_in_words(runs: DataFrame) -> DataFrame:
+    """Add ``said``, the filters of each run in words; only those that narrow it, and ceased companies only where they were kept, as
+    leaving them out is the default. ``runs`` has the arrays osm_groups, activity_codes, sections, size_bands and registry_ids, a number max_results
+    and a flag include_ceased, any of them null."""
+    # fixed values: wording of a run's filters
+    lists = [("osm_groups", "`, `", "OSM `", "` tags only"), ("activity_codes", ", ", "register activity codes ", ""), ("sections", ", ", "register sections ", ""), ("size_bands", ", ", "headcount bands ", "")]
+    said = [F.when(F.size(c) > 0, F.concat(F.lit(head), F.array_join(F.col(c).cast("array<string>"), sep), F.lit(tail))) for c, sep, head, tail in lists]
+    said.append(F.when(F.size("registry_ids") > 0, F.concat(F.size("registry_ids").cast("string"), F.lit(" explicit register identifier(s)"))))
+    said.append(F.when(F.col("max_results") > 0, F.concat(F.lit("capped at "), F.col("max_results").cast("string"), F.lit(" results"))))
+    said.append(F.when(F.col("include_ceased"), F.lit("ceased companies included")))
+    return runs.withColumn("said", F.array_compact(F.array(*said)))

@@ -93,12 +93,59 @@ def _box(path: Column, bbox, depth: int) -> Column:
     return F.aggregate(F.filter(F.split(path, ""), lambda q: q != ""), start, halve)
 
 
-def budgeted(rows: DataFrame, lane: str, order: list[Column], budget: int) -> DataFrame:
-    """The first rows of an ordered budget shared by all lanes, with a mark on lanes that were cut."""
-    top = rows.orderBy(*order).limit(budget)
-    got = top.groupBy(lane).agg(F.count("*").alias("returned"))
-    asked = rows.groupBy(lane).agg(F.count("*").alias("requested"))
-    return asked.join(got, lane, "left").select(lane, "requested", F.coalesce("returned", F.lit(0)).alias("returned"), (F.coalesce("returned", F.lit(0)) < F.col("requested")).alias("truncated"))
+def budgeted(rows: DataFrame, lane: str, order: list[Column], budget: int, splitters: int = 16, small: int = 100_000) -> DataFrame:
+    """The first rows of an ordered budget shared by all lanes, with a mark on lanes that were cut.
+
+    ``order`` are ascending columns, blanks first (negate numbers that fall); rows that tie go by lane. No row is sorted or shuffled: the row at
+    the budget is found by counting rows between ``splitters`` that a random draw gives, again inside the interval that holds it, until that
+    has at most ``small`` rows or the row has a splitter's key. Counts are exact, so the draw decides only how many passes it takes."""
+    names = [f"o{k}" for k in range(len(order) + 1)]
+    keyed = rows.select(F.col(lane).alias("lane"), F.struct(*[c.alias(n) for c, n in zip([*order, F.col(lane)], names, strict=True)]).alias("k"))
+    kinds = [f.dataType for f in keyed.schema["k"].dataType.fields]
+    fixed = lambda r: F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(r, kinds, names, strict=True)])
+    total = keyed.count()
+    last, need, inside, left = None, budget, F.lit(True), total
+    while 0 < budget < total:
+        held = keyed.where(inside)
+        if left <= small:
+            sums = held.groupBy("k").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("k")))  # at most ``small`` rows
+            last, upto, n = sums.where(F.col("upto") >= need).orderBy("k").select("k", "upto", "n").first()
+            need -= upto - n
+            break
+        drawn = [tuple(r["k"]) for r in held.select("k").orderBy(F.rand(7)).limit(32 * splitters).distinct().orderBy("k").collect()]
+        marks = drawn[len(drawn) // (2 * splitters) :: max(1, len(drawn) // splitters)]
+        ends = [fixed(m) for m in marks]
+
+        def below(lo: int, hi: int) -> Column:  # how many splitters are less than the key, by halving
+            mid = (lo + hi) // 2
+            return F.lit(lo) if lo == hi else F.when(F.col("k") <= ends[mid], below(lo, mid)).otherwise(below(mid + 1, hi))
+
+        placed = held.select("k", below(0, len(ends)).alias("below"))
+        placed = placed.select("below", F.get(F.array(*ends), F.col("below")).eqNullSafe(F.col("k")).alias("on"))
+        counts = {(r["below"], r["on"]): r["count"] for r in placed.groupBy("below", "on").count().collect()}
+        for at in range(len(marks) + 1):
+            left = counts.get((at, False), 0)  # rows between splitters at - 1 and at
+            if need <= left:
+                break
+            need -= left
+            if need <= (on := counts.get((at, True), 0)):
+                last = marks[at]
+                break
+            need -= on
+        if last is not None:
+            break
+        if at:
+            inside = inside & (F.col("k") > fixed(marks[at - 1]))
+        if at < len(marks):
+            inside = inside & (F.col("k") < fixed(marks[at]))
+    if budget <= 0:
+        got = F.lit(0).cast("long")
+    elif last is None:
+        got = F.count("*")
+    else:
+        got = F.count_if(F.col("k") < fixed(last)) + F.when(F.col("lane").eqNullSafe(fixed(last)[names[-1]]), F.lit(need)).otherwise(F.lit(0))
+    sums = keyed.groupBy("lane").agg(F.count("*").alias("requested"), got.cast("long").alias("returned"))
+    return sums.select(F.col("lane").alias(lane), "requested", "returned", (F.col("returned") < F.col("requested")).alias("truncated"))
 
 
 def rivals(candidates: DataFrame, ratio: float = 0.85, metres: float = 10_000.0) -> DataFrame:

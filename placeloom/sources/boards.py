@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from placeloom.functions import extract
 from placeloom.operators import diff
+from placeloom.operators.cut import cut
 
 # provider -> (path of the list, {column: paths in order}); fixed values of the providers' formats
 FORMATS = {
@@ -71,14 +73,59 @@ def _personio(boards: DataFrame) -> DataFrame:
     )
 
 
+def _sitemap_items(files: DataFrame, *keep: str) -> DataFrame:
+    """Entries of ``body`` in their order: ``(keep..., pos, loc, lastmod, is_index)``. Entries of an index and ``sitemap`` blocks are nested files."""
+    items = F.regexp_extract_all("body", F.lit(r"(?is)(<(sitemap|url)\b.*?</\2>)"), F.lit(1))
+    d = files.select(*keep, F.col("body").rlike(r"(?i)<sitemapindex\b").alias("whole"), F.posexplode(items).alias("pos", "x"))
+
+    def get(tag: str) -> Column:
+        raw = F.regexp_extract("x", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
+        inner = F.regexp_replace(raw, r"(?s)^.*?<!\[CDATA\[(.*?)\]\]>.*$", "$1")
+        plain = extract.decode_entities(F.regexp_replace(inner, "<[^>]+>", " "))
+        return F.nullif(F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit(""))
+
+    nested = F.col("whole") | F.col("x").rlike("(?i)^<sitemap")
+    return d.select(*keep, "pos", get("loc").alias("loc"), get("lastmod").alias("lastmod"), nested.alias("is_index")).where("loc is not null")
+
+
 def sitemap_entries(files: DataFrame, most: int = 3) -> DataFrame:
     """``files(site, ord, body)`` -> ``(site, loc, lastmod, is_index)``: pages and nested sitemaps of the first ``most`` files
     that were read of a site."""
     files = files.withColumn("rn", F.row_number().over(W.partitionBy("site").orderBy("ord"))).where(F.col("rn") <= most)
-    items = F.regexp_extract_all("body", F.lit(r"(?is)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1))
-    d = files.select("site", F.col("body").rlike("(?i)<sitemapindex").alias("is_index"), F.explode(items).alias("x"))
-    get = lambda t: F.nullif(F.trim(F.regexp_extract("x", rf"(?is)<{t}>(.*?)</{t}>", 1)), F.lit(""))
-    return d.select("site", get("loc").alias("loc"), get("lastmod").alias("lastmod"), "is_index").where("loc is not null")
+    return _sitemap_items(files, "site").select("site", "loc", "lastmod", "is_index")
+
+
+def follow_sitemaps(spark: SparkSession, starts: DataFrame, bodies: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Follow sitemap indexes over recorded answers, breadth first, each file of a site once and at most ``most`` a site.
+
+    ``starts(site, ord, url)`` are the files a site names itself, ``bodies(url, body)`` what each answered; a file without an answer
+    counts as read and is empty. Returns ``asked(site, rank, url)``, ranks from 1 in order of reading, and ``entries(site, rank, pos, loc, lastmod)``.
+    A round reads all files of its depth that a site may still read; as each takes one at least, there are ``most`` rounds at most, fewer if no site
+    has anything left. Waiting files are kept by site, so a round joins what is asked for with the answers and never reads entries again.
+    """
+    waiting = starts.where("site is not null and url is not null").select("site", "url", F.array(F.col("ord").cast("long")).alias("place"))
+    asked = entries = None
+    for _ in range(most):
+        first = waiting.groupBy("site", "url").agg(F.min("place").alias("place"))
+        if asked is not None:
+            first = first.join(asked.select("site", "url"), ["site", "url"], "left_anti")
+            used = asked.groupBy("site").agg(F.count("*").alias("used"))
+            first = first.join(used, "site", "left")
+        else:
+            first = first.withColumn("used", F.lit(0).cast("long"))
+        rank = F.coalesce("used", F.lit(0)) + F.row_number().over(W.partitionBy("site").orderBy("place"))
+        now = cut(spark, first.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("site", "rank", "url", "place"))
+        if now.isEmpty():
+            break
+        found = cut(spark, _sitemap_items(now.join(bodies.select("url", "body"), "url"), "site", "rank", "place"))
+        asked = now.drop("place") if asked is None else asked.unionByName(now.drop("place"))
+        pages = found.where("not is_index").select("site", "rank", "pos", "loc", "lastmod")
+        entries = pages if entries is None else entries.unionByName(pages)
+        waiting = found.where("is_index").select("site", F.col("loc").alias("url"), F.array(F.col("rank"), F.col("pos").cast("long")).alias("place"))
+    if asked is None:
+        asked = waiting.select("site", F.lit(0).cast("long").alias("rank"), "url")
+        entries = asked.select("site", "rank", F.lit(0).alias("pos"), F.col("url").alias("loc"), F.col("url").alias("lastmod")).where("false")
+    return asked, entries
 
 
 def sitemap_summary(entries: DataFrame) -> DataFrame:

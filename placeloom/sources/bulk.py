@@ -21,7 +21,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", lines_in_fields: bo
     raw = spark.read.csv(
         path, header=True, sep=sep, quote='"', escape='"', multiLine=lines_in_fields, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", nullValue=None, emptyValue=""
     )
-    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip().lstrip("﻿")) for c in raw.columns])
+    return raw.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(" \t\r\n")).alias(c.strip().lstrip("﻿")) for c in raw.columns])
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -402,6 +402,25 @@ CONNECTORS = [
 ]
 
 
+# fixed values: namespaces of activity codes by register
+ACTIVITY_PREFIXES = {
+    "fr-sirene": "naf", "gb-companies-house": "sic-uk", "de-offeneregister": "de-offeneregister", "no-brreg": "nace-no", "fi-prh": "tol", "cz-ares": "cz-nace",
+    "pl-krs": "pkd", "us-edgar": "sic", "ee-ariregister": "ee-ariregister", "eu-vies": "vat", "gleif": "lei",
+}
+
+
+def to_places(records: DataFrame) -> DataFrame:
+    """Register records as places of their own: named by the first name that is not blank, else by number; the activity code carries the
+    namespace of its nomenclature, as codes of two of them do not compare."""
+    prefix = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ACTIVITY_PREFIXES.items() for x in kv]), F.col("connector")), F.lit("activity"))
+    named = F.get(F.filter(F.transform("names", lambda n: F.trim(n)), lambda n: n != ""), F.lit(0))
+    code = F.nullif(F.col("activity_code"), F.lit(""))
+    return records.select(
+        F.concat_ws(":", "connector", F.coalesce("establishment_id", "id")).alias("place_id"), F.coalesce(named, "id").alias("name"), F.array(F.lit("registry")).alias("sources"),
+        F.concat(prefix, F.lit("="), code).alias("category"), "number", "street", "postcode", "city", "lat", "lon", F.lit("sweep").alias("evidence"),
+    )
+
+
 def connectors_for(spark, country: str, available: dict[str, str] | None = None) -> DataFrame:
     """``(connector, role, reason)``: the first that sweeps, all that look up, and why one is unavailable."""
     rows = ", ".join(f"({i}, '{c}', '{cc}', {str(s).lower()})" for i, (c, cc, s) in enumerate(CONNECTORS))
