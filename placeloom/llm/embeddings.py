@@ -124,7 +124,7 @@ def near_duplicate_vectors(
     zero, empty vectors and those with null or non-finite components link with nothing, nor do rows with a
     null id. Vectors of different dimension never link. Every row is a vector of its own: repeated rows link with each
     other, and different vectors under one vec_id have their own links and component. Equal vectors of a label collapse
-    into one class with a multiplicity before hashing; classes go by a 64-bit hash of their SHA-256. Buckets above ``block`` members are compared block against block; a
+    into one class with a multiplicity before hashing; classes go by a 64-bit hash of their SHA-256, so the result is exact up to its collisions. Buckets above ``block`` members are compared block against block; a
     pair is counted only in the first table whose signature it shares, so counts need no pair shuffle. At the
     threshold a pair is found with probability >= ``recall``; above it the odds only rise. Other columns are ignored; an
     empty table gives no rows.
