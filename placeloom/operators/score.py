@@ -65,8 +65,8 @@ def known_sections(scheme: Column, letters: Column) -> Column:
 
 
 def days_since(date: Column, as_of: Column) -> Column:
-    """Days from an ISO date to ``as_of``; null if unreadable. Negative for future dates."""
-    return (F.unix_timestamp(as_of) - F.unix_timestamp(F.try_to_timestamp(date))) / 86400.0
+    """Days from an ISO date to ``as_of``, fractions of seconds included; null if unreadable. Negative for future dates."""
+    return (F.unix_micros(as_of) - F.unix_micros(F.try_to_timestamp(date))) / 86400e6
 
 
 def is_hiring(board_count: Column, has_careers_page: Column, open_roles: Column) -> Column:
@@ -75,9 +75,9 @@ def is_hiring(board_count: Column, has_careers_page: Column, open_roles: Column)
 
 
 def oldest_role_days(posted: Column, as_of: Column) -> Column:
-    """Whole days since the oldest readable date of an array, not below zero; null without one."""
-    oldest = F.array_min(F.filter(F.transform(posted, lambda d: F.unix_timestamp(F.try_to_timestamp(d))), lambda x: x.isNotNull()))
-    days = F.floor((F.unix_timestamp(as_of) - oldest) / 86400).cast("long")
+    """Whole days since the oldest readable date of an array, fractions of seconds included, not below zero; null without one."""
+    oldest = F.array_min(F.filter(F.transform(posted, lambda d: F.unix_micros(F.try_to_timestamp(d))), lambda x: x.isNotNull()))
+    days = F.floor((F.unix_micros(as_of) - oldest) / 86400e6).cast("long")
     return F.when(days < 0, F.lit(0).cast("long")).otherwise(days)
 
 

@@ -1,6 +1,9 @@
+import oracle
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from placeloom import catalogue
 from placeloom.operators import confirm, diff, gate, match, resolve, score, summary
 from placeloom.plans import render, sweep
 
@@ -33,6 +36,19 @@ def test_assignment_equals_greedy(spark):
     assert {(r.poi_id, r.rec_key) for r in match.assign_one_to_one(spark, df, match.pair_order()).collect()} == want
 
 
+def test_role_age_counts_fractions_of_seconds(value):
+    as_of = L("2024-06-01").cast("timestamp")
+    assert value(score.oldest_role_days(F.array(L("2024-05-01T00:00:00.400000"), L("2024-05-02")), as_of)) == 30
+    assert value(score.oldest_role_days(F.array(L("2024-05-01T00:00:00")), as_of)) == 31
+    assert 30 < value(score.days_since(L("2024-05-01T00:00:00.4"), as_of)) < 31
+
+
+def test_open_role_age_at_midnight(spark, tmp_path):
+    ts = pd.to_datetime(["2024-05-01 00:00:00.4", "2024-05-01 00:00:00.0"]).astype("datetime64[us]")
+    pd.DataFrame({"user_id": [1, 2], "ts": ts, "event_type": "purchase", "value": 1.0}).to_parquet(f"{tmp_path}/events.parquet")
+    oracle.same(catalogue.queries()["open_role_age"](spark, str(tmp_path)), oracle.connect(str(tmp_path)), catalogue.oracle_sql()["open_role_age"])
+
+
 def test_three_valued_hiring(value):
     yes = lambda b, c, n: value(score.is_hiring(L(b), L(c), L(n)))
     assert (yes(0, False, 3), yes(1, False, 3), yes(0, True, 0)) == (False, True, None)
