@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 import pandas as pd
@@ -301,8 +302,14 @@ def without_consent_lines(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~banner(line)), "\n")
 
 
-def page_title(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(decode_entities(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " ")), F.lit(""))
+def decode_markup(c: Column) -> Column:
+    """``&lt;`` and ``&amp;``, in this order; any other reference stays as it is written."""
+    return F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
+
+
+def page_title(html: Column, decode: Callable[[Column], Column] = decode_entities) -> Column:
+    """Text of the title on one line, its references read by ``decode``; null if there is none."""
+    return F.nullif(F.trim(F.regexp_replace(decode(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), r"[\t\n\f\r ]+", " ")), F.lit(""))
 
 
 def meta_description(html: Column) -> Column:

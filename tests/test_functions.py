@@ -1,6 +1,9 @@
+import oracle
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from placeloom import catalogue
 from placeloom.functions import extract, geo, text
 
 L = F.lit
@@ -97,6 +100,16 @@ def test_pages(value):
     assert [(b.provider, b.token) for b in boards] == [("lever", "acme"), ("recruitee", "acme")]
 
 
+def test_page_titles_equal_their_sql(spark, tmp_path):
+    pages = ["<title>a = &quot;b&quot; &amp;lt; &lt;i&gt;&nbsp;</title>", "<TITLE lang=x> a\tb\n </TITLE><title>c</title>", "<p>none", None, "<title>a\x0bb</title>"]
+    pd.DataFrame({"page_id": range(len(pages)), "html": pages}).to_parquet(f"{tmp_path}/pages.parquet")
+    oracle.same(catalogue.queries()["page_titles"](spark, str(tmp_path)), oracle.connect(str(tmp_path)), catalogue.oracle_sql()["page_titles"])
+
+
+def test_page_title_reads_every_reference(value):
+    assert value(extract.page_title(L("<title>a &quot;b&quot; &eacute; &#39;</title>"))) == "a \"b\" é '"
+
+
 def test_technology(value):
     t = value(extract.technology(L('<script type="application/ld+json">{"@graph":[{"@type":"Shop"}]}</script><script type="application/ld+json">bad</script> wp-content /_next/static/ gtag(\'config\' panier')))
     assert (t.cms, t.analytics, t.tech_stack, t.has_ecommerce) == ("WordPress", ["Google Analytics"], ["Next.js", "schema:Shop"], True)
