@@ -199,6 +199,22 @@ def test_closest_names(spark):
         assert got == want
 
 
+def _pairs_seen(monkeypatch, step):
+    """Counts of the pairs that a step of the name comparison gives."""
+    seen, own = [], getattr(confirm, step)
+    monkeypatch.setattr(confirm, step, lambda *a, **k: (lambda out: (seen.append(out.count()), out)[1])(own(*a, **k)))
+    return seen
+
+
+def test_lookup_compares_copies_of_a_name_once(spark, monkeypatch):
+    places = spark.createDataFrame([(i, ["Garage Martin", "Martin"][i % 2], "Lyon") for i in range(200)], "place_id long, name string, locality string")
+    records = spark.createDataFrame([(f"r{i:03}", ["SARL Garage Martin"], "Lyon", "active", f"{i % 9}") for i in range(200)], "rec_key string, names array<string>, locality string, status string, postcode_r string")
+    seen = _pairs_seen(monkeypatch, "_sharing")
+    got = confirm.lookup(places, records, limit=5).collect()
+    assert len(got) == 1000 and {(r["rank"], r.rec_key, r.postcode_r) for r in got} == {(i + 1, f"r{i:03}", f"{i % 9}") for i in range(5)}
+    assert seen == [2]  # 40,000 pairs of rows
+
+
 def test_record_in_several_towns_is_found_once_in_each(spark):
     places = spark.createDataFrame([(1, "Garage Martin", "Lyon"), (2, "Garage Martin", "PARIS"), (3, "Garage Martin", "Nice")], "place_id long, name string, locality string")
     records = spark.createDataFrame([("r1", ["Garage Martin"], t, "active", None) for t in ("Lyon", "Paris", "LYON")] + [("r2", ["Garage Martin"], "Lyon", "active", None)], "rec_key string, names array<string>, locality string, status string, postcode_r string")
