@@ -206,6 +206,19 @@ def _pairs_seen(monkeypatch, step):
     return seen
 
 
+def test_copies_of_a_name_are_compared_once(spark, monkeypatch):
+    """Closest names: of copies the smallest other id, whether a town is crowded or not, and as few comparisons as there are different names."""
+    rows = [(i, "t", ["garage martin", "garage", "pharmacie soleil"][i % 3]) for i in range(300)] + [(7, "t", "garage martin"), (1000, "t", "zzz"), (1001, None, "garage"), (1002, "t", None)]
+    names = spark.createDataFrame(rows, "id long, loc string, name string")
+    want = {i: (1 if i % 3 == 1 else 0 if i % 3 == 0 else 2) for i in range(300)} | {0: 3, 1: 4, 2: 5, 7: 0}
+    for few in (2, 1000):
+        seen = _pairs_seen(monkeypatch, "two_way")
+        got = {r.id: (r.other, r.similarity) for r in confirm.closest_names(spark, names, names, few=few).collect()}
+        monkeypatch.undo()
+        assert got == {i: (o, 1.0) for i, o in want.items()}
+        assert max(seen) < 300  # 90,000 pairs of rows
+
+
 def test_lookup_compares_copies_of_a_name_once(spark, monkeypatch):
     places = spark.createDataFrame([(i, ["Garage Martin", "Martin"][i % 2], "Lyon") for i in range(200)], "place_id long, name string, locality string")
     records = spark.createDataFrame([(f"r{i:03}", ["SARL Garage Martin"], "Lyon", "active", f"{i % 9}") for i in range(200)], "rec_key string, names array<string>, locality string, status string, postcode_r string")
