@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from placeloom import files
 from placeloom.operators.diff import changes, diff_runs
@@ -18,62 +14,31 @@ SECOND, BEHIND, CLOSING = 1000, 500, 250
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class RunPairs(StatefulProcessor):
-    """Per key: its row in the last closed run, and its rows in open runs. Every row sets timers for the end of its run, when it meets the row before
-    it, and for the end of the next, when the key is gone unless that run had a row too."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "row string")
-        self.open = handle.getMapState("open", "run long", "ord long, row string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for run, order, row in zip(frame["run"], frame["ord"], frame["row"], strict=True):
-                run, found = int(run), (int(order), row)
-                if not self.open.containsKey((run,)) or tuple(self.open.getValue((run,))) < found:
-                    self.open.updateValue((run,), found)
-                for closes in (run, run + 1):
-                    self.handle.registerTimer((closes + 1) * SECOND + CLOSING)
-        yield pd.DataFrame({"key": pd.Series(dtype=str), "run": pd.Series(dtype="int64"), "before": pd.Series(dtype=str), "after": pd.Series(dtype=str)})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        run = (expiredTimerInfo.getExpiryTimeInMs() - CLOSING) // SECOND - 1
-        before = self.last.get()[0] if self.last.exists() else None
-        after = None
-        if self.open.containsKey((run,)):
-            after = self.open.getValue((run,))[1]
-            self.open.removeKey((run,))
-            self.last.update((after,))
-        else:
-            self.last.clear()
-        if before is not None or after is not None:
-            yield pd.DataFrame({"key": [key[0]], "run": [run], "before": [before], "after": [after]})
-
-    def close(self) -> None:
-        pass
-
-
 def run_deltas(rows: DataFrame, first: int = 0, late: int = 0) -> DataFrame:
     """Stream of ``rows(run long, key, ord, ...)``, the columns of ``diff_runs`` and the number of the run that a row belongs to -> ``(run, delta_kind, key,
     detail)``: what each run after the ``first`` changed against the one before, as ``diff_runs`` has it, however rows fall into micro-batches.
 
-    State is keyed; a run costs work for its own rows and for keys that vanished, not a join of two whole runs. A run is closed by
+    Two windowed aggregations: the last row of a key in a run, and of these the pairs of a run and the run before, in windows that are two runs
+    long. Rows of a batch are combined before they meet their state. A run is closed by
     the first row of the run ``late`` + 1 after it; rows that come later are dropped by the watermark. A row without a key is a heartbeat that only
     closes runs. Needs the RocksDB state store, which is set here for the session."""
     spark = rows.sparkSession
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     columns = [f for f in rows.schema.fields if f.name not in ("run", "key")]
-    kept = F.to_json(F.struct(*[f.name for f in columns])).alias("row")
     timed = rows.withColumn("at", F.timestamp_seconds(F.col("run") + 1)).withWatermark("at", f"{late * SECOND + BEHIND} milliseconds")
     timed = timed.where(F.when(F.col("at").isNotNull(), F.col("key")).isNotNull())  # one that names the time stays above the watermark, which heartbeats must reach
-    pairs = timed.select("key", "run", F.col("ord").cast("long").alias("ord"), kept, "at").groupBy("key").transformWithStateInPandas(
-        RunPairs(), "key string, run long, before string, after string", "append", "EventTime"
+    others = [f.name for f in columns if f.name != "ord"]
+    ends = lambda: (F.unix_millis("w.end") - CLOSING) / SECOND - 1
+    one, two, start = f"{SECOND} milliseconds", f"{2 * SECOND} milliseconds", f"{CLOSING} milliseconds"
+    last = timed.groupBy(F.window("at", one, one, start).alias("w"), "key").agg(F.max(F.struct(F.col("ord").cast("long").alias("ord"), F.struct(*others).alias("row"))).alias("x"))
+    last = last.select("w", "key", ends().cast("long").alias("own"), "x")
+    pairs = last.groupBy(F.window("w", two, one, start).alias("w"), "key").agg(F.max(F.struct("own", "x")).alias("late"), F.min(F.struct("own", "x")).alias("early"))
+    pairs = pairs.withColumn("run", ends().cast("long"))
+    side = lambda p: [F.when(F.col(p).isNotNull(), F.col("key")).alias(f"{p}_key"), F.col(f"{p}.ord").alias(f"{p}_ord"), *[F.col(f"{p}.row.{c}").alias(f"{p}_{c}") for c in others]]
+    both = pairs.where(F.col("run") > first).select(
+        "run", "key", F.when(F.col("early.own") < F.col("run"), F.col("early.x")).alias("b"), F.when(F.col("late.own") == F.col("run"), F.col("late.x")).alias("a")
     )
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
-    both = pairs.where(F.col("run") > first).select("run", "key", F.from_json("before", shape).alias("b"), F.from_json("after", shape).alias("a"))
-    side = lambda p: [F.when(F.col(p).isNotNull(), F.col("key")).alias(f"{p}_key"), *[F.col(f"{p}.{f.name}").alias(f"{p}_{f.name}") for f in columns]]
     return changes(both.select("run", *side("b"), *side("a")), ["run"])
 
 
