@@ -129,13 +129,13 @@ def assign_one_to_one(spark: SparkSession, pairs: DataFrame, order: list[Column]
     ordered = _cut(spark, pairs.withColumn("__o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])))
     labels = _components(spark, ordered)
     sized = ordered.join(labels, "poi_id")
-    sizes = sized.groupBy("component").agg(F.count("*").alias("__n"))
-    sized = _cut(spark, sized.join(sizes, "component"))
-    small = sized.where(F.col("__n") <= large).drop("__n")
+    sized = _cut(spark, sized)
+    big = F.broadcast(_cut(spark, sized.groupBy("component").count().where(F.col("count") > large).select("component")))  # at most one in ``large`` pairs
+    small = sized.join(big, "component", "left_anti")
     taken = small.repartition("component").sortWithinPartitions("component", "__o").select("component", "poi_id", "rec_key").mapInPandas(_greedy, "poi_id string, rec_key string")
     chosen = _cut(spark, taken)
     first = ordered.join(chosen, ["poi_id", "rec_key"], "left_semi")
-    rest = sized.where(F.col("__n") > large).select(*ordered.columns)
+    rest = sized.join(big, "component", "left_semi").select(*ordered.columns)
     return (first if rest.isEmpty() else first.unionByName(_mutual_best(spark, rest))).select(*pairs.columns)
 
 

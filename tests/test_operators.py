@@ -338,3 +338,26 @@ def test_robots_of_many_rules(spark):
     assert out.where("allowed").count() == 10_000
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_no_task_holds_a_whole_component(spark, monkeypatch):
+    """Pairs of one large component are not dealt by it."""
+    pairs = spark.createDataFrame([(f"p{i:03}", f"r{(i + j) % 7}", i * 3 + j) for i in range(90) for j in range(2)], "poi_id string, rec_key string, ord int")
+    most, cut = [], match._cut
+
+    def watched(session, df):
+        out = cut(session, df)
+        if {"component", "__o"} <= set(out.columns):
+            most.append(out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(match, "_cut", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = match.assign_one_to_one(spark, pairs, [F.col("ord")], large=10).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r.poi_id, r.rec_key) for r in got) == [(f"p{i:03}", f"r{i}") for i in range(7)]
+    assert most and max(most) < 120  # of 180 rows
